@@ -138,7 +138,7 @@ def parse_dates(df: DataFrame, formats: Mapping[str, str], to: str = "date") ->
     out = df
     for col, fmt in formats.items():
         c = strip_ws(_q(col))
-        parsed = F.try_to_date(c, F.lit(fmt)) if to == "date" else F.try_to_timestamp(c, F.lit(fmt))
+        parsed = F.try_to_date(c, fmt) if to == "date" else F.try_to_timestamp(c, F.lit(fmt))
         out = out.withColumn(col, parsed)
     return out
 

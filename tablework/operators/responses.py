@@ -155,7 +155,7 @@ def grade(submissions: DataFrame, key: DataFrame | Sequence[Mapping[str, Any]],
     kind = F.col("kind")
     ok = (F.when(kind == "is_json", F.coalesce(F.col("__n") == F.col("n_items"), F.lit(False)))
           .when(kind == "equals", F.coalesce(strip_ws(item_text) == strip_ws(F.col("expected")), F.lit(False)))
-          .when(kind == "regex", F.coalesce(item_text.rlike(F.concat(F.lit("(?i)"), F.col("expected"))),
+          .when(kind == "regex", F.coalesce(F.regexp(item_text, F.concat(F.lit("(?i)"), F.col("expected"))),
                                             F.lit(False)))
           .when(kind == "within", F.coalesce(
               F.abs(item_num - F.col("expected").try_cast("double")) <= F.col("tolerance"), F.lit(False)))

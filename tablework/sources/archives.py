@@ -48,10 +48,9 @@ def archive_lines(archive: str, blob: bytes, pattern: str, encoding: str
             yield archive, name, i, line.rstrip("\n")
 
 
-def load_archive_lines(spark: SparkSession, path_glob: str, pattern: str = "*",
-                       encoding: str = "utf-8") -> DataFrame:
-    """``(archive, member, line_no, line)`` for members matching ``pattern``."""
-    files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
+def parse_archive_lines(files: DataFrame, pattern: str = "*", encoding: str = "utf-8") -> DataFrame:
+    """``(path, content)`` frame of archives → ``(archive, member, line_no,
+    line)`` for members matching ``pattern``."""
     cols = ["archive", "member", "line_no", "line"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +65,24 @@ def load_archive_lines(spark: SparkSession, path_glob: str, pattern: str = "*",
                 if buf:
                     yield pd.DataFrame(buf, columns=cols)
 
-    return files.mapInPandas(parse, LINE_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, LINE_SCHEMA)
+
+
+def load_archive_lines(spark: SparkSession, path_glob: str, pattern: str = "*",
+                       encoding: str = "utf-8") -> DataFrame:
+    """``(archive, member, line_no, line)`` for members matching ``pattern``."""
+    return parse_archive_lines(spark.read.format("binaryFile").load(path_glob), pattern, encoding)
+
+
+def archive_lines_to_csv(lines: DataFrame, schema: T.StructType | str, header: bool = True,
+                         sep: str = ",") -> DataFrame:
+    """Lines of CSV members → typed rows (``from_csv``; header line dropped)."""
+    if header:
+        lines = lines.where(F.col("line_no") > 0)
+    lines = lines.where(F.col("line") != "")
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    rec = F.from_csv(F.col("line"), F.lit(ddl), {"sep": sep})
+    return lines.select(rec.alias("r")).select("r.*")
 
 
 def load_archive_members(spark: SparkSession, path_glob: str, pattern: str = "*"
@@ -80,10 +96,5 @@ def load_archive_csv(spark: SparkSession, path_glob: str, schema: T.StructType |
                      pattern: str = "*.csv", header: bool = True, sep: str = ",",
                      encoding: str = "utf-8") -> DataFrame:
     """CSV members of archives as one typed table (parsed by ``from_csv``)."""
-    lines = load_archive_lines(spark, path_glob, pattern, encoding)
-    if header:
-        lines = lines.where(F.col("line_no") > 0)
-    lines = lines.where(F.col("line") != "")
-    ddl = schema if isinstance(schema, str) else schema.simpleString()
-    rec = F.from_csv(F.col("line"), F.lit(ddl), {"sep": sep})
-    return lines.select(rec.alias("r")).select("r.*")
+    return archive_lines_to_csv(load_archive_lines(spark, path_glob, pattern, encoding),
+                                schema, header, sep)

@@ -26,6 +26,10 @@ _COMPRESSED = ("gz", "bz2", "deflate", "zst", "lz4", "snappy")
 
 CORRUPT_COLUMN = "_corrupt_record"
 
+# Text formats keep microseconds (Spark's default writes milliseconds only).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+_TEXT_TS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
+
 
 def source_kind(path: str) -> str:
     """Source kind from a path or URL extension; unknown → ValueError."""
@@ -60,6 +64,8 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     reader = spark.read
     if schema is not None and kind not in ("jdbc", "workbook"):
         reader = reader.schema(schema)
+    if kind in ("csv", "tsv", "json"):
+        reader = reader.options(**_TEXT_TS)
     if kind in ("csv", "tsv"):
         df = (reader.option("header", header)
               .option("sep", sep or ("\t" if kind == "tsv" else ","))
@@ -115,10 +121,15 @@ def load_csv_split(spark: SparkSession, path: str | Sequence[str], schema: T.Str
 
     A row that does not fit the schema (extra or missing fields, a value of
     the wrong type) keeps its raw text in ``_corrupt_record``; it goes to
-    ``bad_rows`` as ``(_corrupt_record)`` and is absent from ``good_rows``.
+    ``bad_rows`` (parsed fields + ``_corrupt_record``) and is absent from
+    ``good_rows``.
     Both frames are lazy over the same scan; the corrupt-column filter is
     applied after the parse.
     """
+    # With CSV column pruning on, a row with an extra field is only caught
+    # when every column is parsed; good/bad must not depend on what a later
+    # select keeps, so pruning is switched off for the session.
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COLUMN, T.StringType())])
     raw = load_table(spark, path, "csv", schema=full, sep=sep, header=header,
                      encoding=encoding, mode="PERMISSIVE",
@@ -126,7 +137,9 @@ def load_csv_split(spark: SparkSession, path: str | Sequence[str], schema: T.Str
     if null_tokens is not None:
         raw = _nulls(raw, null_tokens)
     good = raw.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-    bad = raw.where(F.col(CORRUPT_COLUMN).isNotNull()).select(CORRUPT_COLUMN)
+    # Spark refuses plans that reference only the corrupt column, so the
+    # bad rows keep every parsed field next to the raw text.
+    bad = raw.where(F.col(CORRUPT_COLUMN).isNotNull())
     return good, bad
 
 
@@ -169,6 +182,8 @@ def save_table(df: DataFrame, path: str, kind: str = "parquet", *,
         w = w.partitionBy(*partition_by)
     if compression:
         w = w.option("compression", compression)
+    if kind in ("csv", "tsv", "json"):
+        w = w.options(**_TEXT_TS)
     w = w.options(**options)
     if kind == "parquet":
         w.parquet(path)

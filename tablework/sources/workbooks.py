@@ -92,12 +92,9 @@ def workbook_rows(path: str, content: bytes, sheet: str | int | None = 0
                 yield path, name, i, [cells.get(j) for j in range(width)]
 
 
-def read_workbook_rows(spark: SparkSession, path_glob: str, sheet: str | int | None = 0,
-                       recursive: bool = False) -> DataFrame:
-    """``(path, sheet, row_idx, cells)`` of every workbook under the glob."""
-    files = (spark.read.format("binaryFile")
-             .option("recursiveFileLookup", str(recursive).lower())
-             .load(path_glob).select("path", "content"))
+def parse_workbooks(files: DataFrame, sheet: str | int | None = 0) -> DataFrame:
+    """``(path, content)`` frame of workbook files → ``(path, sheet,
+    row_idx, cells)``; one workbook per input row, rows out in batches."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,7 +108,25 @@ def read_workbook_rows(spark: SparkSession, path_glob: str, sheet: str | int | N
                 if buf:
                     yield pd.DataFrame(buf, columns=["path", "sheet", "row_idx", "cells"])
 
-    return files.mapInPandas(parse, ROW_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, ROW_SCHEMA)
+
+
+def read_workbook_rows(spark: SparkSession, path_glob: str, sheet: str | int | None = 0,
+                       recursive: bool = False) -> DataFrame:
+    """``(path, sheet, row_idx, cells)`` of every workbook under the glob."""
+    files = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", str(recursive).lower())
+             .load(path_glob))
+    return parse_workbooks(files, sheet)
+
+
+def workbooks_to_table(files: DataFrame, *, sheet: str | int | None = 0,
+                       schema: T.StructType | str | None = None, header: bool = True,
+                       on_mismatch: str = "null") -> DataFrame:
+    """Typed table from a ``(path, content)`` frame of workbooks."""
+    from tablework.operators.cleaning import rows_to_table
+    return rows_to_table(parse_workbooks(files, sheet), ["path", "sheet"], schema=schema,
+                         header=header, on_mismatch=on_mismatch)
 
 
 def load_workbooks(spark: SparkSession, path_glob: str, *, sheet: str | int | None = 0,
@@ -123,7 +138,8 @@ def load_workbooks(spark: SparkSession, path_glob: str, *, sheet: str | int | No
     matched to ``schema`` by position and cast (``on_mismatch`` as in
     ``apply_schema``).
     """
-    from tablework.operators.cleaning import rows_to_table
-    rows = read_workbook_rows(spark, path_glob, sheet, recursive)
-    return rows_to_table(rows, ["path", "sheet"], schema=schema, header=header,
-                         on_mismatch=on_mismatch)
+    files = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", str(recursive).lower())
+             .load(path_glob))
+    return workbooks_to_table(files, sheet=sheet, schema=schema, header=header,
+                              on_mismatch=on_mismatch)
