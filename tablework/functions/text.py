@@ -15,8 +15,10 @@ MISSING_WORDS = (
     "nan", "null",
 )
 
-# (?U) makes \s cover every Unicode space (tab, NBSP, ...), like str.strip().
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip() removes (str.isspace()).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_of(c: Column | str) -> Column:
@@ -24,8 +26,9 @@ def col_of(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Strip leading and trailing whitespace of every kind."""
-    return F.regexp_replace(col_of(c), _EDGE_SPACE, "")
+    """Strip leading and trailing whitespace of every kind (as str.strip()),
+    by a character-set trim rather than a regex."""
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def null_if_missing(c: Column | str, tokens: Iterable[str] = MISSING_WORDS) -> Column:

@@ -68,29 +68,32 @@ def apply_schema(df: DataFrame, schema: Mapping[str, str] | T.StructType,
 
     ``on_mismatch``: ``"null"`` leaves NULL where a value does not convert,
     ``"drop"`` drops such rows, ``"raise"`` fails the job on the first one
-    (``assert_true``; evaluated on executors, no extra pass).
+    (``raise_error`` inside the cast value itself, so the check runs
+    wherever the value is computed and cannot be pruned away).
     """
     if isinstance(schema, T.StructType):
         schema = {f.name: f.dataType.simpleString() for f in schema.fields}
+    if on_mismatch not in ("null", "drop", "raise"):
+        raise ValueError("on_mismatch must be 'null', 'drop' or 'raise'")
     src = {f.name: f.dataType for f in df.schema.fields}
     require_columns(df, list(schema))
     cols, bad = [], []
     for name in df.columns:
         if name in schema:
             cast = _cast_expr(_q(name), src[name], schema[name])
-            bad.append(_q(name).isNotNull() & cast.isNull())
+            mismatch = _q(name).isNotNull() & cast.isNull()
+            bad.append(mismatch)
+            if on_mismatch == "raise":
+                msg = F.concat(F.lit(f"value does not match declared type {schema[name]} of {name}: "),
+                               _q(name).cast("string"))
+                cast = F.when(mismatch, F.raise_error(msg)).otherwise(cast)
             cols.append(cast.alias(name))
         else:
             cols.append(_q(name))
-    if on_mismatch == "null" or not bad:
-        return df.select(*cols)
-    any_bad = F.greatest(*bad) if len(bad) > 1 else bad[0]
-    if on_mismatch == "drop":
+    if on_mismatch == "drop" and bad:
+        any_bad = F.greatest(*bad) if len(bad) > 1 else bad[0]
         return df.where(~any_bad).select(*cols)
-    if on_mismatch == "raise":
-        check = F.assert_true(~any_bad, F.lit("value does not match declared type"))
-        return df.select(*cols, check.alias("__tw_check")).drop("__tw_check")
-    raise ValueError("on_mismatch must be 'null', 'drop' or 'raise'")
+    return df.select(*cols)
 
 
 def strip_whitespace(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

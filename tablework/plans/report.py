@@ -8,14 +8,15 @@ A report spec is plain data (never code that is executed):
       "sourcing_plan": [{"name": "orders", "path": ".../orders.parquet",
                          "kind": "parquet", "schema": {...}, "columns": [...],
                          "where": "...", "clean": {...}, "validate": {...},
-                         "persist": "none" | "checkpoint"}],
+                         "persist": "auto" | "cache" | "checkpoint" | "none"}],
       "analysis_plan": [{"task_id": 1, "qid": "q1", "source": "orders",
                          "op": "count_distinct", "params": {"column": "o_custkey"},
                          "output_format": "number", "round": 6}],
       "final_output_format": {"format": "json_array"},
     }
 
-Sources are loaded lazily and cleaned once; every task becomes a lazy
+Sources are loaded lazily and cleaned once (a cleaned source that several
+tasks share is cached); every task becomes a lazy
 DataFrame over its cleaned source, shaped into a one-row answer, and all
 answers are one union, so Spark runs the whole report as one plan with
 shared scans (``ReuseExchange``) and only one-row answers reach the driver.
@@ -85,8 +86,25 @@ def check_spec(spec: Mapping[str, Any]) -> None:
         raise ValueError("sourcing_plan and analysis_plan must be lists")
 
 
-def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]]) -> dict[str, DataFrame]:
-    """Load and clean every source; any failure fails the job."""
+def _uses(spec_tasks: list[Mapping[str, Any]]) -> dict[str, int]:
+    n: dict[str, int] = {}
+    for t in spec_tasks:
+        n[t.get("source")] = n.get(t.get("source"), 0) + 1
+    return n
+
+
+def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]],
+                 uses: Mapping[str, int] | None = None) -> dict[str, DataFrame]:
+    """Load and clean every source; any failure fails the job.
+
+    Gate rules are checked without a pass over the data: ``required``
+    columns against the schema, ``non_empty`` with a one-row probe. Other
+    validation rules are reported by the ``validate`` op, not gated.
+    ``persist``: ``"auto"`` (default) caches a cleaned source that several
+    tasks read when its cleaning shuffles (dedupe), so the report runs the
+    shuffle once; ``"cache"``, ``"checkpoint"`` (reliable copy in the
+    shared checkpoint folder, lineage cut) and ``"none"`` force a choice.
+    """
     frames: dict[str, DataFrame] = {}
     for src in sourcing:
         s = dict(src)
@@ -94,22 +112,24 @@ def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]]) -> dict
         path = s.pop("path")
         kind = s.pop("kind", None)
         clean = s.pop("clean", None)
-        rules = s.pop("validate", None)
-        persist = s.pop("persist", "none")
+        rules = s.pop("validate", None) or {}
+        persist = s.pop("persist", "auto")
         declared = s.pop("schema", None)
         df = load_table(spark, path, kind, **s)
+        missing = [c for c in rules.get("required", []) if c not in df.columns]
+        if missing:
+            raise ValueError(f"source {name!r} lacks required columns {missing}; found {df.columns}")
+        if rules.get("non_empty") and not df.limit(1).collect():
+            raise ValueError(f"source {name!r} is empty")
         if isinstance(declared, Mapping):
             df = apply_schema(df, declared)
         if clean:
             df, _ = clean_table(df, **clean)
-        if rules:
-            # a failed required/non-empty rule stops the job before any task
-            bad = quality.validate(df, rules).where(
-                F.col("rule").isin("required", "non_empty") & ~F.col("passed")).limit(1).collect()
-            if bad:
-                raise ValueError(f"source {name!r} failed validation: {bad[0].asDict()}")
+        shared = (uses or {}).get(name, 0) > 1
         if persist == "checkpoint":
-            df = df.checkpoint(eager=True)   # reliable copy in spark.checkpoint.dir
+            df = df.checkpoint(eager=True)
+        elif persist == "cache" or (persist == "auto" and shared and clean and clean.get("dedupe")):
+            df = df.cache()
         frames[name] = df
     return frames
 
@@ -135,7 +155,7 @@ def run_report_job(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     """Answers ``(task_id, qid, output_format, answer, error)``, one row per
     task in task order. ``answer`` is JSON text."""
     check_spec(spec)
-    frames = load_sources(spark, spec["sourcing_plan"])
+    frames = load_sources(spark, spec["sourcing_plan"], _uses(spec["analysis_plan"]))
     parts: list[DataFrame] = []
     for pos, task in enumerate(spec["analysis_plan"]):
         tid = int(task.get("task_id", pos + 1))

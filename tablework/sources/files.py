@@ -137,9 +137,12 @@ def load_csv_split(spark: SparkSession, path: str | Sequence[str], schema: T.Str
     if null_tokens is not None:
         raw = _nulls(raw, null_tokens)
     good = raw.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-    # Spark refuses plans that reference only the corrupt column, so the
-    # bad rows keep every parsed field next to the raw text.
-    bad = raw.where(F.col(CORRUPT_COLUMN).isNotNull())
+    # Spark refuses a scan that reads only the corrupt column (e.g. a bare
+    # count of bad rows); the always-true length test references every parsed
+    # field so no later projection can narrow the scan to that column alone.
+    fields = [F.col(f"`{f.name}`").cast("string") for f in schema.fields]
+    keep_fields = F.length(F.concat_ws("\u0001", *fields)) >= 0
+    bad = raw.where(F.col(CORRUPT_COLUMN).isNotNull() & keep_fields)
     return good, bad
 
 
