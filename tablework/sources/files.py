@@ -178,8 +178,16 @@ def save_table(df: DataFrame, path: str, kind: str = "parquet", *,
                partition_by: Sequence[str] | None = None, mode: str = "overwrite",
                header: bool = True, compression: str | None = None,
                **options: Any) -> str:
-    """Write a DataFrame (parquet, csv, tsv, json, orc, text); returns ``path``."""
+    """Write a DataFrame (parquet, csv, tsv, json, orc, text); returns ``path``.
+
+    With ``partition_by`` the rows are first rebalanced on the partition
+    columns (``REBALANCE`` hint): AQE then writes few, right-sized files
+    per partition value and splits a hot value over several tasks instead
+    of leaving one task to write it.
+    """
     kind = kind.lower()
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
