@@ -140,3 +140,12 @@ def test_partition_pruning_in_plan(spark, tmp_dir):
 
 def test_jdbc_subquery_text():
     assert JD.jdbc_query("t", ["a", "b"], "a > 1") == "(SELECT a, b FROM t WHERE a > 1) tw_src"
+
+
+def test_schema_of_and_sample_rows(spark):
+    from tablework.operators import quality as Q
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id BIGINT, class STRING")
+    assert [tuple(r) for r in Q.schema_of(df).collect()] == [(0, "id", "bigint"), (1, "class", "string")]
+    assert [r["id"] for r in Q.sample_rows(df, 2, ["id"]).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        Q.sample_rows(df, 2, [])
