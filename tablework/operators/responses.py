@@ -138,19 +138,17 @@ def grade(submissions: DataFrame, key: DataFrame | Sequence[Mapping[str, Any]],
     ``(submission, score, max_score, gate_ok, passed, checks)``.
     """
     ans = _q(answer)
-    n_items = F.when(F.schema_of_variant(F.try_parse_json(ans)).startswith("ARRAY"),
-                     F.json_array_length(ans))
+    # parsed once per submission, before the rubric multiplies the rows;
+    # json_array_length is NULL for invalid JSON and for non-arrays
+    parsed = [_q(submission).alias("__sid"), F.json_array_length(ans).alias("__n"),
+              F.from_json(ans, "array<string>").alias("__items")]     # scalars as their JSON text
     if isinstance(key, DataFrame):
-        subs = submissions.select(_q(submission).alias("__sid"), ans.alias("__ans"),
-                                  n_items.alias("__n"), _q(rubric).alias("__rubric"))
+        subs = submissions.select(*parsed, _q(rubric).alias("__rubric"))
         checks = subs.join(key.select(_q(rubric).alias("__rubric"), *KEY_FIELDS), "__rubric")
     else:
-        checks = submissions.select(_q(submission).alias("__sid"), ans.alias("__ans"),
-                                    n_items.alias("__n"),
-                                    F.explode(_rubric_array(key)).alias("__k")).select(
-            "__sid", "__ans", "__n", *[F.col(f"__k.{f}").alias(f) for f in KEY_FIELDS])
-    items = F.from_json(F.col("__ans"), "array<string>")   # scalars as their JSON text
-    item_text = F.try_element_at(items, F.col("item") + 1)
+        checks = submissions.select(*parsed, F.explode(_rubric_array(key)).alias("__k")).select(
+            "__sid", "__n", "__items", *[F.col(f"__k.{f}").alias(f) for f in KEY_FIELDS])
+    item_text = F.try_element_at(F.col("__items"), F.col("item") + 1)
     item_num = item_text.try_cast("double")
     kind = F.col("kind")
     ok = (F.when(kind == "is_json", F.coalesce(F.col("__n") == F.col("n_items"), F.lit(False)))

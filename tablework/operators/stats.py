@@ -180,17 +180,29 @@ def delay_trend(df: DataFrame, start: str, end: str, year: Column | str | None =
     if where is not None:
         df = df.where(F.expr(where) if isinstance(where, str) else where)
     yr = F.year(_c(start)) if year is None else (F.col(year) if isinstance(year, str) else year)
-    rows = df.select(yr.cast("double").alias("year"),
+    rows = df.select(yr.cast("int").alias("year"),
                      F.datediff(_c(end).cast("date"), _c(start).cast("date")).cast("double").alias("delay"))
-    by_year = (rows.groupBy(F.col("year").cast("int").alias("year"))
-               .agg(F.count("*").alias("n"), F.avg("delay").alias("avg_delay")))
-    row_level = rows.agg(F.regr_slope("delay", "year").alias("slope"),
-                         F.regr_intercept("delay", "year").alias("intercept"))
-    of_means = by_year.agg(F.regr_slope("avg_delay", F.col("year").cast("double")).alias("slope"),
-                           F.regr_intercept("avg_delay", F.col("year").cast("double")).alias("intercept"))
-    summary = (row_level.select(F.lit("row_level").alias("method"), "slope", "intercept")
-               .unionByName(of_means.select(F.lit("of_year_means").alias("method"), "slope", "intercept")))
-    return summary, by_year
+    by_year = rows.groupBy("year").agg(F.count("*").alias("n"), F.avg("delay").alias("avg_delay"))
+    # Both fits come from the per-year table, so the data is read once.
+    # Year is constant inside a group, so the row-level fit only needs each
+    # year's count and mean; sums are centred on the weighted means (window
+    # over the per-year table: one row per calendar year) to avoid
+    # cancellation.
+    from pyspark.sql import Window
+    x, n, m = F.col("year").cast("double"), F.col("n").cast("double"), F.col("avg_delay")
+    whole = Window.partitionBy()
+    centred = by_year.select(
+        x.alias("x"), n.alias("w"), m.alias("m"),
+        (F.sum(n * x).over(whole) / F.sum(n).over(whole)).alias("xbar"),
+        (F.sum(n * m).over(whole) / F.sum(n).over(whole)).alias("ybar"))
+    dx, dy = F.col("x") - F.col("xbar"), F.col("m") - F.col("ybar")
+    sxx, sxy = F.sum(F.col("w") * dx * dx), F.sum(F.col("w") * dx * dy)
+    slope = F.when(sxx > 0, sxy / sxx)
+    row_level = centred.agg(F.lit("row_level").alias("method"), slope.alias("slope"),
+                            (F.first("ybar") - slope * F.first("xbar")).alias("intercept"))
+    of_means = by_year.agg(F.lit("of_year_means").alias("method"),
+                           F.regr_slope(m, x).alias("slope"), F.regr_intercept(m, x).alias("intercept"))
+    return row_level.unionByName(of_means), by_year
 
 
 def chi_square(df: DataFrame, a: str, b: str, with_p_value: bool = True) -> DataFrame:

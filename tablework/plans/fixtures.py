@@ -97,18 +97,17 @@ def workbook_bytes(columns: Sequence[str], rows: Sequence[Sequence], shared: boo
 
 
 def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    pending: list[pd.DataFrame] = []
-    n = 0
+    """Re-cut a stream of batches into frames of exactly ``size`` rows
+    (the last one shorter); each row is copied once."""
+    tail: pd.DataFrame | None = None
     for pdf in batches:
-        pending.append(pdf)
-        n += len(pdf)
-        while n >= size:
-            whole = pd.concat(pending, ignore_index=True)
-            yield whole.iloc[:size]
-            rest = whole.iloc[size:]
-            pending, n = ([rest] if len(rest) else []), len(rest)
-    if n:
-        yield pd.concat(pending, ignore_index=True)
+        whole = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        full = len(whole) // size * size
+        for start in range(0, full, size):
+            yield whole.iloc[start:start + size]
+        tail = whole.iloc[full:] if full < len(whole) else None
+    if tail is not None and len(tail):
+        yield tail
 
 
 def _records(pdf: pd.DataFrame) -> list[list]:

@@ -142,12 +142,23 @@ def _rounded(df: DataFrame, digits: int | None) -> DataFrame:
                        for f in df.schema.fields])
 
 
+# parameters that name columns of the task's source
+_COLUMN_PARAMS = ("column", "key", "x", "y", "a", "b", "by", "start", "end")
+
+
 def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> DataFrame:
     t = {**TASK_DEFAULTS, **task}
     op = t["op"]
     if op not in OPS:
         raise ValueError(f"unknown op {op!r}")
+    if t["source"] not in frames:
+        raise ValueError(f"unknown source {t['source']!r}")
     src = frames[t["source"]]
+    for p in _COLUMN_PARAMS:
+        names = t["params"].get(p)
+        for n in ([names] if isinstance(names, str) else names or []):
+            if isinstance(n, str) and n not in src.columns:
+                raise ValueError(f"column {n!r} of parameter {p!r} not in source {t['source']!r}")
     return _rounded(OPS[op](src, **dict(t["params"])), t["round"])
 
 
