@@ -136,9 +136,10 @@ def extract_html_tables(pages: DataFrame, *, key: str = "page_id", html_col: str
 
 class _ElementParser(HTMLParser):
     def __init__(self, tag: str, css_class: str | None, attr: str | None,
-                 parent: str | None) -> None:
+                 parent: str | None, elem_id: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.css_class, self.attr, self.parent = tag, css_class, attr, parent
+        self.elem_id = elem_id
         self.open: list[str] = []
         self.found: list[list] = []   # [parent, text_parts, attr]
         self.active: list[tuple[int, list]] = []  # (depth, record)
@@ -146,7 +147,8 @@ class _ElementParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1] if self.open else None
         if tag == self.tag and (self.css_class is None or self.css_class in _classes(attrs)) \
-                and (self.parent is None or parent == self.parent):
+                and (self.parent is None or parent == self.parent) \
+                and (self.elem_id is None or dict(attrs).get("id") == self.elem_id):
             a = dict(attrs)
             if self.attr is None or self.attr in a:
                 rec = [parent, [], a.get(self.attr) if self.attr else None]
@@ -179,8 +181,9 @@ class _ElementParser(HTMLParser):
 
 
 def page_elements(html: str | None, tag: str, css_class: str | None = None,
-                  attr: str | None = None, parent: str | None = None) -> list[tuple]:
-    p = _ElementParser(tag.lower(), css_class, attr, parent)
+                  attr: str | None = None, parent: str | None = None,
+                  elem_id: str | None = None) -> list[tuple]:
+    p = _ElementParser(tag.lower(), css_class, attr, parent, elem_id)
     p.feed(html or "")
     p.close()
     return [(par, "".join(parts).strip(), a) for par, parts, a in p.found]
@@ -188,10 +191,11 @@ def page_elements(html: str | None, tag: str, css_class: str | None = None,
 
 def extract_html_elements(pages: DataFrame, tag: str, *, key: str = "page_id",
                           html_col: str = "html", css_class: str | None = None,
-                          attr: str | None = None, parent: str | None = None) -> DataFrame:
-    """Every ``tag`` element (with ``css_class``, having ``attr``, directly
-    inside ``parent``) of every page → ``(key, elem_idx, parent, text,
-    attr)``; ``attr`` holds the attribute value (e.g. ``href``)."""
+                          attr: str | None = None, parent: str | None = None,
+                          elem_id: str | None = None) -> DataFrame:
+    """Every ``tag`` element (with ``css_class`` / ``id``, having ``attr``,
+    directly inside ``parent``) of every page → ``(key, elem_idx, parent,
+    text, attr)``; ``attr`` holds the attribute value (e.g. ``href``)."""
     key_type = pages.schema[key].dataType.simpleString()
     schema = ELEMENT_SCHEMA.format(key=key, key_type=key_type)
     cols = [key, "elem_idx", "parent", "text", "attr"]
@@ -200,7 +204,8 @@ def extract_html_elements(pages: DataFrame, tag: str, *, key: str = "page_id",
         for pdf in batches:
             out = []
             for k, html in zip(pdf[key], pdf[html_col]):
-                for i, (par, text, a) in enumerate(page_elements(html, tag, css_class, attr, parent)):
+                for i, (par, text, a) in enumerate(page_elements(html, tag, css_class, attr, parent,
+                                                                 elem_id)):
                     out.append((k, i, par, text, a))
             yield pd.DataFrame(out, columns=cols)
 
