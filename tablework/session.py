@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied to every session the package builds or configures.
 SQL_SETTINGS = {
@@ -82,3 +82,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one written table."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/tables/{uuid.uuid4().hex[:12]}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy Python work.
+
+    Parsers (HTML, workbooks, archives) cost far more per byte than the
+    shuffle that feeds them; when the input has fewer partitions than the
+    cluster has cores (one small file, say) it is redistributed
+    round-robin. Inputs that already have enough partitions, as any large
+    input does, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

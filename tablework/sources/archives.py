@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablework.session import spread
+
 LINE_SCHEMA = "archive STRING, member STRING, line_no BIGINT, line STRING"
 _BATCH = 10_000
 
@@ -65,7 +67,7 @@ def parse_archive_lines(files: DataFrame, pattern: str = "*", encoding: str = "u
                 if buf:
                     yield pd.DataFrame(buf, columns=cols)
 
-    return files.select("path", "content").mapInPandas(parse, LINE_SCHEMA)
+    return spread(files.select("path", "content")).mapInPandas(parse, LINE_SCHEMA)
 
 
 def load_archive_lines(spark: SparkSession, path_glob: str, pattern: str = "*",

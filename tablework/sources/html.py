@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.session import spread
+
 TABLE_ROW_SCHEMA = "{key} {key_type}, table_idx INT, row_idx INT, is_header BOOLEAN, cells ARRAY<STRING>"
 ELEMENT_SCHEMA = "{key} {key_type}, elem_idx INT, parent STRING, text STRING, attr STRING"
 
@@ -131,7 +133,7 @@ def extract_html_tables(pages: DataFrame, *, key: str = "page_id", html_col: str
                             out.append((k, t_idx, r_idx, is_header, cells))
             yield pd.DataFrame(out, columns=cols)
 
-    return pages.select(key, html_col).mapInPandas(run, schema)
+    return spread(pages.select(key, html_col)).mapInPandas(run, schema)
 
 
 class _ElementParser(HTMLParser):
@@ -209,7 +211,7 @@ def extract_html_elements(pages: DataFrame, tag: str, *, key: str = "page_id",
                     out.append((k, i, par, text, a))
             yield pd.DataFrame(out, columns=cols)
 
-    return pages.select(key, html_col).mapInPandas(run, schema)
+    return spread(pages.select(key, html_col)).mapInPandas(run, schema)
 
 
 # Fixed value: the source-URL pattern (http(s), ftp, gs, s3 up to whitespace).

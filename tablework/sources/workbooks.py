@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tablework.session import spread
+
 ROW_SCHEMA = "path STRING, sheet STRING, row_idx BIGINT, cells ARRAY<STRING>"
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -108,7 +110,7 @@ def parse_workbooks(files: DataFrame, sheet: str | int | None = 0) -> DataFrame:
                 if buf:
                     yield pd.DataFrame(buf, columns=["path", "sheet", "row_idx", "cells"])
 
-    return files.select("path", "content").mapInPandas(parse, ROW_SCHEMA)
+    return spread(files.select("path", "content")).mapInPandas(parse, ROW_SCHEMA)
 
 
 def read_workbook_rows(spark: SparkSession, path_glob: str, sheet: str | int | None = 0,
