@@ -198,11 +198,13 @@ def delay_trend(df: DataFrame, start: str, end: str, year: Column | str | None =
     dx, dy = F.col("x") - F.col("xbar"), F.col("m") - F.col("ybar")
     sxx, sxy = F.sum(F.col("w") * dx * dx), F.sum(F.col("w") * dx * dy)
     slope = F.when(sxx > 0, sxy / sxx)
-    row_level = centred.agg(F.lit("row_level").alias("method"), slope.alias("slope"),
-                            (F.first("ybar") - slope * F.first("xbar")).alias("intercept"))
-    of_means = by_year.agg(F.lit("of_year_means").alias("method"),
-                           F.regr_slope(m, x).alias("slope"), F.regr_intercept(m, x).alias("intercept"))
-    return row_level.unionByName(of_means), by_year
+    fits = centred.agg(slope.alias("s1"), (F.first("ybar") - slope * F.first("xbar")).alias("i1"),
+                       F.regr_slope("m", "x").alias("s2"), F.regr_intercept("m", "x").alias("i2"))
+    summary = fits.select(F.explode(F.array(
+        F.struct(F.lit("row_level").alias("method"), F.col("s1").alias("slope"), F.col("i1").alias("intercept")),
+        F.struct(F.lit("of_year_means").alias("method"), F.col("s2").alias("slope"),
+                 F.col("i2").alias("intercept")))).alias("f")).select("f.*")
+    return summary, by_year
 
 
 def chi_square(df: DataFrame, a: str, b: str, with_p_value: bool = True) -> DataFrame:
