@@ -270,7 +270,3 @@ def nan_to_null_all(df: DataFrame) -> DataFrame:
         F.when(~F.isnan(_q(f.name)), _q(f.name)).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else _q(f.name)
         for f in df.schema.fields])
-
-
-def with_columns(df: DataFrame, exprs: Mapping[str, Any]) -> DataFrame:
-    return df.withColumns({k: (F.expr(v) if isinstance(v, str) else v) for k, v in exprs.items()})

@@ -44,7 +44,6 @@ def result_line(df: DataFrame, column: str, skip_prefixes: Iterable[str] = (),
 _INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _FLOAT_TEXT = (r"^[+-]?(([0-9]+(_[0-9]+)*)?\.?[0-9]+(_[0-9]+)*|[0-9]+(_[0-9]+)*\.)"
                r"([eE][+-]?[0-9]+(_[0-9]+)*)?$")
-_SPECIAL = r"^[+-]?(inf|infinity|nan)$"
 
 
 def parse_number_text(s: Column) -> Column:

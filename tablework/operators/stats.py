@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablework.functions.text import ends_with, shape_mask, starts_with
 
@@ -38,12 +39,21 @@ def count_distinct(df: DataFrame, column: str, approx: bool = False, rsd: float
     return df.agg(agg.alias("n_distinct"))
 
 
+def _no_nan(df: DataFrame, column: str) -> Column:
+    """The column, with NaN as missing for floating types (pandas skips NaN
+    in mean/min/max; Spark would return NaN)."""
+    c = _c(column)
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    return c
+
+
 def global_mean(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.avg(_c(column)).alias("mean"))
+    return df.agg(F.avg(_no_nan(df, column)).alias("mean"))
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
-    c = _c(column)
+    c = _no_nan(df, column)
     return df.agg(F.min(c).alias("min_value"), F.max(c).alias("max_value"))
 
 
@@ -53,7 +63,7 @@ def group_counts(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 
 def group_mean(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.groupBy(_c(key)).agg(F.avg(_c(column)).alias("mean"))
+    return df.groupBy(_c(key)).agg(F.avg(_no_nan(df, column)).alias("mean"))
 
 
 def top_groups(df: DataFrame, key: str, k: int = 1) -> DataFrame:

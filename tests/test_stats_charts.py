@@ -97,3 +97,10 @@ def test_scatter_series_bounded(spark):
     assert len(out) <= 100 and sum(r["n"] for r in out) == 10_000
     full = CH.scatter_series(df, "x", "y")
     assert full.count() == 10_000
+
+
+def test_nan_skipped_in_mean_and_range(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 3.0)], "k string, v double")
+    assert S.global_mean(df, "v").first()[0] == 2.0
+    assert tuple(S.min_max(df, "v").first()) == (1.0, 3.0)
+    assert dict(tuple(r) for r in S.group_mean(df, "k", "v").collect()) == {"a": 1.0, "b": 3.0}
