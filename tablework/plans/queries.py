@@ -725,14 +725,14 @@ def q_last_line(spark, sf):
 
 _ANSWER_TEXT_SQL = """CASE role WHEN 'user' THEN CASE WHEN turn % 2 = 0 THEN CAST(length(text) AS VARCHAR)
                                               ELSE CAST(length(text) AS VARCHAR) || '.5' END
-            WHEN 'assistant' THEN '"' || split_part(text, ' ', 1) || '"'
+            WHEN 'assistant' THEN '"' || text || '"'
             ELSE '{"turn": ' || CAST(turn AS VARCHAR) || '}' END"""
 
 
 @query("parse_answer", f"""SELECT conv_id, turn,
   CASE WHEN role = 'user' THEN CAST({_ANSWER_TEXT_SQL} AS DOUBLE) END AS num,
   CASE WHEN role = 'user' THEN turn % 2 = 0 END AS is_int,
-  CASE WHEN role = 'assistant' THEN split_part(text, ' ', 1) END AS str,
+  CASE WHEN role = 'assistant' THEN text END AS str,
   CASE WHEN role NOT IN ('user', 'assistant') THEN CAST(json({_ANSWER_TEXT_SQL}) AS VARCHAR) END AS json
 FROM conversations""")
 def q_parse_answer(spark, sf):
@@ -740,8 +740,7 @@ def q_parse_answer(spark, sf):
     n = F.length("text").cast("string")
     text = (F.when(F.col("role") == "user",
                    F.when(F.col("turn") % 2 == 0, n).otherwise(F.concat(n, F.lit(".5"))))
-            .when(F.col("role") == "assistant",
-                  F.concat(F.lit('"'), F.substring_index("text", " ", 1), F.lit('"')))
+            .when(F.col("role") == "assistant", F.concat(F.lit('"'), F.col("text"), F.lit('"')))
             .otherwise(F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))))
     fmt = (F.when(F.col("role") == "user", F.lit("number"))
            .when(F.col("role") == "assistant", F.lit("string")).otherwise(F.lit("json")))
