@@ -58,11 +58,12 @@ def scatter_series(df: DataFrame, x: str, y: str, max_points: int | None = None)
     ``max_points=None``: every complete (x, y) pair as
     ``(x, y, n, fit)`` with n = 1. With ``max_points`` the plane is cut
     into a ``b × b`` grid (``b = floor(sqrt(max_points))``) over the data
-    range and each occupied cell gives one point at its mean x / mean y
-    with its row count, so the series never exceeds ``max_points`` rows
-    and keeps the density a thinned sample would lose. The fit and the
-    ranges come from one aggregate first (one row to the driver), then
-    enter the point plan as literals.
+    range and each occupied cell gives one point ``(bx, by, x, y, n, fit)``
+    at the cell centre with its row count (a binned scatter), so the series
+    never exceeds ``max_points`` rows and keeps the density a thinned sample
+    would lose; centres are exact arithmetic on the range, so the series is
+    reproducible anywhere. The fit and the ranges come from one aggregate
+    first (one row to the driver), then enter the point plan as literals.
     """
     xs, ys = _q(x).cast("double"), _q(y).cast("double")
     pts = df.select(xs.alias("x"), ys.alias("y")).where(
@@ -83,6 +84,13 @@ def scatter_series(df: DataFrame, x: str, y: str, max_points: int | None = None)
         raw = F.floor((F.col(v) - F.lit(lo)) * F.lit(float(b)) / F.lit(hi - lo))
         return F.least(raw, F.lit(b - 1)).cast("int")
 
-    return (pts.groupBy(cell("x", st["x0"], st["x1"]).alias("bx"), cell("y", st["y0"], st["y1"]).alias("by"))
-            .agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
-            .select("bx", "by", "x", "y", "n", (slope * F.col("x") + intercept).alias("fit")))
+    def centre(idx: str, lo: float | None, hi: float | None) -> Column:
+        if lo is None or hi is None or hi == lo:
+            return F.lit(lo).cast("double")
+        return F.lit(lo) + (F.col(idx) + F.lit(0.5)) * F.lit(hi - lo) / F.lit(float(b))
+
+    cells = (pts.groupBy(cell("x", st["x0"], st["x1"]).alias("bx"), cell("y", st["y0"], st["y1"]).alias("by"))
+             .agg(F.count("*").alias("n")))
+    return cells.select("bx", "by", centre("bx", st["x0"], st["x1"]).alias("x"),
+                        centre("by", st["y0"], st["y1"]).alias("y"), "n",
+                        (slope * centre("bx", st["x0"], st["x1"]) + intercept).alias("fit"))

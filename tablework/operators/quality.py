@@ -156,9 +156,16 @@ def schema_of(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position INT, column STRING, dtype STRING")
 
 
-def sample_rows(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, order_by: Sequence[str | Column],
+                tie_break: bool = True) -> DataFrame:
     """First ``n`` rows by an explicit order key (no row order exists
-    otherwise). Plans as TakeOrderedAndProject."""
+    otherwise). With ``tie_break`` every other column is appended to the
+    key, so equal keys cannot make the cut nondeterministic. Plans as
+    TakeOrderedAndProject (per-partition top-n, no global sort)."""
     if not order_by:
         raise ValueError("sample_rows needs an order key")
-    return df.orderBy(*order_by).limit(n)
+    keys = list(order_by)
+    if tie_break:
+        named = {k for k in keys if isinstance(k, str)}
+        keys += [_q(c) for c in df.columns if c not in named]
+    return df.orderBy(*keys).limit(n)

@@ -396,7 +396,8 @@ def q_infer_date_format(spark, sf):
     return out.withColumn("share", r6("share"))
 
 
-@query("sample_rows", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100")
+@query("sample_rows", """SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 100""")
 def q_sample_rows(spark, sf):
     return Q.sample_rows(table(spark, sf, "lineitem"), 100, ["l_orderkey", "l_linenumber"])
 
@@ -667,10 +668,11 @@ def q_bar_series(spark, sf):
 s AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, min(x) AS x0, max(x) AS x1,
              min(y) AS y0, max(y) AS y1 FROM p),
 g AS (SELECT CAST(least(floor((x - x0) * 20.0 / (x1 - x0)), 19) AS INTEGER) AS bx,
-             CAST(least(floor((y - y0) * 20.0 / (y1 - y0)), 19) AS INTEGER) AS "by", x, y FROM p, s)
-SELECT bx, "by", round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n,
-       round(any_value(slope) * avg(x) + any_value(icpt), 6) AS fit
-FROM g, s GROUP BY bx, "by" """)
+             CAST(least(floor((y - y0) * 20.0 / (y1 - y0)), 19) AS INTEGER) AS "by" FROM p, s),
+c AS (SELECT bx, "by", count(*) AS n FROM g GROUP BY bx, "by")
+SELECT bx, "by", round(x0 + (bx + 0.5) * (x1 - x0) / 20.0, 6) AS x, round(y0 + ("by" + 0.5) * (y1 - y0) / 20.0, 6) AS y,
+       n, round(slope * (x0 + (bx + 0.5) * (x1 - x0) / 20.0) + icpt, 6) AS fit
+FROM c, s""")
 def q_scatter_series(spark, sf):
     s = CH.scatter_series(table(spark, sf, "part"), "p_size", "p_retailprice", max_points=400)
     return s.select("bx", "by", r6("x").alias("x"), r6("y").alias("y"), "n", r6("fit").alias("fit"))
