@@ -49,8 +49,7 @@ def parse_currency(df: DataFrame, column: str, to: str = "bigint") -> DataFrame:
     return df.withColumn(column, _currency(_q(column), to))
 
 
-def _cast_expr(c: Column, source: T.DataType, target: str) -> Column:
-    t = spark_type(target)
+def _cast_expr(c: Column, source: T.DataType, t: str) -> Column:
     if isinstance(source, T.StringType):
         if t in ("bigint", "int", "smallint", "tinyint", "double", "float") or t.startswith("decimal"):
             return parse_number(c, t)
@@ -71,8 +70,12 @@ def apply_schema(df: DataFrame, schema: Mapping[str, str] | T.StructType,
     (``raise_error`` inside the cast value itself, so the check runs
     wherever the value is computed and cannot be pruned away).
     """
+    # a StructType is taken literally; names in a mapping may be pandas
+    # style ("int64", "object", "int" = 64-bit) and are translated
     if isinstance(schema, T.StructType):
         schema = {f.name: f.dataType.simpleString() for f in schema.fields}
+    else:
+        schema = {k: spark_type(v) for k, v in schema.items()}
     if on_mismatch not in ("null", "drop", "raise"):
         raise ValueError("on_mismatch must be 'null', 'drop' or 'raise'")
     src = {f.name: f.dataType for f in df.schema.fields}
@@ -181,7 +184,8 @@ def rows_to_table(rows: DataFrame, keys: Sequence[str], *, schema: T.StructType
                   cells_col: str = "cells", row_col: str = "row_idx") -> DataFrame:
     """Cell-array rows (from HTML tables or workbooks) → typed table.
 
-    Row 0 of each table is the header when ``header`` (no shuffle needed); cells are matched to ``schema`` by position.
+    Row 0 of each table is the header when ``header`` (no shuffle needed);
+    cells are matched to ``schema`` by position.
     Without a schema the column names come from one header row (a one-row
     action) and every column stays a string.
     """
@@ -191,13 +195,12 @@ def rows_to_table(rows: DataFrame, keys: Sequence[str], *, schema: T.StructType
         names = [str(c) for c in (head[0] if head else [])]
         decl = {n: "string" for n in names}
     elif isinstance(schema, str):
-        decl = {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(schema).fields}
-    elif isinstance(schema, T.StructType):
-        decl = {f.name: f.dataType.simpleString() for f in schema.fields}
+        decl = T.StructType.fromDDL(schema)
     else:
-        decl = dict(schema)
+        decl = schema
+    names = decl.fieldNames() if isinstance(decl, T.StructType) else list(decl)
     typed = data.select(*keys, *[F.try_element_at(F.col(cells_col), F.lit(i + 1)).alias(n)
-                                 for i, n in enumerate(decl)])
+                                 for i, n in enumerate(names)])
     return apply_schema(typed, decl, on_mismatch)
 
 

@@ -263,8 +263,7 @@ def q_parse_currency(spark, sf):
 def q_cast_columns(spark, sf):
     src = table(spark, sf, "lineitem")
     as_text = src.select(*[F.col(c).cast("string").alias(c) for c in src.columns])
-    declared = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    return C.apply_schema(as_text, declared, on_mismatch="null")
+    return C.apply_schema(as_text, src.schema, on_mismatch="null")
 
 
 @query("strip_whitespace", "SELECT c_custkey, c_name FROM customer")

@@ -23,3 +23,16 @@ def con():
 def test_query_matches_oracle(spark, con, key):
     r = compare(spark, con, key, E.queries()[key], E.oracle_sql().get(key), SF)
     assert r["status"] in ("ok", "rows-only"), r
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "binary": "BLOB"}
+
+
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+def test_query_types_match_oracle(spark, con, key):
+    df = E.queries()[key](spark, SF)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    assert spark_types == duck_types
