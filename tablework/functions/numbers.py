@@ -62,9 +62,11 @@ def spark_type(dtype: str) -> str:
     return DTYPE_ALIASES.get(dtype.strip().lower(), dtype.strip().lower())
 
 
-def parse_number(c: Column | str, to: str = "double") -> Column:
-    """Parse numeric text into ``to``; integral targets truncate the fraction."""
-    t = spark_type(to)
+def parse_number(c: Column | str, to: str = "double", aliases: bool = True) -> Column:
+    """Parse numeric text into ``to``; integral targets truncate the fraction.
+    ``to`` may be a pandas-style name (``int`` = 64-bit) unless ``aliases``
+    is False, when it is a Spark type name as is."""
+    t = spark_type(to) if aliases else to.strip().lower()
     if t == "bigint":
         return parse_bigint(c)
     if t in _INTEGRAL:

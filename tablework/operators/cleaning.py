@@ -52,7 +52,7 @@ def parse_currency(df: DataFrame, column: str, to: str = "bigint") -> DataFrame:
 def _cast_expr(c: Column, source: T.DataType, t: str) -> Column:
     if isinstance(source, T.StringType):
         if t in ("bigint", "int", "smallint", "tinyint", "double", "float") or t.startswith("decimal"):
-            return parse_number(c, t)
+            return parse_number(c, t, aliases=False)
         if t == "boolean":
             low = F.lower(strip_ws(c))
             return (F.when(low.isin("true", "t", "yes", "y", "1"), F.lit(True))

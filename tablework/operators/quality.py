@@ -48,7 +48,7 @@ def validate(df: DataFrame, rules: Mapping[str, Any]) -> DataFrame:
         src = df.schema[c].dataType
         t = spark_type(dtype)
         if isinstance(src, T.StringType) and t not in ("string",):
-            conv = parse_number(_q(c), t) if t in ("bigint", "int", "double", "float") \
+            conv = parse_number(_q(c), t, aliases=False) if t in ("bigint", "int", "double", "float") \
                 else strip_ws(_q(c)).try_cast(t)
         else:
             conv = _q(c).try_cast(t)
