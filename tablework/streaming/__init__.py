@@ -1,7 +1,7 @@
 """Structured Streaming entry points.
 
-The reference has no stream operators; its "stream-read" is chunked
-reading of arriving files. Here a folder that receives files is a
+No stream operators are part of the inventory; "stream-read" there means
+chunked reading of arriving files. Here a folder that receives files is a
 streaming source, and the same DataFrame operators run over it: cleaning
 expressions per micro-batch, grouped roll-ups (for example the per-task
 run report) as stateful streaming aggregates whose state lives in the
