@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tablework.functions.numbers import parse_currency as _currency
 from tablework.functions.numbers import parse_number, spark_type
 from tablework.functions.text import MISSING_WORDS, null_if_missing, strip_ws
+from tablework.session import spread
 
 
 def _q(name: str) -> Column:
@@ -36,7 +37,7 @@ def coerce_numeric(df: DataFrame, column: str, to: str = "bigint",
     """Parse a text column as a number. Unparsable → NULL; with
     ``on_error="drop"`` the row is dropped (pandas ``to_numeric(errors=
     'coerce')`` + ``dropna`` + ``astype``)."""
-    out = df.withColumn(column, parse_number(_q(column), to))
+    out = spread(df).withColumn(column, parse_number(_q(column), to))
     if on_error == "drop":
         out = out.where(_q(column).isNotNull())
     elif on_error != "null":
@@ -80,6 +81,8 @@ def apply_schema(df: DataFrame, schema: Mapping[str, str] | T.StructType,
         raise ValueError("on_mismatch must be 'null', 'drop' or 'raise'")
     src = {f.name: f.dataType for f in df.schema.fields}
     require_columns(df, list(schema))
+    if any(isinstance(src[c], T.StringType) and t != "string" for c, t in schema.items()):
+        df = spread(df)                       # text parsing is the CPU-heavy part
     cols, bad = [], []
     for name in df.columns:
         if name in schema:

@@ -85,13 +85,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy Python work.
-
-    Parsers (HTML, workbooks, archives) cost far more per byte than the
-    shuffle that feeds them; when the input has fewer partitions than the
-    cluster has cores (one small file, say) it is redistributed
-    round-robin. Inputs that already have enough partitions, as any large
-    input does, are left alone.
+    """Spread a small input over all cores before CPU-heavy row work.
+
+    Parsers (HTML, workbooks, archives) and text-to-number parsing cost far
+    more per byte than the round-robin shuffle that feeds them; when the
+    input has fewer partitions than the cluster has cores (one small file
+    with one row group, say) it is redistributed. Inputs that already have
+    enough partitions, as any large input does, are left alone, so at scale
+    this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -237,7 +237,8 @@ def url_class(url: Column) -> Column:
 
 def harvest_urls(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """All source URLs in a text column → ``(*keep, url, scheme, host, kind)``."""
-    found = df.select(*keep, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(URL_PATTERN), F.lit(1))).alias("url"))
+    found = spread(df.select(*keep, text_col)).select(
+        *keep, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(URL_PATTERN), F.lit(1))).alias("url"))
     return found.select(
         *keep, "url",
         F.lower(F.regexp_extract("url", r"^([a-zA-Z0-9+.-]+)://", 1)).alias("scheme"),
