@@ -94,5 +94,11 @@ def spread(df: DataFrame) -> DataFrame:
     enough partitions, as any large input does, are left alone, so at scale
     this adds no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.isStreaming:
+        return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if parts < cores else df
