@@ -172,6 +172,7 @@ p AS (SELECT page_id, url,
 SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z0-9+.-]+)://', 1)) AS scheme, host,
   CASE WHEN regexp_matches(url, '^(s3|gs)://') THEN 'object_store'
        WHEN starts_with(url, 'ftp://') THEN 'ftp'
+       WHEN regexp_extract(path, '\\.([a-z0-9]+)$', 1) IN ('db','sqlite','sqlite3','duckdb') THEN 'database'
        WHEN regexp_extract(path, '\\.([a-z0-9]+)$', 1) IN ('csv','tsv','txt','json','parquet','orc',
             'xlsx','xls','zip','gz','tar','pdf','feather') THEN 'file'
        WHEN regexp_matches(path, '(^|/)api(/|$)') OR starts_with(host, 'api.') THEN 'api'

@@ -220,16 +220,19 @@ URL_PATTERN = r"(https?://\S+|ftp://\S+|gs://\S+|s3://\S+)"
 # URL classes by scheme / file extension.
 FILE_EXTENSIONS = ("csv", "tsv", "txt", "json", "parquet", "orc", "xlsx", "xls", "zip",
                    "gz", "tar", "pdf", "feather")
+DATABASE_EXTENSIONS = ("db", "sqlite", "sqlite3", "duckdb")
 
 
 def url_class(url: Column) -> Column:
-    """object_store (s3/gs), ftp, file (data-file extension), api (``/api``
-    path or ``api.`` host), html (everything else over http)."""
+    """object_store (s3/gs), ftp, database (database-file extension), file
+    (data-file extension), api (``/api`` path or ``api.`` host), html
+    (everything else over http)."""
     path = F.lower(F.regexp_extract(url, r"^[a-zA-Z0-9+.-]+://[^/?#]*([^?#]*)", 1))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z0-9+.-]+://([^/?#:]*)", 1))
     ext = F.regexp_extract(path, r"\.([a-z0-9]+)$", 1)
     return (F.when(url.rlike("^(s3|gs)://"), F.lit("object_store"))
             .when(url.startswith("ftp://"), F.lit("ftp"))
+            .when(ext.isin(list(DATABASE_EXTENSIONS)), F.lit("database"))
             .when(ext.isin(list(FILE_EXTENSIONS)), F.lit("file"))
             .when(path.rlike(r"(^|/)api(/|$)") | host.startswith("api."), F.lit("api"))
             .otherwise(F.lit("html")))

@@ -44,7 +44,8 @@ def test_html_table_by_class_to_typed_rows(spark, pages):
 def test_html_elements_and_urls(spark):
     html = ('<ul><li><a href="/a">A &amp; B</a></li><li><a href="/b">B</a></li></ul>'
             '<p><a href="https://data.example.com/x.csv">data</a> see s3://bucket/key.parquet and '
-            'https://api.example.com/v1/items?q=1 or ftp://f.example.com/pub/file.txt</p>')
+            'https://api.example.com/v1/items?q=1 or ftp://f.example.com/pub/file.txt</p> '
+            'https://files.example.org/dumps/courts.duckdb')
     pages = spark.createDataFrame([(7, html)], "page_id long, html string")
     els = H.extract_html_elements(pages, "a", attr="href", parent="li").collect()
     assert [(r["attr"], r["text"]) for r in els] == [("/a", "A & B"), ("/b", "B")]
@@ -54,6 +55,7 @@ def test_html_elements_and_urls(spark):
     assert kinds["s3://bucket/key.parquet"] == "object_store"
     assert kinds["https://api.example.com/v1/items?q=1"] == "api"
     assert kinds["ftp://f.example.com/pub/file.txt</p>"] == "ftp"   # \S+ runs to whitespace
+    assert kinds["https://files.example.org/dumps/courts.duckdb"] == "database"
 
 
 def test_parse_answer_by_format(spark):
