@@ -249,12 +249,15 @@ def chi_square(df: DataFrame, a: str, b: str, with_p_value: bool = True) -> Data
 def fit_linear(df: DataFrame, features: Sequence[str], label: str,
                prediction_col: str = "prediction"):
     """Multi-feature least squares (``pyspark.ml`` LinearRegression, normal
-    equations: one distributed pass for the Gram matrix). Returns
-    ``(model, scored_df, summary_df)``."""
+    equations: one distributed pass for the Gram matrix). Rows with a
+    missing feature or label are left out; other columns are kept next to
+    the prediction. Returns ``(model, scored_df, summary_df)``."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    data = df.select(*[_finite(_c(f)).alias(f) for f in features],
-                     _finite(_c(label)).alias(label)).na.drop()
+    model_cols = set(features) | {label}
+    data = df.select(*[_c(c) for c in df.columns if c not in model_cols],
+                     *[_finite(_c(f)).alias(f) for f in features],
+                     _finite(_c(label)).alias(label)).na.drop(subset=list(features) + [label])
     vec = VectorAssembler(inputCols=list(features), outputCol="__features").transform(data)
     model = LinearRegression(featuresCol="__features", labelCol=label, solver="normal",
                              predictionCol=prediction_col, regParam=0.0).fit(vec)
