@@ -73,6 +73,26 @@ def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = N
     return one.select(F.lit(fmt).alias("output_format"), ans.alias("answer"))
 
 
+def answer_expr(cols: Sequence[tuple[str, Column]], fmt: str) -> Column:
+    """The answer text ``format_answer`` gives for a one-row frame whose
+    columns are ``cols``, as a column expression (used where several
+    one-row results come out of one shared aggregate)."""
+    named = [c.alias(n) for n, c in cols]
+    if fmt == "number":
+        return cols[0][1].cast("string")
+    if fmt == "string":
+        return json_scalar(cols[0][1].cast("string"))
+    if fmt == "json_array":
+        return F.to_json(F.array(cols[0][1] if len(cols) == 1 else F.struct(*named)))
+    if fmt == "records":
+        return F.to_json(F.array(F.struct(*named)))
+    if fmt == "json_object":
+        if len(cols) == 2:
+            return F.to_json(F.create_map(cols[0][1].cast("string"), cols[1][1]))
+        return F.to_json(F.struct(*named))
+    raise ValueError(f"unknown output format {fmt!r}; use one of {FORMATS}")
+
+
 def assemble(answers: DataFrame, fmt: str = "json_array", *, order: str = "task_id",
              key: str = "qid", value: str = "answer", cap: int = ANSWER_CAP) -> DataFrame:
     """All answers (JSON text per task) → one final text.

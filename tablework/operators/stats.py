@@ -22,21 +22,14 @@ def _c(c: Column | str) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"))
-
+# Scalar aggregates are defined once as (name, expression) pairs, so a
+# report can fuse many of them over one source into a single pass.
+Named = list[tuple[str, Column]]
 
-def filtered_count(df: DataFrame, predicate: Column | str) -> DataFrame:
-    pred = F.expr(predicate) if isinstance(predicate, str) else predicate
-    return df.agg(F.count_if(F.coalesce(pred, F.lit(False))).alias("n_rows"))
 
-
-def count_distinct(df: DataFrame, column: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """Distinct non-missing values. Exact: aggregate on (value) with
-    partial dedup per map task; ``approx``: HyperLogLog++ sketch merge."""
-    c = _c(column)
-    agg = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
-    return df.agg(agg.alias("n_distinct"))
+def _pred(predicate: Column | str) -> Column:
+    p = F.expr(predicate) if isinstance(predicate, str) else predicate
+    return F.coalesce(p, F.lit(False))
 
 
 def _no_nan(df: DataFrame, column: str) -> Column:
@@ -48,13 +41,71 @@ def _no_nan(df: DataFrame, column: str) -> Column:
     return c
 
 
+def row_count_aggs(df: DataFrame) -> Named:
+    return [("n_rows", F.count("*"))]
+
+
+def filtered_count_aggs(df: DataFrame, predicate: Column | str) -> Named:
+    return [("n_rows", F.count_if(_pred(predicate)))]
+
+
+def count_distinct_aggs(df: DataFrame, column: str, approx: bool = False, rsd: float = 0.01) -> Named:
+    c = _c(column)
+    return [("n_distinct", F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c))]
+
+
+def global_mean_aggs(df: DataFrame, column: str) -> Named:
+    return [("mean", F.avg(_no_nan(df, column)))]
+
+
+def min_max_aggs(df: DataFrame, column: str) -> Named:
+    c = _no_nan(df, column)
+    return [("min_value", F.min(c)), ("max_value", F.max(c))]
+
+
+def percentage_aggs(df: DataFrame, predicate: Column | str) -> Named:
+    pct = F.try_divide(F.lit(100.0) * F.count_if(_pred(predicate)), F.count("*"))
+    return [("pct", F.coalesce(pct, F.lit(0.0)))]
+
+
+def _finite(c: Column) -> Column:
+    return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+
+
+def correlation_aggs(df: DataFrame, x: str, y: str) -> Named:
+    return [("corr", F.corr(_finite(_c(x)), _finite(_c(y))))]
+
+
+def regression_aggs(df: DataFrame, x: str, y: str) -> Named:
+    xs, ys = _finite(_c(x)), _finite(_c(y))
+    return [("slope", F.regr_slope(ys, xs)), ("intercept", F.regr_intercept(ys, xs)),
+            ("r2", F.regr_r2(ys, xs)), ("n", F.regr_count(ys, xs))]
+
+
+def _agg(df: DataFrame, named: Named) -> DataFrame:
+    return df.agg(*[c.alias(n) for n, c in named])
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    return _agg(df, row_count_aggs(df))
+
+
+def filtered_count(df: DataFrame, predicate: Column | str) -> DataFrame:
+    return _agg(df, filtered_count_aggs(df, predicate))
+
+
+def count_distinct(df: DataFrame, column: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct non-missing values. Exact: aggregate on (value) with
+    partial dedup per map task; ``approx``: HyperLogLog++ sketch merge."""
+    return _agg(df, count_distinct_aggs(df, column, approx, rsd))
+
+
 def global_mean(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.avg(_no_nan(df, column)).alias("mean"))
+    return _agg(df, global_mean_aggs(df, column))
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
-    c = _no_nan(df, column)
-    return df.agg(F.min(c).alias("min_value"), F.max(c).alias("max_value"))
+    return _agg(df, min_max_aggs(df, column))
 
 
 def group_counts(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -151,30 +202,31 @@ def discover_patterns(df: DataFrame, column: str, min_rows: int = 1) -> DataFram
 
 def percentage(df: DataFrame, predicate: Column | str) -> DataFrame:
     """100 × matching / total; 0 for an empty table."""
-    pred = F.expr(predicate) if isinstance(predicate, str) else predicate
-    pct = F.try_divide(F.lit(100.0) * F.count_if(F.coalesce(pred, F.lit(False))), F.count("*"))
-    return df.agg(F.coalesce(pct, F.lit(0.0)).alias("pct"))
-
-
-def _finite(c: Column) -> Column:
-    return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    return _agg(df, percentage_aggs(df, predicate))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r over complete pairs (NaN counts as missing)."""
-    return df.agg(F.corr(_finite(_c(x)), _finite(_c(y))).alias("corr"))
+    return _agg(df, correlation_aggs(df, x, y))
 
 
 def regression(df: DataFrame, x: str, y: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """Least-squares line ``y = slope·x + intercept`` (per group with
     ``by``); constant x → NULL slope."""
-    xs, ys = _finite(_c(x)), _finite(_c(y))
-    aggs = [F.regr_slope(ys, xs).alias("slope"), F.regr_intercept(ys, xs).alias("intercept"),
-            F.regr_r2(ys, xs).alias("r2"), F.regr_count(ys, xs).alias("n")]
+    named = regression_aggs(df, x, y)
     if by is None:
-        return df.agg(*aggs)
+        return _agg(df, named)
     keys = [by] if isinstance(by, str) else list(by)
-    return df.groupBy(*[_c(k) for k in keys]).agg(*aggs)
+    return df.groupBy(*[_c(k) for k in keys]).agg(*[c.alias(n) for n, c in named])
+
+
+# op name → (name, expression) builder, for fusing scalar tasks
+SCALAR_AGGS = {
+    "row_count": row_count_aggs, "filtered_count": filtered_count_aggs,
+    "count_distinct": count_distinct_aggs, "global_mean": global_mean_aggs,
+    "min_max": min_max_aggs, "percentage": percentage_aggs,
+    "correlation": correlation_aggs, "regression": regression_aggs,
+}
 
 
 def delay_trend(df: DataFrame, start: str, end: str, year: Column | str | None = None,

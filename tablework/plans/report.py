@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.operators import charts, quality, relational, stats
-from tablework.operators.answers import assemble, format_answer, json_scalar
+from tablework.operators.answers import answer_expr, assemble, format_answer, json_scalar
 from tablework.operators.cleaning import apply_schema, clean_table
 from tablework.sources.files import load_table
 
@@ -162,13 +162,68 @@ def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> Data
     return _rounded(OPS[op](src, **dict(t["params"])), t["round"])
 
 
+def _fusable(task: Mapping[str, Any]) -> bool:
+    t = {**TASK_DEFAULTS, **task}
+    return t["op"] in stats.SCALAR_AGGS and not (t["op"] == "regression" and t["params"].get("by"))
+
+
+def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any]]
+                   ) -> tuple[list[DataFrame], set[int]]:
+    """Scalar tasks over the same source → one aggregate pass over that
+    source, answered in a single branch: every task's answer is a column
+    expression over the one-row aggregate, unpivoted into answer rows.
+    (Separate projections of a shared aggregate would not share it: each
+    would prune the others' aggregates and scan again.) A task that does
+    not plan is left out and keeps its own error on the per-task path."""
+    by_source: dict[str, list[tuple[int, Mapping[str, Any]]]] = {}
+    for pos, task in enumerate(tasks):
+        if _fusable(task) and task.get("source") in frames:
+            by_source.setdefault(task["source"], []).append((pos, task))
+    branches, done = [], set()
+    for source, group in by_source.items():
+        src = frames[source]
+        named: dict[int, list] = {}
+        for pos, t in group:
+            try:
+                pairs = stats.SCALAR_AGGS[t["op"]](src, **dict(t.get("params", {})))
+                src.agg(*[c.alias(n) for n, c in pairs])          # analysis only, no job
+                named[pos] = pairs
+            except Exception:
+                continue
+        if len(named) < 2:
+            continue
+        fused = src.agg(*[c.alias(f"__t{pos}__{n}") for pos, pairs in named.items() for n, c in pairs])
+        rows = []
+        for pos, pairs in named.items():
+            t = {**TASK_DEFAULTS, **tasks[pos]}
+            tid = int(t.get("task_id", pos + 1))
+            fmt = t["output_format"]
+            cols = []
+            for n, _ in pairs:
+                c = F.col(f"__t{pos}__{n}")
+                is_float = isinstance(fused.schema[f"__t{pos}__{n}"].dataType, (T.DoubleType, T.FloatType))
+                cols.append((n, F.round(c, t["round"]) if (is_float and t["round"] is not None) else c))
+            rows.append(F.struct(F.lit(tid).alias("task_id"),
+                                 F.lit(str(t.get("qid", t.get("question_id", f"q{tid}")))).alias("qid"),
+                                 F.lit(fmt).alias("output_format"),
+                                 answer_expr(cols, "json_array" if fmt == "json" else fmt).alias("answer"),
+                                 F.lit(None).cast("string").alias("error")))
+            done.add(pos)
+        branches.append(fused.select(F.explode(F.array(*rows)).alias("a")).select("a.*"))
+    return branches, done
+
+
 def run_report_job(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     """Answers ``(task_id, qid, output_format, answer, error)``, one row per
-    task in task order. ``answer`` is JSON text."""
+    task. ``answer`` is JSON text. Scalar tasks on the same source share one
+    aggregate pass (scan sharing)."""
     check_spec(spec)
-    frames = load_sources(spark, spec["sourcing_plan"], _uses(spec["analysis_plan"]))
-    parts: list[DataFrame] = []
-    for pos, task in enumerate(spec["analysis_plan"]):
+    tasks = spec["analysis_plan"]
+    frames = load_sources(spark, spec["sourcing_plan"], _uses(tasks))
+    parts, fused = _fused_answers(frames, tasks)
+    for pos, task in enumerate(tasks):
+        if pos in fused:
+            continue
         tid = int(task.get("task_id", pos + 1))
         qid = str(task.get("qid", task.get("question_id", f"q{tid}")))
         fmt = task.get("output_format", TASK_DEFAULTS["output_format"])
