@@ -116,3 +116,13 @@ def test_format_answer_formats_and_cap(spark):
     assert A.assemble(answers, "json_array").first()["result"] == '[5,"x"]'
     assert json.loads(A.assemble(answers, "json_object").first()["result"]) == {"q1": 5, "q2": "x"}
     assert json.loads(A.assemble(answers, "array_of_strings").first()["result"]) == ["5", '"x"']
+
+
+@pytest.mark.parametrize("fmt", ["number", "string", "json_array", "records", "json_object"])
+def test_answer_expr_matches_format_answer(spark, fmt):
+    one = spark.createDataFrame([("k1", 2.5, 7)], "k string, v double, n bigint")
+    for cols in (["v"], ["k", "v"], ["k", "v", "n"]):
+        frame = one.select(*cols)
+        want = A.format_answer(frame, fmt).first()["answer"]
+        got = one.select(A.answer_expr([(c, F.col(c)) for c in cols], fmt).alias("a")).first()["a"]
+        assert got == want, (fmt, cols)
