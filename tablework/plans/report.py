@@ -72,6 +72,8 @@ OPS: dict[str, Callable[..., DataFrame]] = {
     "first_by": relational.first_by,
     "sort_by_key": relational.sort_by_key,
     "bar_series": charts.bar_series,
+    "scatter_series": charts.scatter_series,
+    "delay_trend": lambda df, **p: stats.delay_trend(df, **p)[0],
     "profile": quality.profile,
     "validate": quality.validate,
     "sql": _sql,

@@ -53,3 +53,21 @@ def test_registered_keys_have_sql_except_documented():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"linear_model", "report_job"}
+
+
+def test_chart_and_trend_ops(spark):
+    spec = flagship_spec(SF)
+    spec["analysis_plan"] = [
+        {"task_id": 1, "qid": "bars", "source": "orders", "op": "bar_series",
+         "params": {"key": "o_orderpriority", "order": "count", "max_bars": 2}, "output_format": "records"},
+        {"task_id": 2, "qid": "scatter", "source": "orders", "op": "scatter_series",
+         "params": {"x": "o_orderkey", "y": "o_totalprice", "max_points": 16}, "output_format": "records",
+         "round": 3},
+        {"task_id": 3, "qid": "trend", "source": "orders", "op": "delay_trend",
+         "params": {"start": "o_orderdate", "end": "o_orderdate"}, "output_format": "records"},
+    ]
+    got = {r["qid"]: json.loads(r["answer"]) for r in run_report_job(spark, spec).collect()}
+    assert [b["category"] for b in got["bars"]][-1] == "other" and sum(b["n"] for b in got["bars"]) == 1500
+    assert len(got["scatter"]) <= 16 and sum(p["n"] for p in got["scatter"]) == 1500
+    assert {t["method"] for t in got["trend"]} == {"row_level", "of_year_means"}
+    assert all(t["slope"] == 0.0 for t in got["trend"])
