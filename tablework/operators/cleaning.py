@@ -249,6 +249,7 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
     aggs += [F.count_if(failed == F.lit(name)).alias(f"r{i}") for i, (name, _) in enumerate(rules)]
     counts = out.agg(*aggs).withColumn(
         "kept", F.col("loaded") - sum((F.col(f"r{i}") for i in range(len(rules))), F.lit(0)))
+
     def long(frame: DataFrame, items: list[tuple[int, str, Column]]) -> DataFrame:
         return frame.select(F.explode(F.array(*[
             F.struct(F.lit(i).alias("position"), F.lit(n).alias("step"), c.cast("bigint").alias("rows"))

@@ -64,6 +64,7 @@ def validate(df: DataFrame, rules: Mapping[str, Any]) -> DataFrame:
         aggs[f"a{i}"] = F.when(F.count("*") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
         rows.append(("non_empty", None, F.col(f"a{i}")))
         i += 1
+
     def long(frame: DataFrame, items: list[tuple[int, str, str | None, Column]]) -> DataFrame:
         return frame.select(F.explode(F.array(*[
             F.struct(F.lit(p).alias("position"), F.lit(r).alias("rule"),
