@@ -269,11 +269,3 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
     else:
         report = long(counts, head + [(end_pos, "final", F.col("kept"))])
     return final, report
-
-
-def nan_to_null_all(df: DataFrame) -> DataFrame:
-    """NaN → NULL in every floating column (pandas missing semantics)."""
-    return df.select(*[
-        F.when(~F.isnan(_q(f.name)), _q(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else _q(f.name)
-        for f in df.schema.fields])

@@ -117,6 +117,7 @@ def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]],
         rules = s.pop("validate", None) or {}
         persist = s.pop("persist", "auto")
         declared = s.pop("schema", None)
+        s.setdefault("nan_as_null", True)         # pandas missing semantics for reports
         df = load_table(spark, path, kind, **s)
         missing = [c for c in rules.get("required", []) if c not in df.columns]
         if missing:

@@ -49,7 +49,7 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
                header: bool = True, encoding: str = "UTF-8", multiline: bool = False,
                mode: str = "PERMISSIVE", null_tokens: Iterable[str] | None = None,
                columns: Sequence[str] | None = None, where: str | None = None,
-               **options: Any) -> DataFrame:
+               nan_as_null: bool = False, **options: Any) -> DataFrame:
     """Load one source as a DataFrame.
 
     ``kind`` is inferred from the extension when omitted: csv, tsv, text,
@@ -58,6 +58,7 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     inference reads the data twice and turns codes like ``6D`` into doubles.
     ``null_tokens`` (CSV/TSV): words read as NULL in string columns.
     ``columns`` / ``where``: projection and predicate applied lazily.
+    ``nan_as_null``: floating NaN read as NULL (pandas missing semantics).
     """
     first = path if isinstance(path, str) else path[0]
     kind = (kind or source_kind(first)).lower()
@@ -99,6 +100,10 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
         df = df.where(where)
     if columns:
         df = df.select(*columns)
+    if nan_as_null:
+        df = df.select(*[F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name)
+                         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
+                         for f in df.schema.fields])
     return df
 
 

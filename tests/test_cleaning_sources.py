@@ -149,3 +149,12 @@ def test_schema_of_and_sample_rows(spark):
     assert [r["id"] for r in Q.sample_rows(df, 2, ["id"]).collect()] == [1, 2]
     with pytest.raises(ValueError):
         Q.sample_rows(df, 2, [])
+
+
+def test_nan_as_null_at_load(spark, tmp_dir):
+    df = spark.createDataFrame([(1, float("nan")), (2, 2.5)], "id INT, v DOUBLE")
+    path = FS.save_table(df, os.path.join(tmp_dir, "nan.parquet"), "parquet")
+    raw = FS.load_table(spark, path)
+    clean = FS.load_table(spark, path, nan_as_null=True)
+    assert sorted(tuple(r) for r in clean.collect()) == [(1, None), (2, 2.5)]
+    assert raw.where("isnan(v)").count() == 1
