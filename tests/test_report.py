@@ -71,3 +71,19 @@ def test_chart_and_trend_ops(spark):
     assert len(got["scatter"]) <= 16 and sum(p["n"] for p in got["scatter"]) == 1500
     assert {t["method"] for t in got["trend"]} == {"row_level", "of_year_means"}
     assert all(t["slope"] == 0.0 for t in got["trend"])
+
+
+def test_sql_tasks_over_two_sources(spark):
+    spec = flagship_spec(SF)
+    spec["sourcing_plan"].append({"name": "parts", "path": f"{SF}/part.parquet", "kind": "parquet"})
+    spec["analysis_plan"] = [
+        {"task_id": 1, "qid": "big_orders", "source": "orders", "op": "sql",
+         "params": {"query": "SELECT count(*) AS n FROM source WHERE o_totalprice > :lo", "args": {"lo": 100000}},
+         "output_format": "number"},
+        {"task_id": 2, "qid": "parts", "source": "parts", "op": "sql",
+         "params": {"query": "SELECT count(*) AS n FROM source"}, "output_format": "number"},
+    ]
+    got = {r["qid"]: r["answer"] for r in run_report_job(spark, spec).collect()}
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert int(got["big_orders"]) == orders.where("o_totalprice > 100000").count()
+    assert int(got["parts"]) == spark.read.parquet(f"{SF}/part.parquet").count()
