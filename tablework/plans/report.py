@@ -75,6 +75,7 @@ OPS: dict[str, Callable[..., DataFrame]] = {
     "scatter_series": charts.scatter_series,
     "delay_trend": lambda df, **p: stats.delay_trend(df, **p)[0],
     "profile": quality.profile,
+    "sample_rows": quality.sample_rows,
     "validate": quality.validate,
     "sql": _sql,
 }

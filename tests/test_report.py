@@ -87,3 +87,12 @@ def test_sql_tasks_over_two_sources(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert int(got["big_orders"]) == orders.where("o_totalprice > 100000").count()
     assert int(got["parts"]) == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_sample_rows_op(spark):
+    spec = flagship_spec(SF)
+    spec["analysis_plan"] = [{"task_id": 1, "qid": "first3", "source": "orders", "op": "sample_rows",
+                              "params": {"n": 3, "order_by": ["o_orderkey"]}, "output_format": "records"}]
+    rows = json.loads(run_report_job(spark, spec).first()["answer"])
+    keys = [r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_orderkey").limit(3).collect()]
+    assert [r["o_orderkey"] for r in rows] == keys
