@@ -218,8 +218,9 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
     whose parsed numeric / listed columns are missing → drop duplicates.
     Returns ``(clean, report)``; the report ``(step, rows)`` has rows
     loaded, rows dropped per rule (each row charged to the first rule it
-    fails) and the final count: one aggregate over the scan, plus one over
-    the deduplicated rows when ``dedupe``; nothing is collected.
+    fails) and the final count. Without ``dedupe`` it is one aggregate over
+    the scan; with it, one grouped pass (rows by all columns, map-side
+    combined) gives every figure. Nothing is collected.
     """
     require_columns(df, list(required) + list(strip) + list((numeric or {}).keys())
                     + list(drop_missing_in))
@@ -245,10 +246,6 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
     failed = F.lit(None).cast("string")
     for name, cond in reversed(rules):
         failed = F.when(cond, F.lit(name)).otherwise(failed)
-    aggs = [F.count("*").alias("loaded")]
-    aggs += [F.count_if(failed == F.lit(name)).alias(f"r{i}") for i, (name, _) in enumerate(rules)]
-    counts = out.agg(*aggs).withColumn(
-        "kept", F.col("loaded") - sum((F.col(f"r{i}") for i in range(len(rules))), F.lit(0)))
 
     def long(frame: DataFrame, items: list[tuple[int, str, Column]]) -> DataFrame:
         return frame.select(F.explode(F.array(*[
@@ -258,14 +255,25 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
     head = [(0, "loaded", F.col("loaded"))]
     head += [(i + 1, f"dropped: {name}", F.col(f"r{i}")) for i, (name, _) in enumerate(rules)]
     end_pos = len(rules) + 1
-    if dedupe:
-        # the two one-row totals meet in a union + aggregate, not a join
-        totals = (counts.select(F.col("kept").alias("k"), F.lit(0).cast("bigint").alias("f"))
-                  .unionByName(final.agg(F.lit(0).cast("bigint").alias("k"), F.count("*").alias("f")))
-                  .agg((F.sum("k") - F.sum("f")).alias("dup"), F.sum("f").alias("final")))
-        tail = long(totals, [(end_pos, "dropped: duplicate", F.col("dup")),
-                             (end_pos + 1, "final", F.col("final"))])
-        report = long(counts, head).unionByName(tail)
-    else:
+    if not dedupe:
+        aggs = [F.count("*").alias("loaded")]
+        aggs += [F.count_if(failed == F.lit(name)).alias(f"r{i}") for i, (name, _) in enumerate(rules)]
+        counts = out.agg(*aggs).withColumn(
+            "kept", F.col("loaded") - sum((F.col(f"r{i}") for i in range(len(rules))), F.lit(0)))
         report = long(counts, head + [(end_pos, "final", F.col("kept"))])
+        return final, report
+    # With dedupe every figure comes from one pass: the parsed rows grouped
+    # by all columns (map-side combined, the same shuffle a dedupe needs);
+    # each group is one distinct row with its multiplicity.
+    n = F.col("__tw_n")
+    grouped = out.groupBy(*[_q(c) for c in out.columns]).agg(F.count("*").alias("__tw_n"))
+    keep_row = ~F.greatest(*[r for _, r in rules]) if len(rules) > 1 else (~rules[0][1] if rules else F.lit(True))
+    aggs = [F.sum(n).alias("loaded")]
+    aggs += [F.coalesce(F.sum(F.when(failed == F.lit(name), n)), F.lit(0)).alias(f"r{i}")
+             for i, (name, _) in enumerate(rules)]
+    aggs += [F.coalesce(F.sum(F.when(keep_row, n)), F.lit(0)).alias("kept"),
+             F.count_if(keep_row).alias("final")]
+    counts = grouped.agg(*aggs).withColumn("dup", F.col("kept") - F.col("final"))
+    report = long(counts, head + [(end_pos, "dropped: duplicate", F.col("dup")),
+                                  (end_pos + 1, "final", F.col("final"))])
     return final, report
