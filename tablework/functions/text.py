@@ -63,11 +63,15 @@ def shape_mask(c: Column | str) -> Column:
 
 # Markdown-fence and first-code-line patterns of the two
 # response cleaners being matched.
-_FENCE_OPEN = r"(?m)^```(?:python)?"
-_FENCE_CLOSE = r"(?m)```$"
-_FENCE_OPEN_ANY = r"(?m)^```[a-zA-Z0-9]*\n?"
-_FENCE_CLOSE_NL = r"(?m)\n?```$"
-_FIRST_CODE_LINE = r"(?mU)(^import\s|^from\s|^\w+\s*=|^\s*def\s)"
+# (?d): only "\n" ends a line for ^ and $, as in Python's re.MULTILINE.
+_FENCE_OPEN = r"(?md)^```(?:python)?"
+_FENCE_CLOSE = r"(?md)```$"
+_FENCE_OPEN_ANY = r"(?md)^```[a-zA-Z0-9]*\n?"
+_FENCE_CLOSE_NL = r"(?md)\n?```$"
+_FIRST_CODE_LINE = r"(?mdU)(^import\s|^from\s|^\w+\s*=|^\s*def\s)"
+
+# Fixed value: the line boundaries of Python's str.splitlines().
+_LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def strip_fences(c: Column | str, code_only: bool = True) -> Column:
@@ -91,8 +95,9 @@ def strip_fences(c: Column | str, code_only: bool = True) -> Column:
 
 
 def lines_of(c: Column | str) -> Column:
-    """Split on any line break (\\n, \\r\\n, \\r, NEL, LS, PS, VT, FF)."""
-    return F.split(col_of(c), r"\R")
+    """Split on the line breaks str.splitlines() knows (\\n, \\r\\n, \\r,
+    VT, FF, FS, GS, RS, NEL, LS, PS)."""
+    return F.split(col_of(c), _LINE_BREAK)
 
 
 def last_line(c: Column | str, skip_prefixes: Iterable[str] = ()) -> Column:
