@@ -69,9 +69,10 @@ def parse_answer(df: DataFrame, text: str, fmt: str | Column) -> DataFrame:
     """
     f = F.lit(fmt) if isinstance(fmt, str) else fmt
     t = _q(text)
-    quoted = (t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)) | \
-             (t.startswith("'") & t.endswith("'") & (F.length(t) >= 2))
-    unq = F.when(quoted, F.expr(f"substring(`{text}`, 2, length(`{text}`) - 2)")).otherwise(t)
+    # as the Python check: a text that starts and ends with the same quote
+    # (a lone quote too) loses its first and last character
+    quoted = (t.startswith('"') & t.endswith('"')) | (t.startswith("'") & t.endswith("'"))
+    unq = F.when(quoted, F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
     is_json = f.isin("json", "json_object", "json_array")
     return df.select(
         "*",

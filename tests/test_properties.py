@@ -59,3 +59,40 @@ def test_parse_double_matches_model(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "s string")
     got = [r[0] for r in df.select(parse_double("s")).collect()]
     assert got == [model_double(v) for v in values]
+
+
+def model_answer_number(s):
+    """The number a result line gives: int(s), else float(s), else None."""
+    if s is None:
+        return None
+    try:
+        return float(int(s))
+    except (ValueError, OverflowError):
+        pass
+    try:
+        return float(s)
+    except ValueError:
+        return None
+
+
+answer_pieces = st.sampled_from(["", "+", "-", "0", "42", "3", ".", "14", "_", "e", "E+2", "e-1", "inf",
+                                 "Infinity", "nan", "NaN", " ", "\t", "x", "1_000"])
+answer_texts = st.one_of(st.none(), st.lists(answer_pieces, min_size=0, max_size=5).map("".join))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(answer_texts, min_size=20, max_size=120))
+def test_answer_number_matches_python(spark, values):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from tablework.operators.responses import parse_number_text
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r[0] for r in df.select(parse_number_text(F.col("s"))).collect()]
+    want = [model_answer_number(v) for v in values]
+    for g, w, v in zip(got, want, values):
+        if w is not None and math.isnan(w):
+            assert g is not None and math.isnan(g), v
+        else:
+            assert g == w, (v, g, w)
