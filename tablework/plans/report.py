@@ -11,7 +11,8 @@ A report spec is plain data (never code that is executed):
                          "persist": "auto" | "cache" | "checkpoint" | "none"}],
       "analysis_plan": [{"task_id": 1, "qid": "q1", "source": "orders",
                          "op": "count_distinct", "params": {"column": "o_custkey"},
-                         "output_format": "number", "round": 6}],
+                         "output_format": "number", "round": 6,
+                         "join": {"with": "customer", "on": {"o_custkey": "c_custkey"}}}],
       "final_output_format": {"format": "json_array"},
     }
 
@@ -150,7 +151,27 @@ def _rounded(df: DataFrame, digits: int | None) -> DataFrame:
 _COLUMN_PARAMS = ("column", "key", "x", "y", "a", "b", "by", "start", "end")
 
 
+def _joined(frames: Mapping[str, DataFrame], src: DataFrame, params: Mapping[str, Any]) -> DataFrame:
+    """``{"with": source, "on": keys, "how": "inner", "salt_buckets": 0}``:
+    the task's source joined with another declared source (AQE picks the
+    strategy; salting for a known hot key). ``on`` is a list of shared key
+    names or a ``{left: right}`` mapping (right keys renamed before the
+    equi-join)."""
+    other = params["with"]
+    if other not in frames:
+        raise ValueError(f"unknown source {other!r}")
+    right, on = frames[other], params["on"]
+    if isinstance(on, Mapping):
+        for left_key, right_key in on.items():
+            right = right.withColumnRenamed(right_key, left_key)
+        on = list(on)
+    return relational.join_tables(src, right, on, params.get("how", "inner"),
+                                  params.get("salt_buckets", 0))
+
+
 def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> DataFrame:
+    """A task's result frame. ``join`` (optional) joins the source with
+    another source first, so any op can work across two datasets."""
     t = {**TASK_DEFAULTS, **task}
     op = t["op"]
     if op not in OPS:
@@ -158,6 +179,8 @@ def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> Data
     if t["source"] not in frames:
         raise ValueError(f"unknown source {t['source']!r}")
     src = frames[t["source"]]
+    if t.get("join"):
+        src = _joined(frames, src, t["join"])
     for p in _COLUMN_PARAMS:
         names = t["params"].get(p)
         for n in ([names] if isinstance(names, str) else names or []):
@@ -168,7 +191,8 @@ def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> Data
 
 def _fusable(task: Mapping[str, Any]) -> bool:
     t = {**TASK_DEFAULTS, **task}
-    return t["op"] in stats.SCALAR_AGGS and not (t["op"] == "regression" and t["params"].get("by"))
+    return (t["op"] in stats.SCALAR_AGGS and not t.get("join")
+            and not (t["op"] == "regression" and t["params"].get("by")))
 
 
 def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any]]

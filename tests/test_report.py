@@ -96,3 +96,20 @@ def test_sample_rows_op(spark):
     rows = json.loads(run_report_job(spark, spec).first()["answer"])
     keys = [r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_orderkey").limit(3).collect()]
     assert [r["o_orderkey"] for r in rows] == keys
+
+
+def test_join_task_across_sources(spark):
+    spec = flagship_spec(SF)
+    spec["sourcing_plan"].append({"name": "customers", "path": f"{SF}/customer.parquet", "kind": "parquet",
+                                  "columns": ["c_custkey", "c_mktsegment"]})
+    spec["analysis_plan"] = [
+        {"task_id": 1, "qid": "orders_by_segment", "source": "orders", "op": "group_count",
+         "params": {"key": "c_mktsegment"}, "output_format": "json_object",
+         "join": {"with": "customers", "on": {"o_custkey": "c_custkey"}}},
+    ]
+    got = json.loads(run_report_job(spark, spec).first()["answer"])
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    want = {r["c_mktsegment"]: r["count"]
+            for r in o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").count().collect()}
+    assert got == want
