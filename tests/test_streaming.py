@@ -26,3 +26,24 @@ def test_stream_run_report_matches_batch(spark, tmp_dir):
     batch = run_report(spark.read.schema(SCHEMA).option("header", True).csv(src))
     assert got == sorted(tuple(r) for r in batch.collect())
     assert len(got) == 3
+
+
+def test_stream_cleaning_append_matches_batch(spark, tmp_dir):
+    from tablework.operators import cleaning as C
+    src = os.path.join(tmp_dir, "raw")
+    os.makedirs(src)
+    for i, text in enumerate(["studentId,class\n 1 ,6D\nx,7E\n", "studentId,class\n2.5,8A\n3,\t9B \n"]):
+        with open(os.path.join(src, f"part{i}.csv"), "w") as fh:
+            fh.write(text)
+    schema = "studentId STRING, class STRING"
+
+    def clean(df):
+        return C.strip_whitespace(C.coerce_numeric(df, "studentId", "int64"), ["class"])
+
+    out = os.path.join(tmp_dir, "clean")
+    q = write_stream(clean(stream_table(spark, src, "csv", schema)), out, output_mode="append",
+                     checkpoint_location=os.path.join(tmp_dir, "ckpt2"))
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    batch = clean(spark.read.schema(schema).option("header", True).csv(src))
+    assert got == sorted(tuple(r) for r in batch.collect()) == [(1, "6D"), (2, "8A"), (3, "9B")]
