@@ -158,3 +158,15 @@ def test_nan_as_null_at_load(spark, tmp_dir):
     clean = FS.load_table(spark, path, nan_as_null=True)
     assert sorted(tuple(r) for r in clean.collect()) == [(1, None), (2, 2.5)]
     assert raw.where("isnan(v)").count() == 1
+
+
+def test_workbook_sheet_by_name_and_text_source(spark, tmp_dir):
+    blob = workbook_bytes(["id", "name"], [[1, "a"], [2, "b"]])
+    with open(os.path.join(tmp_dir, "s.xlsx"), "wb") as fh:
+        fh.write(blob)
+    pattern = os.path.join(tmp_dir, "*.xlsx")
+    by_name = WB.load_workbooks(spark, pattern, sheet="data", schema="id BIGINT, name STRING")
+    assert sorted(tuple(r) for r in by_name.collect()) == [(1, "a"), (2, "b")]
+    assert WB.load_workbooks(spark, pattern, sheet="nope", schema="id BIGINT, name STRING").count() == 0
+    p = _write(tmp_dir, "notes.txt", "first line\nsecond line\n")
+    assert [r[0] for r in FS.load_table(spark, p).collect()] == ["first line", "second line"]
