@@ -166,7 +166,8 @@ def test_workbook_sheet_by_name_and_text_source(spark, tmp_dir):
         fh.write(blob)
     pattern = os.path.join(tmp_dir, "*.xlsx")
     by_name = WB.load_workbooks(spark, pattern, sheet="data", schema="id BIGINT, name STRING")
-    assert sorted(tuple(r) for r in by_name.collect()) == [(1, "a"), (2, "b")]
+    assert sorted(tuple(r) for r in by_name.select("id", "name").collect()) == [(1, "a"), (2, "b")]
+    assert {r["sheet"] for r in by_name.collect()} == {"data"}
     assert WB.load_workbooks(spark, pattern, sheet="nope", schema="id BIGINT, name STRING").count() == 0
     p = _write(tmp_dir, "notes.txt", "first line\nsecond line\n")
     assert [r[0] for r in FS.load_table(spark, p).collect()] == ["first line", "second line"]
