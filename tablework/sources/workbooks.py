@@ -134,11 +134,12 @@ def workbooks_to_table(files: DataFrame, *, sheet: str | int | None = 0,
 def load_workbooks(spark: SparkSession, path_glob: str, *, sheet: str | int | None = 0,
                    schema: T.StructType | str | None = None, header: bool = True,
                    on_mismatch: str = "null", recursive: bool = False) -> DataFrame:
-    """All workbooks under ``path_glob`` as one typed table.
+    """All workbooks under ``path_glob`` as one typed table
+    ``(path, sheet, *schema columns)``.
 
     The first row of each sheet is the header when ``header``; cells are
     matched to ``schema`` by position and cast (``on_mismatch`` as in
-    ``apply_schema``).
+    ``apply_schema``). ``sheet``: index, name, or None for every sheet.
     """
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", str(recursive).lower())
