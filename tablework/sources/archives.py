@@ -3,6 +3,11 @@ tar.gz archives. Each archive is one task (the formats are not
 splittable); members stream out line by line in bounded batches, so a
 large member never sits in one row. Plain ``.gz`` text files need none of
 this: Spark's text/CSV readers decompress them natively.
+
+Limit: ``binaryFile`` hands each archive to its task as one value, up to
+``spark.sql.sources.binaryFile.maxLength`` (2 GB by default); bigger
+archives should be split upstream, since neither format can be read in
+parallel from the middle.
 """
 
 from __future__ import annotations
