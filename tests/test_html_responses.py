@@ -138,3 +138,16 @@ def test_string_answer_quotes_like_python(spark):
             return x[1:-1]
         return x
     assert got == [py(t) for t in texts]
+
+
+def test_grade_with_key_table(spark):
+    key = spark.createDataFrame(
+        [("films", 0, "is_json", None, None, 2, 0.0), ("films", 0, "equals", "1", None, None, 1.0),
+         ("films", 1, "regex", "titanic", None, None, 2.0),
+         ("sales", 0, "is_json", None, None, 1, 0.0), ("sales", 0, "within", "137.5", 0.01, None, 1.0)],
+        "rubric string, item int, kind string, expected string, tolerance double, n_items int, weight double")
+    subs = spark.createDataFrame([("a", "films", '[1, "Titanic"]'), ("b", "films", '[2, "Avatar"]'),
+                                  ("c", "sales", "[137.5]"), ("d", "sales", "[1, 2]")],
+                                 "submission_id string, rubric string, answer string")
+    got = {r["submission_id"]: (r["score"], r["max_score"], r["gate_ok"]) for r in RS.grade(subs, key).collect()}
+    assert got == {"a": (3.0, 3.0, True), "b": (0.0, 3.0, True), "c": (1.0, 1.0, True), "d": (0.0, 1.0, False)}
