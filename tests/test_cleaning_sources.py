@@ -171,3 +171,14 @@ def test_workbook_sheet_by_name_and_text_source(spark, tmp_dir):
     assert WB.load_workbooks(spark, pattern, sheet="nope", schema="id BIGINT, name STRING").count() == 0
     p = _write(tmp_dir, "notes.txt", "first line\nsecond line\n")
     assert [r[0] for r in FS.load_table(spark, p).collect()] == ["first line", "second line"]
+
+
+def test_infer_and_best_date_format(spark):
+    from tablework.operators import quality as Q
+    df = spark.createDataFrame([("15-03-2020",), ("01-12-2019",), ("2020-03-15",), ("",), (None,), ("x",)],
+                               "d string")
+    shares = {r["format"]: (r["n_parsed"], r["n_values"]) for r in
+              Q.infer_date_format(df, "d", ["yyyy-MM-dd", "dd-MM-yyyy", "MM/dd/yyyy"]).collect()}
+    assert shares == {"yyyy-MM-dd": (1, 4), "dd-MM-yyyy": (2, 4), "MM/dd/yyyy": (0, 4)}
+    best = Q.best_date_format(df, "d", ["yyyy-MM-dd", "dd-MM-yyyy"]).first()
+    assert best["format"] == "dd-MM-yyyy" and best["share"] == 0.5
