@@ -151,6 +151,16 @@ def _rounded(df: DataFrame, digits: int | None) -> DataFrame:
 _COLUMN_PARAMS = ("column", "key", "x", "y", "a", "b", "by", "start", "end")
 
 
+def _check_columns(src: DataFrame, task: Mapping[str, Any]) -> None:
+    """Parameters that name columns must name columns of the source."""
+    params = task.get("params", {}) or {}
+    for p in _COLUMN_PARAMS:
+        names = params.get(p)
+        for n in ([names] if isinstance(names, str) else names or []):
+            if isinstance(n, str) and n not in src.columns:
+                raise ValueError(f"column {n!r} of parameter {p!r} not in source {task['source']!r}")
+
+
 def _joined(frames: Mapping[str, DataFrame], src: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """``{"with": source, "on": keys, "how": "inner", "salt_buckets": 0}``:
     the task's source joined with another declared source (AQE picks the
@@ -181,11 +191,7 @@ def task_frame(frames: Mapping[str, DataFrame], task: Mapping[str, Any]) -> Data
     src = frames[t["source"]]
     if t.get("join"):
         src = _joined(frames, src, t["join"])
-    for p in _COLUMN_PARAMS:
-        names = t["params"].get(p)
-        for n in ([names] if isinstance(names, str) else names or []):
-            if isinstance(n, str) and n not in src.columns:
-                raise ValueError(f"column {n!r} of parameter {p!r} not in source {t['source']!r}")
+    _check_columns(src, t)
     return _rounded(OPS[op](src, **dict(t["params"])), t["round"])
 
 
@@ -213,14 +219,16 @@ def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any
         named: dict[int, list] = {}
         for pos, t in group:
             try:
-                pairs = stats.SCALAR_AGGS[t["op"]](src, **dict(t.get("params", {})))
-                src.agg(*[c.alias(n) for n, c in pairs])          # analysis only, no job
-                named[pos] = pairs
+                _check_columns(src, t)
+                named[pos] = stats.SCALAR_AGGS[t["op"]](src, **dict(t.get("params", {})))
             except Exception:
-                continue
+                continue                  # left to the per-task path, which reports it
         if len(named) < 2:
             continue
-        fused = src.agg(*[c.alias(f"__t{pos}__{n}") for pos, pairs in named.items() for n, c in pairs])
+        try:
+            fused = src.agg(*[c.alias(f"__t{pos}__{n}") for pos, pairs in named.items() for n, c in pairs])
+        except Exception:                 # e.g. a predicate that does not parse: no fusion here
+            continue
         rows = []
         for pos, pairs in named.items():
             t = {**TASK_DEFAULTS, **tasks[pos]}
