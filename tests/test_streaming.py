@@ -47,3 +47,15 @@ def test_stream_cleaning_append_matches_batch(spark, tmp_dir):
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     batch = clean(spark.read.schema(schema).option("header", True).csv(src))
     assert got == sorted(tuple(r) for r in batch.collect()) == [(1, "6D"), (2, "8A"), (3, "9B")]
+
+
+def test_stream_parquet_and_json_sources(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "a", 1.5), (2, "b", None)], "id INT, s STRING, v DOUBLE")
+    for kind in ("parquet", "json"):
+        src = os.path.join(tmp_dir, f"in_{kind}")
+        df.write.mode("overwrite").format(kind).save(src)
+        out = os.path.join(tmp_dir, f"out_{kind}")
+        q = write_stream(stream_table(spark, src, kind, df.schema), out,
+                         checkpoint_location=os.path.join(tmp_dir, f"ck_{kind}"))
+        q.awaitTermination(120)
+        assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, "a", 1.5), (2, "b", None)]
