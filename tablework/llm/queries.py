@@ -5,8 +5,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import byte_cnn, packing, quality_rules
 from .common import table
+from .labelled import id_remainder
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_rules.fit(docs, labels)
+    return quality_rules.apply_rules(docs, model, keep_columns=False)
+
+
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = byte_cnn.fit(docs, labels, keep=id_remainder(4) != 2)
+    scored = byte_cnn.score(docs, model, keep_columns=False)
+    return scored.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +28,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
