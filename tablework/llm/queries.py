@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, packing, quality_rules
+from . import byte_cnn, decontamination, packing, quality_rules
 from .common import table
 from .labelled import id_remainder
 
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, model, keep_columns=False)
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.digest(decontamination.decontaminate(docs, items))
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = byte_cnn.fit(docs, labels, keep=id_remainder(4) != 2)
@@ -29,6 +34,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_winnowing": op5_winnowing,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
