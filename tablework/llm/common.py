@@ -103,8 +103,43 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def with_text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  name: str = "__text_key") -> DataFrame:
-    """Adds a 64-bit key of the text; (id, key) names a row up to exact repeats."""
-    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")),
-                                            F.col(text_col).isNull()))
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 name: str = "__row_key") -> DataFrame:
+    """Adds a 128-bit key of id and text; equal keys are exact repeats."""
+    null = F.concat(F.col(id_col).isNull().cast("string"), F.col(text_col).isNull().cast("string"))
+    empty = F.lit("")
+    return docs.withColumn(name, F.unhex(F.md5(F.concat_ws(
+        "/", null, F.coalesce(F.col(id_col).cast("string"), empty), F.coalesce(F.col(text_col), empty)))))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]
+                 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """From a partition sorted by ``keys`` (integer columns): batches of whole
+    groups, each with the starts of its groups and its number of rows."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return one, np.append(np.flatnonzero(changes(one)), one.num_rows)
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return new
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(np.flatnonzero(changes(batch))[-1])
+        fresh = bool(held) and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)
+        if held and (fresh or last):
+            yield joined(held if fresh and not last else held + [batch.slice(0, last)])
+            held = []
+        elif last:
+            yield joined([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield joined(held)

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, with_text_key
+from .common import ascii_words, with_row_key
 
 GUARANTEE, K = 10, 5
 BROADCAST_ROWS = 200_000
@@ -92,7 +92,7 @@ def _common(a: Column, at_a: Column, b: Column, at_b: Column, step: int) -> Colu
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id") -> DataFrame:
     """Hit runs of words: one row per document and found run, and one row with a
-    NULL item per document. Columns: id, __text_key, n_words, item, first, last."""
+    NULL item per document. Columns: id, __row_key, n_words, item, first, last."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                              _hashes(ascii_words("text")).alias("ih"))
     items = items.withColumn("m", F.size("ih")).where("m > 0").distinct()
@@ -108,9 +108,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             F.xxhash64(*[F.get("ih", F.lit(k)) for k in range(m)]).alias("f"), F.lit(0).alias("q")))
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    words = with_text_key(docs, id_col, text_col).select(id_col, "__text_key",
+    words = with_row_key(docs, id_col, text_col).select(id_col, "__row_key",
                                                          ascii_words(text_col).alias("__w"))
-    words = words.select(id_col, "__text_key", _hashes(F.col("__w")).alias("h"))
+    words = words.select(id_col, "__row_key", _hashes(F.col("__w")).alias("h"))
     words = words.withColumn("n_words", F.size("h").cast("long"))
     # The first entry has no hash: it stands for the document itself.
     itself = F.array(F.struct(F.lit(None).cast("bigint").alias("f"), F.lit(-1).alias("p"),
@@ -118,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spots = _let(F.col("h"), lambda h: F.concat(
         itself, _winnow(h), *[_short_spots(h, m) for m in lengths]))
     spots = words.withColumn("s", F.explode(spots)).select(
-        id_col, "__text_key", "n_words", "h", F.col("s.f").alias("f"), F.col("s.p").alias("p"),
+        id_col, "__row_key", "n_words", "h", F.col("s.f").alias("f"), F.col("s.p").alias("p"),
         F.col("s.short").alias("short"))
     if small:
         met = spots.join(F.broadcast(prints), ["f", "short"], "left")
@@ -138,7 +138,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     same = F.forall(F.sequence(F.lit(0), F.when(long, F.lit(K)).otherwise(F.col("short")) - 1),
                     lambda k: F.get(F.col("h"), at + k) == F.get(F.col("ih"), F.col("q") + k))
     found = F.col("item").isNotNull()
-    rows = met.select(id_col, "__text_key", "n_words", F.col("item"),
+    rows = met.select(id_col, "__row_key", "n_words", F.col("item"),
                       F.when(found, first).alias("first"), F.when(found, last).alias("last"),
                       (~found | (same & (~long | (last - first >= GUARANTEE)))).alias("ok"))
     return rows.where("ok").drop("ok")
@@ -146,10 +146,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per document: id, __text_key, n_words, n_hit, spans (merged, half-open word
+    """Per document: id, __row_key, n_words, n_hit, spans (merged, half-open word
     ranges), items (sorted ids) and n_rows (how many equal rows there are)."""
     rows = hits(docs, benchmark, id_col, text_col, item_col)
-    runs = rows.groupBy(id_col, "__text_key", "n_words").agg(
+    runs = rows.groupBy(id_col, "__row_key", "n_words").agg(
         F.collect_set(F.when(F.col("item").isNotNull(), F.struct("first", "last"))).alias("runs"),
         F.collect_set("item").alias("items"),
         F.count(F.when(F.col("item").isNull(), 1)).alias("n_rows"))
@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ).otherwise(F.concat(acc, F.array(r))))
     merged = runs.withColumn("spans", F.when(F.size("runs") == 0, empty).otherwise(spans))
     return merged.select(
-        id_col, "__text_key", "n_words",
+        id_col, "__row_key", "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + (r["last"] - r["first"])).alias("n_hit"),
         "spans", F.array_sort("items").alias("items"), "n_rows")
 
@@ -179,8 +179,6 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows without a hit, with their own columns."""
-    bad = hits(docs, benchmark, id_col, text_col, item_col).where("item IS NOT NULL") \
-        .select(F.col(id_col).alias("__id"), F.col("__text_key").alias("__key")).distinct()
-    keyed = with_text_key(docs, id_col, text_col)
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__id"]) & (keyed["__text_key"] == bad["__key"]),
-                      "left_anti").drop("__text_key")
+    bad = hits(docs, benchmark, id_col, text_col, item_col).where("item IS NOT NULL")
+    keyed = with_row_key(docs, id_col, text_col)
+    return keyed.join(bad.select("__row_key").distinct(), "__row_key", "left_anti").drop("__row_key")

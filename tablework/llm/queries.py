@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontamination, packing, quality_rules
+from . import byte_cnn, decontamination, ngram_join, packing, quality_rules
 from .common import table
 from .labelled import id_remainder
 
@@ -32,11 +32,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_winnowing": op5_winnowing,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
