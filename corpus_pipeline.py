@@ -1,8 +1,62 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next one's ``docs``; all but the last
+return the columns of ``docs``. Labels and the benchmark are read from
+``sf_dir``. A stage works on all that the one before it kept:
+
+1. quality classifier (byte-level convolutional network): rejected documents go;
+2. quality rules (thresholds and hashed n-gram regression): failing ones go;
+3. n-gram Jaccard join: one document of each group of near copies stays;
+4. benchmark decontamination (winnowing): documents with a hit go;
+5. best-fit packing: the rest is tokenised, cut and packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tablework.llm import byte_cnn, decontamination, ngram_join, packing, quality_rules
+from tablework.llm.common import table, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return byte_cnn.keep_good(docs, model)
+
+
+def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.keep_good(docs, model)
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rule_filter),
+    ("n-gram Jaccard join", near_duplicate_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+# Trained models and a tokenizer decide, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
