@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontamination, ngram_join, packing, quality_rules
+from . import byte_cnn, decontamination, license_scan, ngram_join, packing, quality_rules
 from .common import table
 from .labelled import id_remainder
 
@@ -32,6 +32,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")) \
         .select("doc_id", "class_id", "n_links")
@@ -42,6 +46,7 @@ QUERIES = {
     "op5_winnowing": op5_winnowing,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
