@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontamination, license_scan, ngram_join, packing, quality_rules
+from . import byte_cnn, decontamination, license_scan, ngram_join, packing, quality_rules, sharding
 from .common import table
 from .labelled import id_remainder
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, model, keep_columns=False)
 
 
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.digest(decontamination.decontaminate(docs, items))
@@ -43,6 +47,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_extendible_sharding": op3_extendible_sharding,
     "op5_winnowing": op5_winnowing,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -50,4 +55,6 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_extendible_sharding": sharding.ORACLE,
+}
