@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontamination, license_scan, ngram_join, packing, quality_rules, sharding
+from . import byte_cnn, decontamination, license_scan, ngram_join, packing, quality_rules, sharding, toxicity
 from .common import table
 from .labelled import id_remainder
 
@@ -25,6 +25,13 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(docs, items))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, keep=id_remainder(3) != 1)
+    scored = toxicity.score(docs, model, keep_columns=False)
+    return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = byte_cnn.fit(docs, labels, keep=id_remainder(4) != 2)
@@ -49,6 +56,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op5_winnowing": op5_winnowing,
+    "op6_toxicity": op6_toxicity,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
