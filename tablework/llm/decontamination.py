@@ -182,3 +182,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     bad = hits(docs, benchmark, id_col, text_col, item_col).where("item IS NOT NULL")
     keyed = with_row_key(docs, id_col, text_col)
     return keyed.join(bad.select("__row_key").distinct(), "__row_key", "left_anti").drop("__row_key")
+
+
+# Every window of every text, in DuckDB SQL.
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, least({GUARANTEE}, len(w)) AS n, w[k:k + least({GUARANTEE}, len(w)) - 1] AS win
+  FROM i, LATERAL (SELECT unnest(range(1, len(w) - least({GUARANTEE}, len(w)) + 2)) AS k) WHERE len(w) > 0),
+dw AS (
+  SELECT r, n, k, w[k:k + n - 1] AS win
+  FROM d, (SELECT DISTINCT n FROM iw) s, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)),
+hit AS (SELECT r, n, k, item FROM dw JOIN iw USING (n, win)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit
+          FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

@@ -16,21 +16,23 @@ Three parts:
   are those that stand in so many labelled toxic documents, and in so few
   others, that chance is ruled out; near copies among the labelled rows count
   once, so that what only copies share is not learned. Every distinct word of a
-  text speaks with its strongest feature, and the words together as a noisy-or,
-  on top of the rate of toxic documents without any evidence.
+  text speaks with its strongest feature, the words together as a noisy-or, and
+  the strength of that evidence is calibrated to a probability (isotonic).
 
 Fitting takes ``PER_CLASS`` labelled rows of either class (a documented bound);
 texts are read whole. Scoring reads every whole text.
 
-Defined cases: NULL and empty texts have no words and get the rate of documents
-without evidence; repeated rows get equal scores; without toxic labels every
-score is 0.5 or less; input columns named like an output column are replaced.
+Defined cases: NULL and empty texts have no words and get the score of texts
+without evidence; repeated rows get equal scores; without labels of both kinds
+every score is 0.5 or less; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,7 +54,7 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "#": "h",
 }
 SIGN_COST, SELF_COST, REPEAT_COST, GAP_COST = 1.0, 7.0, 0.6, 0.4
-PER_CLASS, PREFIXES, CHANCE, PURITY, MIN_WORDS = 3000, range(4, 9), 1e-7, 0.01, 4
+PER_CLASS, PREFIXES, CHANCE, PURITY, MIN_WORDS = 3000, range(4, 9), 1e-7, 0.08, 4
 TOXIC = 0.7                     # predicted = 1 from this score on
 KNOWN_TOKENS = 300_000          # remembered per worker
 
@@ -156,12 +158,10 @@ class Channel:
         return min((cost + float(self.cost[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
 
     def readings(self, noisy: str) -> str:
-        """The decoded token. Where signs alone decide nothing, a reading that is
-        learned evidence is preferred: the same letters once or twice each."""
+        """The decoded token, or the learned word that differs from it only in how
+        often its letters stand next to themselves."""
         got = self.decode(noisy)
-        if self.lexicon and got not in self.lexicon:
-            return self.lexicon.get(_squeezed(got), got)
-        return got
+        return self.lexicon.get(_squeezed(got), got)
 
     def word(self, token: str) -> str:
         """A lower-case token without white space, as its restored word."""
@@ -227,18 +227,20 @@ def evidence(words: list[str]) -> set[str]:
 class ToxicityModel:
     channel: Channel
     weights: dict                # feature -> probability that a document with it is toxic
-    rest: float                  # rate of toxic documents without any feature
 
-    def of_word(self, word: str) -> float:
-        return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
+    steps: tuple = ((0.0,), (0.5,))      # strength of evidence -> probability
+
+    def strength(self, words: set[str]) -> float:
+        """Every distinct word with its strongest feature, as a noisy-or."""
+        get = self.weights.get
+        best = (max((get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        return -sum(math.log1p(-w) for w in best if w)
 
     def score(self, text: str | None) -> float:
-        if not self.weights:
-            return self.rest
-        clean = 1 - self.rest
-        for word in set(self.channel.restore(text or "")):
-            clean *= 1 - self.of_word(word)
-        return float(min(1.0, max(0.0, 1 - clean)))
+        e = self.strength(set(self.channel.restore(text or ""))) if self.weights else 0.0
+        edges, levels = self.steps
+        p = levels[bisect_right(edges, e) - 1]
+        return 0.98 * p + 0.02 * (1 - math.exp(-e))
 
 
 def lexicon_of(weights: dict) -> dict:
@@ -262,14 +264,14 @@ def _distinct(rows: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
     return out
 
 
-def _learn(rows: list[tuple[int, set[str]]], prior: float) -> tuple[dict, float]:
-    """Feature weights and the rate of toxic rows without any. ``prior`` is the
-    share of toxic rows among all labelled ones (the sample is balanced)."""
+def _learn(rows: list[tuple[int, set[str]]], prior: float, channel: Channel) -> ToxicityModel:
+    """``prior`` is the share of toxic rows among all labelled ones (the sample
+    is balanced)."""
     rows = _distinct(rows)
     n_toxic = sum(y == 1 for y, _ in rows)
     n_clean = len(rows) - n_toxic
     if not n_toxic or not n_clean:
-        return {}, min(0.5, prior)
+        return ToxicityModel(channel, {}, ((0.0,), (min(0.5, prior),)))
     toxic = Counter(f for y, s in rows if y == 1 for f in s)
     clean = Counter(f for y, s in rows if y == 0 for f in s)
     words = {f for f in toxic if not f.endswith("~")}
@@ -281,10 +283,28 @@ def _learn(rows: list[tuple[int, set[str]]], prior: float) -> tuple[dict, float]
         if n >= need and b <= PURITY * a and (f in words or spread[f] >= MIN_WORDS):
             a, b = a * prior, (b + 0.1 / n_clean) * (1 - prior)
             weights[f] = a / (a + b)
-    missed = sum(y == 1 and not any(f in weights for f in s) for y, s in rows)
-    plain = sum(y == 0 and not any(f in weights for f in s) for y, s in rows)
-    a, b = (missed + 0.5) / n_toxic * prior, (plain + 0.5) / n_clean * (1 - prior)
-    return weights, min(0.5, a / (a + b))
+    model = ToxicityModel(Channel(channel.cost, lexicon_of(weights)), weights)
+    e = np.array([model.strength({f for f in s if not f.endswith("~")}) for _, s in rows])
+    y = np.array([y for y, _ in rows], float)
+    model.steps = _steps(e, y, np.where(y == 1, prior / n_toxic, (1 - prior) / n_clean))
+    return model
+
+
+def _steps(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple, tuple]:
+    """Probability by strength of evidence, never falling (pooled adjacent
+    violators over rows of equal strength)."""
+    edges, at = np.unique(e, return_inverse=True)
+    total, hit = np.bincount(at, weight), np.bincount(at, weight * y)
+    blocks: list[list[float]] = []
+    for k, x in enumerate(edges):
+        blocks.append([float(x), total[k], hit[k]])
+        while len(blocks) > 1 and blocks[-1][2] * blocks[-2][1] <= blocks[-2][2] * blocks[-1][1]:
+            _, t, h = blocks.pop()
+            blocks[-1][1] += t
+            blocks[-1][2] += h
+    small = float(weight.min())                         # no block is quite certain
+    levels = [float((h + 0.1 * small) / (t + 0.2 * small)) for _, t, h in blocks]
+    return (0.0, *(b[0] for b in blocks[1:])), tuple(levels)
 
 
 def _draw(channel: Channel, id_col: str, text_col: str):
@@ -308,8 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     sets = [(r["__y"], set(zlib.decompress(bytes(r["features"])).decode().split("\n")) - {""}) for r in rows]
     held = labels if keep is None else labels.where(keep)
     share = held.agg(F.avg(F.when(F.col(label).isin(0, 1), F.col(label)))).first()[0]
-    weights, rest = _learn(sets, float(share or 0.0))
-    return ToxicityModel(Channel(channel.cost, lexicon_of(weights)), weights, rest)
+    return _learn(sets, float(share or 0.0), channel)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
