@@ -80,8 +80,9 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str =
     return count, count.get("", 0)
 
 
-def postings(spark: SparkSession, frequency: dict[str, int], n_docs: int) -> DataFrame:
-    """The index: one row per look-up word and place of a template."""
+def postings(spark: SparkSession, frequency: dict[str, int], n_docs: int) -> tuple[DataFrame, list[str]]:
+    """The index, one row per look-up word and place of a template (and one
+    without a word or template, which every document meets), and its words."""
     idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1))
     rows = []
     for t in templates():
@@ -90,22 +91,30 @@ def postings(spark: SparkSession, frequency: dict[str, int], n_docs: int) -> Dat
         rare = sorted(set(t["words"]), key=lambda w: (-idf(w), w))[:1 if t["base"] else RARE]
         rows += [(w, t["t"], t["label"], t["base"], i, t["words"], t["key_at"], t["key_n"])
                  for i, w in enumerate(t["words"]) if w in rare]
+    words = sorted({r[0] for r in rows})
+    rows.append(("", None, None, None, 0, [], 0, 0))
     return spark.createDataFrame(rows, "word string, t int, label string, base boolean, at int, "
-                                       "words array<string>, key_at int, key_n int")
+                                       "words array<string>, key_at int, key_n int"), words
 
 
-def matches(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, index: DataFrame, look_up: list[str], id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
     """Verified alignments, and one row with a NULL template per document:
     id, __row_key, n_words, t, label, base, start, cover."""
     rows = with_row_key(docs, id_col, text_col).select(id_col, "__row_key", ascii_words(text_col).alias("w"))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
-    # An entry more, before the words, stands for the document itself.
-    spots = rows.select(id_col, "__row_key", "n_words", "w",
-                        F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("p", "word"))
-    met = spots.join(F.broadcast(index), "word", "left").where("t IS NOT NULL OR p = 0")
-    start = F.col("p") - 1 - F.col("at")
-    same = F.transform("words", lambda x, i: F.coalesce(F.get(F.col("w"), start + i) == x, F.lit(False)))
-    met = met.withColumn("start", start).withColumn("same", same)
+    reach = max(len(t["words"]) for t in templates())
+    # An entry more, without a word, stands for the document itself.
+    itself = F.array(F.struct(F.lit(0).alias("p"), F.lit("").alias("word"),
+                              F.array().cast("array<string>").alias("near")))
+    places = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: F.get(F.col("w"), i).isin(look_up))
+    spots = rows.withColumn("s", F.explode(F.concat(itself, F.transform(places, lambda i: F.struct(
+        i.alias("p"), F.get(F.col("w"), i).alias("word"),
+        F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach).alias("near"))))))
+    met = spots.select(id_col, "__row_key", "n_words", "s.*").join(F.broadcast(index), "word")
+    at = F.least(F.col("p"), F.lit(reach)) - F.col("at")
+    same = F.transform("words", lambda x, i: F.coalesce(F.get(F.col("near"), at + i) == x, F.lit(False)))
+    met = met.withColumn("start", F.col("p") - F.col("at")).withColumn("same", same)
     cover = F.size(F.filter("same", lambda x: x)) / F.size("same")
     key = F.forall(F.slice("same", F.col("key_at") + 1, F.col("key_n")), lambda x: x)
     good = key & (cover >= F.when(F.col("base"), 1.0).otherwise(COVER))
@@ -121,8 +130,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     alignment, agreement), sorted."""
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates() for w in t["words"]})
-    index = postings(spark, *document_frequencies(docs, vocabulary, text_col))
-    found = matches(docs, index, id_col, text_col)
+    index, look_up = postings(spark, *document_frequencies(docs, vocabulary, text_col))
+    found = matches(docs, index, look_up, id_col, text_col)
     base = F.col("base")
     lengths = {t["t"]: len(t["words"]) for t in templates()}
     size = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("t"))
