@@ -68,7 +68,9 @@ _FENCE_OPEN = r"(?md)^```(?:python)?"
 _FENCE_CLOSE = r"(?md)```$"
 _FENCE_OPEN_ANY = r"(?md)^```[a-zA-Z0-9]*\n?"
 _FENCE_CLOSE_NL = r"(?md)\n?```$"
-_FIRST_CODE_LINE = r"(?mdU)(^import\s|^from\s|^\w+\s*=|^\s*def\s)"
+_FIRST_CODE_LINE = r"^import\s|^from\s|^\w+\s*=|^\s*def\s"
+# All text before the first code line (nothing where there is none).
+_BEFORE_CODE = rf"(?mdU)\A(?s:.*?)(?={_FIRST_CODE_LINE})"
 
 # Fixed value: the line boundaries of Python's str.splitlines().
 _LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -86,8 +88,7 @@ def strip_fences(c: Column | str, code_only: bool = True) -> Column:
     if code_only:
         code = F.regexp_replace(strip_ws(c), _FENCE_OPEN, "")
         code = F.regexp_replace(strip_ws(code), _FENCE_CLOSE, "")
-        pos = F.regexp_instr(code, F.lit(_FIRST_CODE_LINE))
-        code = F.when(pos > 0, F.substr(code, pos)).otherwise(code)
+        code = F.regexp_replace(code, _BEFORE_CODE, "")
     else:
         code = F.regexp_replace(strip_ws(c), _FENCE_OPEN_ANY, "")
         code = F.regexp_replace(strip_ws(code), _FENCE_CLOSE_NL, "")

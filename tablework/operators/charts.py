@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.operators.stats import with_keys
+
 OTHER = "other"
 
 
@@ -17,8 +19,10 @@ def _q(name: str) -> Column:
 
 
 def bar_series(df: DataFrame, key: str, order: str = "key", max_bars: int | None = None,
-               other_label: str = OTHER) -> DataFrame:
-    """``(position, category, n)``: rows per category.
+               other_label: str = OTHER, keep_missing: bool = False) -> DataFrame:
+    """``(position, category, n)``: rows per category. Missing categories are
+    left out unless ``keep_missing``. The bar of the rest is told from a real
+    category of its name by " (rest)".
 
     With ``max_bars`` the largest ``max_bars`` categories are kept (ties →
     smaller key) by a top-k (TakeOrderedAndProject, no global sort) and
@@ -26,14 +30,17 @@ def bar_series(df: DataFrame, key: str, order: str = "key", max_bars: int | None
     ``order``: ``"key"`` (category ascending) or ``"count"`` (n descending,
     then key). ``position`` numbers the bars in that order (other last).
     """
-    counts = df.groupBy(_q(key).cast("string").alias("category")).agg(F.count("*").alias("n"))
+    counts = with_keys(df, [key], keep_missing).groupBy(_q(key).cast("string").alias("category")) \
+        .agg(F.count("*").alias("n"))
     if max_bars is not None:
         top = counts.orderBy(F.col("n").desc(), F.col("category").asc_nulls_last()).limit(max_bars)
         # total minus the top bars: two one-row sums meet in a union + sum
-        rest = (counts.select(F.col("n").alias("d"))
-                .unionByName(top.select((-F.col("n")).alias("d")))
-                .agg(F.sum("d").alias("n"))
-                .select(F.lit(other_label).alias("category"), "n")
+        named = (F.col("category") == other_label).alias("named")
+        rest = (counts.select(F.col("n").alias("d"), F.lit(False).alias("named"))
+                .unionByName(top.select((-F.col("n")).alias("d"), named))
+                .agg(F.sum("d").alias("n"), F.max("named").alias("named"))
+                .select(F.when(F.col("named"), F.lit(f"{other_label} (rest)"))
+                        .otherwise(F.lit(other_label)).alias("category"), "n")
                 .where(F.col("n") > 0))
         counts = top.withColumn("__other", F.lit(0)).unionByName(rest.withColumn("__other", F.lit(1)))
     else:

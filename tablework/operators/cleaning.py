@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tablework.functions.numbers import parse_currency as _currency
 from tablework.functions.numbers import parse_number, spark_type
 from tablework.functions.text import MISSING_WORDS, null_if_missing, strip_ws
-from tablework.session import spread
 
 
 def _q(name: str) -> Column:
@@ -27,8 +26,8 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Raise naming expected and found columns when any is missing."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns. Expected: {list(columns)}, "
-                         f"Found: {df.columns} (missing {missing})")
+        raise ValueError(f"column(s) {missing} not in the table, which has {df.columns}; "
+                         f"needed are {list(columns)}")
     return df
 
 
@@ -37,7 +36,7 @@ def coerce_numeric(df: DataFrame, column: str, to: str = "bigint",
     """Parse a text column as a number. Unparsable → NULL; with
     ``on_error="drop"`` the row is dropped (pandas ``to_numeric(errors=
     'coerce')`` + ``dropna`` + ``astype``)."""
-    out = spread(df).withColumn(column, parse_number(_q(column), to))
+    out = df.withColumn(column, parse_number(_q(column), to))
     if on_error == "drop":
         out = out.where(_q(column).isNotNull())
     elif on_error != "null":
@@ -81,8 +80,6 @@ def apply_schema(df: DataFrame, schema: Mapping[str, str] | T.StructType,
         raise ValueError("on_mismatch must be 'null', 'drop' or 'raise'")
     src = {f.name: f.dataType for f in df.schema.fields}
     require_columns(df, list(schema))
-    if any(isinstance(src[c], T.StringType) and t != "string" for c, t in schema.items()):
-        df = spread(df)                       # text parsing is the CPU-heavy part
     cols, bad = [], []
     for name in df.columns:
         if name in schema:
@@ -236,7 +233,10 @@ def clean_table(df: DataFrame, *, required: Sequence[str] = (), strip: Sequence[
         rules.append((f"invalid {col}", _q(col).isNull()))
     for col in drop_missing_in:
         if col not in (numeric or {}):
-            rules.append((f"missing {col}", _q(col).isNull()))
+            value = _q(col)
+            if isinstance(out.schema[col].dataType, (T.DoubleType, T.FloatType)):
+                value = F.nullif(value, F.lit(float("nan")))      # NaN is missing too
+            rules.append((f"missing {col}", value.isNull()))
     kept = out
     if rules:
         keep = ~F.greatest(*[r for _, r in rules]) if len(rules) > 1 else ~rules[0][1]

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tablework.functions.numbers import parse_number, spark_type
 from tablework.functions.text import strip_ws
+from tablework.operators.stats import no_nan
 
 
 def _q(name: str) -> Column:
@@ -90,7 +91,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct:
     """One row per column: ``(position, column, dtype, n_rows, n_null,
     n_distinct, min_value, max_value[, frequent])``.
 
-    Distinct counts are HyperLogLog++ sketches unless ``exact_distinct``;
+    NULL and NaN are missing. Distinct counts are HyperLogLog++ sketches unless
+    ``exact_distinct``;
     ``min``/``max`` are rendered as text. ``top_k > 0`` adds the most
     frequent values (one grouped count per column, top-k per column by
     ``TakeOrderedAndProject``), never the whole column.
@@ -99,21 +101,33 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct:
     aggs = [F.count("*").alias("__n")]
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        aggs.append(F.count_if(_q(c).isNull()).alias(f"nul{i}"))
-        d = F.count_distinct(_q(c)) if exact_distinct else F.approx_count_distinct(_q(c))
-        aggs.append(d.alias(f"dis{i}"))
+        present = no_nan(df, c)
+        aggs.append(F.count_if(present.isNull()).alias(f"nul{i}"))
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(present).alias(f"dis{i}"))
         if isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             aggs += [F.lit(None).cast("string").alias(f"min{i}"), F.lit(None).cast("string").alias(f"max{i}")]
         else:
-            aggs += [F.min(_q(c)).cast("string").alias(f"min{i}"), F.max(_q(c)).cast("string").alias(f"max{i}")]
+            aggs += [F.min(present).cast("string").alias(f"min{i}"), F.max(present).cast("string").alias(f"max{i}")]
     wide = df.agg(*aggs)
     entries = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                         F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                         F.col("__n").alias("n_rows"), F.col(f"nul{i}").alias("n_null"),
-                        F.col(f"dis{i}").cast("bigint").alias("n_distinct"),
+                        *([] if exact_distinct else [F.col(f"dis{i}").cast("bigint").alias("n_distinct")]),
                         F.col(f"min{i}").alias("min_value"), F.col(f"max{i}").alias("max_value"))
                for i, c in enumerate(cols)]
     out = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    if exact_distinct:
+        # each column's values are made distinct on their own (map-side combine,
+        # a scan of that column alone): several exact distincts in one aggregate
+        # would copy every row once per column
+        exact = None
+        for i, c in enumerate(cols):
+            one = df.select(no_nan(df, c).alias("v")).where("v IS NOT NULL").distinct() \
+                .agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(i).alias("position"), "n_distinct")
+            exact = one if exact is None else exact.unionByName(one)
+        out = out.join(exact, "position").select(
+            "position", "column", "dtype", "n_rows", "n_null", "n_distinct", "min_value", "max_value")
     if top_k > 0:
         freq = None
         for c in cols:

@@ -9,6 +9,7 @@ before the shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -62,7 +63,8 @@ def parse_number_text(s: Column) -> Column:
 def parse_answer(df: DataFrame, text: str, fmt: str | Column) -> DataFrame:
     """Typed parse of a result line by output format.
 
-    Adds ``num`` (number formats: int, else float), ``is_int``, ``str``
+    Adds ``num`` (number formats: int, else float), ``is_int``, ``int_value``
+    (an integer's exact value, up to 38 digits), ``str``
     (string format: one pair of matching outer quotes removed; other
     formats: the text) and ``json`` (json / json_object / json_array:
     parsed as VARIANT; failure → NULL).
@@ -78,6 +80,8 @@ def parse_answer(df: DataFrame, text: str, fmt: str | Column) -> DataFrame:
         "*",
         F.when(f == "number", parse_number_text(t)).alias("num"),
         F.when(f == "number", strip_ws(t).rlike(_INT_TEXT)).alias("is_int"),
+        F.when((f == "number") & strip_ws(t).rlike(_INT_TEXT),
+               F.regexp_replace(strip_ws(t), "_", "").try_cast("decimal(38,0)")).alias("int_value"),
         F.when(f == "string", unq).when(~is_json & (f != "number"), t).alias("str"),
         F.when(is_json, F.try_parse_json(t)).alias("json"))
 
@@ -112,62 +116,104 @@ KEY_FIELDS = ("item", "kind", "expected", "tolerance", "n_items", "weight")
 
 
 def _rubric_array(rows: Sequence[Mapping[str, Any]]) -> Column:
+    """A literal rubric. Expected values are JSON text or else plain text, as in
+    a key table: 10 and "10" mean the number, '"10"' the text."""
     return F.array(*[F.struct(
         F.lit(r.get("item", 0)).cast("int").alias("item"),
         F.lit(r["kind"]).cast("string").alias("kind"),
-        F.lit(None if r.get("expected") is None else str(r["expected"])).cast("string").alias("expected"),
+        F.lit(_expected(r)).cast("string").alias("expected"),
         F.lit(r.get("tolerance", 0.0)).cast("double").alias("tolerance"),
         F.lit(r.get("n_items")).cast("int").alias("n_items"),
         F.lit(r.get("weight", 1.0)).cast("double").alias("weight")) for r in rows])
 
 
+def _expected(r: Mapping[str, Any]) -> str | None:
+    value = r.get("expected")
+    if value is None:
+        return None
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+# Names of the number types of a VARIANT.
+_VARIANT_NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _is_number(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike(_VARIANT_NUMBER), F.lit(False))
+
+
+def _same(item: Column, expected: Column) -> Column:
+    """Equal values of one JSON type: numbers by value, texts without edge
+    white space. An expected text that is not JSON is a text."""
+    want = F.try_parse_json(expected)
+    want_text = F.when(want.isNull(), expected).when(F.schema_of_variant(want) == "STRING", _text(want))
+    number = lambda v: F.try_variant_get(v, "$", "double")
+    exact = lambda v: F.try_variant_get(v, "$", "decimal(38,0)")
+    as_number = number(item) == number(want)
+    whole = (F.schema_of_variant(item) == "BIGINT") & (F.schema_of_variant(want) == "BIGINT")
+    same = (F.when(want_text.isNotNull(),
+                   (F.schema_of_variant(item) == "STRING") & (strip_ws(_text(item)) == strip_ws(want_text)))
+            .when(_is_number(want), _is_number(item) & F.when(whole, exact(item) == exact(want)).otherwise(as_number))
+            .otherwise((F.schema_of_variant(item) == F.schema_of_variant(want)) & (_text(item) == _text(want))))
+    return F.coalesce(same, F.lit(False))
+
+
+def _check(k: Column, items: Column, n: Column) -> Column:
+    """Whether one line of a key holds for a parsed answer."""
+    item = F.try_element_at(items, k["item"] + 1)
+    value = F.when(_is_number(item), F.try_variant_get(item, "$", "double")) \
+        .when(F.schema_of_variant(item) == "STRING", parse_number_text(_text(item)))
+    want = parse_number_text(F.regexp_replace(k["expected"], '^"|"$', ""))
+    ok = (F.when(k["kind"] == "is_json", n == k["n_items"])
+          .when(k["kind"] == "equals", _same(item, k["expected"]))
+          .when(k["kind"] == "regex", F.regexp(_text(item), F.concat(F.lit("(?i)"), k["expected"])))
+          .when(k["kind"] == "within", F.abs(value - want) <= k["tolerance"]))
+    return F.coalesce(ok, F.lit(False))
+
+
 def grade(submissions: DataFrame, key: DataFrame | Sequence[Mapping[str, Any]], *,
           submission: str = "submission_id", answer: str = "answer",
           rubric: str = "rubric") -> DataFrame:
-    """Score JSON-array submissions against an answer key.
+    """Score JSON-array submissions against an answer key, row by row.
 
     Key rows: ``(item INT (0-based), kind, expected STRING, tolerance
     DOUBLE, n_items INT, weight DOUBLE)`` with kinds ``is_json`` (gate: the
-    answer is a JSON array of ``n_items`` items), ``equals`` (item text
-    equals expected), ``regex`` (case-insensitive search), ``within``
-    (|item - expected| <= tolerance). A failed gate zeroes the submission.
-
-    ``key`` is either a literal rubric (list of dicts, applied to every
-    submission by exploding it in place) or a key table with a ``rubric``
-    column that submissions share, equi-joined on it. Output
-    ``(submission, score, max_score, gate_ok, passed, checks)``.
+    answer is a JSON array of ``n_items`` items), ``equals`` (item equals
+    expected, type and value: the text "1" is not the number 1, and 1.0 is),
+    ``regex`` (case-insensitive search in the item's text), ``within``
+    (|item - expected| <= tolerance, of a number or a text that is one). A
+    failed gate zeroes the submission.
+
+    ``key`` is either a literal rubric (list of dicts) or a key table with a
+    ``rubric`` column that submissions share: its lines are gathered per rubric
+    and equi-joined. Either way the lines meet a submission inside its row, so
+    nothing is multiplied or grouped back, and submissions of one id stay
+    apart. ``expected`` is JSON text or else plain text.
+    Output ``(submission, score, max_score, gate_ok, passed, checks)``.
     """
     ans = _q(answer)
-    # parsed once per submission, before the rubric multiplies the rows;
-    # json_array_length is NULL for invalid JSON and for non-arrays
+    # NULL for invalid JSON and for values that are no array
     parsed = [_q(submission).alias("__sid"), F.json_array_length(ans).alias("__n"),
-              F.from_json(ans, "array<string>").alias("__items")]     # scalars as their JSON text
+              F.try_variant_get(F.try_parse_json(ans), "$", "array<variant>").alias("__items")]
     if isinstance(key, DataFrame):
-        subs = submissions.select(*parsed, _q(rubric).alias("__rubric"))
-        checks = subs.join(key.select(_q(rubric).alias("__rubric"), *KEY_FIELDS), "__rubric")
+        lines = key.groupBy(_q(rubric).alias("__rubric")).agg(
+            F.collect_list(F.struct(*KEY_FIELDS)).alias("__key"))
+        rows = submissions.select(*parsed, _q(rubric).alias("__rubric")).join(lines, "__rubric")
     else:
-        checks = submissions.select(*parsed, F.explode(_rubric_array(key)).alias("__k")).select(
-            "__sid", "__n", "__items", *[F.col(f"__k.{f}").alias(f) for f in KEY_FIELDS])
-    item_text = F.try_element_at(F.col("__items"), F.col("item") + 1)
-    item_num = item_text.try_cast("double")
-    kind = F.col("kind")
-    ok = (F.when(kind == "is_json", F.coalesce(F.col("__n") == F.col("n_items"), F.lit(False)))
-          .when(kind == "equals", F.coalesce(strip_ws(item_text) == strip_ws(F.col("expected")), F.lit(False)))
-          .when(kind == "regex", F.coalesce(F.regexp(item_text, F.concat(F.lit("(?i)"), F.col("expected"))),
-                                            F.lit(False)))
-          .when(kind == "within", F.coalesce(
-              F.abs(item_num - F.col("expected").try_cast("double")) <= F.col("tolerance"), F.lit(False)))
-          .otherwise(F.lit(False)))
-    gate = kind == "is_json"
-    scored = checks.select("__sid", gate.alias("is_gate"), F.col("weight"), ok.alias("ok"))
-    g = F.col("is_gate")
-    return (scored.groupBy("__sid")
-            .agg(F.sum(F.when(~g, F.col("weight")).otherwise(0.0)).alias("max_score"),
-                 F.min(F.when(g, F.col("ok"))).alias("gate"),
-                 F.sum(F.when(~g & F.col("ok"), F.col("weight")).otherwise(0.0)).alias("raw"),
-                 F.count_if(F.col("ok") & ~g).alias("passed"),
-                 F.count_if(~g).alias("checks"))
-            .select(F.col("__sid").alias(submission),
-                    F.when(F.coalesce(F.col("gate"), F.lit(True)), F.col("raw")).otherwise(0.0).alias("score"),
-                    "max_score", F.coalesce(F.col("gate"), F.lit(True)).alias("gate_ok"),
-                    "passed", "checks"))
+        rows = submissions.select(*parsed).withColumn("__key", _rubric_array(key))
+    checked = rows.select("__sid", F.transform("__key", lambda k: F.struct(
+        (k["kind"] == "is_json").alias("gate"), k["weight"].alias("weight"),
+        _check(k, F.col("__items"), F.col("__n")).alias("ok"))).alias("__c"))
+    gates, scored = (F.filter("__c", lambda c: c["gate"]), F.filter("__c", lambda c: ~c["gate"]))
+    gate_ok = F.forall(gates, lambda c: c["ok"])
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, c: s + c["weight"])
+    passed = F.filter(scored, lambda c: c["ok"])
+    return checked.select(
+        F.col("__sid").alias(submission),
+        F.when(gate_ok, total(passed)).otherwise(0.0).alias("score"), total(scored).alias("max_score"),
+        gate_ok.alias("gate_ok"), F.size(passed).cast("bigint").alias("passed"),
+        F.size(scored).cast("bigint").alias("checks"))

@@ -32,7 +32,7 @@ def _pred(predicate: Column | str) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
-def _no_nan(df: DataFrame, column: str) -> Column:
+def no_nan(df: DataFrame, column: str) -> Column:
     """The column, with NaN as missing for floating types (pandas skips NaN
     in mean/min/max; Spark would return NaN)."""
     c = _c(column)
@@ -50,16 +50,16 @@ def filtered_count_aggs(df: DataFrame, predicate: Column | str) -> Named:
 
 
 def count_distinct_aggs(df: DataFrame, column: str, approx: bool = False, rsd: float = 0.01) -> Named:
-    c = _c(column)
+    c = no_nan(df, column)
     return [("n_distinct", F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c))]
 
 
 def global_mean_aggs(df: DataFrame, column: str) -> Named:
-    return [("mean", F.avg(_no_nan(df, column)))]
+    return [("mean", F.avg(no_nan(df, column)))]
 
 
 def min_max_aggs(df: DataFrame, column: str) -> Named:
-    c = _no_nan(df, column)
+    c = no_nan(df, column)
     return [("min_value", F.min(c)), ("max_value", F.max(c))]
 
 
@@ -108,13 +108,23 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
     return _agg(df, min_max_aggs(df, column))
 
 
-def group_counts(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def with_keys(df: DataFrame, keys: Sequence[str], keep_missing: bool = False) -> DataFrame:
+    """The rows whose group keys are all present (NULL and NaN are missing, as
+    in a pandas group-by); ``keep_missing`` keeps them as a group of their own."""
+    if keep_missing:
+        return df
+    for k in keys:
+        df = df.where(no_nan(df, k).isNotNull())
+    return df
+
+
+def group_counts(df: DataFrame, key: str | Sequence[str], keep_missing: bool = False) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*[_c(k) for k in keys]).agg(F.count("*").alias("n"))
+    return with_keys(df, keys, keep_missing).groupBy(*[_c(k) for k in keys]).agg(F.count("*").alias("n"))
 
 
-def group_mean(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.groupBy(_c(key)).agg(F.avg(_no_nan(df, column)).alias("mean"))
+def group_mean(df: DataFrame, key: str, column: str, keep_missing: bool = False) -> DataFrame:
+    return with_keys(df, [key], keep_missing).groupBy(_c(key)).agg(F.avg(no_nan(df, column)).alias("mean"))
 
 
 def top_groups(df: DataFrame, key: str, k: int = 1) -> DataFrame:
@@ -169,17 +179,14 @@ def pattern_counts(df: DataFrame, column: str, patterns: dict[str, tuple[str | N
     """Rows (``per="row"``) or distinct keys (``per="key"``) matching each
     named prefix/suffix pattern, all in one aggregate:
     ``patterns={"ends_E": (None, "E"), "starts_8": ("8", None)}``."""
+    if per not in ("row", "key"):
+        raise ValueError("per must be 'row' or 'key'")
     c = _c(column)
-    aggs = []
-    for name, (starts, ends) in patterns.items():
-        pred = _pattern(c, starts, ends)
-        if per == "row":
-            aggs.append(F.count_if(pred).alias(name))
-        elif per == "key":
-            aggs.append(F.count_distinct(F.when(pred, c)).alias(name))
-        else:
-            raise ValueError("per must be 'row' or 'key'")
-    return df.agg(*aggs)
+    # per key: keys are made distinct once, with map-side combine, and then
+    # every pattern is a count over the keys
+    rows = df if per == "row" else df.select(c.alias(column)).distinct()
+    return rows.agg(*[F.count_if(_pattern(c, starts, ends)).alias(name)
+                      for name, (starts, ends) in patterns.items()])
 
 
 def discover_patterns(df: DataFrame, column: str, min_rows: int = 1) -> DataFrame:
@@ -233,7 +240,7 @@ def delay_trend(df: DataFrame, start: str, end: str, year: Column | str | None =
                 where: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
     """Days from ``start`` to ``end`` (sign kept) against year.
 
-    Returns ``(summary, by_year)``: summary rows ``(method, slope,
+    Only rows with a year and both dates count. Returns ``(summary, by_year)``: summary rows ``(method, slope,
     intercept)`` for the row-level fit of delay on year and for the fit of
     the per-year mean delays (the question has both readings);
     ``by_year`` has ``(year, n, avg_delay)``. Year defaults to the year of
@@ -244,24 +251,21 @@ def delay_trend(df: DataFrame, start: str, end: str, year: Column | str | None =
     yr = F.year(_c(start)) if year is None else (F.col(year) if isinstance(year, str) else year)
     rows = df.select(yr.cast("int").alias("year"),
                      F.datediff(_c(end).cast("date"), _c(start).cast("date")).cast("double").alias("delay"))
-    by_year = rows.groupBy("year").agg(F.count("*").alias("n"), F.avg("delay").alias("avg_delay"))
-    # Both fits come from the per-year table, so the data is read once.
-    # Year is constant inside a group, so the row-level fit only needs each
-    # year's count and mean; sums are centred on the weighted means (window
-    # over the per-year table: one row per calendar year) to avoid
-    # cancellation.
-    from pyspark.sql import Window
+    rows = rows.where(F.col("year").isNotNull() & F.col("delay").isNotNull())
+    # Both fits come from one grouped pass: a year's rows share their x, so the
+    # row-level fit needs each year's count and mean only, and its sums are one
+    # aggregate over the per-year table.
+    by_year = rows.groupBy("year").agg(F.count("delay").alias("n"), F.avg("delay").alias("avg_delay"))
     x, n, m = F.col("year").cast("double"), F.col("n").cast("double"), F.col("avg_delay")
-    whole = Window.partitionBy()
-    centred = by_year.select(
-        x.alias("x"), n.alias("w"), m.alias("m"),
-        (F.sum(n * x).over(whole) / F.sum(n).over(whole)).alias("xbar"),
-        (F.sum(n * m).over(whole) / F.sum(n).over(whole)).alias("ybar"))
-    dx, dy = F.col("x") - F.col("xbar"), F.col("m") - F.col("ybar")
-    sxx, sxy = F.sum(F.col("w") * dx * dx), F.sum(F.col("w") * dx * dy)
-    slope = F.when(sxx > 0, sxy / sxx)
-    fits = centred.agg(slope.alias("s1"), (F.first("ybar") - slope * F.first("xbar")).alias("i1"),
-                       F.regr_slope("m", "x").alias("s2"), F.regr_intercept("m", "x").alias("i2"))
+    base = F.lit(2000.0)          # years near zero, so that the plain sums do not cancel
+    u = x - base
+    sums = by_year.agg(F.sum(n).alias("w"), F.sum(n * u).alias("wx"), F.sum(n * m).alias("wy"),
+                       F.sum(n * u * u).alias("wxx"), F.sum(n * u * m).alias("wxy"),
+                       F.regr_slope(m, x).alias("s2"), F.regr_intercept(m, x).alias("i2"))
+    det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
+    slope = F.when(det > 0, (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / det)
+    fits = sums.select(slope.alias("s1"),
+                       ((F.col("wy") - slope * F.col("wx")) / F.col("w") - slope * base).alias("i1"), "s2", "i2")
     summary = fits.select(F.explode(F.array(
         F.struct(F.lit("row_level").alias("method"), F.col("s1").alias("slope"), F.col("i1").alias("intercept")),
         F.struct(F.lit("of_year_means").alias("method"), F.col("s2").alias("slope"),
@@ -286,7 +290,7 @@ def chi_square(df: DataFrame, a: str, b: str, with_p_value: bool = True) -> Data
     o = F.col("o").cast("double")
     sums = (pairs.join(ra, "a").join(cb, "b")
             .agg(F.sum("o").cast("double").alias("n"),
-                 F.sum(o * o / (F.col("ra") * F.col("cb"))).alias("s"),
+                 F.sum(o * o / (F.col("ra").cast("double") * F.col("cb").cast("double"))).alias("s"),
                  F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb")))
     out = sums.select(
         (F.col("n") * F.col("s") - F.col("n")).alias("statistic"),

@@ -24,9 +24,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Catalyst broadcasts only below this *estimated* size; AQE re-checks it
-    # with runtime statistics, so a side that turns out large is shuffled.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
@@ -85,26 +82,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{uuid.uuid4().hex[:12]}/{name}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy row work.
-
-    Parsers (HTML, workbooks, archives) and text-to-number parsing cost far
-    more per byte than the round-robin shuffle that feeds them; when the
-    input has fewer partitions than the cluster has cores (one small file
-    with one row group, say) it is redistributed. Inputs that already have
-    enough partitions, as any large input does, are left alone, so at scale
-    this adds no shuffle.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect)
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 _SHIPPED: set[str] = set()
 
 

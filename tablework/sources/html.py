@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.session import spread
 
 TABLE_ROW_SCHEMA = "{key} {key_type}, table_idx INT, row_idx INT, is_header BOOLEAN, cells ARRAY<STRING>"
 ELEMENT_SCHEMA = "{key} {key_type}, elem_idx INT, parent STRING, text STRING, attr STRING"
@@ -133,7 +132,7 @@ def extract_html_tables(pages: DataFrame, *, key: str = "page_id", html_col: str
                             out.append((k, t_idx, r_idx, is_header, cells))
             yield pd.DataFrame(out, columns=cols)
 
-    return spread(pages.select(key, html_col)).mapInPandas(run, schema)
+    return pages.select(key, html_col).mapInPandas(run, schema)
 
 
 class _ElementParser(HTMLParser):
@@ -211,7 +210,7 @@ def extract_html_elements(pages: DataFrame, tag: str, *, key: str = "page_id",
                     out.append((k, i, par, text, a))
             yield pd.DataFrame(out, columns=cols)
 
-    return spread(pages.select(key, html_col)).mapInPandas(run, schema)
+    return pages.select(key, html_col).mapInPandas(run, schema)
 
 
 # Fixed value: the source-URL pattern (http(s), ftp, gs, s3 up to whitespace).
@@ -240,7 +239,7 @@ def url_class(url: Column) -> Column:
 
 def harvest_urls(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """All source URLs in a text column → ``(*keep, url, scheme, host, kind)``."""
-    found = spread(df.select(*keep, text_col)).select(
+    found = df.select(*keep, text_col).select(
         *keep, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(URL_PATTERN), F.lit(1))).alias("url"))
     return found.select(
         *keep, "url",

@@ -62,7 +62,7 @@ def test_csv_split_and_clean_report(spark, tmp_dir):
 
 def test_require_columns_message(spark):
     df = spark.createDataFrame([(1,)], "a int")
-    with pytest.raises(ValueError, match="Expected"):
+    with pytest.raises(ValueError, match="not in the table"):
         C.require_columns(df, ["a", "b"])
 
 

@@ -6,7 +6,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from core import core_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def plan_text(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: plan_text(fn(spark, SF)) for k, fn in E.queries().items()}
+    return {k: plan_text(fn(spark, SF)) for k, fn in core_queries().items()}
 
 
 def test_no_cross_products_anywhere(plans):

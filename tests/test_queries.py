@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
-import __spark_entry__ as E  # noqa: E402
+from core import core_queries, core_sql  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -19,9 +19,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(core_queries()))
 def test_query_matches_oracle(spark, con, key):
-    r = compare(spark, con, key, E.queries()[key], E.oracle_sql().get(key), SF)
+    r = compare(spark, con, key, core_queries()[key], core_sql().get(key), SF)
     assert r["status"] in ("ok", "rows-only"), r
 
 
@@ -29,10 +29,10 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "binary": "BLOB"}
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(core_sql()))
 def test_query_types_match_oracle(spark, con, key):
-    df = E.queries()[key](spark, SF)
+    df = core_queries()[key](spark, SF)
     spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
                    for f in df.schema.fields}
-    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {core_sql()[key]}").fetchall()}
     assert spark_types == duck_types

@@ -5,6 +5,7 @@ import json
 import pytest
 
 import __spark_entry__ as E
+from core import core_queries, core_sql
 from tablework.plans.queries import flagship_spec
 from tablework.plans.report import final_answer, run_report_job
 
@@ -50,7 +51,7 @@ def test_entry_smoke(spark):
 
 
 def test_registered_keys_have_sql_except_documented():
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = core_queries(), core_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"linear_model", "report_job"}
 
