@@ -1,10 +1,10 @@
 """Typed JSON answers (#71-#72).
 
-An answer is JSON text in one row. It is built only after an aggregate
-has shrunk the data: the input is cut to ``cap + 1`` rows by a limit
-before any list is gathered, and more than ``cap`` rows fail the job
-instead of pulling a large frame into one task. Large results belong in a
-table sink, not in an answer.
+``format_answer`` makes one JSON text of a result that is bounded by what was
+asked (a figure, a top-k, a description, the groups of a declared category).
+There is no cap: every row of the result is in the text. A result with a row
+per key of an unbounded column is written as rows instead (``answer_rows``):
+one element per row, made and written by many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANSWER_CAP = 10_000
 FORMATS = ("number", "string", "json_array", "json_object", "records")
 
 
@@ -27,21 +26,36 @@ def json_scalar(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
 
 
-def _bounded_list(df: DataFrame, item: Column, order: Sequence[Column], cap: int) -> DataFrame:
-    keyed = df.limit(cap + 1).select(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)],
-                                              item.alias("v")).alias("e"))
-    items = F.array_sort(F.collect_list("e"))
-    checked = F.when(F.size(items) > F.lit(cap),
-                     F.raise_error(F.lit(f"answer has more than {cap} rows; write it as a table")))\
-        .otherwise(items)
-    return keyed.agg(F.transform(checked, lambda e: e["v"]).alias("items"))
+def _listed(df: DataFrame, item: Column, order: Sequence[Column]) -> DataFrame:
+    keyed = df.select(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], item.alias("v")).alias("e"))
+    return keyed.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("items"))
 
 
-def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = None,
-                  cap: int = ANSWER_CAP) -> DataFrame:
+def _first(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    return df.orderBy(*order).limit(1)
+
+
+def _key(c: Column) -> Column:
+    """A key of a JSON object; a missing one is called null."""
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def answer_rows(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+    """A list-valued result as rows ``(position, element)``: JSON text of every
+    row (of a single column: the value), with positions that grow in the order
+    of ``order_by`` (default: all columns) and may leave gaps. The order is a
+    range partitioning; nothing meets in one task."""
+    cols = df.columns
+    one = F.struct(*[_q(c) for c in cols])
+    element = json_scalar(_q(cols[0])) if len(cols) == 1 else F.to_json(one)
+    return df.orderBy(*[_q(c) for c in (order_by or cols)]).select(
+        F.monotonically_increasing_id().alias("position"), element.alias("element"))
+
+
+def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = None) -> DataFrame:
     """One result frame → one row ``(output_format, answer)``.
 
-    ``number`` / ``string``: first column of the single row (NULL answer
+    ``number`` / ``string``: first column of the first row (NULL answer
     when the frame is empty). ``json_array``: a one-column frame becomes a
     list of values, a wider frame a list of records. ``json_object``: a
     two-column frame becomes ``{key: value}``; a one-row frame becomes the
@@ -54,19 +68,18 @@ def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = N
     if fmt in ("number", "string"):
         v = _q(cols[0])
         val = v.cast("string") if fmt == "number" else json_scalar(v.cast("string"))
-        one = _bounded_list(df, val, order, 1)
+        one = _listed(_first(df, order), val, order)
         ans = F.try_element_at(F.col("items"), F.lit(1))
     elif fmt in ("json_array", "records"):
         item = _q(cols[0]) if (len(cols) == 1 and fmt == "json_array") else F.struct(*[_q(c) for c in cols])
-        one = _bounded_list(df, item, order, cap)
+        one = _listed(df, item, order)
         ans = F.to_json(F.col("items"))
     elif fmt == "json_object":
         if len(cols) == 2:
-            one = _bounded_list(df, F.struct(_q(cols[0]).cast("string").alias("k"), _q(cols[1]).alias("v")),
-                                order, cap)
+            one = _listed(df, F.struct(_key(_q(cols[0])).alias("k"), _q(cols[1]).alias("v")), order)
             ans = F.to_json(F.map_from_entries(F.col("items")))
         else:
-            one = _bounded_list(df, F.struct(*[_q(c) for c in cols]), order, 1)
+            one = _listed(_first(df, order), F.struct(*[_q(c) for c in cols]), order)
             ans = F.to_json(F.try_element_at(F.col("items"), F.lit(1)))
     else:
         raise ValueError(f"unknown output format {fmt!r}; use one of {FORMATS}")
@@ -88,13 +101,13 @@ def answer_expr(cols: Sequence[tuple[str, Column]], fmt: str) -> Column:
         return F.to_json(F.array(F.struct(*named)))
     if fmt == "json_object":
         if len(cols) == 2:
-            return F.to_json(F.create_map(cols[0][1].cast("string"), cols[1][1]))
+            return F.to_json(F.create_map(_key(cols[0][1]), cols[1][1]))
         return F.to_json(F.struct(*named))
     raise ValueError(f"unknown output format {fmt!r}; use one of {FORMATS}")
 
 
 def assemble(answers: DataFrame, fmt: str = "json_array", *, order: str = "task_id",
-             key: str = "qid", value: str = "answer", cap: int = ANSWER_CAP) -> DataFrame:
+             key: str = "qid", value: str = "answer") -> DataFrame:
     """All answers (JSON text per task) → one final text.
 
     ``json_array``: ``[a1, a2, ...]``; ``array_of_strings``: every answer
@@ -103,17 +116,17 @@ def assemble(answers: DataFrame, fmt: str = "json_array", *, order: str = "task_
     """
     o = [_q(order)]
     if fmt == "json_array":
-        lst = _bounded_list(answers, F.coalesce(_q(value), F.lit("null")), o, cap)
+        lst = _listed(answers, F.coalesce(_q(value), F.lit("null")), o)
         out = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
     elif fmt == "array_of_strings":
-        lst = _bounded_list(answers, _q(value), o, cap)
+        lst = _listed(answers, _q(value), o)
         out = F.to_json(F.transform("items", lambda s: F.coalesce(s, F.lit("null"))))
     elif fmt == "json_object":
-        lst = _bounded_list(answers, F.concat(json_scalar(_q(key).cast("string")), F.lit(":"),
-                                              F.coalesce(_q(value), F.lit("null"))), o, cap)
+        lst = _listed(answers, F.concat(json_scalar(_q(key).cast("string")), F.lit(":"),
+                                              F.coalesce(_q(value), F.lit("null"))), o)
         out = F.concat(F.lit("{"), F.array_join("items", ","), F.lit("}"))
     elif fmt == "string":
-        lst = _bounded_list(answers, F.coalesce(_q(value), F.lit("")), o, cap)
+        lst = _listed(answers, F.coalesce(_q(value), F.lit("")), o)
         out = F.array_join("items", "\n")
     else:
         raise ValueError(f"unknown final format {fmt!r}")

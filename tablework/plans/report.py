@@ -16,17 +16,25 @@ A report spec is plain data (never code that is executed):
       "final_output_format": {"format": "json_array"},
     }
 
-Sources are loaded lazily and cleaned once (a cleaned source that several
-tasks share is cached); every task becomes a lazy
-DataFrame over its cleaned source, shaped into a one-row answer, and all
-answers are one union, so Spark runs the whole report as one plan with
-shared scans (``ReuseExchange``) and only one-row answers reach the driver.
-A missing top-level key raises; a source that fails to load fails the job;
-a task that fails to plan becomes an error entry and the others continue.
+Sources are loaded lazily and cleaned; every task becomes a DataFrame over its
+cleaned source, shaped into answer rows, and all answers are one union, so
+Spark runs the whole report as one plan with shared scans (``ReuseExchange``).
+The answers are written to the shared folder and read from there. A source
+that fails to load or to validate fails the job, as does a missing top-level
+key. A task that fails, when it is planned or when it runs, becomes an error
+entry with the full message and the others continue: should the union fail,
+every task is run and written on its own.
+
+A task whose result has a row per key of an unbounded column (``LISTED_OPS``)
+and whose output format is ``json`` or ``rows`` answers with one row per
+element, numbered by ``position``; the formats ``json_array``, ``json_object``
+and ``records`` ask for one text.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -35,20 +43,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.operators import charts, quality, relational, stats
-from tablework.operators.answers import answer_expr, assemble, format_answer, json_scalar
+from tablework.operators.answers import answer_expr, answer_rows, assemble, format_answer, json_scalar
 from tablework.operators.cleaning import apply_schema, clean_table
+from tablework.session import scratch_path, shared_dir
 from tablework.sources.files import load_table
 
 REQUIRED_KEYS = ("sourcing_plan", "analysis_plan", "final_output_format")
-ANSWER_SCHEMA = "task_id INT, qid STRING, output_format STRING, answer STRING, error STRING"
+ANSWER_SCHEMA = "task_id INT, qid STRING, output_format STRING, position LONG, answer STRING, error STRING"
+ANSWER_COLUMNS = ["task_id", "qid", "output_format", "position", "answer", "error"]
+
+# Ops whose result grows with the number of keys or rows of their source.
+LISTED_OPS = {"group_count", "group_mean", "having_count", "size_histogram", "pattern_discovery",
+              "sort_by_key", "bar_series", "scatter_series", "sql"}
 
 # Defaults of optional task fields.
 TASK_DEFAULTS = {"output_format": "json", "params": {}, "round": None}
 
 
 def _sql(df: DataFrame, query: str, view: str = "source", args: Mapping[str, Any] | None = None) -> DataFrame:
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(query, args=dict(args) if args else None)
+    """One SELECT over the source, which the query knows as ``view``. The source
+    stands behind a private view, so no view of the session is replaced."""
+    found = re.match(r"\s*(SELECT|WITH)\b(.*)", query, re.IGNORECASE | re.DOTALL)
+    if not found or ";" in query.rstrip().rstrip(";"):
+        raise ValueError("an sql task is a single SELECT statement")
+    private = f"__tablework_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(private)
+    head = f"WITH {view} AS (SELECT * FROM {private})"
+    text = query.rstrip().rstrip(";")
+    whole = f"{head}, {found[2].rstrip().rstrip(';')}" if found[1].upper() == "WITH" else f"{head} {text}"
+    return df.sparkSession.sql(whole, args=dict(args) if args else None)
 
 
 # Op name → function(df, **params) → DataFrame. Every op is a lazy plan.
@@ -90,24 +113,15 @@ def check_spec(spec: Mapping[str, Any]) -> None:
         raise ValueError("sourcing_plan and analysis_plan must be lists")
 
 
-def _uses(spec_tasks: list[Mapping[str, Any]]) -> dict[str, int]:
-    n: dict[str, int] = {}
-    for t in spec_tasks:
-        n[t.get("source")] = n.get(t.get("source"), 0) + 1
-    return n
-
-
-def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]],
-                 uses: Mapping[str, int] | None = None) -> dict[str, DataFrame]:
+def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]]) -> dict[str, DataFrame]:
     """Load and clean every source; any failure fails the job.
 
-    Gate rules are checked without a pass over the data: ``required``
-    columns against the schema, ``non_empty`` with a one-row probe. Other
-    validation rules are reported by the ``validate`` op, not gated.
-    ``persist``: ``"auto"`` (default) caches a cleaned source that several
-    tasks read when its cleaning shuffles (dedupe), so the report runs the
-    shuffle once; ``"cache"``, ``"checkpoint"`` (reliable copy in the
-    shared checkpoint folder, lineage cut) and ``"none"`` force a choice.
+    ``validate`` rules act: ``required`` columns are checked against the
+    schema, ``non_empty`` with a one-row probe, ``types``, ``not_null`` and
+    ``unique`` with the aggregates of ``quality.validate``, before cleaning; a
+    violation fails the job. ``persist``: ``"none"`` (default) or
+    ``"checkpoint"`` (a reliable copy of the cleaned source in the shared
+    folder, lineage cut).
     """
     frames: dict[str, DataFrame] = {}
     for src in sourcing:
@@ -117,7 +131,7 @@ def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]],
         kind = s.pop("kind", None)
         clean = s.pop("clean", None)
         rules = s.pop("validate", None) or {}
-        persist = s.pop("persist", "auto")
+        persist = s.pop("persist", "none")
         declared = s.pop("schema", None)
         s.setdefault("nan_as_null", True)         # pandas missing semantics for reports
         df = load_table(spark, path, kind, **s)
@@ -126,15 +140,26 @@ def load_sources(spark: SparkSession, sourcing: list[Mapping[str, Any]],
             raise ValueError(f"source {name!r} lacks required columns {missing}; found {df.columns}")
         if rules.get("non_empty") and not df.limit(1).collect():
             raise ValueError(f"source {name!r} is empty")
+        acting = {k: rules[k] for k in ("types", "not_null", "unique") if rules.get(k)}
+        if acting:
+            named = [*acting.get("types", {}), *acting.get("not_null", [])] + [
+                c for key in acting.get("unique", []) for c in ([key] if isinstance(key, str) else key)]
+            absent = [c for c in named if c not in df.columns]
+            if absent:
+                raise ValueError(f"source {name!r} lacks validated columns {absent}; found {df.columns}")
+            failed = quality.validate(df, acting).where("NOT passed").collect()     # a row per rule
+            if failed:
+                raise ValueError(f"source {name!r} fails validation: " + "; ".join(
+                    f"{r['rule']} {r['column']}: {r['violations']} rows" for r in failed))
         if isinstance(declared, Mapping):
             df = apply_schema(df, declared)
         if clean:
             df, _ = clean_table(df, **clean)
-        shared = (uses or {}).get(name, 0) > 1
         if persist == "checkpoint":
+            shared_dir(spark)
             df = df.checkpoint(eager=True)
-        elif persist == "cache" or (persist == "auto" and shared and clean and clean.get("dedupe")):
-            df = df.cache()
+        elif persist != "none":
+            raise ValueError(f"persist of source {name!r} must be 'none' or 'checkpoint'")
         frames[name] = df
     return frames
 
@@ -242,6 +267,7 @@ def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any
             rows.append(F.struct(F.lit(tid).alias("task_id"),
                                  F.lit(str(t.get("qid", t.get("question_id", f"q{tid}")))).alias("qid"),
                                  F.lit(fmt).alias("output_format"),
+                                 F.lit(None).cast("long").alias("position"),
                                  answer_expr(cols, "json_array" if fmt == "json" else fmt).alias("answer"),
                                  F.lit(None).cast("string").alias("error")))
             done.add(pos)
@@ -249,42 +275,76 @@ def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any
     return branches, done
 
 
+def _answer(frames: Mapping[str, DataFrame], task: Mapping[str, Any], tid: int, qid: str) -> DataFrame:
+    fmt = task.get("output_format", TASK_DEFAULTS["output_format"])
+    result = task_frame(frames, task)
+    if fmt == "rows" or (fmt == "json" and task["op"] in LISTED_OPS):
+        got = answer_rows(result).withColumnRenamed("element", "answer")
+    else:
+        got = format_answer(result, "json_array" if fmt == "json" else fmt) \
+            .withColumn("position", F.lit(None).cast("long"))
+    return got.select(F.lit(tid).alias("task_id"), F.lit(qid).alias("qid"), F.lit(fmt).alias("output_format"),
+                      "position", "answer", F.lit(None).cast("string").alias("error"))
+
+
+def _error(spark: SparkSession, task: Mapping[str, Any], tid: int, qid: str, exc: Exception) -> DataFrame:
+    fmt = task.get("output_format", TASK_DEFAULTS["output_format"])
+    return spark.createDataFrame([(tid, qid, fmt, None, None, f"{type(exc).__name__}: {exc}")], ANSWER_SCHEMA)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Answers, computed once and kept in the shared folder."""
+    path = scratch_path(df.sparkSession, "answers")
+    df.select(*ANSWER_COLUMNS).write.parquet(path)
+    return df.sparkSession.read.schema(ANSWER_SCHEMA).parquet(path)
+
+
+def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], ANSWER_SCHEMA)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def run_report_job(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
-    """Answers ``(task_id, qid, output_format, answer, error)``, one row per
-    task. ``answer`` is JSON text. Scalar tasks on the same source share one
-    aggregate pass (scan sharing)."""
+    """Answers ``(task_id, qid, output_format, position, answer, error)``: one
+    row per task, or one per element of a list-valued one. ``answer`` is JSON
+    text. Scalar tasks on the same source share one aggregate pass."""
     check_spec(spec)
     tasks = spec["analysis_plan"]
-    frames = load_sources(spark, spec["sourcing_plan"], _uses(tasks))
-    parts, fused = _fused_answers(frames, tasks)
+    frames = load_sources(spark, spec["sourcing_plan"])
+    named = []
     for pos, task in enumerate(tasks):
+        tid = int(task.get("task_id", pos + 1))
+        named.append((task, tid, str(task.get("qid", task.get("question_id", f"q{tid}")))))
+    parts, fused = _fused_answers(frames, tasks)
+    for pos, (task, tid, qid) in enumerate(named):
         if pos in fused:
             continue
-        tid = int(task.get("task_id", pos + 1))
-        qid = str(task.get("qid", task.get("question_id", f"q{tid}")))
-        fmt = task.get("output_format", TASK_DEFAULTS["output_format"])
-        fmt_for = "json_array" if fmt == "json" else fmt
         try:
-            ans = format_answer(task_frame(frames, task), fmt_for)
-            parts.append(ans.select(F.lit(tid).alias("task_id"), F.lit(qid).alias("qid"),
-                                    F.lit(fmt).alias("output_format"), "answer",
-                                    F.lit(None).cast("string").alias("error")))
-        except Exception as exc:  # planning error of one task → error entry
-            parts.append(spark.createDataFrame(
-                [(tid, qid, fmt, None, f"{type(exc).__name__}: {str(exc)[:200]}")], ANSWER_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], ANSWER_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            parts.append(_answer(frames, task, tid, qid))
+        except Exception as exc:  # planning error of one task -> error entry
+            parts.append(_error(spark, task, tid, qid, exc))
+    try:
+        return _written(_union(spark, parts))
+    except Exception:             # some task fails when it runs: find out which
+        alone = []
+        for task, tid, qid in named:
+            try:
+                alone.append(_written(_answer(frames, task, tid, qid)))
+            except Exception as exc:
+                alone.append(_error(spark, task, tid, qid, exc))
+        return _union(spark, alone)
 
 
 def final_answer(spec: Mapping[str, Any], answers: DataFrame) -> DataFrame:
     """The final text in the declared format (failed tasks as ``null`` /
-    ``"ERROR: ..."`` strings)."""
+    ``"ERROR: ..."`` strings). Tasks that answered with rows are tables of
+    their own and stay out of it."""
     fmt = spec["final_output_format"].get("format", "json_array")
     err = json_scalar(F.concat(F.lit("ERROR: "), F.col("error")))
-    shaped = answers.select("task_id", "qid",
+    shaped = answers.where("position IS NULL").select("task_id", "qid",
                             F.when(F.col("error").isNull(), F.col("answer")).otherwise(err).alias("answer"))
     return assemble(shaped, fmt)

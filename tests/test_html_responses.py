@@ -102,7 +102,7 @@ def test_grade(spark):
                    "wrong": (0.0, True, 0)}
 
 
-def test_format_answer_formats_and_cap(spark):
+def test_format_answer_formats_and_rows(spark):
     df = spark.createDataFrame([("b", 2.5), ("a", 1.0)], "k string, v double")
     fa = lambda d, f, **kw: A.format_answer(d, f, **kw).first()["answer"]
     assert fa(df.select("v").orderBy("v").limit(1), "number") == "1.0"
@@ -110,8 +110,11 @@ def test_format_answer_formats_and_cap(spark):
     assert json.loads(fa(df, "json_object")) == {"a": 1.0, "b": 2.5}
     assert json.loads(fa(df.select("k"), "json_array")) == ["a", "b"]
     assert json.loads(fa(df, "records")) == [{"k": "a", "v": 1.0}, {"k": "b", "v": 2.5}]
-    with pytest.raises(Exception, match="more than 1 rows"):
-        fa(df, "json_array", cap=1)
+    assert json.loads(fa(df.where("false"), "json_array")) == [] and fa(df.where("false"), "number") is None
+    missing = spark.createDataFrame([(None, 1), ("a", 2)], "k string, n int")
+    assert json.loads(fa(missing, "json_object")) == {"null": 1, "a": 2}
+    listed = A.answer_rows(spark.range(20_000).toDF("i"), ["i"]).orderBy("position").collect()
+    assert [json.loads(r["element"]) for r in listed] == list(range(20_000))
     answers = spark.createDataFrame([(2, "q2", '"x"'), (1, "q1", "5")], "task_id int, qid string, answer string")
     assert A.assemble(answers, "json_array").first()["result"] == '[5,"x"]'
     assert json.loads(A.assemble(answers, "json_object").first()["result"]) == {"q1": 5, "q2": "x"}
@@ -145,3 +148,21 @@ def test_grade_with_key_table(spark):
                                  "submission_id string, rubric string, answer string")
     got = {r["submission_id"]: (r["score"], r["max_score"], r["gate_ok"]) for r in RS.grade(subs, key).collect()}
     assert got == {"a": (3.0, 3.0, True), "b": (0.0, 3.0, True), "c": (1.0, 1.0, True), "d": (0.0, 1.0, False)}
+
+
+def test_grade_is_typed_and_row_by_row(spark):
+    rubric = [{"kind": "is_json", "n_items": 2}, {"item": 0, "kind": "equals", "expected": 1, "weight": 1.0},
+              {"item": 1, "kind": "within", "expected": 0.48, "tolerance": 0.01, "weight": 2.0}]
+    subs = spark.createDataFrame(
+        [("a", "[1, 0.485]"), ("b", '["1", "0.48"]'), ("c", '[1.0, "0.48D"]'), ("d", "[true, null]"),
+         ("e", "[1, 0.485, 2]"), ("f", "not json"), ("g", None), ("a", "[2, 9]")],
+        "submission_id string, answer string")
+    got = sorted((r["submission_id"], r["score"], r["gate_ok"]) for r in RS.grade(subs, rubric).collect())
+    assert got == [("a", 0.0, True), ("a", 3.0, True), ("b", 2.0, True), ("c", 1.0, True), ("d", 0.0, True),
+                   ("e", 0.0, False), ("f", 0.0, False), ("g", 0.0, False)]
+
+
+def test_parse_answer_keeps_large_integers(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("-1_000",), ("2.5",)], "t string")
+    got = {r["t"]: r["int_value"] for r in RS.parse_answer(df, "t", "number").collect()}
+    assert got["9007199254740993"] == 9007199254740993 and got["-1_000"] == -1000 and got["2.5"] is None

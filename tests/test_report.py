@@ -46,7 +46,7 @@ def test_final_answer_array(spark):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["task_id", "qid", "output_format", "answer", "error"]
+    assert df.columns == ["task_id", "qid", "output_format", "position", "answer", "error"]
     assert df.count() == 8
 
 
@@ -114,3 +114,53 @@ def test_join_task_across_sources(spark):
     want = {r["c_mktsegment"]: r["count"]
             for r in o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").count().collect()}
     assert got == want
+
+
+def test_failing_task_and_long_list_leave_the_others(spark):
+    spec = flagship_spec(SF)
+    spec["analysis_plan"] = [
+        {"task_id": 1, "qid": "n", "source": "orders", "op": "row_count", "output_format": "number"},
+        {"task_id": 2, "qid": "bad", "source": "orders", "op": "sql",
+         "params": {"query": "SELECT raise_error('late') AS x FROM source"}, "output_format": "number"},
+        {"task_id": 3, "qid": "per_order", "source": "orders", "op": "group_count",
+         "params": {"key": "o_orderkey"}, "output_format": "json"},
+    ]
+    got = run_report_job(spark, spec).collect()
+    by = {r["qid"]: r for r in got if r["position"] is None}
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert int(by["n"]["answer"]) == n and "late" in by["bad"]["error"] and by["bad"]["answer"] is None
+    rows = [r for r in got if r["qid"] == "per_order"]
+    keys = [json.loads(r["answer"])["o_orderkey"] for r in sorted(rows, key=lambda r: r["position"])]
+    assert len(rows) == n and keys == sorted(keys)
+
+
+def test_sql_task_is_one_select_over_a_private_view(spark):
+    spark.range(3).createOrReplaceTempView("source")
+    spec = flagship_spec(SF)
+    spec["analysis_plan"] = [
+        {"task_id": 1, "qid": "a", "source": "orders", "op": "sql", "output_format": "number",
+         "params": {"query": "WITH t AS (SELECT 1 AS one FROM source) SELECT sum(one) AS n FROM t"}},
+        {"task_id": 2, "qid": "b", "source": "orders", "op": "sql", "output_format": "number",
+         "params": {"query": "DROP VIEW source"}},
+    ]
+    got = {r["qid"]: r for r in run_report_job(spark, spec).collect()}
+    assert int(got["a"]["answer"]) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert "single SELECT" in got["b"]["error"] and spark.table("source").count() == 3
+
+
+def test_validation_rules_act_and_sources_are_read_afresh(spark, tmp_dir):
+    path = f"{tmp_dir}/src"
+    spark.createDataFrame([(1, "a"), (1, None)], "k int, v string").write.parquet(path)
+    spec = {"sourcing_plan": [{"name": "s", "path": path, "kind": "parquet", "clean": {"dedupe": True}}],
+            "analysis_plan": [{"task_id": 1, "qid": "n", "source": "s", "op": "row_count", "output_format": "number"},
+                              {"task_id": 2, "qid": "m", "source": "s", "op": "count_distinct",
+                               "params": {"column": "k"}, "output_format": "number"}],
+            "final_output_format": {"format": "json_array"}}
+    assert int(run_report_job(spark, spec).where("qid = 'n'").first()["answer"]) == 2
+    spark.createDataFrame([(2, "c")], "k int, v string").write.mode("append").parquet(path)
+    assert int(run_report_job(spark, spec).where("qid = 'n'").first()["answer"]) == 3
+    for rules, text in (({"not_null": ["v"]}, "not_null v: 1"), ({"unique": ["k"]}, "unique k: 1"),
+                        ({"types": {"v": "int64"}}, "type v: 2"), ({"not_null": ["z"]}, "lacks validated")):
+        spec["sourcing_plan"][0]["validate"] = rules
+        with pytest.raises(ValueError, match=text):
+            run_report_job(spark, spec)

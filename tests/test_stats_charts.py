@@ -104,3 +104,40 @@ def test_nan_skipped_in_mean_and_range(spark):
     assert S.global_mean(df, "v").first()[0] == 2.0
     assert tuple(S.min_max(df, "v").first()) == (1.0, 3.0)
     assert dict(tuple(r) for r in S.group_mean(df, "k", "v").collect()) == {"a": 1.0, "b": 3.0}
+
+
+def test_missing_keys_form_no_group(spark):
+    rows = [(None, 1.0)] * 3 + [("a", 2.0)] * 2 + [("b", float("nan")), ("other", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert S.top_groups(df, "k").first()["k"] == "a"
+    assert {r["k"]: r["n"] for r in S.group_counts(df, "k").collect()} == {"a": 2, "b": 1, "other": 1}
+    assert S.group_counts(df, "k", keep_missing=True).count() == 4
+    assert S.describe_group_sizes(df, "k").first()["count"] == 3
+    assert S.count_distinct(df, "v").first()[0] == 2
+    assert {r["category"] for r in CH.bar_series(df, "k").collect()} == {"a", "b", "other"}
+    bars = CH.bar_series(df.unionByName(df.where("k = 'other'")), "k", max_bars=2)
+    assert [r["category"] for r in bars.collect()] == ["a", "other", "other (rest)"]
+    assert S.pattern_counts(df, "k", {"a": ("a", None), "any": (None, None)}, per="key").first()["a"] == 1
+
+
+def test_delay_trend_leaves_out_missing_dates(spark):
+    from tablework.operators.cleaning import parse_dates
+    rows = [("2019-01-01", "2019-01-11"), ("2020-01-01", "2020-01-31"), ("2020-06-01", None), (None, "2020-02-01"),
+            ("2021-01-01", "2021-03-02"), ("2021-02-01", "bad"), ("2022-01-01", "2022-01-06"), (None, None)]
+    df = parse_dates(spark.createDataFrame(rows, "a string, b string"), {"a": "yyyy-MM-dd", "b": "yyyy-MM-dd"})
+    summary, by_year = S.delay_trend(df, "a", "b")
+    want = df.select(F.regr_slope(F.datediff("b", "a").cast("double"), F.year("a").cast("double")),
+                     F.regr_intercept(F.datediff("b", "a").cast("double"), F.year("a").cast("double"))).first()
+    got = {r["method"]: r for r in summary.collect()}["row_level"]
+    assert math.isclose(got["slope"], want[0], rel_tol=1e-9)
+    assert math.isclose(got["intercept"], want[1], rel_tol=1e-6)
+    assert sum(r["n"] for r in by_year.collect()) == 4
+
+
+def test_profile_takes_nan_as_missing(spark):
+    from tablework.operators.quality import profile
+    df = spark.createDataFrame([(1.0, "x"), (float("nan"), "y"), (2.0, None), (None, "x")], "v double, s string")
+    for exact in (True, False):
+        got = {r["column"]: r for r in profile(df, exact_distinct=exact).collect()}
+        assert (got["v"]["n_null"], got["v"]["n_distinct"], got["v"]["max_value"]) == (2, 2, "2.0")
+        assert (got["s"]["n_null"], got["s"]["n_distinct"]) == (1, 2)
