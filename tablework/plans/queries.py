@@ -79,20 +79,28 @@ def q_scan_csv(spark, sf):
     return FS.load_table(spark, path, schema=src.schema, null_tokens=MISSING_WORDS)
 
 
-_MALFORMED_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+@query("csv_text_round_trip", "SELECT * FROM documents")
+def q_csv_text_round_trip(spark, sf):
+    """Texts with quotes, commas and line breaks, written as CSV and read again."""
+    src = table(spark, sf, "documents")
+    path = FS.save_table(src, scratch_path(spark, "documents.csv"), "csv")
+    return FS.load_table(spark, path, schema=src.schema)
+
 
+_MALFORMED_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
-@query("scan_malformed", "SELECT o_orderkey, o_orderpriority = '1-URGENT' AS malformed FROM orders")
+
+@query("scan_malformed", f"""SELECT {', '.join(_MALFORMED_COLS)}, o_orderpriority = '1-URGENT' AS malformed
+FROM orders""")
 def q_scan_malformed(spark, sf):
     o = table(spark, sf, "orders")
-    line = FX.csv_line(_MALFORMED_COLS)
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    line = FX.csv_line([iso if c == "o_orderdate" else c for c in _MALFORMED_COLS])
     raw = o.select(F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(line, F.lit(",EXTRA")))
                    .otherwise(line).alias("value"))
     path = FS.save_table(raw, scratch_path(spark, "orders_raw.csv"), "text")
     schema = o.select(*_MALFORMED_COLS).schema
-    good, bad = FS.load_csv_split(spark, path, schema, header=False)
-    return (good.select("o_orderkey", F.lit(False).alias("malformed"))
-            .unionByName(bad.select("o_orderkey", F.lit(True).alias("malformed"))))
+    return FS.load_csv_flagged(spark, path, schema, header=False).drop(FS.CORRUPT_COLUMN)
 
 
 @query("scan_json", "SELECT * FROM events")

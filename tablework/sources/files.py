@@ -28,6 +28,10 @@ CORRUPT_COLUMN = "_corrupt_record"
 
 # Text formats keep microseconds (Spark's default writes milliseconds only).
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+# CSV as pandas reads and writes it: a quote inside a quoted field is doubled,
+# and white space at the edges of a field is kept.
+CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 _TEXT_TS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
 
 
@@ -46,7 +50,7 @@ def source_kind(path: str) -> str:
 
 def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None = None, *,
                schema: T.StructType | str | None = None, sep: str | None = None,
-               header: bool = True, encoding: str = "UTF-8", multiline: bool = False,
+               header: bool = True, encoding: str = "UTF-8", multiline: bool | None = None,
                mode: str = "PERMISSIVE", null_tokens: Iterable[str] | None = None,
                columns: Sequence[str] | None = None, where: str | None = None,
                nan_as_null: bool = False, **options: Any) -> DataFrame:
@@ -57,6 +61,11 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     is then the JDBC URL; pass ``table=``). Pass ``schema`` for text formats:
     inference reads the data twice and turns codes like ``6D`` into doubles.
     ``null_tokens`` (CSV/TSV): words read as NULL in string columns.
+    ``multiline``: whether a record may go over several lines. CSV: yes unless
+    told otherwise, as quoted fields may hold line breaks; ``False`` lets Spark
+    split large files and is right where no field holds one. JSON: told from the
+    first line (a whole value: JSON lines; the beginning of one: a document).
+    CSV quotes are doubled inside quoted fields, on reading and writing.
     ``columns`` / ``where``: projection and predicate applied lazily.
     ``nan_as_null``: floating NaN read as NULL (pandas missing semantics).
     """
@@ -72,7 +81,8 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
               .option("sep", sep or ("\t" if kind == "tsv" else ","))
               .option("encoding", encoding)
               .option("mode", mode)
-              .option("multiLine", multiline)
+              .option("multiLine", multiline is not False)
+              .options(**CSV_QUOTES)
               .options(**options)
               .csv(path))
         if null_tokens is not None:
@@ -80,6 +90,8 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     elif kind == "text":
         df = reader.options(**options).text(path)
     elif kind == "json":
+        if multiline is None:
+            multiline = not _json_lines(spark, path)
         df = reader.option("multiLine", multiline).option("mode", mode).options(**options).json(path)
     elif kind == "parquet":
         df = reader.options(**options).parquet(*([path] if isinstance(path, str) else path))
@@ -107,6 +119,14 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     return df
 
 
+def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether the first line with text is a whole JSON value (one row is read)."""
+    value = F.trim("value")
+    first = spark.read.text(path).where(value != "").select(
+        F.get_json_object(value, "$").isNotNull().alias("whole")).first()
+    return first is None or first["whole"]
+
+
 def _nulls(df: DataFrame, tokens: Iterable[str]) -> DataFrame:
     toks = list(tokens)
     out = []
@@ -122,33 +142,39 @@ def load_csv_split(spark: SparkSession, path: str | Sequence[str], schema: T.Str
                    sep: str = ",", header: bool = True, encoding: str = "UTF-8",
                    null_tokens: Iterable[str] | None = MISSING_WORDS,
                    **options: Any) -> tuple[DataFrame, DataFrame]:
-    """Read a CSV once in PERMISSIVE mode → ``(good_rows, bad_rows)``.
+    """``load_csv_flagged`` cut in two: ``(good_rows, bad_rows)``. Using both
+    reads the file twice; ``load_csv_flagged`` reads it once."""
+    raw = load_csv_flagged(spark, path, schema, sep=sep, header=header, encoding=encoding,
+                           null_tokens=null_tokens, **options)
+    return raw.where("NOT malformed").drop("malformed", CORRUPT_COLUMN), raw.where("malformed").drop("malformed")
+
+
+def load_csv_flagged(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, *,
+                     sep: str = ",", header: bool = True, encoding: str = "UTF-8",
+                     null_tokens: Iterable[str] | None = MISSING_WORDS,
+                     **options: Any) -> DataFrame:
+    """Read a CSV once in PERMISSIVE mode, with two columns more.
 
     A row that does not fit the schema (extra or missing fields, a value of
-    the wrong type) keeps its raw text in ``_corrupt_record``; it goes to
-    ``bad_rows`` (parsed fields + ``_corrupt_record``) and is absent from
-    ``good_rows``.
-    Both frames are lazy over the same scan; the corrupt-column filter is
-    applied after the parse.
+    the wrong type) has ``malformed`` true and its raw text in
+    ``_corrupt_record``, besides the fields that could be parsed.
     """
     # With CSV column pruning on, a row with an extra field is only caught
-    # when every column is parsed; good/bad must not depend on what a later
-    # select keeps, so pruning is switched off for the session.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    # when every column is parsed; the flag must not depend on what a later
+    # select keeps, so pruning is switched off for this read.
+    options = {"columnPruning": "false", **options}
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COLUMN, T.StringType())])
     raw = load_table(spark, path, "csv", schema=full, sep=sep, header=header,
                      encoding=encoding, mode="PERMISSIVE",
                      columnNameOfCorruptRecord=CORRUPT_COLUMN, **options)
     if null_tokens is not None:
         raw = _nulls(raw, null_tokens)
-    good = raw.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
     # Spark refuses a scan that reads only the corrupt column (e.g. a bare
     # count of bad rows); the always-true length test references every parsed
     # field so no later projection can narrow the scan to that column alone.
     fields = [F.col(f"`{f.name}`").cast("string") for f in schema.fields]
     keep_fields = F.length(F.concat_ws("\u0001", *fields)) >= 0
-    bad = raw.where(F.col(CORRUPT_COLUMN).isNotNull() & keep_fields)
-    return good, bad
+    return raw.withColumn("malformed", F.col(CORRUPT_COLUMN).isNotNull() & keep_fields)
 
 
 def load_tables(spark: SparkSession, specs: Sequence[Mapping[str, Any]]
@@ -173,7 +199,7 @@ def load_tables(spark: SparkSession, specs: Sequence[Mapping[str, Any]]
             frames[name] = df
             rows.append((i, name, "ok", None, len(df.columns)))
         except Exception as exc:  # one failing source must not stop the rest
-            rows.append((i, name, "error", f"{type(exc).__name__}: {str(exc)[:200]}", None))
+            rows.append((i, name, "error", f"{type(exc).__name__}: {exc}", None))
     report = spark.createDataFrame(
         rows, "position INT, name STRING, status STRING, error STRING, n_columns INT")
     return frames, report
@@ -204,7 +230,7 @@ def save_table(df: DataFrame, path: str, kind: str = "parquet", *,
     if kind == "parquet":
         w.parquet(path)
     elif kind in ("csv", "tsv"):
-        w.option("header", header).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+        w.options(**CSV_QUOTES).option("header", header).option("sep", "\t" if kind == "tsv" else ",").csv(path)
     elif kind == "json":
         w.json(path)
     elif kind == "orc":

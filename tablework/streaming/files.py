@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablework.session import scratch_path
-from tablework.sources.files import _TEXT_TS
+from tablework.sources.files import _TEXT_TS, CSV_QUOTES
 
 
 def stream_table(spark: SparkSession, path: str, kind: str, schema: T.StructType | str, *,
@@ -22,7 +21,7 @@ def stream_table(spark: SparkSession, path: str, kind: str, schema: T.StructType
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     kind = kind.lower()
     if kind in ("csv", "tsv"):
-        r = r.options(**_TEXT_TS).option("header", header).option("sep", "\t" if kind == "tsv" else sep)
+        r = r.options(**_TEXT_TS).options(**CSV_QUOTES).option("header", header).option("sep", "\t" if kind == "tsv" else sep)
         return r.options(**options).csv(path)
     if kind == "json":
         return r.options(**_TEXT_TS).options(**options).json(path)
@@ -39,11 +38,15 @@ def write_stream(df: DataFrame, path: str, *, output_mode: str = "append",
     """Start a stream into a Parquet table at ``path``.
 
     ``append``: new rows are appended (exactly-once file sink).
-    ``complete`` / ``update``: each micro-batch's result replaces the table
-    (``foreachBatch`` overwrite), the form a roll-up needs. The checkpoint
-    goes to the shared folder unless given.
+    ``complete``: each micro-batch's whole result replaces the table
+    (``foreachBatch`` overwrite), the form a roll-up needs. ``update`` batches
+    hold changed rows only and would lose the others, so it is refused. The
+    checkpoint lies beside the table unless given, so a stream that is started
+    again goes on where it ended.
     """
-    ckpt = checkpoint_location or scratch_path(df.sparkSession, "stream-checkpoint")
+    if output_mode not in ("append", "complete"):
+        raise ValueError("output_mode must be 'append' or 'complete'")
+    ckpt = checkpoint_location or path.rstrip("/") + "__checkpoint"
     w = df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode)
     if query_name:
         w = w.queryName(query_name)

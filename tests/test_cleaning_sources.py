@@ -182,3 +182,42 @@ def test_infer_and_best_date_format(spark):
     assert shares == {"yyyy-MM-dd": (1, 4), "dd-MM-yyyy": (2, 4), "MM/dd/yyyy": (0, 4)}
     best = Q.best_date_format(df, "d", ["yyyy-MM-dd", "dd-MM-yyyy"]).first()
     assert best["format"] == "dd-MM-yyyy" and best["share"] == 0.5
+
+
+def test_csv_keeps_quotes_and_line_breaks(spark, tmp_dir):
+    rows = [(1, 'a "b" c, d'), (2, "two\nlines"), (3, ""), (4, None), (5, ' "edge" '), (6, "x\\")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    path = FS.save_table(df, f"{tmp_dir}/t.csv", "csv")
+    got = {r["i"]: r["t"] for r in FS.load_table(spark, path, "csv", schema=df.schema).collect()}
+    assert got == dict(rows)
+
+
+def test_json_documents_and_lines(spark, tmp_dir):
+    from pathlib import Path
+    Path(f"{tmp_dir}/array.json").write_text('[\n  {"a": 1},\n  {"a": 2}\n]\n')
+    Path(f"{tmp_dir}/lines.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    read = lambda n: sorted(r["a"] for r in FS.load_table(spark, f"{tmp_dir}/{n}.json", schema="a int").collect())
+    assert read("array") == [1, 2] and read("lines") == [1, 2, 3]
+
+
+def test_malformed_flag_leaves_the_session_alone(spark, tmp_dir):
+    from pathlib import Path
+    before = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
+    Path(f"{tmp_dir}/m.csv").write_text("a,b\n1,x\n2,y,z\n")
+    rows = FS.load_csv_flagged(spark, f"{tmp_dir}/m.csv", spark.createDataFrame([], "a int, b string").schema)
+    assert {r["a"]: r["malformed"] for r in rows.select("a", "malformed").collect()} == {1: False, 2: True}
+    assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == before
+
+
+def test_building_operators_starts_no_job(spark):
+    from tablework.operators import cleaning as C
+    from tablework.operators import stats as S
+    sc = spark.sparkContext
+    base = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS k")
+    joined = base.join(base.groupBy("k").count(), "k")
+    sc.setJobGroup("planning", "no job expected")
+    C.coerce_numeric(joined, "k")
+    C.apply_schema(joined, {"k": "int64"})
+    S.top_groups(joined, "k")
+    assert sc.statusTracker().getJobIdsForGroup("planning") == ()
+    sc.setJobGroup("", "")
