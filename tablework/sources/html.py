@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+OUTPUT_ROWS = 5000      # rows handed on at a time
+
 TABLE_ROW_SCHEMA = "{key} {key_type}, table_idx INT, row_idx INT, is_header BOOLEAN, cells ARRAY<STRING>"
 ELEMENT_SCHEMA = "{key} {key_type}, elem_idx INT, parent STRING, text STRING, attr STRING"
 
@@ -31,70 +33,126 @@ def _classes(attrs: list[tuple[str, str | None]]) -> set[str]:
     return set()
 
 
+# The largest column span that the HTML standard allows.
+_MAX_COLSPAN = 1000
+_NO_TEXT = {"style", "script"}
+
+
+def _span(attrs: dict, name: str) -> int:
+    text = (attrs.get(name) or "").strip()
+    return int(text) if text.isdigit() else 1
+
+
+class _OpenTable:
+    """A table being read: its finished rows and the row and cell at hand."""
+
+    def __init__(self, attrs):
+        self.found = {"classes": _classes(attrs), "id": dict(attrs).get("id"), "rows": []}
+        self.row: list[tuple[str, int, int]] | None = None      # (text, row span, column span)
+        self.header = True
+        self.cell: list[str] | None = None
+        self.spans = (1, 1)
+        self.below: dict[int, tuple[int, str]] = {}             # column -> (rows to go, text)
+
+    def open_row(self):
+        self.close_row()
+        self.row, self.header = [], True
+
+    def open_cell(self, attrs: dict, header: bool):
+        if self.row is None:
+            self.open_row()
+        self.close_cell()
+        self.cell = []
+        self.spans = (max(1, _span(attrs, "rowspan")), min(_MAX_COLSPAN, max(1, _span(attrs, "colspan"))))
+        self.header = self.header and header
+
+    def close_cell(self):
+        if self.cell is not None and self.row is not None:
+            self.row.append((" ".join("".join(self.cell).split()), *self.spans))
+        self.cell = None
+
+    def close_row(self):
+        """Cells at their columns: what spans several is repeated in each."""
+        self.close_cell()
+        if self.row is not None:
+            cells: list[str] = []
+            from_above = 0
+
+            def take_spanning():
+                nonlocal from_above
+                while len(cells) in self.below:
+                    left, text = self.below.pop(len(cells))
+                    if left > 1:
+                        still[len(cells)] = (left - 1, text)
+                    cells.append(text)
+                    from_above += 1
+
+            still: dict[int, tuple[int, str]] = {}
+            for text, down, across in self.row:
+                take_spanning()
+                for _ in range(across):
+                    if down > 1:
+                        still[len(cells)] = (down - 1, text)
+                    self.below.pop(len(cells), None)
+                    cells.append(text)
+            take_spanning()
+            self.below = still
+            self.found["rows"].append((self.header and bool(cells), cells, len(self.row) + from_above))
+        self.row = None
+
+
 class _TableParser(HTMLParser):
-    """Collects every <table> as rows of cell texts (nested tables apart)."""
+    """Collects every <table> as rows of cell texts. A table inside a cell is a
+    table of its own; the outer row goes on behind it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []   # {"classes", "id", "rows": [(is_header, [cells])]}
-        self._stack: list[dict] = []   # open tables
-        self._row: list[str] | None = None
-        self._row_header = True
-        self._cell: list[str] | None = None
+        self.tables: list[dict] = []   # {"classes", "id", "rows": [(is_header, [cells], n_cells)]}
+        self._open: list[_OpenTable] = []
+        self._silent = 0               # open elements whose content is no text
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._close_row()
-            t = {"classes": _classes(attrs), "id": dict(attrs).get("id"), "rows": []}
-            self.tables.append(t)
-            self._stack.append(t)
-        elif not self._stack:
+        if tag in _NO_TEXT:
+            self._silent += 1
+        elif tag == "table":
+            t = _OpenTable(attrs)
+            self.tables.append(t.found)
+            self._open.append(t)
+        elif not self._open:
             return
         elif tag == "tr":
-            self._close_row()
-            self._row, self._row_header = [], True
+            self._open[-1].open_row()
         elif tag in ("td", "th"):
-            if self._row is None:
-                self._row, self._row_header = [], True
-            self._close_cell()
-            self._cell = []
-            if tag == "td":
-                self._row_header = False
-        elif tag == "br" and self._cell is not None:
-            self._cell.append(" ")
+            self._open[-1].open_cell(dict(attrs), tag == "th")
+        elif tag == "br" and self._open[-1].cell is not None:
+            self._open[-1].cell.append(" ")
 
     def handle_endtag(self, tag):
-        if not self._stack:
+        if tag in _NO_TEXT:
+            self._silent = max(0, self._silent - 1)
+        if not self._open:
             return
         if tag in ("td", "th"):
-            self._close_cell()
+            self._open[-1].close_cell()
         elif tag == "tr":
-            self._close_row()
+            self._open[-1].close_row()
         elif tag == "table":
-            self._close_row()
-            self._stack.pop()
+            self._open.pop().close_row()
 
     def handle_data(self, data):
-        if self._cell is not None:
-            self._cell.append(data)
-
-    def _close_cell(self):
-        if self._cell is not None and self._row is not None:
-            self._row.append(" ".join("".join(self._cell).split()))
-        self._cell = None
+        if self._open and not self._silent and self._open[-1].cell is not None:
+            self._open[-1].cell.append(data)
 
-    def _close_row(self):
-        self._close_cell()
-        if self._row is not None and self._stack:
-            self._stack[-1]["rows"].append((self._row_header and bool(self._row), self._row))
-        self._row = None
+    def finish(self):
+        self.close()
+        while self._open:
+            self._open.pop().close_row()
 
 
 def page_tables(html: str | None) -> list[dict]:
     p = _TableParser()
     p.feed(html or "")
-    p.close()
-    p._close_row()
+    p.finish()
     return p.tables
 
 
@@ -105,7 +163,8 @@ def extract_html_tables(pages: DataFrame, *, key: str = "page_id", html_col: str
 
     ``css_class`` / ``table_id`` pick tables by attribute, ``index`` picks
     the n-th of those per page (0-based), ``n_cells`` keeps rows with
-    exactly that many cells. Output ``(key, table_idx, row_idx, is_header,
+    exactly that many cells (one that spans columns counts once, one that
+    reaches down from above counts too). Spanned cells are repeated. Output ``(key, table_idx, row_idx, is_header,
     cells)``; ``table_idx`` counts all tables of the page, ``row_idx`` the
     rows of the table.
     """
@@ -127,9 +186,12 @@ def extract_html_tables(pages: DataFrame, *, key: str = "page_id", html_col: str
                         picked += 1
                         continue
                     picked += 1
-                    for r_idx, (is_header, cells) in enumerate(t["rows"]):
-                        if n_cells is None or len(cells) == n_cells:
+                    for r_idx, (is_header, cells, own) in enumerate(t["rows"]):
+                        if n_cells is None or own == n_cells:
                             out.append((k, t_idx, r_idx, is_header, cells))
+                        if len(out) >= OUTPUT_ROWS:
+                            yield pd.DataFrame(out, columns=cols)
+                            out = []
             yield pd.DataFrame(out, columns=cols)
 
     return pages.select(key, html_col).mapInPandas(run, schema)

@@ -166,3 +166,18 @@ def test_parse_answer_keeps_large_integers(spark):
     df = spark.createDataFrame([("9007199254740993",), ("-1_000",), ("2.5",)], "t string")
     got = {r["t"]: r["int_value"] for r in RS.parse_answer(df, "t", "number").collect()}
     assert got["9007199254740993"] == 9007199254740993 and got["-1_000"] == -1000 and got["2.5"] is None
+
+
+def test_table_spans_nested_tables_and_style_text():
+    from tablework.sources.html import page_tables
+    html = ("<table><tr><th>Year</th><th colspan=2>Film</th></tr>"
+            "<tr><td rowspan='2'>1997</td><td>A<style>.x{color:red}</style></td><td>1</td></tr>"
+            "<tr><td>B</td><td>2</td></tr>"
+            "<tr><td>1998</td><td>C<table><tr><td>inner</td></tr></table></td><td>3</td></tr></table>")
+    outer, inner = page_tables(html)
+    assert [r[1] for r in outer["rows"]] == [["Year", "Film", "Film"], ["1997", "A", "1"], ["1997", "B", "2"],
+                                             ["1998", "C", "3"]]
+    assert [r[0] for r in outer["rows"]] == [True, False, False, False]
+    assert inner["rows"] == [(False, ["inner"], 1)]
+    last = page_tables("<table><tr><td>a</td><td rowspan=3>z</td></tr><tr><td>b</td></tr><tr><td>c</td></table>")
+    assert [r[1] for r in last[0]["rows"]] == [["a", "z"], ["b", "z"], ["c", "z"]]
