@@ -4,6 +4,12 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    from tablework.session import ship_package
+    ship_package(spark)
+
+
 @pytest.fixture(scope="session")
 def docs_and_items():
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
