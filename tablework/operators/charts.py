@@ -69,35 +69,30 @@ def scatter_series(df: DataFrame, x: str, y: str, max_points: int | None = None)
     at the cell centre with its row count (a binned scatter), so the series
     never exceeds ``max_points`` rows and keeps the density a thinned sample
     would lose; centres are exact arithmetic on the range, so the series is
-    reproducible anywhere. The fit and the ranges come from one aggregate
-    first (one row to the driver), then enter the point plan as literals.
+    reproducible anywhere. The fit and the ranges are a one-row aggregate that
+    enters the point plan as a scalar subquery; no job runs while planning.
     """
     xs, ys = _q(x).cast("double"), _q(y).cast("double")
     pts = df.select(xs.alias("x"), ys.alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    st = pts.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-                 F.min("x").alias("x0"), F.max("x").alias("x1"),
-                 F.min("y").alias("y0"), F.max("y").alias("y1")).first()   # one row
-    slope = F.lit(st["slope"]).cast("double")
-    intercept = F.lit(st["intercept"]).cast("double")
+    st = pts.agg(F.struct(
+        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.min("y").alias("y0"), F.max("y").alias("y1")).alias("s")).scalar()
     if max_points is None:
         return pts.select("x", "y", F.lit(1).cast("bigint").alias("n"),
-                          (slope * F.col("x") + intercept).alias("fit"))
+                          (st["slope"] * F.col("x") + st["intercept"]).alias("fit"))
     b = max(1, int(max_points ** 0.5))
 
-    def cell(v: str, lo: float | None, hi: float | None) -> Column:
-        if lo is None or hi is None or hi == lo:
-            return F.lit(0)
-        raw = F.floor((F.col(v) - F.lit(lo)) * F.lit(float(b)) / F.lit(hi - lo))
-        return F.least(raw, F.lit(b - 1)).cast("int")
+    def cell(v: str, lo: Column, hi: Column) -> Column:
+        raw = F.floor((F.col(v) - lo) * F.lit(float(b)) / F.nullif(hi - lo, F.lit(0.0)))
+        return F.coalesce(F.least(raw, F.lit(b - 1)).cast("int"), F.lit(0))
 
-    def centre(idx: str, lo: float | None, hi: float | None) -> Column:
-        if lo is None or hi is None or hi == lo:
-            return F.lit(lo).cast("double")
-        return F.lit(lo) + (F.col(idx) + F.lit(0.5)) * F.lit(hi - lo) / F.lit(float(b))
+    def centre(idx: str, lo: Column, hi: Column) -> Column:
+        return F.when(hi == lo, lo).otherwise(lo + (F.col(idx) + F.lit(0.5)) * (hi - lo) / F.lit(float(b)))
 
     cells = (pts.groupBy(cell("x", st["x0"], st["x1"]).alias("bx"), cell("y", st["y0"], st["y1"]).alias("by"))
              .agg(F.count("*").alias("n")))
-    return cells.select("bx", "by", centre("bx", st["x0"], st["x1"]).alias("x"),
-                        centre("by", st["y0"], st["y1"]).alias("y"), "n",
-                        (slope * centre("bx", st["x0"], st["x1"]) + intercept).alias("fit"))
+    x, y = centre("bx", st["x0"], st["x1"]), centre("by", st["y0"], st["y1"])
+    return cells.select("bx", "by", x.alias("x"), y.alias("y"), "n",
+                        (st["slope"] * x + st["intercept"]).alias("fit"))

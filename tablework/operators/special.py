@@ -17,11 +17,13 @@ def _gamma_q(a: float, x: float) -> float:
         return float("nan")
     if x == 0:
         return 1.0
+    if math.isinf(x):
+        return 0.0
     lg = math.lgamma(a)
     if x < a + 1:
         term = total = 1.0 / a
         ap = a
-        for _ in range(10_000):
+        while True:                           # converges; more terms for larger a
             ap += 1
             term *= x / ap
             total += term
@@ -33,7 +35,9 @@ def _gamma_q(a: float, x: float) -> float:
     c = 1 / tiny
     d = 1 / b
     h = d
-    for i in range(1, 10_000):
+    i = 0
+    while True:
+        i += 1
         an = -i * (i - a)
         b += 2
         d = an * d + b

@@ -299,9 +299,11 @@ def q_drop_missing(spark, sf):
                           ["o_orderstatus"])
 
 
-@query("drop_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
+@query("drop_duplicates", """SELECT DISTINCT * FROM (
+  SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 25)""")
 def q_drop_duplicates(spark, sf):
-    return C.drop_duplicates(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    li = table(spark, sf, "lineitem")
+    return C.drop_duplicates(li.unionByName(li.where("l_quantity > 25")))
 
 
 @query("clean_report", f"""WITH t AS (
@@ -556,13 +558,22 @@ def q_independence_test(spark, sf):
     return t.withColumn("statistic", r6("statistic"))
 
 
-@query("linear_model")
+@query("linear_model", """WITH t AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d,
+         CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_extendedprice IS NOT NULL),
+m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(p) AS mp, var_pop(q) AS qq, var_pop(d) AS dd,
+        covar_pop(q, d) AS qd, covar_pop(q, p) AS qp, covar_pop(d, p) AS dp FROM t),
+b AS (SELECT mq, md, mp, (qp * dd - dp * qd) / (qq * dd - qd * qd) AS b1,
+        (dp * qq - qp * qd) / (qq * dd - qd * qd) AS b2 FROM m)
+SELECT l_orderkey, l_linenumber, q AS l_quantity, d AS l_discount, p AS l_extendedprice,
+  round(mp + b1 * (q - mq) + b2 * (d - md), 2) AS prediction FROM t, b""")
 def q_linear_model(spark, sf):
     li = table(spark, sf, "lineitem")
     _, scored, _ = S.fit_linear(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
                                           "l_extendedprice"),
                                 ["l_quantity", "l_discount"], "l_extendedprice")
-    return scored
+    return scored.withColumn("prediction", F.round("prediction", 2))
 
 
 # ------------------------------------------------- 2.5 joins, sorts, answers

@@ -53,7 +53,7 @@ def test_entry_smoke(spark):
 def test_registered_keys_have_sql_except_documented():
     qs, sql = core_queries(), core_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"linear_model", "report_job"}
+    assert set(qs) - set(sql) == {"report_job"}
 
 
 def test_chart_and_trend_ops(spark):
