@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, add_fields, column, text_slices
-from .labelled import collect_sample, sample_ids
+from .common import add_columns, add_fields, column, text_slices, written
+from .labelled import sample_ids
 
 # Letters of the language model; index 0 is a word edge, 1 all other characters.
 ALPHABET = "  abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœ"
@@ -247,47 +247,57 @@ def lexicon_of(weights: dict) -> dict:
     return {_squeezed(w): w for w in sorted(weights) if not w.endswith("~")}
 
 
-def _distinct(rows: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
-    """Rows without near copies of earlier rows (MinHash bands over features)."""
+def _sketch(words: set[str]) -> list[int]:
+    """MinHash band hashes of a document's words; near copies share one."""
     keys = np.random.default_rng(3).integers(1, 1 << 63, 12, dtype=np.uint64) | np.uint64(1)
+    h = np.array([zlib.crc32(w.encode()) + 1 for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        low = [int(((h ^ (h >> np.uint64(29))) * k).min()) for k in keys]
+    return [zlib.crc32(repr((b, low[3 * b:3 * b + 3])).encode()) for b in range(4)]
+
+
+def _distinct(rows: list[tuple]) -> list[tuple]:
+    """Rows (id, label, bands) without near copies of earlier rows."""
     seen, out = set(), []
-    for y, s in rows:
-        if not s:
-            continue
-        h = np.array([zlib.crc32(f.encode()) + 1 for f in s], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        with np.errstate(over="ignore"):
-            low = [int(((h ^ (h >> np.uint64(29))) * k).min()) for k in keys]
-        bands = [(y, b, *low[3 * b:3 * b + 3]) for b in range(4)]
-        if not any(b in seen for b in bands):
-            out.append((y, s))
-        seen.update(bands)
+    for i, y, bands in rows:
+        if not any((y, b) in seen for b in bands):
+            out.append((i, y))
+        seen.update((y, b) for b in bands)
     return out
 
 
-def _learn(rows: list[tuple[int, set[str]]], prior: float, channel: Channel) -> ToxicityModel:
-    """``prior`` is the share of toxic rows among all labelled ones (the sample
-    is balanced)."""
-    rows = _distinct(rows)
-    n_toxic = sum(y == 1 for y, _ in rows)
-    n_clean = len(rows) - n_toxic
-    if not n_toxic or not n_clean:
-        return ToxicityModel(channel, {}, ((0.0,), (min(0.5, prior),)))
-    toxic = Counter(f for y, s in rows if y == 1 for f in s)
-    clean = Counter(f for y, s in rows if y == 0 for f in s)
-    words = {f for f in toxic if not f.endswith("~")}
-    spread = Counter(f for w in words for f in features(w)[1:])    # words behind a prefix
-    need = max(3, int(np.ceil(np.log(CHANCE) / np.log(n_toxic / len(rows)))))
-    weights = {}
-    for f, n in toxic.items():
-        a, b = n / n_toxic, clean[f] / n_clean
-        if n >= need and b <= PURITY * a and (f in words or spread[f] >= MIN_WORDS):
-            a, b = a * prior, (b + 0.1 / n_clean) * (1 - prior)
-            weights[f] = a / (a + b)
-    model = ToxicityModel(Channel(channel.cost, lexicon_of(weights)), weights)
-    e = np.array([model.strength({f for f in s if not f.endswith("~")}) for _, s in rows])
-    y = np.array([y for y, _ in rows], float)
-    model.steps = _steps(e, y, np.where(y == 1, prior / n_toxic, (1 - prior) / n_clean))
-    return model
+def _candidates(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, int]]:
+    """Features of many toxic and few other documents, with both numbers. Counted
+    by Spark over (__y, words); what comes back are those beyond chance."""
+    need = max(3, int(np.ceil(np.log(CHANCE) / np.log(n_toxic / (n_toxic + n_clean)))))
+    prefixes = lambda w: F.transform(
+        F.filter(F.array(*[F.lit(n) for n in PREFIXES]), lambda n: n <= F.length(w)),
+        lambda n: F.concat(F.substring(w, 1, n), F.lit("~")))
+    each = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(F.array(w), prefixes(w)))))
+    counts = sample.select("__y", F.explode(each).alias("f")).groupBy("f").agg(
+        F.sum("__y").alias("a"), F.sum(1 - F.col("__y")).alias("b"))
+    counts = counts.where((F.col("a") >= need)
+                          & (F.col("b") * F.lit(float(n_toxic)) <= F.lit(PURITY * n_clean) * F.col("a")))
+    found = {r["f"]: (r["a"], r["b"]) for r in counts.collect()}
+    stems = [f for f in found if f.endswith("~")]
+    if not stems:
+        return found
+    # A prefix must stand for several words, or the word itself says it all.
+    words = sample.where("__y = 1").select(F.explode("words").alias("w")).distinct()
+    behind = words.select(F.explode(prefixes(F.col("w"))).alias("f")).where(F.col("f").isin(stems)) \
+        .groupBy("f").count().where(F.col("count") >= MIN_WORDS)
+    several = {r["f"] for r in behind.collect()}
+    return {f: n for f, n in found.items() if f in several or not f.endswith("~")}
+
+
+def _weights(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, prior: float) -> dict[str, float]:
+    """Probability that a document with the feature is toxic. ``prior`` is the
+    share of toxic rows among all labelled ones (the sample is balanced)."""
+    out = {}
+    for f, (n, m) in found.items():
+        a, b = n / n_toxic * prior, (m + 0.1) / n_clean * (1 - prior)
+        out[f] = a / (a + b)
+    return out
 
 
 def _steps(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple, tuple]:
@@ -308,27 +318,58 @@ def _steps(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple, tup
 
 
 def _draw(channel: Channel, id_col: str, text_col: str):
+    """Restored distinct words of a document, and their sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [zlib.compress("\n".join(sorted(evidence(channel.restore(t or "")))).encode(), 1)
-                    for t in column(batch, text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, id_col), column(batch, "__y"), pa.array(sets, pa.binary())],
-                names=[id_col, "__y", "features"])
+            for part in text_slices(batch, text_col):
+                sets = [{w for w in channel.restore(t or "") if features(w)}
+                        for t in column(part, text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, id_col), column(part, "__y"),
+                     pa.array([_sketch(s) if s else [] for s in sets], pa.list_(pa.int64())),
+                     pa.array([sorted(s) for s in sets], pa.list_(pa.string()))],
+                    names=[id_col, "__y", "bands", "words"])
+    return run
+
+
+def _strengths(model: ToxicityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = [model.strength(set(w)) for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__y"), pa.array(e, pa.float64())], names=["__y", "e"])
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None,
         id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Language model from all documents, evidence from the labelled rows allowed by ``keep``."""
+    """Language model from all documents, evidence from the labelled rows allowed by
+    ``keep``. The words of the sampled documents stay in a written table; the
+    driver sees their sketches, the features beyond chance and two numbers a row."""
     channel = Channel(language_model(docs, text_col))
-    ids = sample_ids(labels, label, PER_CLASS, keep, id_col)
-    rows = collect_sample(docs, ids, _draw(channel, id_col, text_col),
-                          [T.StructField("features", T.BinaryType())], id_col, text_col)
-    sets = [(r["__y"], set(zlib.decompress(bytes(r["features"])).decode().split("\n")) - {""}) for r in rows]
     held = labels if keep is None else labels.where(keep)
     share = held.agg(F.avg(F.when(F.col(label).isin(0, 1), F.col(label)))).first()[0]
-    return _learn(sets, float(share or 0.0), channel)
+    prior = float(share or 0.0)
+    blank = ToxicityModel(channel, {}, ((0.0,), (min(0.5, prior),)))
+    ids = sample_ids(labels, label, PER_CLASS, keep, id_col)
+    drawn = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "__y", text_col)
+    schema = T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("__y", T.IntegerType()),
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
+    sample = written(drawn.mapInArrow(_draw(channel, id_col, text_col), schema), "toxicity_sample")
+    sketches = sample.where(F.size("words") > 0).select(id_col, "__y", "bands").collect()
+    rows = _distinct(sorted((r[0], r[1], list(r[2])) for r in sketches))
+    n_toxic = sum(y for _, y in rows)
+    n_clean = len(rows) - n_toxic
+    if not n_toxic or not n_clean:
+        return blank
+    chosen = docs.sparkSession.createDataFrame([(i,) for i, _ in rows], T.StructType([schema[id_col]])).distinct()
+    sample = sample.join(F.broadcast(chosen), id_col).select("__y", "words")     # ids of the sample: bounded
+    weights = _weights(_candidates(sample, n_toxic, n_clean), n_toxic, n_clean, prior)
+    model = ToxicityModel(Channel(channel.cost, lexicon_of(weights)), weights)
+    got = sample.mapInArrow(_strengths(model), "__y int, e double").collect()
+    y, e = np.array([r["__y"] for r in got], float), np.array([r["e"] for r in got])
+    model.steps = _steps(e, y, np.where(y == 1, prior / n_toxic, (1 - prior) / n_clean))
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
