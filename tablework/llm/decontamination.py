@@ -13,12 +13,13 @@ whole item. Fingerprints cannot promise to find it, so for each such length
 (``GUARANTEE - 1`` at most) documents are looked up by the hash of every run of
 that many words.
 
+A fingerprint carries the hashes of the words within reach around it, so no row
+holds a whole document and a text of any length takes memory in proportion.
 The benchmark side is broadcast when it has at most ``BROADCAST_ROWS``
 fingerprints (counted first, 64 bytes each and the words of its item's part);
-a larger one is joined by shuffling fingerprints that carry the words around
-them. Documents are not shuffled: only hits and one row per document are, and
-hits of one document are few numbers, merged before the shuffle where they
-meet in a task.
+a larger one is joined by shuffling fingerprints. Documents are not shuffled:
+only hits and one row per document are, and hits of one document are few
+numbers, merged before the shuffle where they meet in a task.
 
 Defined cases: NULL and empty texts have no words and are clean; repeated rows
 give one row each with equal results; NULL item ids count as items named "";
@@ -56,11 +57,20 @@ def _runs(h: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+SPOT = "struct<f:bigint,p:int,short:int,near:array<bigint>>"
+
+
+def _spot(h: Column, f: Column, p: Column, short: int) -> Column:
+    """A fingerprint with its position and the words within reach of it."""
+    near = F.slice(h, F.greatest(p - REACH, F.lit(0)) + 1, 2 * REACH + K)
+    return F.struct(f.alias("f"), p.alias("p"), F.lit(short).alias("short"), near.alias("near"))
+
+
 def _winnow(h: Column) -> Column:
     """(f, p): hash and position of the smallest run hash of every window. A run
     is one of these when it equals the largest minimum of the windows it is in."""
     size = GUARANTEE - K + 1
-    none = F.array().cast("array<struct<f:bigint,p:int,short:int>>")
+    none = F.array().cast(f"array<{SPOT}>")
 
     def picked(runs: Column) -> Column:
         minima = F.transform(F.sequence(F.lit(0), F.size(runs) - size),
@@ -68,15 +78,13 @@ def _winnow(h: Column) -> Column:
         spots = _let(minima, lambda m: F.filter(
             F.sequence(F.lit(0), F.size(runs) - 1),
             lambda i: F.get(runs, i) == F.greatest(*[F.get(m, i - k) for k in range(size)])))
-        return F.transform(spots, lambda i: F.struct(
-            F.get(runs, i).alias("f"), i.alias("p"), F.lit(0).alias("short")))
+        return F.transform(spots, lambda i: _spot(h, F.get(runs, i), i, 0))
 
     return F.when(F.size(h) >= GUARANTEE, _let(_runs(h, K), picked)).otherwise(none)
 
 
 def _short_spots(h: Column, size: int) -> Column:
-    return F.transform(_runs(h, size), lambda f, i: F.struct(
-        f.alias("f"), i.alias("p"), F.lit(size).alias("short")))
+    return F.transform(_runs(h, size), lambda f, i: _spot(h, f, i, size))
 
 
 def _common(a: Column, at_a: Column, b: Column, at_b: Column, step: int) -> Column:
@@ -112,31 +120,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                                                          ascii_words(text_col).alias("__w"))
     words = words.select(id_col, "__row_key", _hashes(F.col("__w")).alias("h"))
     words = words.withColumn("n_words", F.size("h").cast("long"))
-    # The first entry has no hash: it stands for the document itself.
-    itself = F.array(F.struct(F.lit(None).cast("bigint").alias("f"), F.lit(-1).alias("p"),
-                              F.lit(0).alias("short")))
+    # A first entry stands for the document itself; it meets a row of its own.
+    itself = F.array(F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).alias("p"), F.lit(-1).alias("short"),
+                              F.array().cast("array<bigint>").alias("near")))
+    prints = prints.unionByName(docs.sparkSession.sql(
+        "SELECT CAST(NULL AS STRING) item, CAST(array() AS ARRAY<BIGINT>) ih, -1 short, 0L f, 0 q"))
     spots = _let(F.col("h"), lambda h: F.concat(
         itself, _winnow(h), *[_short_spots(h, m) for m in lengths]))
-    spots = words.withColumn("s", F.explode(spots)).select(
-        id_col, "__row_key", "n_words", "h", F.col("s.f").alias("f"), F.col("s.p").alias("p"),
-        F.col("s.short").alias("short"))
-    if small:
-        met = spots.join(F.broadcast(prints), ["f", "short"], "left")
-        at = F.col("p")
-    else:   # only the words within reach of the fingerprint travel with it
-        start = F.greatest(F.col("p") - REACH, F.lit(0))
-        near = spots.withColumn("h", F.when(F.col("f").isNotNull(), F.slice(
-            "h", start + 1, 2 * REACH + K))).withColumn("at", F.col("p") - start)
-        met = near.join(prints, ["f", "short"], "left")
-        at = F.col("at")
-    met = met.where(F.col("item").isNotNull() | F.col("f").isNull())
-    left = _common(F.col("h"), at - 1, F.col("ih"), F.col("q") - 1, -1)
-    right = _common(F.col("h"), at + K, F.col("ih"), F.col("q") + K, 1)
+    spots = words.withColumn("s", F.explode(spots)).select(id_col, "__row_key", "n_words", "s.*")
+    met = spots.join(F.broadcast(prints) if small else prints, ["f", "short"])
+    at = F.least(F.col("p"), F.lit(REACH))
+    left = _common(F.col("near"), at - 1, F.col("ih"), F.col("q") - 1, -1)
+    right = _common(F.col("near"), at + K, F.col("ih"), F.col("q") + K, 1)
     long = F.col("short") == 0
     first = F.when(long, F.col("p") - left).otherwise(F.col("p"))
     last = F.when(long, F.col("p") + K + right).otherwise(F.col("p") + F.col("short"))
     same = F.forall(F.sequence(F.lit(0), F.when(long, F.lit(K)).otherwise(F.col("short")) - 1),
-                    lambda k: F.get(F.col("h"), at + k) == F.get(F.col("ih"), F.col("q") + k))
+                    lambda k: F.get(F.col("near"), at + k) == F.get(F.col("ih"), F.col("q") + k))
     found = F.col("item").isNotNull()
     rows = met.select(id_col, "__row_key", "n_words", F.col("item"),
                       F.when(found, first).alias("first"), F.when(found, last).alias("last"),
