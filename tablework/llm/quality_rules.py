@@ -227,8 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     y = np.array([r["__y"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return untrained()
-    return _train([np.frombuffer(r["idx"], "<i4") for r in rows],
-                  [np.frombuffer(r["val"], "<f4") for r in rows], y)
+    idx = [np.frombuffer(r["idx"], "<i4") for r in rows]
+    val = [np.frombuffer(r["val"], "<f4") for r in rows]
+    del rows
+    return _train(idx, val, y)
 
 
 def _train(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray) -> Weights:
@@ -236,24 +238,40 @@ def _train(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray) -> Weigh
     if min(len(set(y[fit_rows])), len(set(y[~fit_rows]))) < 2:
         fit_rows[:] = True
 
-    def side(rows: np.ndarray):
-        i = np.concatenate([idx[k] for k in rows])
-        v = np.concatenate([val[k] for k in rows]) * np.float32(SCALE)
-        return i, v, np.repeat(np.arange(len(rows)), [len(idx[k]) for k in rows])
+    def blocks(rows: np.ndarray) -> list[tuple]:
+        """Documents in runs of about a million features: first and last
+        document, buckets, values, and the document of each."""
+        out, at = [], 0
+        ends = np.cumsum([len(idx[k]) for k in rows])
+        while at < len(rows):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + (1 << 20))))
+            run = rows[at:to]
+            out.append((at, to, np.concatenate([idx[k] for k in run]),
+                        np.concatenate([val[k] for k in run]) * np.float32(SCALE),
+                        np.repeat(np.arange(len(run), dtype=np.int32), [len(idx[k]) for k in run])))
+            at = to
+        return out
+
+    def scores(parts: list[tuple]) -> np.ndarray:
+        w32 = w.astype(np.float32)
+        return c + np.concatenate([np.bincount(r, w32[i] * v, minlength=to - at)
+                                   for at, to, i, v, r in parts])
 
     def weight(t: np.ndarray) -> np.ndarray:
         return np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / len(t)
 
     a_rows = np.flatnonzero(fit_rows)
-    i, v, r = side(a_rows)
+    parts = blocks(a_rows)
     t, size = y[a_rows], FAMILIES << BITS
     w, m, s = (np.zeros(size) for _ in range(3))
     c, mc, sc = 0.0, 0.0, 0.0
     wt = weight(t)
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(r, w[i] * v, minlength=len(t)) + c
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t) * wt
-        g = np.bincount(i, d[r] * v, minlength=size) + 1e-7 * w
+        d = (1 / (1 + np.exp(-np.clip(scores(parts), -30, 30))) - t) * wt
+        g = 1e-7 * w
+        for at, to, i, v, r in parts:
+            g += np.bincount(i, d[at:to].astype(np.float32)[r] * v, minlength=size)
         m += 0.1 * (g - m)
         s += 0.01 * (g * g - s)
         w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
@@ -261,9 +279,7 @@ def _train(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray) -> Weigh
         sc += 0.01 * (d.sum() ** 2 - sc)
         c -= 0.1 * (mc / (1 - 0.9 ** step)) / (np.sqrt(sc / (1 - 0.99 ** step)) + 1e-6)
     b_rows = np.flatnonzero(~fit_rows) if not fit_rows.all() else a_rows
-    i, v, r = side(b_rows)
-    z = np.bincount(r, w[i] * v, minlength=len(b_rows)) + c
-    a, b = _platt(z, y[b_rows])
+    a, b = _platt(scores(blocks(b_rows)), y[b_rows])
     return Weights(w.astype(np.float32), float(c), a, b)
 
 
