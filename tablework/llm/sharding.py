@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LIMIT = 4 << 20                  # bytes of text per shard
+LIMIT = 1 << 20                  # bytes of text per shard
 BITS = 60                        # of the hash
-STEP = 8                         # levels decided at once
+STEP = 4                         # levels decided at once
 
 
 def hash_bits(id_col: str = "doc_id", text_col: str = "text") -> Column:
