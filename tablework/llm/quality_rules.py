@@ -117,10 +117,17 @@ def _windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def repeated_window_words(text: str, size: int = WINDOW) -> int:
-    """Windows of ``size`` words that the text holds twice or more, all counted."""
+    """Words that lie in a window of ``size`` words that the text holds twice or
+    more, each counted once."""
     words = _WORD.findall(text)
-    seen = Counter(zip(*(words[k:] for k in range(size))))
-    return sum(c for c in seen.values() if c > 1)
+    windows = list(zip(*(words[k:] for k in range(size))))
+    seen = Counter(windows)
+    total = end = 0
+    for k, window in enumerate(windows):
+        if seen[window] > 1:
+            total += k + size - max(k, end)
+            end = k + size
+    return total
 
 
 def duplicate_lines(text: str) -> int:
