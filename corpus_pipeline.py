@@ -2,8 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``; all but the last
-return the columns of ``docs``. Labels and the benchmark are read from
-``sf_dir``. A stage works on all that the one before it kept:
+return the columns of ``docs``. Labels, the rows that models are fitted to and
+the benchmark are read from ``sf_dir``. A stage works on all that the one before it kept:
 
 1. quality classifier (byte-level convolutional network): rejected documents go;
 2. quality rules (thresholds and hashed n-gram regression): failing ones go;
@@ -26,7 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    # The classifier has taken almost all bad rows out of docs: the model learns from the raw ones.
+    model = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_rules.keep_good(docs, model)
 
 

@@ -2,7 +2,9 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tablework.llm import quality_rules
 from tablework.llm.common import text_slices
 
@@ -27,3 +29,16 @@ def test_repeated_words_are_words_not_windows(text, n):
     words = len(text.split())
     assert got["n_repeat_words"].tolist() == [n]
     assert got["base_failed"].tolist() == [words < 10 or 100 * n > 20 * words]
+
+
+def test_rules_stage_rejects_bad_documents_that_it_receives(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    bad = labels.where("quality = 0").select("doc_id")
+    passed = quality_rules.apply_rules(docs, quality_rules.untrained()).where("kept").select(docs.columns)
+    # What a perfect classifier leaves, and bad texts under ids that no label names.
+    planted = passed.join(bad, "doc_id").select(*[(-1 - F.col(c)).alias(c) if c == "doc_id" else c for c in docs.columns])
+    received = passed.join(bad, "doc_id", "left_anti").unionByName(planted)
+    kept = corpus_pipeline.quality_rule_filter(spark, received, SF)
+    n, n_kept = planted.count(), kept.where("doc_id < 0").count()
+    assert n > 20 and n_kept < 0.5 * n
+    assert kept.where("doc_id >= 0").count() > 0.9 * received.where("doc_id >= 0").count()
