@@ -6,12 +6,14 @@ Three parts:
   summed in every task and then by Spark. The alphabet is fixed (``ALPHABET``,
   with a word edge and one class for all else), so the table that reaches the
   driver has at most ``len(ALPHABET) ** 3`` rows, whatever the corpus holds.
-* Restoration: a token that does not look like a plain word (leetspeak signs
-  among letters, letters three times running, single letters set apart by
-  spaces or signs) becomes a lattice of readings; each character may stand for
+* Restoration: a token that is not a plain word (leetspeak signs at any place,
+  letters three times running, single letters set apart by spaces or signs)
+  becomes a lattice of readings; each character may stand for
   itself, for the letters that sign is used for, or for nothing where it
   repeats or separates. A Viterbi search finds the likeliest reading under the
-  language model and the channel's costs. Plain words stay as they are.
+  language model and the channel's costs. Plain words stay as they are. A token
+  that is read as no learned word is also read part by part, between its inner
+  signs; one of digits and signs alone changes only into a learned word.
 * The score: evidence features are restored words and their prefixes. Learned
   are those that stand in so many labelled toxic documents, and in so few
   others, that chance is ruled out; near copies among the labelled rows count
@@ -56,7 +58,7 @@ STANDS_FOR = {
 SIGN_COST, SELF_COST, REPEAT_COST, GAP_COST = 1.0, 7.0, 0.6, 0.4
 PER_CLASS, PREFIXES, CHANCE, PURITY, MIN_WORDS = 3000, range(4, 9), 1e-7, 0.08, 4
 TOXIC = 0.7                     # predicted = 1 from this score on
-KNOWN_TOKENS = 300_000          # remembered per worker
+KNOWN_TOKENS, KNOWN_LENGTH = 300_000, 64     # remembered per worker, and how long at most
 
 _INDEX = {c: i for i, c in enumerate(ALPHABET) if i > 1}
 _LUT = np.ones(0x3000, np.int64)
@@ -70,11 +72,17 @@ _LETTERS = "a-zß-öø-ÿœ"
 _PLAIN = re.compile(rf"[{_LETTERS}]+(?:['’-][{_LETTERS}]+)*")
 _TRIPLE = re.compile(r"(.)\1\1")
 _EDGE_MARKS = ".,;:?\"'()[]{}*_~-!"
-# Letters one by one, with the same few separators between them: "s t u p i d".
-_SPACED = re.compile(rf"(?<![^\t-\r .,;:])(?:[{_LETTERS}0-9@$!|+€£][ .\-_*]{{1,2}}){{3,}}"
+_GAPS = " .-_*'’~,;:/"
+# Punctuation that sets words apart, and all that is neither letter nor digit.
+_HARD = re.compile(r"[,;:/\\?\"“”()\[\]{}&=—–…«»]+")
+_INNER = re.compile(rf"[^{_LETTERS}0-9]+")
+_RUN = re.compile(r"(.)\1{2,}")
+# Letters one by one, with separators between them: "s t u p i d".
+_SPACED = re.compile(rf"(?<![{_LETTERS}0-9@$!|+€£])(?:[{_LETTERS}0-9@$!|+€£][{re.escape(_GAPS)}]+){{2,}}"
                      rf"[{_LETTERS}0-9@$!|+€£](?![{_LETTERS}0-9])")
 
 
+
 # -- language model ---------------------------------------------------------------
 
 def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,9 +124,10 @@ class Channel:
     cost: np.ndarray
     lexicon: dict = field(default_factory=dict)     # squeezed spelling -> learned word
     known: dict = field(default_factory=dict)
+    learned: frozenset = frozenset()                # features with a weight
 
     def __getstate__(self):
-        return {"cost": self.cost, "lexicon": self.lexicon}
+        return {"cost": self.cost, "lexicon": self.lexicon, "learned": self.learned}
 
     def __setstate__(self, state):
         self.__dict__ = {**state, "known": {}}
@@ -129,7 +138,7 @@ class Channel:
         A state is the last two letters read; an arc reads one character as a
         letter, or as nothing where it repeats the one before or separates.
         """
-        states = {(0, 0): (0.0, "")}
+        states: dict = {(0, 0): (0.0, None)}            # cost; letters read, the last one first
         before = ""
         for ch in noisy:
             arcs = [(c, SIGN_COST) for c in STANDS_FOR.get(ch, "")]
@@ -141,7 +150,7 @@ class Channel:
             nothing = None
             if ch == before:
                 nothing = REPEAT_COST
-            elif ch in " .-_*'’~,;:":
+            elif ch in _GAPS:
                 nothing = GAP_COST
             after: dict = {}
             for (a, b), (cost, text) in states.items():
@@ -149,50 +158,80 @@ class Channel:
                     i = _INDEX.get(c, 1)
                     total = cost + price + float(self.cost[a, b, i])
                     if (b, i) not in after or total < after[b, i][0]:
-                        after[b, i] = (total, text + c)
+                        after[b, i] = (total, (text, c))
                 if nothing is not None:
                     total = cost + nothing
                     if (a, b) not in after or total < after[a, b][0]:
                         after[a, b] = (total, text)
             states, before = after, ch
-        return min((cost + float(self.cost[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+        best = min(states, key=lambda ab: states[ab][0] + float(self.cost[ab[0], ab[1], 0]))
+        text, letters = states[best][1], []
+        while text:
+            text, c = text
+            letters.append(c)
+        return "".join(reversed(letters))
 
     def readings(self, noisy: str) -> str:
         """The decoded token, or the learned word that differs from it only in how
         often its letters stand next to themselves."""
-        got = self.decode(noisy)
+        got = self.decode(_RUN.sub(r"\1\1", noisy))
         return self.lexicon.get(_squeezed(got), got)
 
-    def word(self, token: str) -> str:
-        """A lower-case token without white space, as its restored word."""
+    def speaks(self, words: list[str]) -> bool:
+        """Whether a word has a learned feature."""
+        return bool(self.learned) and any(f in self.learned for w in words for f in features(w))
+
+    def words(self, token: str) -> list[str]:
+        """The restored words of a lower-case token without white space."""
         got = self.known.get(token)
         if got is None:
-            core = token.strip(_EDGE_MARKS)
-            if _PLAIN.fullmatch(core) and not _TRIPLE.search(core):
-                got = core
-            elif _suspicious(token):
-                core = token.strip(".,;:?\"'()[]{}*_~-")
-                while core.endswith("!") and not core[:-1].isalpha() or core.endswith("!!"):
-                    core = core[:-1]
-                if core.endswith("!") and core[:-1].isalpha():
-                    core = core[:-1]
-                got = self.readings(core) if core else ""
-            else:
-                got = core
-            if len(self.known) < KNOWN_TOKENS:
+            got = self._read(token)
+            if len(self.known) < KNOWN_TOKENS and len(token) <= KNOWN_LENGTH:
                 self.known[token] = got
         return got
 
+    def _read(self, token: str) -> list[str]:
+        core = token.strip(_EDGE_MARKS)
+        plain = bool(_PLAIN.fullmatch(core)) and not _TRIPLE.search(core)
+        signs = token.strip(".,;:?\"')[]{}*_~-")         # with "!" and "(", which stand for letters
+        if plain and (core.isalpha() and signs == core or core in self.learned):
+            return [core]
+        if not any(c in _INDEX or c in STANDS_FOR for c in signs):
+            return [core] if core else []
+        noisy = signs.lstrip("(").rstrip("!")
+        read = [self.readings(x) for x in dict.fromkeys((noisy, signs)) if x and not (plain and x.isalpha())]
+        for word in read:
+            if word in self.learned:
+                return [word]
+        hard = [x for x in _HARD.split(core) if x]
+        parts = [w for x in hard for w in self.words(x)] if len(hard) > 1 else []
+        if self.speaks(parts):
+            return parts
+        inner = [x for x in _INNER.split(core) if x]
+        small = [w for x in inner for w in self.words(x)] if inner != [core] else []
+        if self.speaks(small):
+            return small
+        for word in read:
+            if self.speaks([word]):
+                return [word]
+        if plain or not any(c in _INDEX for c in noisy):
+            return parts or ([core] if core else [])
+        return parts or read[:1]
+
     def restore(self, text: str) -> list[str]:
         """The words of a text with obfuscated ones restored, edge marks dropped."""
         text = text.lower()
-        found = [m for m in _SPACED.finditer(text)] if _SPACED.search(text) else []
         words, at = [], 0
-        for m in found:
-            words += map(self.word, _TOKEN.findall(text, at, m.start()))
-            words.append(self.readings(m.group()))
+        for m in _SPACED.finditer(text):
+            got = self.readings(m.group())
+            if not any(c in _INDEX for c in m.group()) and not self.speaks([got]):
+                continue                                # numbers in a row
+            for token in _TOKEN.findall(text, at, m.start()):
+                words += self.words(token)
+            words.append(got)
             at = m.end()
-        words += map(self.word, _TOKEN.findall(text, at))
+        for token in _TOKEN.findall(text, at):
+            words += self.words(token)
         return words
 
 
@@ -200,21 +239,11 @@ def _squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-def _suspicious(token: str) -> bool:
-    """Letters with signs used for letters among them, or a letter three times
-    running, in a token of a word's length."""
-    letters = sum(c in _INDEX for c in token)
-    if not 2 <= letters or len(token) > 40:
-        return False
-    return bool(_TRIPLE.search(token)) or any(c in STANDS_FOR or c in "*_.-" for c in token[1:-1]) \
-        or token[0] in STANDS_FOR
-
-
 # -- evidence ------------------------------------------------------------------------
 
 def features(word: str) -> list[str]:
     """A restored word and its prefixes ("stem~"), where it is long enough."""
-    if not 3 <= len(word) <= 40:
+    if len(word) < 3:
         return []
     return [word] + [word[:n] + "~" for n in PREFIXES if n <= len(word)]
 
@@ -365,7 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     chosen = docs.sparkSession.createDataFrame([(i,) for i, _ in rows], T.StructType([schema[id_col]])).distinct()
     sample = sample.join(F.broadcast(chosen), id_col).select("__y", "words")     # ids of the sample: bounded
     weights = _weights(_candidates(sample, n_toxic, n_clean), n_toxic, n_clean, prior)
-    model = ToxicityModel(Channel(channel.cost, lexicon_of(weights)), weights)
+    model = ToxicityModel(Channel(channel.cost, lexicon_of(weights), learned=frozenset(weights)), weights)
     got = sample.mapInArrow(_strengths(model), "__y int, e double").collect()
     y, e = np.array([r["__y"] for r in got], float), np.array([r["e"] for r in got])
     model.steps = _steps(e, y, np.where(y == 1, prior / n_toxic, (1 - prior) / n_clean))

@@ -1,11 +1,12 @@
 """Cases of the second review: what earlier tests could not show."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablework.llm import quality_rules
+from tablework.llm import quality_rules, toxicity
 from tablework.llm.common import text_slices
 
 SF = "/root/testdata/sf0.01"
@@ -42,3 +43,24 @@ def test_rules_stage_rejects_bad_documents_that_it_receives(spark):
     n, n_kept = planted.count(), kept.where("doc_id < 0").count()
     assert n > 20 and n_kept < 0.5 * n
     assert kept.where("doc_id >= 0").count() > 0.9 * received.where("doc_id >= 0").count()
+
+
+@pytest.fixture(scope="module")
+def channel():
+    counts = np.zeros((toxicity._SIZE,) * 3)
+    text = " you are a stupid idiot and a moron this is pathetic trash the scum shut up ass shit "
+    c = toxicity._LUT[np.frombuffer((text * 20).encode("utf-32-le"), "<u4")]
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    p = (counts + 0.01) / (counts.sum(axis=2, keepdims=True) + 0.01 * toxicity._SIZE)
+    weights = {w: 0.9 for w in ("idiot", "stupid", "moron", "scum", "ass", "shit")} | {"idio~": 0.8}
+    return toxicity.Channel(-np.log(p), toxicity.lexicon_of(weights), learned=frozenset(weights))
+
+
+@pytest.mark.parametrize("noisy, plain", [
+    ("idio7", "idiot"), ("idio+", "idiot"), ("!diot", "idiot"), ("5h17", "shit"), ("a$$", "ass"), ("455", "ass"),
+    ("stu" + "u" * 60 + "pid", "stupid"), ("s/t/u/p/i/d", "stupid"), ("s,t,u,p,i,d", "stupid"), ("a s s", "ass"),
+    ("s...t...u...p...i...d", "stupid"), ("(s t u p i d)", "stupid"), ("shut up,idiot", "shut up idiot"),
+    ("idiot/moron", "idiot moron"), ("idiot-moron", "idiot moron"), ("well-known", "well-known"),
+    ("#idiot", "idiot"), ("in 2024, 1 2 3", "in 2024 1 2 3"), ("scum!", "scum"), ("(as)", "as"), ("as!", "as")])
+def test_obfuscations_at_any_place_are_read(channel, noisy, plain):
+    assert " ".join(w for w in channel.restore(noisy) if w) == plain
