@@ -16,8 +16,9 @@ that many words.
 A fingerprint carries the hashes of the words within reach around it, so no row
 holds a whole document and a text of any length takes memory in proportion.
 The benchmark side is broadcast when it has at most ``BROADCAST_ROWS``
-fingerprints (counted first, 64 bytes each and the words of its item's part);
-a larger one is joined by shuffling fingerprints. Documents are not shuffled:
+fingerprints (counted first; a row is its item's name and at most ``2 * REACH + K``
+hashes of 8 bytes, so about 200 bytes: 40 MB at the limit, however long the
+items are); a larger one is joined by shuffling fingerprints. Documents are not shuffled:
 only hits and one row per document are, and hits of one document are few
 numbers, merged before the shuffle where they meet in a task.
 
@@ -106,8 +107,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = items.withColumn("m", F.size("ih")).where("m > 0").distinct()
     prints = items.where(F.col("m") >= GUARANTEE) \
         .withColumn("w", _let(F.col("ih"), _winnow)) \
-        .select("item", "ih", F.explode("w").alias("w")) \
-        .select("item", "ih", "w.short", "w.f", F.col("w.p").alias("q"))
+        .select("item", F.explode("w").alias("w")) \
+        .select("item", F.col("w.near").alias("ih"), "w.short", "w.f",
+                F.least(F.col("w.p"), F.lit(REACH)).alias("q"))
     lengths = [r["m"] for r in items.where(F.col("m") < GUARANTEE).select("m").distinct()
                .orderBy("m").collect()]                       # GUARANTEE - 1 at most
     for m in lengths:

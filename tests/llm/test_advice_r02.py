@@ -1,12 +1,15 @@
 """Cases of the second review: what earlier tests could not show."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import contamination
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablework.llm import quality_rules, toxicity
+from tablework.llm import decontamination, quality_rules, toxicity
 from tablework.llm.common import text_slices
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +67,19 @@ def channel():
     ("#idiot", "idiot"), ("in 2024, 1 2 3", "in 2024 1 2 3"), ("scum!", "scum"), ("(as)", "as"), ("as!", "as")])
 def test_obfuscations_at_any_place_are_read(channel, noisy, plain):
     assert " ".join(w for w in channel.restore(noisy) if w) == plain
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_benchmark_fingerprints_carry_the_words_within_reach(spark, monkeypatch, broadcast_rows):
+    seen = []
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast_rows)
+    join = type(spark.range(0)).join
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, *a: seen.append(other) or join(self, other, *a))
+    long = " ".join(f"w{k * k % 997}" for k in range(600))
+    docs = [(1, long), (2, " ".join(long.split()[95:115])), (3, " ".join(long.split()[590:])), (4, "x y z")]
+    items = [(1, long), (2, "x y")]
+    got = decontamination.digest(decontamination.decontaminate(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert Counter(map(tuple, got.collect())) == contamination(docs, items)
+    sizes = [f.agg(F.max(F.size("ih"))).first()[0] for f in seen if "ih" in f.columns]
+    assert sizes and max(sizes) <= 2 * decontamination.REACH + decontamination.K
