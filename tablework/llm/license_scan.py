@@ -3,7 +3,9 @@
 Templates are short licence statements, held as words with their positions:
 the postings. How rare a template word is comes from the corpus: the number of
 documents that hold it, over all documents. Of every template the ``RARE``
-words of highest inverse document frequency are its look-up words. Each place
+words of highest inverse document frequency and the rarest word of its key
+phrase are its look-up words; a match holds the whole key phrase, so no match
+is missed, whatever else of the template was changed. Each place
 of a document where such a word stands is joined with the postings of the word;
 that fixes where the whole template would have to begin. The words of the
 template are then compared at that alignment, inside the row. A label is given
@@ -88,7 +90,9 @@ def postings(spark: SparkSession, frequency: dict[str, int], n_docs: int) -> tup
     for t in templates():
         # A base phrase is looked up by its rarest word alone: every place of
         # the phrase holds it, so every place is found once.
-        rare = sorted(set(t["words"]), key=lambda w: (-idf(w), w))[:1 if t["base"] else RARE]
+        order = sorted(set(t["words"]), key=lambda w: (-idf(w), w))
+        key = t["words"][t["key_at"]:t["key_at"] + t["key_n"]]
+        rare = order[:1] if t["base"] else [*order[:RARE], next(w for w in order if w in key)]
         rows += [(w, t["t"], t["label"], t["base"], i, t["words"], t["key_at"], t["key_n"])
                  for i, w in enumerate(t["words"]) if w in rare]
     words = sorted({r[0] for r in rows})

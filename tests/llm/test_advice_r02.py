@@ -9,7 +9,7 @@ from brute import contamination
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablework.llm import decontamination, quality_rules, toxicity
+from tablework.llm import decontamination, license_scan, quality_rules, toxicity
 from tablework.llm.common import text_slices
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +83,12 @@ def test_benchmark_fingerprints_carry_the_words_within_reach(spark, monkeypatch,
     assert Counter(map(tuple, got.collect())) == contamination(docs, items)
     sizes = [f.agg(F.max(F.size("ih"))).first()[0] for f in seen if "ih" in f.columns]
     assert sizes and max(sizes) <= 2 * decontamination.REACH + decontamination.K
+
+
+def test_licence_with_its_rarest_words_changed_is_found(spark):
+    docs = [(1, "distribution and use in source and binary forms with or without changes are allowed"),
+            (2, "source and binary forms")]
+    rows = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].labels == "bsd" and by[1].score == pytest.approx(11 / 14)
+    assert by[2].labels == "" and by[2].score == 0
