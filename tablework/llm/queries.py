@@ -90,7 +90,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op2_token_counts": op2_token_counts,
     "op3_extendible_sharding": sharding.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op5_winnowing": decontamination.ORACLE,

@@ -8,6 +8,7 @@ import pytest
 from brute import contamination
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 import corpus_pipeline
 from tablework.llm import decontamination, license_scan, quality_rules, toxicity
 from tablework.llm.common import text_slices
@@ -92,3 +93,7 @@ def test_licence_with_its_rarest_words_changed_is_found(spark):
     by = {r.doc_id: r for r in rows}
     assert by[1].labels == "bsd" and by[1].score == pytest.approx(11 / 14)
     assert by[2].labels == "" and by[2].score == 0
+
+
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in E.oracle_sql().values())
