@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each applies its operator, with
+"""Registered queries of the thirteen operators: each applies its operator, with
 production parameters, to the whole of its table."""
 
 from __future__ import annotations
@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     byte_cnn,
     chat_format,
+    conversation_repair,
     decontamination,
+    fill_in_middle,
     license_scan,
     ngram_join,
     packing,
     quality_rules,
     sharding,
     token_counts,
+    token_files,
     toxicity,
 )
 from .common import table
@@ -76,6 +79,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "class_id", "n_links")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(spark, token_files.token_files(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    ordered = conversation_repair.in_order(conversation_repair.damage(turns))
+    plan = conversation_repair.repair_plan(ordered)
+    return conversation_repair.digest(ordered, plan, turns.select("conv_id").distinct())
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.digest(fill_in_middle.transform(docs))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -87,10 +106,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op3_extendible_sharding": sharding.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op5_winnowing": decontamination.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
