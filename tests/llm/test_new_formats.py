@@ -88,22 +88,22 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def test_piece_ids_equal_the_library():
+@pytest.mark.parametrize("run_chars", [1 << 16, 20])
+def test_text_ids_equal_the_library(monkeypatch, run_chars):
+    monkeypatch.setattr(tf, "RUN_CHARS", run_chars)
     rng = random.Random(5)
-    tok = tf.PieceIds(tf.tokenizer_path())
+    tok = tf.TextIds(tf.tokenizer_path())
+    assert tok.core is not None
     chars = "abcXYZ éßŁɏ 0123½²  \n\t\r.,'!?<|>-—“”…'s't'll\xa0\x85\x1c日я🙂"
-    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
-    texts += ["<|endoftext|>", "a <|endoftext|>b", "", " ", "  x", "x  ", "don't 'S 'll"]
-    assert tok.batch(texts) == tok._encode(texts)
-    tf_limit, tf.CACHE_PIECES = tf.CACHE_PIECES, 10          # the memory is full
-    try:
-        assert tf.PieceIds(tf.tokenizer_path()).batch(texts) == tok._encode(texts)
-    finally:
-        tf.CACHE_PIECES = tf_limit
+    texts = ["".join(rng.choice(chars[:rng.choice([26, 49, 99])]) for _ in range(rng.randint(0, 80)))
+             for _ in range(6000)]
+    texts += ["<|endoftext|>", "a <|endoftext|>b", "", " ", "  x", "x  ", "don't 'S 'll", "a " * 100, " a" * 100]
+    for t in texts:
+        assert tok.ids(t) == tok.exact(t), t
 
 
 def test_token_files_against_the_library(spark, docs):
-    tok = tf.PieceIds(tf.tokenizer_path()).tok
+    tok = tf.TextIds(tf.tokenizer_path()).tok
     path = tf.token_files(docs)
     order = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0, hashlib.md5((d[1] or "").encode()).hexdigest()))
     want, start, whole = [], 0, []
