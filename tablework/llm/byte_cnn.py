@@ -9,11 +9,11 @@ The document's vector is the mean over its chunks and the maximum over its
 chunks of the pooled responses, with two measures of its length (a short text
 cannot wake many filters), and a logistic layer makes it one probability.
 
-Training takes place on the driver on a bounded sample: ``PER_CLASS`` labelled
-documents of either class, ``TRAIN_CHUNKS`` chunks of each, evenly spread over
-the whole text, some of them cut short at random so that short texts are
-learned too. Scoring reads every byte of every document. The work space of
-a task is bounded by blocks of ``BLOCK`` bytes.
+Training takes place on the driver on a bounded number of rows: ``PER_CLASS``
+labelled documents of either class, all chunks of each, some documents cut
+short at random so that short texts are learned too. Scoring reads every byte
+of every document. The work space is bounded by blocks of ``BLOCK`` bytes, in
+training of ``BLOCK_CHUNKS`` chunks.
 
 Defined cases: a NULL or empty text is one chunk of padding and gets that
 chunk's score; repeated rows get equal scores; no labelled rows, or rows of one
@@ -37,7 +37,8 @@ from .labelled import collect_sample, sample_ids
 FILTERS, WIDTH = 16, 6
 CHUNK, STRIDE = 512, 448
 BLOCK = 1 << 14
-PER_CLASS, TRAIN_CHUNKS, EPOCHS = 1500, 4, 14
+PER_CLASS, EPOCHS = 1000, 8
+BATCH_DOCS, BLOCK_CHUNKS = 64, 128
 GOOD = 0.7                      # predicted = 1 from this score on
 REJECT_BELOW = 0.5              # the pipeline's verdict
 INPUTS = 2 * FILTERS + 2
@@ -106,6 +107,8 @@ def document_vectors(raw: np.ndarray, offsets: np.ndarray, model: ByteCnn) -> np
             lo = starts // grain
             hi = np.minimum(len(grains), -(-(starts + CHUNK - WIDTH + 1) // grain))
             pooled = np.stack([grains[a:b].max(axis=0) for a, b in zip(lo, hi)])
+            if starts[-1] % grain:                        # the last chunk begins inside a grain
+                pooled[-1] = _responses(doc[-CHUNK:], model.table, model.bias).max(axis=0)
         out[i, :FILTERS], out[i, FILTERS:2 * FILTERS] = pooled.mean(axis=0), pooled.max(axis=0)
     return out
 
@@ -121,19 +124,12 @@ def predict(raw: np.ndarray, offsets: np.ndarray, model: ByteCnn) -> np.ndarray:
 # -- training -----------------------------------------------------------------
 
 def _draw(id_col: str, text_col: str):
-    """Up to ``TRAIN_CHUNKS`` chunks of a document, evenly spread."""
+    """The bytes of a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_bytes(column(batch, text_col))
-            chunks = []
-            for a, b in zip(off[:-1], off[1:]):
-                starts = _chunk_starts(int(b - a))
-                pick = np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).round().astype(int))
-                chunks.append(b"".join(bytes(raw[a + s:min(a + s + CHUNK, b)]).ljust(CHUNK)
-                                       for s in starts[pick]))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, id_col), column(batch, "__y"), pa.array(chunks, pa.binary())],
-                names=[id_col, "__y", "chunks"])
+            texts = pa.compute.fill_null(column(batch, text_col), "").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, id_col), column(batch, "__y"), texts],
+                                             names=[id_col, "__y", "raw"])
     return run
 
 
@@ -141,17 +137,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
         id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> ByteCnn:
     """A model from the labelled rows that ``keep`` (a condition on ``labels``) allows."""
     ids = sample_ids(labels, label, PER_CLASS, keep, id_col)
-    rows = collect_sample(docs, ids, _draw(id_col, text_col),
-                          [T.StructField("chunks", T.BinaryType())], id_col, text_col)
-    y = np.array([r["__y"] for r in rows], np.float32)
+    rows = collect_sample(docs, ids, _draw(id_col, text_col), [T.StructField("raw", T.BinaryType())],
+                          id_col, text_col)
+    y = np.array([r[0] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return untrained()
-    owner = np.repeat(np.arange(len(rows)), [len(r["chunks"]) // CHUNK for r in rows])
-    raw = np.frombuffer(b"".join(bytes(r["chunks"]) for r in rows), np.uint8).reshape(-1, CHUNK)
-    return _train(raw, owner, y, seed)
-
-
-def _train(raw: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int) -> ByteCnn:
+    size = np.array([len(r[1]) for r in rows])
+    held = np.maximum(size, CHUNK)                        # short texts are padded with blanks
+    base = np.cumsum(held) - held
+    raw = np.full(held.sum(), 32, np.uint8)
+    for at, r in zip(base, rows):
+        raw[at:at + len(r[1])] = np.frombuffer(r[1], np.uint8)
+    del rows
+    starts = [_chunk_starts(int(n)) for n in held]
+    owner = np.repeat(np.arange(len(y)), [len(s) for s in starts])
+    return _train(raw, np.concatenate(starts) + base[owner], owner, size, y, seed)
+
+
+def _train(raw: np.ndarray, chunk: np.ndarray, owner: np.ndarray, size: np.ndarray, y: np.ndarray,
+           seed: int) -> ByteCnn:
+    """``raw``: all texts; ``chunk`` and ``owner``: where each chunk starts and
+    whose it is; ``size``: bytes of each text."""
     rng = np.random.default_rng(seed)
     p = {"t": (rng.normal(0, 0.35, (WIDTH, 256, FILTERS))).astype(np.float32),
          "b": np.zeros(FILTERS, np.float32),
@@ -162,25 +168,41 @@ def _train(raw: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int) -> Byte
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     norm = [np.zeros(INPUTS, np.float32), np.ones(INPUTS, np.float32)]
-    blank = (raw == 32)[:, ::-1]
-    length = np.where(blank.all(axis=1), 0, CHUNK - blank.argmin(axis=1))[first]
+
+    def read(starts: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """The chunks' bytes, blank behind ``upto`` of them."""
+        x = raw[starts[:, None] + np.arange(CHUNK)]
+        x[np.arange(CHUNK) >= upto[:, None]] = 32
+        return x
+
+    def highest(starts: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pooled responses of the chunks and their places, block by block."""
+        pooled = np.empty((len(starts), FILTERS), np.float32)
+        arg = np.empty((len(starts), FILTERS), np.int64)
+        pad = np.zeros((WIDTH - 1, FILTERS), np.float32)
+        for s in range(0, len(starts), BLOCK_CHUNKS):
+            x = read(starts[s:s + BLOCK_CHUNKS], upto[s:s + BLOCK_CHUNKS])
+            resp = np.concatenate([_responses(x.reshape(-1), p["t"], p["b"]), pad])
+            resp = resp.reshape(len(x), CHUNK, FILTERS)[:, :CHUNK - WIDTH + 1]
+            best = resp.argmax(axis=1)
+            arg[s:s + len(x)] = best
+            pooled[s:s + len(x)] = np.take_along_axis(resp, best[:, None], 1)[:, 0]
+        return pooled, arg
+
     step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
-        for at in range(0, len(order), 64):
-            docs = order[at:at + 64]
-            rows = np.concatenate([np.arange(first[d], first[d] + count[d]) for d in docs])
-            mine = np.repeat(np.arange(len(docs)), count[docs])
-            x, k = raw[rows], count[docs].astype(np.float32)
-            n = length[docs].copy()
-            cut = rng.random(len(docs)) < 0.3
+        for at in range(0, len(order), BATCH_DOCS):
+            docs = order[at:at + BATCH_DOCS]
+            n, k = size[docs].copy(), count[docs].copy()
+            cut = rng.random(len(docs)) < 0.3              # these are read as short texts
             n[cut] = np.minimum(n[cut], np.exp(rng.uniform(1.5, np.log(CHUNK), cut.sum())).astype(int))
-            x[np.arange(CHUNK) >= np.where(cut, n, CHUNK)[mine][:, None]] = 32
-            resp = _responses(x.reshape(-1), p["t"], p["b"])
-            resp = np.concatenate([resp, np.zeros((WIDTH - 1, FILTERS), np.float32)])
-            resp = resp.reshape(len(rows), CHUNK, FILTERS)[:, :CHUNK - WIDTH + 1]
-            arg = resp.argmax(axis=1)                                  # (chunks, filters)
-            pooled = np.take_along_axis(resp, arg[:, None], 1)[:, 0]
+            k[cut] = 1
+            rows = np.concatenate([np.arange(first[d], first[d] + m) for d, m in zip(docs, k)])
+            mine = np.repeat(np.arange(len(docs)), k)
+            where, upto = chunk[rows], np.where(cut, n, CHUNK)[mine]
+            pooled, arg = highest(where, upto)             # (chunks, filters)
+            k = k.astype(np.float32)
             starts = np.searchsorted(mine, np.arange(len(docs)))
             mean = np.add.reduceat(pooled, starts) / k[:, None]
             top = np.maximum.reduceat(pooled, starts)
@@ -198,7 +220,8 @@ def _train(raw: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int) -> Byte
                  "t": np.zeros_like(p["t"])}
             filt = np.broadcast_to(np.arange(FILTERS), arg.shape)
             for o in range(WIDTH):
-                byte = x[np.arange(len(rows))[:, None], arg + o]
+                byte = raw[where[:, None] + arg + o]
+                byte[arg + o >= upto[:, None]] = 32
                 np.add.at(g["t"][o], (byte, filt), dpool)
             step += 1
             rate = 0.01 * (0.5 if epoch >= EPOCHS // 2 else 1) * (0.4 if epoch >= EPOCHS - 3 else 1)

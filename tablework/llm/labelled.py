@@ -2,12 +2,13 @@
 
 The bound is on rows: ``per_class`` documents of either label, those with the
 smallest hash of their id, so a sample does not depend on partitioning. What
-is drawn from a document is fixed by the caller's ``extract`` and is bounded
-by it (feature vectors, or a number of windows spread over the whole text).
+is drawn from a document (features of it, or its text) is the caller's
+``extract``; it reads whole texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,15 +39,22 @@ def sample_ids(labels: DataFrame, label: str, per_class: int, keep: Column | Non
 
 
 def collect_sample(docs: DataFrame, ids: DataFrame, extract: Callable, fields: list[T.StructField],
-                   id_col: str = "doc_id", text_col: str = "text") -> list:
+                   id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
     """Runs ``extract`` (a ``mapInArrow`` function over id, text and ``__y``) on
-    the sampled documents and brings its rows to the driver, in id order.
+    the sampled documents and brings its rows to the driver, in the order of
+    id, label and checksum: (label, one buffer for each binary field).
 
     ``ids`` has a proven bound (``sample_ids``), so it is broadcast and the
-    texts are not shuffled.
+    texts are not shuffled. Rows arrive as Arrow batches and the buffers are
+    views into them, so the sample is held once.
     """
     drawn = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            T.StructField("__y", T.IntegerType()), *fields])
-    return sorted(drawn.select(id_col, "__y", text_col).mapInArrow(extract, schema).collect(),
-                  key=lambda r: (r[0], r[1], repr(r[2])[:200]))
+    rows = []
+    for batch in drawn.select(id_col, "__y", text_col).mapInArrow(extract, schema).toArrow().to_batches():
+        cells = [[v.as_buffer() for v in batch.column(k)] for k in range(2, batch.num_columns)]
+        rows += [((i, y, zlib.crc32(b[0])), y, *b) for i, y, *b in zip(
+            batch.column(0).to_pylist(), batch.column(1).to_pylist(), *cells)]
+    rows.sort(key=lambda r: r[0])
+    return [r[1:] for r in rows]

@@ -5,7 +5,7 @@ Base measures of a text, over words (runs of anything but ASCII white space):
 A text fails the base rules with fewer than ``MIN_WORDS`` words, or when more
 than ``MAX_REPEAT`` percent of its words lie in a five-word window that the
 text holds twice. Of the others the model decides: relative frequencies of
-hashed word 1- and 2-grams and byte 3- and 4-grams, weighted by a logistic
+hashed word 1- and 2-grams and character 3- and 4-grams, weighted by a logistic
 regression and calibrated (Platt) on rows that the weights were not fitted to.
 
 Fitting takes ``PER_CLASS`` labelled rows of either class (a documented bound),
@@ -43,6 +43,7 @@ CHAR_ORDERS = (3, 4)
 FAMILIES = 2 + len(CHAR_ORDERS)
 SCALE = 30.0
 PER_CLASS, ROUNDS = 2000, 70
+BLOCK_GRAMS = 1 << 19            # features of a training block
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
@@ -163,6 +164,16 @@ def base_measures(texts: pa.Array, raw: np.ndarray, off: np.ndarray, h: np.ndarr
             "n_repeat_words": repeat, "base_failed": failed}
 
 
+def code_points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slice as code points, and the row offsets among them."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    if len(points) == len(raw):
+        return points, off
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
+    return points, before[off]
+
+
 def _grams(raw: np.ndarray, off: np.ndarray, h: np.ndarray, row: np.ndarray
            ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bucket, row) of every n-gram, family by family."""
@@ -170,10 +181,10 @@ def _grams(raw: np.ndarray, off: np.ndarray, h: np.ndarray, row: np.ndarray
     for size in (1, 2):
         win, where = _windows(h, row, size)
         yield (win >> shift).astype(np.int32), where
+    wide, off = code_points(raw, off)
     at = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    wide = raw.astype(np.uint32)
     for size in CHAR_ORDERS:
-        n = max(0, len(raw) - size + 1)
+        n = max(0, len(wide) - size + 1)
         code = np.zeros(n, np.uint32)
         for k in range(size):
             code = code * np.uint32(0x01000193) + wide[k:k + n]
@@ -197,8 +208,36 @@ def probabilities(raw: np.ndarray, off: np.ndarray, h: np.ndarray, row: np.ndarr
 
 # -- training -----------------------------------------------------------------
 
+def pack_grams(draw: str) -> bytes:
+    """A text's n-gram counts: per family the number of buckets and of n-grams,
+    then all buckets (16 bits), counts (8 bits), and the counts that need more
+    (place and count)."""
+    raw, off = text_bytes(pa.array([draw]))
+    found = [np.unique(bucket, return_counts=True) for bucket, _ in _grams(raw, off, *word_hashes(raw, off))]
+    count = np.concatenate([c for _, c in found])
+    over = np.flatnonzero(count > 255)
+    return b"".join((
+        np.array([len(over)] + [n for b, c in found for n in (len(b), c.sum())], "<u4").tobytes(),
+        np.concatenate([b for b, _ in found]).astype("<u2").tobytes(),
+        np.minimum(count, 255).astype("u1").tobytes(),
+        over.astype("<u4").tobytes(), count[over].astype("<u4").tobytes()))
+
+
+def unpack_grams(cell) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers over all families and relative frequencies of a cell."""
+    over, *sizes = np.frombuffer(cell, "<u4", 1 + 2 * FAMILIES).tolist()
+    buckets, totals = sizes[::2], sizes[1::2]
+    n, at = sum(buckets), 4 * (1 + 2 * FAMILIES)
+    idx = np.frombuffer(cell, "<u2", n, at).astype(np.int32)
+    idx += np.repeat(np.arange(FAMILIES, dtype=np.int32) << BITS, buckets)
+    val = np.frombuffer(cell, "u1", n, at + 2 * n).astype(np.float32)
+    at += 3 * n
+    val[np.frombuffer(cell, "<u4", over, at)] = np.frombuffer(cell, "<u4", over, at + 4 * over)
+    return idx, val / np.repeat(np.maximum(totals, 1).astype(np.float32), buckets)
+
+
 def _draw(id_col: str, text_col: str):
-    """Bucket numbers and relative frequencies of a whole text, as bytes."""
+    """The n-gram counts of a whole text and of a passage of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, out = [], []
@@ -207,20 +246,13 @@ def _draw(id_col: str, text_col: str):
                 words = text.split(" ")
                 size = 8 + zlib.crc32(text.encode()) % 60
                 start = max(0, len(words) - size) // 2
-                for j, draw in enumerate((text, " ".join(words[start:start + size]))):
-                    raw, off = text_bytes(pa.array([draw]))
-                    idx, val = [], []
-                    for f, (bucket, _) in enumerate(_grams(raw, off, *word_hashes(raw, off))):
-                        b, c = np.unique(bucket, return_counts=True)
-                        idx.append(b.astype("<i4") + (f << BITS))
-                        val.append((c / max(1, len(bucket))).astype("<f4"))
-                    take.append(i)
-                    out.append((np.concatenate(idx).tobytes(), np.concatenate(val).tobytes()))
+                take.append(i)
+                out.append((pack_grams(text), pack_grams(" ".join(words[start:start + size]))))
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, id_col).take(take), column(batch, "__y").take(take),
                  pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())],
-                names=[id_col, "__y", "idx", "val"])
+                names=[id_col, "__y", "whole", "passage"])
     return run
 
 
@@ -229,35 +261,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     """Weights and calibration from the labelled rows that ``keep`` allows."""
     ids = sample_ids(labels, label, PER_CLASS, keep, id_col)
     rows = collect_sample(docs, ids, _draw(id_col, text_col),
-                          [T.StructField("idx", T.BinaryType()), T.StructField("val", T.BinaryType())],
+                          [T.StructField("whole", T.BinaryType()), T.StructField("passage", T.BinaryType())],
                           id_col, text_col)
-    y = np.array([r["__y"] for r in rows], np.float64)
+    y = np.array([r[0] for r in rows for _ in range(2)], np.float64)
     if len(set(y.tolist())) < 2:
         return untrained()
-    idx = [np.frombuffer(r["idx"], "<i4") for r in rows]
-    val = [np.frombuffer(r["val"], "<f4") for r in rows]
-    del rows
-    return _train(idx, val, y)
+    return _train([cell for r in rows for cell in r[1:]], y)
 
 
-def _train(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray) -> Weights:
+def _train(cells: list, y: np.ndarray) -> Weights:
     fit_rows = np.arange(len(y)) // 2 % 5 != 0            # every fifth document calibrates
     if min(len(set(y[fit_rows])), len(set(y[~fit_rows]))) < 2:
         fit_rows[:] = True
 
     def blocks(rows: np.ndarray) -> list[tuple]:
-        """Documents in runs of about a million features: first and last
+        """Documents in runs of about ``BLOCK_GRAMS`` features: first and last
         document, buckets, values, and the document of each."""
-        out, at = [], 0
-        ends = np.cumsum([len(idx[k]) for k in rows])
-        while at < len(rows):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + (1 << 20))))
-            run = rows[at:to]
-            out.append((at, to, np.concatenate([idx[k] for k in run]),
-                        np.concatenate([val[k] for k in run]) * np.float32(SCALE),
-                        np.repeat(np.arange(len(run), dtype=np.int32), [len(idx[k]) for k in run])))
-            at = to
+        out, run, size = [], [], 0
+        for k in rows:
+            run.append(unpack_grams(cells[k]))
+            size += len(run[-1][0])
+            if size >= BLOCK_GRAMS or k == rows[-1]:
+                at = out[-1][1] if out else 0
+                out.append((at, at + len(run), np.concatenate([i for i, _ in run]),
+                            np.concatenate([v for _, v in run]) * np.float32(SCALE),
+                            np.repeat(np.arange(len(run), dtype=np.int32), [len(i) for i, _ in run])))
+                run, size = [], 0
         return out
 
     def scores(parts: list[tuple]) -> np.ndarray:
@@ -285,8 +314,13 @@ def _train(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray) -> Weigh
         mc += 0.1 * (d.sum() - mc)
         sc += 0.01 * (d.sum() ** 2 - sc)
         c -= 0.1 * (mc / (1 - 0.9 ** step)) / (np.sqrt(sc / (1 - 0.99 ** step)) + 1e-6)
-    b_rows = np.flatnonzero(~fit_rows) if not fit_rows.all() else a_rows
-    a, b = _platt(scores(blocks(b_rows)), y[b_rows])
+    if not fit_rows.all():
+        del parts
+        b_rows = np.flatnonzero(~fit_rows)
+        parts = blocks(b_rows)
+    else:
+        b_rows = a_rows
+    a, b = _platt(scores(parts), y[b_rows])
     return Weights(w.astype(np.float32), float(c), a, b)
 
 

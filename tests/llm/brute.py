@@ -67,7 +67,7 @@ def base_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     win = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
-    repeat = sum(n for n in win.values() if n > 1)
+    repeat = len({k + j for k in range(len(w) - 4) if win[tuple(w[k:k + 5])] > 1 for j in range(5)})
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)),
             repeat, len(w) < 10 or 100 * repeat > 20 * len(w))
 

@@ -144,5 +144,57 @@ def test_untrained_models_reject_nothing(spark):
 def test_repeated_windows_are_exact():
     for text in ("a b c d e f a b c d e", "x " * 50, "one two", ""):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
-        win = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
-        assert quality_rules.repeated_window_words(text) == sum(n for n in win.values() if n > 1)
+        starts = range(len(w) - 4)
+        marked = {k + j for k in starts for m in starts if k != m and w[k:k + 5] == w[m:m + 5] for j in range(5)}
+        assert quality_rules.repeated_window_words(text) == len(marked) == base_quality(text)[4]
+
+
+def test_packed_grams_keep_all_counts():
+    for text in ("", "é", "a b c " * 3000 + "Ünï 日本 🙂", "x" * 5000):
+        raw, off = text_bytes(pa.array([text]))
+        want = {}
+        for f, (bucket, _) in enumerate(quality_rules._grams(raw, off, *quality_rules.word_hashes(raw, off))):
+            for b, n in Counter(bucket.tolist()).items():
+                want[b + (f << quality_rules.BITS)] = np.float32(n / len(bucket))
+        idx, val = quality_rules.unpack_grams(quality_rules.pack_grams(text))
+        assert idx.tolist() == sorted(want) and np.allclose(val, [want[i] for i in sorted(want)])
+
+
+def test_character_grams_are_of_code_points():
+    raw, off = text_bytes(pa.array(["aéb", "", "éé日", "xyz"]))
+    points, at = quality_rules.code_points(raw, off)
+    assert "".join(map(chr, points)) == "aébéé日xyz" and at.tolist() == [0, 3, 3, 6, 9]
+
+
+def brute_network(text, m):
+    """The score of a text, place by place and filter by filter."""
+    raw = (text or "").encode()
+    n, padded = len(raw), raw.ljust(byte_cnn.CHUNK)
+    starts, at = [], 0
+    while True:
+        starts.append(min(at, len(padded) - byte_cnn.CHUNK))
+        if starts[-1] == len(padded) - byte_cnn.CHUNK:
+            break
+        at += byte_cnn.STRIDE
+    pools = []
+    for s in starts:
+        chunk = padded[s:s + byte_cnn.CHUNK]
+        pools.append(np.max([np.maximum(0, m.bias + sum(m.table[o, chunk[i + o]] for o in range(byte_cnn.WIDTH)))
+                             for i in range(len(chunk) - byte_cnn.WIDTH + 1)], axis=0))
+    v = np.concatenate([np.mean(pools, axis=0), np.max(pools, axis=0),
+                        [min(n, byte_cnn.CHUNK) / byte_cnn.CHUNK, min(n, 64) / 64]])
+    z = float(((v - m.mean) / m.scale) @ m.weights + m.intercept)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_scores_against_brute_force():
+    rng = np.random.default_rng(3)
+    f = byte_cnn.FILTERS
+    m = byte_cnn.ByteCnn(rng.normal(0, 0.3, (byte_cnn.WIDTH, 256, f)).astype(np.float32),
+                         rng.normal(0, 0.1, f).astype(np.float32), rng.normal(0, 1, 2 * f + 2).astype(np.float32),
+                         rng.uniform(0.5, 2, 2 * f + 2).astype(np.float32),
+                         rng.normal(0, 0.3, 2 * f + 2).astype(np.float32), 0.2)
+    texts = ["", None, "short", "é" * 300, "w" * 512, "".join(map(chr, rng.integers(97, 123, 1500))),
+             "".join(map(chr, rng.integers(32, 300, 1023))), "".join(map(chr, rng.integers(32, 90, 961)))]
+    got = byte_cnn.predict(*text_bytes(pa.array(texts)), m)
+    assert np.allclose(got, [brute_network(t, m) for t in texts], atol=1e-4)
