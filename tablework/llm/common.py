@@ -105,11 +105,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  name: str = "__row_key") -> DataFrame:
-    """Adds a 128-bit key of id and text; equal keys are exact repeats."""
-    null = F.concat(F.col(id_col).isNull().cast("string"), F.col(text_col).isNull().cast("string"))
+    """Adds a 128-bit key of id and text; equal keys are exact repeats. NULLs are
+    told apart from empty fields, and the id's length says where the text begins."""
     empty = F.lit("")
+    ident, text = (F.coalesce(F.col(c).cast("string"), empty) for c in (id_col, text_col))
+    null = F.concat(F.col(id_col).isNull().cast("string"), F.col(text_col).isNull().cast("string"))
     return docs.withColumn(name, F.unhex(F.md5(F.concat_ws(
-        "/", null, F.coalesce(F.col(id_col).cast("string"), empty), F.coalesce(F.col(text_col), empty)))))
+        "/", null, F.length(ident).cast("string"), ident, text))))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]
