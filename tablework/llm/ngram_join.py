@@ -167,17 +167,17 @@ def _ints(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("marks").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    return batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of each block that take part in a pair of it."""
     for batch, starts in whole_groups(batches, BLOCK):
-        marks, size, side = _matrix(batch), _ints(batch, "n_shingles"), _ints(batch, "part")
+        bands, size, side = _matrix(batch), _ints(batch, "n_shingles"), _ints(batch, "part")
         band, a, b = (_ints(batch, k)[starts[:-1]] for k in ("band", "a", "b"))
         keep = []
         for g, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
-            i, j = _first_band_pairs(marks[lo:hi], size[lo:hi], side[lo:hi], band[g], a[g], b[g])
+            i, j = _first_band_pairs(bands[lo:hi], size[lo:hi], side[lo:hi], band[g], a[g], b[g])
             if len(i):
                 keep.append(lo + np.union1d(i, j))
         if keep:
@@ -210,12 +210,12 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text of a block: documents linked to it and its smallest companion."""
     for batch, starts in whole_groups(batches, BLOCK):
-        marks, size, side = _matrix(batch), _ints(batch, "n_shingles"), _ints(batch, "part")
+        bands, size, side = _matrix(batch), _ints(batch, "n_shingles"), _ints(batch, "part")
         docs, bytes_ = _ints(batch, "n_docs"), batch.column("shingles")
         band, a, b = (_ints(batch, k)[starts[:-1]] for k in ("band", "a", "b"))
         text, root, links = [], [], []
         for g, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
-            i, j = _first_band_pairs(marks[lo:hi], size[lo:hi], side[lo:hi], band[g], a[g], b[g])
+            i, j = _first_band_pairs(bands[lo:hi], size[lo:hi], side[lo:hi], band[g], a[g], b[g])
             if not len(i):
                 continue
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in bytes_[lo:hi]]
@@ -283,15 +283,11 @@ def linked_texts(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id",
     parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("s") / PART_SHINGLES)).cast("int")
     buckets = buckets.select("band", "hash", parts.alias("parts"))
     met = spread.drop("n_shingles").join(buckets, ["band", "hash"])
-    # From here on a band is told by 32 bits of its hash (``marks``): a pair that
-    # shares an earlier mark by chance, one in 10^8, would go unverified here.
-    marked = texts.select("text_id", "n_docs", "n_shingles", "__row_key", F.transform(
-        "bands", lambda h: F.shiftright(h, 32).cast("int")).alias("marks"))
-    members = met.join(marked, "text_id")
+    members = met.join(texts.select("text_id", "n_docs", "n_shingles", "__row_key", "bands"), "text_id")
     members = members.withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
-    members = members.select(*BLOCK, "part", "text_id", "n_docs", "n_shingles", "__row_key", "marks")
+    members = members.select(*BLOCK, "part", "text_id", "n_docs", "n_shingles", "__row_key", "bands")
     needed = written(members.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
                      .mapInArrow(_needed, members.schema), "needed")
     sets = _shingle_sets(docs, needed.select("text_id", "__row_key").distinct(), id_col, text_col)
