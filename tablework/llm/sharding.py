@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LIMIT = 1 << 20                  # bytes of text per shard
+LIMIT = 4 << 20                  # bytes of text per shard
 BITS = 60                        # of the hash
 STEP = 4                         # levels decided at once
 
@@ -129,8 +129,9 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 
 # The same rule in DuckDB SQL: the shortest prefix, not shorter than the first
-# directory's, whose documents fit the limit. ``LIMIT`` is filled in below.
-ORACLE = f"""
+# directory's, whose documents fit the limit; pages for rows that none fits.
+def oracle(limit: int = LIMIT) -> str:
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
          md5(coalesce('v' || doc_id::VARCHAR, 'n') || '/' || coalesce('v' || text, 'n')) AS h
@@ -138,13 +139,23 @@ WITH d AS (
 b AS (
   SELECT *, row_number() OVER () AS r,
          lpad(bin(('0x' || substr(h, 1, 15))::BIGINT), {BITS}, '0') AS bits FROM d),
+fit AS (SELECT * FROM b WHERE n_bytes <= {limit}),
 first AS (
-  SELECT greatest(0, ceil(log2(greatest(1, coalesce(sum(n_bytes), 0) / {LIMIT}))))::BIGINT AS low FROM b),
+  SELECT greatest(0, ceil(log2(greatest(1, coalesce(sum(n_bytes), 0) / {limit}))))::BIGINT AS low FROM fit),
 levels AS (
-  SELECT b.*, g.depth, substr(bits, 1, g.depth) AS prefix
-  FROM b, first, LATERAL (SELECT unnest(range(first.low, first.low + 24)) AS depth) g),
-sums AS (SELECT prefix, depth, sum(n_bytes) AS total FROM levels GROUP BY ALL HAVING total <= {LIMIT}),
-best AS (SELECT r, min(depth) AS depth FROM levels JOIN sums USING (prefix, depth) GROUP BY r)
-SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth::INTEGER AS depth, n_bytes > {LIMIT} AS oversize
+  SELECT fit.*, g.depth, substr(bits, 1, g.depth) AS prefix
+  FROM fit, first, LATERAL (SELECT unnest(range(first.low, {BITS} + 1)) AS depth) g),
+sums AS (SELECT prefix, depth, sum(n_bytes) AS total FROM levels GROUP BY ALL HAVING total <= {limit}),
+best AS (SELECT r, min(depth) AS depth FROM levels JOIN sums USING (prefix, depth) GROUP BY r),
+paged AS (
+  SELECT b.*, (row_number() OVER (PARTITION BY bits ORDER BY r) - 1)
+              // greatest({limit} // greatest(n_bytes, 1), 1) AS page
+  FROM b ANTI JOIN best USING (r))
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, depth::INTEGER AS depth, false AS oversize
 FROM b JOIN best USING (r)
+UNION ALL
+SELECT doc_id, n_bytes, bits || '.' || page, {BITS}, n_bytes > {limit} FROM paged
 """
+
+
+ORACLE = oracle()
