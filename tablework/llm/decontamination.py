@@ -122,15 +122,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                                                          ascii_words(text_col).alias("__w"))
     words = words.select(id_col, "__row_key", _hashes(F.col("__w")).alias("h"))
     words = words.withColumn("n_words", F.size("h").cast("long"))
-    # A first entry stands for the document itself; it meets a row of its own.
-    itself = F.array(F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).alias("p"), F.lit(-1).alias("short"),
+    # A first entry stands for the document itself. It meets no print, so it is
+    # kept by an outer join; its hash is the row's, so no key is common to all.
+    itself = F.array(F.struct(F.xxhash64("__row_key").alias("f"), F.lit(0).alias("p"), F.lit(-1).alias("short"),
                               F.array().cast("array<bigint>").alias("near")))
-    prints = prints.unionByName(docs.sparkSession.sql(
-        "SELECT CAST(NULL AS STRING) item, CAST(array() AS ARRAY<BIGINT>) ih, -1 short, 0L f, 0 q"))
     spots = _let(F.col("h"), lambda h: F.concat(
         itself, _winnow(h), *[_short_spots(h, m) for m in lengths]))
     spots = words.withColumn("s", F.explode(spots)).select(id_col, "__row_key", "n_words", "s.*")
-    met = spots.join(F.broadcast(prints) if small else prints, ["f", "short"])
+    met = spots.join(F.broadcast(prints) if small else prints, ["f", "short"], "left") \
+        .where((F.col("short") < 0) | F.col("item").isNotNull())
     at = F.least(F.col("p"), F.lit(REACH))
     left = _common(F.col("near"), at - 1, F.col("ih"), F.col("q") - 1, -1)
     right = _common(F.col("near"), at + K, F.col("ih"), F.col("q") + K, 1)
