@@ -77,6 +77,17 @@ def unescape_role(role: str) -> str:
 
 # -- typed parts -----------------------------------------------------------------
 
+LARGEST = 1e6                   # of a number in a part; more counts as that many
+
+
+def number_of(part: dict, key: str, default: float) -> float:
+    """A part's number: ``default`` where it is none, 0 to ``LARGEST``."""
+    value = part.get(key)
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value:
+        return default
+    return float(min(max(value, 0), LARGEST))
+
+
 @dataclass(frozen=True)
 class Expansion:
     """Tokens that a placeholder stands for."""
@@ -85,21 +96,24 @@ class Expansion:
     per_page: int = 576             # document
 
     def tokens(self, part: dict) -> int:
-        number = lambda k, d: float(part[k]) if isinstance(part.get(k), (int, float)) else d
         if part["type"] == "image":
-            return max(1, math.ceil(number("width", self.patch) / self.patch)) \
-                * max(1, math.ceil(number("height", self.patch) / self.patch))
+            return max(1, math.ceil(number_of(part, "width", self.patch) / self.patch)) \
+                * max(1, math.ceil(number_of(part, "height", self.patch) / self.patch))
         if part["type"] == "audio":
-            return max(1, math.ceil(number("seconds", 0.0) * self.per_second))
-        return max(1, math.ceil(number("pages", 1.0))) * self.per_page
+            return max(1, math.ceil(number_of(part, "seconds", 0.0) * self.per_second))
+        return max(1, math.ceil(number_of(part, "pages", 1.0))) * self.per_page
 
 
 class PartVisitor:
-    """Flattens parts: ``text`` with placeholders, ``attachments`` in order."""
+    """Flattens parts: text with placeholders, ``attachments`` in order. Texts
+    that follow one another are escaped as one, so that no control string can
+    be put together from two of them. (Nor from a text and a placeholder: a
+    placeholder's first and last signs are inside no control string's.)"""
 
     def __init__(self, expansion: Expansion):
         self.expansion = expansion
-        self.text: list[str] = []
+        self.done: list[str] = []
+        self.run: list[str] = []
         self.attachments: list[dict] = []
         self.length = 0
 
@@ -107,45 +121,68 @@ class PartVisitor:
         getattr(self, f"visit_{part['type']}")(part)
 
     def _add(self, text: str) -> None:
-        self.text.append(text)
+        self.done.append(text)
         self.length += len(text)
 
+    def _close(self) -> None:
+        if self.run:
+            self._add(escape("".join(self.run)))
+            self.run = []
+
     def visit_text(self, part: dict) -> None:
-        self._add(escape(str(part.get("text") or "")))
+        self.run.append(part.get("text") or "")
 
     def _attach(self, part: dict) -> None:
-        self.attachments.append({"kind": part["type"], "ref": str(part.get("ref") or ""),
+        self._close()
+        ref = part.get("ref")
+        self.attachments.append({"kind": part["type"], "ref": ref if isinstance(ref, str) else "",
                                  "at": self.length, "tokens": self.expansion.tokens(part)})
         self._add(PLACEHOLDERS[part["type"]])
 
     visit_image = visit_audio = visit_document = _attach
 
+    def text(self) -> str:
+        self._close()
+        return "".join(self.done)
+
+
+def _is_part(part) -> bool:
+    if not isinstance(part, dict) or not isinstance(part.get("type"), str):
+        return False
+    if part["type"] == "text":
+        return part.get("text") is None or isinstance(part["text"], str)
+    return part["type"] in PLACEHOLDERS
+
 
-def parts_of(content: str | None) -> list[dict]:
-    """The typed parts of a turn's content."""
+def parts_of(content: str | None) -> list[dict] | None:
+    """The typed parts of a turn's content, or None where it is plain text: also
+    JSON that is nested too deeply to read, or that names half a character
+    (a lone surrogate), which no text column holds."""
     if content and content.startswith("[{"):
         try:
             parts = json.loads(content)
-        except ValueError:
-            parts = None
-        kinds = {"text", *PLACEHOLDERS}
-        if isinstance(parts, list) and all(isinstance(p, dict) and p.get("type") in kinds for p in parts):
+            json.dumps(parts, ensure_ascii=False).encode()
+        except (ValueError, RecursionError):
+            return None
+        if isinstance(parts, list) and all(map(_is_part, parts)):
             return parts
-    return [{"type": "text", "text": content or ""}]
+    return None
 
 
 def write_turn(role: str | None, content: str | None, typed: bool = True,
-               expansion: Expansion = Expansion()) -> tuple[str, int, int, list[dict]]:
-    """(written turn, start and end of its loss mask, attachments)."""
+               expansion: Expansion = Expansion()) -> tuple[str, int, int, list[dict], str | None]:
+    """(written turn, start and end of its loss mask, attachments, the content
+    itself where it was read as typed parts)."""
     visitor = PartVisitor(expansion)
-    for part in parts_of(content) if typed else [{"type": "text", "text": content or ""}]:
+    parts = parts_of(content) if typed else None
+    for part in [{"type": "text", "text": content or ""}] if parts is None else parts:
         visitor.visit(part)
     head = START + escape_role(role or "") + "\n"
-    body = "".join(visitor.text)
+    body = visitor.text()
     loss = (len(head), len(head) + len(body)) if role == ROLE_WITH_LOSS else (0, 0)
     for a in visitor.attachments:
         a["at"] += len(head)
-    return head + body + END, *loss, visitor.attachments
+    return head + body + END, *loss, visitor.attachments, content if parts is not None else None
 
 
 def read_turn(written: str) -> tuple[str, str]:
@@ -158,15 +195,17 @@ ATTACHMENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField(
                            T.StructField("at", T.LongType()), T.StructField("tokens", T.LongType())])
 OUTPUT = [T.StructField("formatted", T.StringType()), T.StructField("loss_start", T.LongType()),
           T.StructField("loss_end", T.LongType()), T.StructField("attachments", T.ArrayType(ATTACHMENT)),
-          T.StructField("attachment_tokens", T.LongType())]
+          T.StructField("attachment_tokens", T.LongType()), T.StructField("typed_content", T.StringType())]
 _ARROW_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()),
                                          ("at", pa.int64()), ("tokens", pa.int64())]))
 
 
 def format_turns(turns: DataFrame, typed: bool = True, expansion: Expansion = Expansion(),
                  role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Adds the written turn, its loss range, its attachments and their tokens.
-    With ``typed`` off, content is text even where it looks like parts."""
+    """Adds the written turn, its loss range, its attachments and their tokens,
+    and ``typed_content``: the content of a turn that was read as parts (NULL for
+    plain text, which the written turn gives back by itself). With ``typed`` off,
+    content is text even where it looks like parts."""
     schema = add_fields(turns.schema, OUTPUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +217,8 @@ def format_turns(turns: DataFrame, typed: bool = True, expansion: Expansion = Ex
                 "loss_start": pa.array([g[1] for g in got], pa.int64()),
                 "loss_end": pa.array([g[2] for g in got], pa.int64()),
                 "attachments": pa.array([g[3] for g in got], _ARROW_ATTACHMENTS),
-                "attachment_tokens": pa.array([sum(a["tokens"] for a in g[3]) for g in got], pa.int64())})
+                "attachment_tokens": pa.array([sum(a["tokens"] for a in g[3]) for g in got], pa.int64()),
+                "typed_content": pa.array([g[4] for g in got], pa.string())})
 
     return turns.mapInArrow(run, schema)
 
@@ -188,40 +228,47 @@ def format_turns(turns: DataFrame, typed: bool = True, expansion: Expansion = Ex
 def conversation_digests(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
                          ) -> DataFrame:
     """Per conversation, read from the written turns in order: n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    ordered = formatted.select(conv_col, turn_col, "role", "text", "formatted", "loss_start", "loss_end") \
+    turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments,
+    attachment_tokens. A turn of typed parts reads back as its content."""
+    cells = ["formatted", "loss_start", "loss_end", "typed_content", "n_attachments", "attachment_tokens"]
+    ordered = formatted.withColumn("n_attachments", F.size("attachments").cast("long")) \
+        .select(conv_col, turn_col, "role", "text", *cells) \
         .repartition(conv_col).sortWithinPartitions(conv_col, turn_col, "role", "text")
-    ordered = ordered.select(conv_col, "formatted", "loss_start", "loss_end")
+    ordered = ordered.select(conv_col, *cells)
     schema = T.StructType([
         formatted.schema[conv_col], T.StructField("n_turns", T.LongType()),
         T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
-        T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
-    arrow = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()),
+        T.StructField("n_attachments", T.LongType()), T.StructField("attachment_tokens", T.LongType())])
+    arrow = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None                       # the conversation being read
         for batch in batches:
             done = []
-            for conv, text, start, end in zip(*(column(batch, c).to_pylist() for c in (
-                    conv_col, "formatted", "loss_start", "loss_end"))):
+            for conv, text, start, end, content, n, tokens in zip(*(
+                    column(batch, c).to_pylist() for c in (conv_col, *cells))):
                 if state is None or conv != now:
                     if state is not None:
                         done.append((now, *result(state)))
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 role, said = read_turn(text)
+                said = said if content is None else content
                 loss = unescape(text[start:end])
                 state[0] += 1
                 state[1].update(f"{role}\n{said}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += len(text)
+                state[5] += n
+                state[6] += tokens
             if done:
                 yield rows(done, batch)
         if state is not None:
             yield rows([(now, *result(state))], batch)
 
     def result(s: list) -> tuple:
-        return s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
+        return s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), *s[4:]
 
     def rows(done: list, batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds = [column(batch, conv_col).type, *arrow]
@@ -239,7 +286,8 @@ def attachment_totals(formatted: DataFrame, conv_col: str = "conv_id") -> DataFr
 
 
 # The digests in DuckDB SQL, with conversation -7 of the query. The escape signs
-# of a text are the doubled ones and one per control string.
+# of a text are the doubled ones and one per control string. SQL states plain
+# text; the tables hold no turn of typed parts, for which it would not hold.
 _MARKS = " + ".join(
     f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in [*CONTROL, ESCAPE])
 ORACLE = f"""
@@ -253,6 +301,7 @@ SELECT conv_id, count(*) AS n_turns,
     AS loss_sha256,
   sum({len(START) + 1 + len(END)} + length(r) + {_MARKS.format("r")}
       + (length(r) - length(replace(r, chr(10), ''))) + length(x) + {_MARKS.format("x")})::BIGINT
-    AS formatted_chars
+    AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM t GROUP BY conv_id
 """

@@ -43,7 +43,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) "
                       "AS v(conv_id, turn, role, text)", args={"t": said})
-    formatted = chat_format.format_turns(turns.unionByName(probe), typed=False)
+    formatted = chat_format.format_turns(turns.unionByName(probe))
     return chat_format.conversation_digests(formatted)
 
 

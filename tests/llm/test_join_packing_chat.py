@@ -191,10 +191,10 @@ SAID = st.lists(st.sampled_from(["<", "s>", "/", "[", "INST]", "␛", "n", "\n",
 @settings(max_examples=300, deadline=None)
 @given(SAID, SAID)
 def test_turns_read_back(role, text):
-    written, _, _, _ = chat_format.write_turn(role, text, typed=False)
+    written = chat_format.write_turn(role, text, typed=False)[0]
     assert chat_format.read_turn(written) == (role, text)
     assert not any(c in chat_format.escape(text) for c in chat_format.CONTROL)
-    written, a, b, _ = chat_format.write_turn("assistant", text, typed=False)
+    written, a, b = chat_format.write_turn("assistant", text, typed=False)[:3]
     assert chat_format.unescape(written[a:b]) == text
 
 
@@ -202,7 +202,7 @@ def test_typed_parts():
     content = ('[{"type":"text","text":"see <|image|> "},{"type":"image","ref":"s3://i","width":100,"height":57},'
                '{"type":"audio","ref":"a","seconds":2.5},{"type":"document","ref":"d","pages":3},'
                '{"type":"text","text":null}]')
-    written, _, _, found = chat_format.write_turn("user", content)
+    written, _, _, found, _ = chat_format.write_turn("user", content)
     assert [(a["kind"], a["ref"], a["tokens"]) for a in found] == [
         ("image", "s3://i", 12), ("audio", "a", 63), ("document", "d", 1728)]
     assert all(written[a["at"]:].startswith(f"<|{a['kind']}|>") for a in found)
