@@ -203,6 +203,23 @@ def to_pages(df: DataFrame, rows_per_page: int = 50, css_class: str = "wikitable
     return df.mapInPandas(build, "page_id BIGINT, url STRING, html STRING")
 
 
+def to_json_array(df: DataFrame) -> DataFrame:
+    """Text lines of one JSON array document per partition: objects spread over
+    lines, as a pretty-printer leaves them."""
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for pdf in batches:
+            lines = []
+            for text in pdf["value"]:
+                lines += [mark, "  " + text[0], "    " + text[1:-1], "  " + text[-1]]
+                mark = "  ,"
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]"] if mark != "[" else ["[", "]"]})
+
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")) \
+        .mapInPandas(build, "value STRING")
+
+
 def csv_line(cols: Sequence[Column | str], sep: str = ",") -> Column:
     """One CSV text line from columns (values must not contain ``sep``)."""
     return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"),

@@ -87,6 +87,22 @@ def q_csv_text_round_trip(spark, sf):
     return FS.load_table(spark, path, schema=src.schema)
 
 
+@query("csv_split_records", "SELECT * FROM documents")
+def q_csv_split_records(spark, sf):
+    """Texts with line breaks inside quoted fields, read in byte ranges."""
+    src = table(spark, sf, "documents")
+    path = FS.save_table(src, scratch_path(spark, "documents_split.csv"), "csv")
+    return FS.load_table(spark, path, schema=src.schema, multiline="split")
+
+
+@query("json_split_records", "SELECT * FROM documents")
+def q_json_split_records(spark, sf):
+    """Array documents whose objects go over lines, read in byte ranges."""
+    src = table(spark, sf, "documents")
+    path = FS.save_table(FX.to_json_array(src), scratch_path(spark, "documents_array.json"), "text")
+    return FS.load_table(spark, path, "json", schema=src.schema, multiline="split")
+
+
 _MALFORMED_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.text import MISSING_WORDS
+from tablework.sources.records import read_csv_records, read_json_records
 
 # File extension → source kind.
 EXTENSION_KINDS = {
@@ -32,6 +33,11 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 # and white space at the edges of a field is kept.
 CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+# Reader options that the range-wise reading does not follow (lower case).
+_WHOLE_FILE_OPTIONS = {"quote", "escape", "linesep", "comment", "chartoescapequoteescaping", "encoding", "charset",
+                       "ignoreleadingwhitespace", "ignoretrailingwhitespace", "unescapedquotehandling",
+                       "recursivefilelookup", "pathglobfilter", "modifiedbefore", "modifiedafter"}
+
 _TEXT_TS = {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_FORMAT}
 
 
@@ -50,7 +56,7 @@ def source_kind(path: str) -> str:
 
 def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None = None, *,
                schema: T.StructType | str | None = None, sep: str | None = None,
-               header: bool = True, encoding: str = "UTF-8", multiline: bool | None = None,
+               header: bool = True, encoding: str = "UTF-8", multiline: bool | str | None = None,
                mode: str = "PERMISSIVE", null_tokens: Iterable[str] | None = None,
                columns: Sequence[str] | None = None, where: str | None = None,
                nan_as_null: bool = False, **options: Any) -> DataFrame:
@@ -61,10 +67,14 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     is then the JDBC URL; pass ``table=``). Pass ``schema`` for text formats:
     inference reads the data twice and turns codes like ``6D`` into doubles.
     ``null_tokens`` (CSV/TSV): words read as NULL in string columns.
-    ``multiline``: whether a record may go over several lines. CSV: yes unless
-    told otherwise, as quoted fields may hold line breaks; ``False`` lets Spark
-    split large files and is right where no field holds one. JSON: told from the
-    first line (a whole value: JSON lines; the beginning of one: a document).
+    ``multiline``: whether a record may go over several lines, and how such
+    files are read. ``True``: by Spark's parser, one task a file. ``"split"``
+    (needs ``schema``; UTF-8): in ranges of any place (``sources.records``).
+    ``False``: every line is a record. By default, CSV records may go over lines,
+    as quoted fields may hold line breaks: input of more bytes than one range is
+    split where the options allow it. JSON is told from its beginning (an array,
+    or a first line that is no whole value: documents; else JSON lines) and large
+    documents are split likewise.
     CSV quotes are doubled inside quoted fields, on reading and writing.
     ``columns`` / ``where``: projection and predicate applied lazily.
     ``nan_as_null``: floating NaN read as NULL (pandas missing semantics).
@@ -76,9 +86,26 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
         reader = reader.schema(schema)
     if kind in ("csv", "tsv", "json"):
         reader = reader.options(**_TEXT_TS)
-    if kind in ("csv", "tsv"):
+    sep = sep or ("\t" if kind == "tsv" else ",")
+    splits = schema is not None and encoding.upper() in ("UTF-8", "UTF8") and mode in ("PERMISSIVE", "FAILFAST") \
+        and len(sep) == 1 and not _WHOLE_FILE_OPTIONS & {o.lower() for o in options}
+    if multiline == "split" and not splits:
+        raise ValueError("splitting needs a schema, UTF-8, one-character separators and the usual CSV quotes")
+    split = splits and kind in ("csv", "tsv", "json") and (
+        multiline == "split" or (multiline is None and _over_one_range(spark, path)))
+    if split and kind == "json" and multiline is None:
+        multiline = _json_layout(spark, path)
+        split = multiline == "split"
+    if split:
+        typed = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        known = {**_TEXT_TS, "mode": mode, **{k: str(v) for k, v in options.items()}}
+        df = read_json_records(spark, path, typed, known) if kind == "json" else \
+            read_csv_records(spark, path, typed, sep, header, {**CSV_QUOTES, **known})
+        if null_tokens is not None and kind != "json":
+            df = _nulls(df, null_tokens)
+    elif kind in ("csv", "tsv"):
         df = (reader.option("header", header)
-              .option("sep", sep or ("\t" if kind == "tsv" else ","))
+              .option("sep", sep)
               .option("encoding", encoding)
               .option("mode", mode)
               .option("multiLine", multiline is not False)
@@ -91,7 +118,7 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
         df = reader.options(**options).text(path)
     elif kind == "json":
         if multiline is None:
-            multiline = not _json_lines(spark, path)
+            multiline = _json_layout(spark, path) == "split"
         df = reader.option("multiLine", multiline).option("mode", mode).options(**options).json(path)
     elif kind == "parquet":
         df = reader.options(**options).parquet(*([path] if isinstance(path, str) else path))
@@ -119,12 +146,30 @@ def load_table(spark: SparkSession, path: str | Sequence[str], kind: str | None
     return df
 
 
-def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether the first line with text is a whole JSON value (one row is read)."""
+def _over_one_range(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether the files hold more bytes than one range of a scan (file listing only)."""
+    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    total = 0
+    for p in [path] if isinstance(path, str) else path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for found in fs.globStatus(place) or []:
+            total += fs.getContentSummary(found.getPath()).getLength()
+            if total > limit:
+                return True
+    return False
+
+
+def _json_layout(spark: SparkSession, path: str | Sequence[str]) -> str | bool:
+    """``"split"`` for documents, False for JSON lines. An array is told from the
+    text up to its first object's end; of other files the first line is read."""
+    head = spark.read.option("lineSep", "}").text(path).first()
+    if head is None or head["value"].lstrip("\ufeff \t\r\n").startswith("["):
+        return "split"
     value = F.trim("value")
     first = spark.read.text(path).where(value != "").select(
         F.get_json_object(value, "$").isNotNull().alias("whole")).first()
-    return first is None or first["whole"]
+    return False if first is None or first["whole"] else "split"
 
 
 def _nulls(df: DataFrame, tokens: Iterable[str]) -> DataFrame:
