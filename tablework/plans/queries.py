@@ -602,6 +602,24 @@ def q_join_sources(spark, sf):
     return RL.join_tables(RL.join_tables(li, o, "l_orderkey"), c, "o_custkey")
 
 
+_SKEWED_SQL = """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END AS p_partkey FROM lineitem"""
+
+
+def _skewed_lineitem(spark, sf) -> DataFrame:
+    """Line items of which a third names one part."""
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("l_partkey")).alias("p_partkey"))
+
+
+@query("join_skewed", f"""SELECT p_partkey, l_orderkey, l_linenumber, p_name, p_brand
+FROM ({_SKEWED_SQL}) LEFT JOIN part USING (p_partkey)""")
+def q_join_skewed(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    return RL.skew_join(_skewed_lineitem(spark, sf), parts, "p_partkey", "left")
+
+
 @query("first_by", """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 450000
 ORDER BY o_orderdate, o_orderkey LIMIT 1""")
 def q_first_by(spark, sf):

@@ -187,9 +187,10 @@ def _check_columns(src: DataFrame, task: Mapping[str, Any]) -> None:
 
 
 def _joined(frames: Mapping[str, DataFrame], src: DataFrame, params: Mapping[str, Any]) -> DataFrame:
-    """``{"with": source, "on": keys, "how": "inner", "salt_buckets": 0}``:
-    the task's source joined with another declared source (AQE picks the
-    strategy; salting for a known hot key). ``on`` is a list of shared key
+    """``{"with": source, "on": keys, "how": "inner", "skew": False}``: the
+    task's source joined with another declared source (AQE picks the strategy;
+    ``skew``: the source's heavy keys are found and dealt out, see
+    ``relational.skew_join``). ``on`` is a list of shared key
     names or a ``{left: right}`` mapping (right keys renamed before the
     equi-join)."""
     other = params["with"]
@@ -200,6 +201,8 @@ def _joined(frames: Mapping[str, DataFrame], src: DataFrame, params: Mapping[str
         for left_key, right_key in on.items():
             right = right.withColumnRenamed(right_key, left_key)
         on = list(on)
+    if params.get("skew"):
+        return relational.skew_join(src, right, on, params.get("how", "inner"))
     return relational.join_tables(src, right, on, params.get("how", "inner"),
                                   params.get("salt_buckets", 0))
 
