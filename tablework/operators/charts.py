@@ -32,6 +32,12 @@ def bar_series(df: DataFrame, key: str, order: str = "key", max_bars: int | None
     """
     counts = with_keys(df, [key], keep_missing).groupBy(_q(key).cast("string").alias("category")) \
         .agg(F.count("*").alias("n"))
+    return bars_of(counts, order, max_bars, other_label)
+
+
+def bars_of(counts: DataFrame, order: str = "key", max_bars: int | None = None,
+            other_label: str = OTHER) -> DataFrame:
+    """``bar_series`` from the rows per category: ``(category, n)``."""
     if max_bars is not None:
         top = counts.orderBy(F.col("n").desc(), F.col("category").asc_nulls_last()).limit(max_bars)
         # total minus the top bars: two one-row sums meet in a union + sum

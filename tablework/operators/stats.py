@@ -131,20 +131,29 @@ def top_groups(df: DataFrame, key: str, k: int = 1) -> DataFrame:
     """Keys with the most rows; ties → smaller key first (as a sorted
     group-by followed by idxmax). ``orderBy + limit`` plans as
     TakeOrderedAndProject: a per-partition top-k, never a global sort."""
-    return (group_counts(df, key)
-            .orderBy(F.col("n").desc(), _c(key).asc_nulls_last())
-            .limit(k))
+    return top_of(group_counts(df, key), key, k)
+
+
+def top_of(counts: DataFrame, key: str, k: int = 1) -> DataFrame:
+    return counts.orderBy(F.col("n").desc(), _c(key).asc_nulls_last()).limit(k)
 
 
 def groups_with_count(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     """Keys with exactly ``n`` rows."""
-    return group_counts(df, key).where(F.col("n") == F.lit(n)).select(_c(key))
+    return having_of(group_counts(df, key), key, n)
+
+
+def having_of(counts: DataFrame, key: str, n: int = 1) -> DataFrame:
+    return counts.where(F.col("n") == F.lit(n)).select(_c(key))
 
 
 def group_size_histogram(df: DataFrame, key: str) -> DataFrame:
     """How many keys have 1, 2, ... rows: ``(group_size, n_groups)``."""
-    return (group_counts(df, key)
-            .groupBy(F.col("n").alias("group_size"))
+    return histogram_of(group_counts(df, key))
+
+
+def histogram_of(counts: DataFrame) -> DataFrame:
+    return (counts.groupBy(F.col("n").alias("group_size"))
             .agg(F.count("*").alias("n_groups"))
             .orderBy("group_size"))
 
@@ -154,7 +163,10 @@ def describe_group_sizes(df: DataFrame, key: str) -> DataFrame:
     max of the group sizes. Exact ``percentile`` keeps a value → count map;
     group sizes have at most ~sqrt(2 * rows) distinct values, so the final
     merge stays small at any scale."""
-    sizes = group_counts(df, key)
+    return describe_of(group_counts(df, key))
+
+
+def describe_of(sizes: DataFrame) -> DataFrame:
     n = F.col("n")
     q = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (sizes.agg(F.count("*").alias("count"), F.avg(n).alias("mean"),
@@ -195,7 +207,11 @@ def discover_patterns(df: DataFrame, column: str, min_rows: int = 1) -> DataFram
     Pre-aggregated per key first, so each key's rows are counted once before
     the three-way expansion."""
     c = _c(column)
-    per_key = df.where(c.isNotNull()).groupBy(c.alias("key")).agg(F.count("*").alias("n"))
+    return patterns_of(df.where(c.isNotNull()).groupBy(c.alias("key")).agg(F.count("*").alias("n")), min_rows)
+
+
+def patterns_of(per_key: DataFrame, min_rows: int = 1) -> DataFrame:
+    """``discover_patterns`` from the rows per key: ``(key, n)``."""
     k = F.col("key")
     kinds = F.array(
         F.struct(F.lit("first_char").alias("kind"), F.substring(k, 1, 1).alias("pattern")),
@@ -207,6 +223,49 @@ def discover_patterns(df: DataFrame, column: str, min_rows: int = 1) -> DataFram
             .where(F.col("n_rows") >= F.lit(min_rows)))
 
 
+# -- many groupings in one pass --------------------------------------------------
+
+def group_states(df: DataFrame, means: dict[str, Sequence[str]]) -> DataFrame:
+    """Mergeable states of several groupings of one table, by one scan and one
+    shuffle of groups: for each key column of ``means``, rows per key and, for
+    the columns named with it, sum and count of the present values.
+
+    ``(grouping, k<j>, n, sum_<i>, cnt_<i>)``: a row per grouping and key;
+    ``grouping`` is the key's position ``j`` in ``means``, ``i`` numbers the
+    different columns. GROUPING SETS: every map task combines its rows for all
+    keys before the shuffle, so raw rows are not shuffled. Missing keys (NULL,
+    NaN) are groups here and left out by ``states_of``.
+    """
+    keys = list(means)
+    columns = sorted({c for cs in means.values() for c in cs})
+    source = df.select(*[no_nan(df, k).alias(f"k{i}") for i, k in enumerate(keys)],
+                       *[no_nan(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    names = [f"k{i}" for i in range(len(keys))]
+    aggs = [F.count("*").alias("n")]
+    for i in range(len(columns)):
+        aggs += [F.sum(f"v{i}").alias(f"sum_{i}"), F.count(f"v{i}").alias(f"cnt_{i}")]
+    ones = (1 << len(keys)) - 1                  # grouping_id has a 0 where a key is grouped by
+    which = F.lit(None).cast("int")
+    for i in range(len(keys)):
+        which = F.when(F.col("__gid") == ones - (1 << (len(keys) - 1 - i)), i).otherwise(which)
+    grouped = source.groupingSets([[F.col(k)] for k in names], *names).agg(F.grouping_id().alias("__gid"), *aggs)
+    return grouped.select(which.alias("grouping"), *names, *[c for c in grouped.columns
+                                                             if c not in (*names, "__gid")])
+
+
+def states_of(states: DataFrame, means: dict[str, Sequence[str]], key: str) -> DataFrame:
+    """One grouping of ``group_states``: the key under its name, ``n`` and, per
+    column, ``sum_<i>`` and ``cnt_<i>``."""
+    i = list(means).index(key)
+    rows = states.where(F.col("grouping") == i).where(F.col(f"k{i}").isNotNull())
+    return rows.select(F.col(f"k{i}").alias(key), *[c for c in states.columns if c == "n" or c[:4] in ("sum_", "cnt_")])
+
+
+def mean_of(one: DataFrame, means: dict[str, Sequence[str]], key: str, column: str) -> DataFrame:
+    i = sorted({c for cs in means.values() for c in cs}).index(column)
+    return one.select(_c(key), F.try_divide(F.col(f"sum_{i}").cast("double"), F.col(f"cnt_{i}")).alias("mean"))
+
+
 def percentage(df: DataFrame, predicate: Column | str) -> DataFrame:
     """100 × matching / total; 0 for an empty table."""
     return _agg(df, percentage_aggs(df, predicate))

@@ -866,7 +866,7 @@ def q_grade_answers(spark, sf):
 # ------------------------------------------------------ 2.9 composition
 def flagship_spec(sf_dir: str) -> dict:
     """Report over orders: count, distinct, top group, size describe,
-    percentage, correlation, histogram, one failing task."""
+    percentage, correlation, group counts and means, histogram, one failing task."""
     base = sf_dir.rstrip("/")
     return {
         "sourcing_plan": [{
@@ -893,12 +893,52 @@ def flagship_spec(sf_dir: str) -> dict:
              "params": {"key": "o_orderstatus"}, "output_format": "json_object"},
             {"task_id": 8, "qid": "broken", "source": "orders", "op": "global_mean",
              "params": {"column": "no_such_column"}, "output_format": "number"},
+            {"task_id": 9, "qid": "price_per_priority", "source": "orders", "op": "group_mean",
+             "params": {"key": "o_orderpriority", "column": "o_totalprice"}, "output_format": "json_object", "round": 2},
+            {"task_id": 10, "qid": "customer_sizes", "source": "orders", "op": "size_histogram",
+             "params": {"key": "o_custkey"}, "output_format": "records"},
         ],
         "final_output_format": {"format": "json_array"},
     }
 
 
-@query("report_job")
+# The answers as text: objects by key, doubles as Spark writes them (small ones with an exponent).
+_REPORT_SQL = """
+WITH o AS (SELECT DISTINCT * FROM orders WHERE o_custkey IS NOT NULL),
+c AS (SELECT o_custkey AS k, count(*) AS n FROM o GROUP BY 1),
+s AS (SELECT n AS size, count(*) AS groups FROM c GROUP BY 1),
+a(task_id, qid, output_format, answer, error) AS (
+  SELECT 1, 'rows', 'number', (SELECT count(*) FROM o)::VARCHAR, NULL
+  UNION ALL SELECT 2, 'customers', 'number', (SELECT count(*) FROM c)::VARCHAR, NULL
+  UNION ALL SELECT 3, 'top_customer', 'json_object',
+    (SELECT '{"' || k || '":' || n || '}' FROM c ORDER BY n DESC, k LIMIT 1), NULL
+  UNION ALL SELECT 4, 'orders_per_customer', 'json_object',
+    (SELECT '{"count":' || count(*) || ',"mean":' || round(avg(n), 6) || ',"std":' || round(stddev_samp(n), 6)
+       || ',"min":' || min(n)::DOUBLE || ',"p25":' || quantile_cont(n, 0.25)::DOUBLE
+       || ',"p50":' || quantile_cont(n, 0.5)::DOUBLE || ',"p75":' || quantile_cont(n, 0.75)::DOUBLE
+       || ',"max":' || max(n)::DOUBLE || '}' FROM c), NULL
+  UNION ALL SELECT 5, 'urgent_pct', 'number',
+    (SELECT round(100.0::DOUBLE * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 2) FROM o)::VARCHAR, NULL
+  UNION ALL SELECT 6, 'price_vs_key', 'number', (SELECT CASE WHEN r = 0 OR abs(r) >= 1e-3 THEN r::VARCHAR
+              WHEN abs(r) >= 1e-4 THEN round(r * 1e4, 2) || 'E-4' WHEN abs(r) >= 1e-5 THEN round(r * 1e5, 1) || 'E-5'
+              ELSE round(r * 1e6, 1) || 'E-6' END
+     FROM (SELECT round(corr(o_totalprice, o_orderkey), 6) AS r FROM o)), NULL
+  UNION ALL SELECT 7, 'status_counts', 'json_object',
+    (SELECT '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}'
+     FROM (SELECT o_orderstatus AS k, count(*) AS n FROM o GROUP BY 1)), NULL
+  UNION ALL SELECT 8, 'broken', 'number', NULL,
+    'ValueError: column ''no_such_column'' of parameter ''column'' not in source ''orders'''
+  UNION ALL SELECT 9, 'price_per_priority', 'json_object',
+    (SELECT '{' || string_agg('"' || k || '":' || m, ',' ORDER BY k) || '}'
+     FROM (SELECT o_orderpriority AS k, round(avg(o_totalprice), 2) AS m FROM o GROUP BY 1)), NULL
+  UNION ALL SELECT 10, 'customer_sizes', 'records',
+    (SELECT '[' || string_agg('{"group_size":' || size || ',"n_groups":' || groups || '}', ',' ORDER BY size) || ']'
+     FROM s), NULL)
+SELECT task_id::INTEGER AS task_id, qid, output_format, NULL::BIGINT AS position, answer, error FROM a
+"""
+
+
+@query("report_job", _REPORT_SQL)
 def q_report_job(spark, sf):
     from tablework.plans.report import run_report_job
     return run_report_job(spark, flagship_spec(sf))

@@ -17,13 +17,18 @@ A report spec is plain data (never code that is executed):
     }
 
 Sources are loaded lazily and cleaned; every task becomes a DataFrame over its
-cleaned source, shaped into answer rows, and all answers are one union, so
-Spark runs the whole report as one plan with shared scans (``ReuseExchange``).
-The answers are written to the shared folder and read from there. A source
-that fails to load or to validate fails the job, as does a missing top-level
-key. A task that fails, when it is planned or when it runs, becomes an error
-entry with the full message and the others continue: should the union fail,
-every task is run and written on its own.
+cleaned source, shaped into answer rows. Tasks over one source share their work:
+
+* scalar tasks are columns of one aggregate;
+* grouped tasks (``GROUPED_OPS``) are answered from one table of group states,
+  made by one scan that groups by all their keys at once (``stats.group_states``)
+  and removed when the answers are written.
+
+These answers are one union, written at once; any other task is written on its
+own. Answers are read from the shared folder. A source that fails to load or to
+validate fails the job, as does a missing top-level key. A task that fails, when
+it is planned or when it runs, becomes an error entry with the full message and
+the others continue: should the shared work fail, its tasks are run one by one.
 
 A task whose result has a row per key of an unbounded column (``LISTED_OPS``)
 and whose output format is ``json`` or ``rows`` answers with one row per
@@ -45,7 +50,7 @@ from pyspark.sql import types as T
 from tablework.operators import charts, quality, relational, stats
 from tablework.operators.answers import answer_expr, answer_rows, assemble, format_answer, json_scalar
 from tablework.operators.cleaning import apply_schema, clean_table
-from tablework.session import scratch_path, shared_dir
+from tablework.session import remove_scratch, scratch_path, shared_dir
 from tablework.sources.files import load_table
 
 REQUIRED_KEYS = ("sourcing_plan", "analysis_plan", "final_output_format")
@@ -56,6 +61,22 @@ ANSWER_COLUMNS = ["task_id", "qid", "output_format", "position", "answer", "erro
 LISTED_OPS = {"group_count", "group_mean", "having_count", "size_histogram", "pattern_discovery",
               "sort_by_key", "bar_series", "scatter_series", "sql"}
 
+# Grouped ops by what they need: the parameter that names the key, and the
+# result from the key's states (``stats.states_of``).
+GROUPED_OPS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
+    "group_count": ("key", lambda one, means, key: one.select(F.col(f"`{key}`"), "n")),
+    "group_mean": ("key", lambda one, means, key, column: stats.mean_of(one, means, key, column)),
+    "top_group": ("key", lambda one, means, key, k=1: stats.top_of(one.select(F.col(f"`{key}`"), "n"), key, k)),
+    "having_count": ("key", lambda one, means, key, n=1: stats.having_of(one, key, n)),
+    "size_histogram": ("key", lambda one, means, key: stats.histogram_of(one)),
+    "size_describe": ("key", lambda one, means, key: stats.describe_of(one)),
+    "pattern_discovery": ("column", lambda one, means, column, min_rows=1: stats.patterns_of(
+        one.select(F.col(f"`{column}`").alias("key"), "n"), min_rows)),
+    "bar_series": ("key", lambda one, means, key, order="key", max_bars=None, other_label=charts.OTHER:
+                   charts.bars_of(one.groupBy(F.col(f"`{key}`").cast("string").alias("category"))
+                                  .agg(F.sum("n").alias("n")), order, max_bars, other_label)),
+}
+
 # Defaults of optional task fields.
 TASK_DEFAULTS = {"output_format": "json", "params": {}, "round": None}
 
@@ -278,9 +299,61 @@ def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any
     return branches, done
 
 
-def _answer(frames: Mapping[str, DataFrame], task: Mapping[str, Any], tid: int, qid: str) -> DataFrame:
+def _shared_key(task: Mapping[str, Any]) -> str | None:
+    """The key column of a task that group states can answer."""
+    t = {**TASK_DEFAULTS, **task}
+    if t["op"] not in GROUPED_OPS or t.get("join") or t["params"].get("keep_missing"):
+        return None
+    key = t["params"].get(GROUPED_OPS[t["op"]][0])
+    return key if isinstance(key, str) else None
+
+
+def _group_results(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any]], taken: set[int]
+                   ) -> tuple[dict[int, DataFrame], list[str]]:
+    """Results of grouped tasks by position, and the paths of the written
+    states. Two tasks over a source, at least, make it worth while. Tasks that do
+    not plan, and all of a source whose states fail, are left to the path of
+    single tasks, which reports what is wrong."""
+    by_source: dict[str, dict[int, str]] = {}
+    for pos, task in enumerate(tasks):
+        key = _shared_key(task) if pos not in taken and task.get("source") in frames else None
+        if key is not None:
+            try:
+                _check_columns(frames[task["source"]], task)
+            except ValueError:
+                continue
+            by_source.setdefault(task["source"], {})[pos] = key
+    results, paths = {}, []
+    for source, keyed in by_source.items():
+        if len(keyed) < 2:
+            continue
+        src = frames[source]
+        means: dict[str, list[str]] = {k: [] for k in keyed.values()}
+        for pos, key in keyed.items():
+            if tasks[pos]["op"] == "group_mean" and "column" in tasks[pos].get("params", {}):
+                means[key].append(tasks[pos]["params"]["column"])
+        path = scratch_path(src.sparkSession, "group_states")
+        paths.append(path)
+        try:
+            states = stats.group_states(src, means)
+            states.write.partitionBy("grouping").parquet(path)
+        except Exception:
+            continue
+        back = src.sparkSession.read.schema(states.schema).parquet(path)
+        for pos, key in keyed.items():
+            t = {**TASK_DEFAULTS, **tasks[pos]}
+            try:
+                results[pos] = _rounded(GROUPED_OPS[t["op"]][1](
+                    stats.states_of(back, means, key), means, **dict(t["params"])), t["round"])
+            except Exception:
+                continue
+    return results, paths
+
+
+def _answer(frames: Mapping[str, DataFrame], task: Mapping[str, Any], tid: int, qid: str,
+            result: DataFrame | None = None) -> DataFrame:
     fmt = task.get("output_format", TASK_DEFAULTS["output_format"])
-    result = task_frame(frames, task)
+    result = task_frame(frames, task) if result is None else result
     if fmt == "rows" or (fmt == "json" and task["op"] in LISTED_OPS):
         got = answer_rows(result).withColumnRenamed("element", "answer")
     else:
@@ -296,9 +369,14 @@ def _error(spark: SparkSession, task: Mapping[str, Any], tid: int, qid: str, exc
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Answers, computed once and kept in the shared folder."""
+    """Answers, computed once and kept in the shared folder; of a failed try
+    nothing stays."""
     path = scratch_path(df.sparkSession, "answers")
-    df.select(*ANSWER_COLUMNS).write.parquet(path)
+    try:
+        df.select(*ANSWER_COLUMNS).write.parquet(path)
+    except Exception:
+        remove_scratch(df.sparkSession, path)
+        raise
     return df.sparkSession.read.schema(ANSWER_SCHEMA).parquet(path)
 
 
@@ -314,7 +392,8 @@ def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
 def run_report_job(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     """Answers ``(task_id, qid, output_format, position, answer, error)``: one
     row per task, or one per element of a list-valued one. ``answer`` is JSON
-    text. Scalar tasks on the same source share one aggregate pass."""
+    text. Scalar tasks over a source share one aggregate, grouped ones one table
+    of group states."""
     check_spec(spec)
     tasks = spec["analysis_plan"]
     frames = load_sources(spark, spec["sourcing_plan"])
@@ -322,24 +401,30 @@ def run_report_job(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     for pos, task in enumerate(tasks):
         tid = int(task.get("task_id", pos + 1))
         named.append((task, tid, str(task.get("qid", task.get("question_id", f"q{tid}")))))
-    parts, fused = _fused_answers(frames, tasks)
+    shared, done = _fused_answers(frames, tasks)
+    results, scratch = _group_results(frames, tasks, done)
+    for pos, result in results.items():
+        try:
+            shared.append(_answer(frames, *named[pos], result))
+        except Exception:             # left to the path of single tasks
+            continue
+        done.add(pos)
+    parts = []
+    try:
+        if shared:
+            parts.append(_written(_union(spark, shared)))
+    except Exception:                 # some shared task fails when it runs: all of them one by one
+        done = set()
+    for path in scratch:
+        remove_scratch(spark, path)
     for pos, (task, tid, qid) in enumerate(named):
-        if pos in fused:
+        if pos in done:
             continue
         try:
-            parts.append(_answer(frames, task, tid, qid))
-        except Exception as exc:  # planning error of one task -> error entry
+            parts.append(_written(_answer(frames, task, tid, qid)))
+        except Exception as exc:      # when planned or when run: an error entry
             parts.append(_error(spark, task, tid, qid, exc))
-    try:
-        return _written(_union(spark, parts))
-    except Exception:             # some task fails when it runs: find out which
-        alone = []
-        for task, tid, qid in named:
-            try:
-                alone.append(_written(_answer(frames, task, tid, qid)))
-            except Exception as exc:
-                alone.append(_error(spark, task, tid, qid, exc))
-        return _union(spark, alone)
+    return _union(spark, parts)
 
 
 def final_answer(spec: Mapping[str, Any], answers: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{uuid.uuid4().hex[:12]}/{name}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes one written table of ``scratch_path`` that nothing reads any more
+    (in the file system of its path); other paths are refused."""
+    folder = path.rstrip("/").rsplit("/", 1)[0]
+    if not folder.startswith(f"{shared_dir(spark).rstrip('/')}/tables/"):
+        raise ValueError(f"not a scratch table: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from core import core_queries, core_sql
+from tablework.plans import report
 from tablework.plans.queries import flagship_spec
 from tablework.plans.report import final_answer, run_report_job
 
@@ -41,19 +42,19 @@ def test_final_answer_array(spark):
     spec = flagship_spec(SF)
     final = final_answer(spec, run_report_job(spark, spec)).first()["result"]
     items = json.loads(final)
-    assert len(items) == 8 and items[-1].startswith("ERROR: ")
+    assert len(items) == 10 and items[7].startswith("ERROR: ")
 
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["task_id", "qid", "output_format", "position", "answer", "error"]
-    assert df.count() == 8
+    assert df.count() == 10
 
 
-def test_registered_keys_have_sql_except_documented():
+def test_registered_keys_have_sql():
     qs, sql = core_queries(), core_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"report_job"}
+    assert set(qs) == set(sql)
 
 
 def test_chart_and_trend_ops(spark):
@@ -164,3 +165,60 @@ def test_validation_rules_act_and_sources_are_read_afresh(spark, tmp_dir):
         spec["sourcing_plan"][0]["validate"] = rules
         with pytest.raises(ValueError, match=text):
             run_report_job(spark, spec)
+
+
+GROUPED = [
+    ("group_count", {"key": "k"}, "records"), ("group_count", {"key": "v"}, "records"),
+    ("group_mean", {"key": "k", "column": "x"}, "records"), ("group_mean", {"key": "k", "column": "k"}, "records"),
+    ("group_mean", {"key": "v", "column": "x"}, "records"), ("top_group", {"key": "k", "k": 2}, "records"),
+    ("top_group", {"key": "x"}, "records"), ("having_count", {"key": "k", "n": 1}, "json_array"),
+    ("size_histogram", {"key": "v"}, "records"), ("size_describe", {"key": "k"}, "records"),
+    ("pattern_discovery", {"column": "v"}, "records"), ("bar_series", {"key": "k", "max_bars": 1}, "records"),
+    ("bar_series", {"key": "v", "order": "count"}, "records")]
+
+
+def _grouped_spec(path):
+    return {"sourcing_plan": [{"name": "s", "path": path, "kind": "parquet", "nan_as_null": False}],
+            "analysis_plan": [{"task_id": i, "source": "s", "op": op, "params": p, "output_format": f}
+                              for i, (op, p, f) in enumerate(GROUPED)],
+            "final_output_format": {"format": "json_array"}}
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a1", 0.5), (1, "b2", None), (2, "a1", float("nan")), (None, None, 1.0), (3, "", 2.0), (3, "a1", 2.0)], []])
+def test_grouped_tasks_share_one_pass_and_answer_as_alone(spark, tmp_dir, monkeypatch, rows):
+    path = f"{tmp_dir}/src"
+    spark.createDataFrame(rows, "k long, v string, x double").write.parquet(path)
+    made = []
+    states = report.stats.group_states
+    monkeypatch.setattr(report.stats, "group_states", lambda *a: made.append(states(*a)) or made[-1])
+    shared = {r.task_id: (r.answer, r.error) for r in run_report_job(spark, _grouped_spec(path)).collect()}
+    assert len(made) == 1
+    spec, alone = _grouped_spec(path), {}
+    for task in spec["analysis_plan"]:
+        one = run_report_job(spark, {**spec, "analysis_plan": [task]}).collect()
+        alone[task["task_id"]] = (one[0].answer, one[0].error)
+    assert len(made) == 1 and shared == alone and all(e is None for _, e in shared.values())
+
+
+def test_group_states_plan_one_scan_and_no_raw_row_shuffle(spark):
+    src = spark.read.parquet(f"{SF}/orders.parquet")
+    plan = report.stats.group_states(src, {"o_custkey": [], "o_orderstatus": [], "o_orderpriority": ["o_totalprice"]})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert text.index("Exchange") < text.index("partial_count") < text.index("Expand")
+
+
+def test_scratch_of_a_report_is_removed(spark, monkeypatch):
+    made, gone = [], []
+    path, remove = report.scratch_path, report.remove_scratch
+    monkeypatch.setattr(report, "scratch_path", lambda s, n: made.append(path(s, n)) or made[-1])
+    monkeypatch.setattr(report, "remove_scratch", lambda s, p: gone.append(p) or remove(s, p))
+    spec = flagship_spec(SF)
+    spec["analysis_plan"].append({"task_id": 11, "qid": "late", "source": "orders", "op": "sql",
+                                  "params": {"query": "SELECT raise_error('late') AS x FROM source"}})
+    answers = run_report_job(spark, spec)
+    assert [p for p in made if "group_states" in p] == gone[:1] and len(gone) == 2
+    assert answers.count() == 11 and answers.where("error IS NOT NULL").count() == 2
+    with pytest.raises(ValueError):
+        remove(spark, "/tmp/elsewhere/x")
