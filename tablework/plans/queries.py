@@ -23,6 +23,7 @@ from tablework.operators import cleaning as C
 from tablework.operators import quality as Q
 from tablework.operators import relational as RL
 from tablework.operators import responses as RS
+from tablework.operators import sketches as SK
 from tablework.operators import stats as S
 from tablework.plans import fixtures as FX
 from tablework.session import scratch_path
@@ -402,6 +403,22 @@ def q_profile_columns(spark, sf):
     return Q.profile(table(spark, sf, "customer"), exact_distinct=True)
 
 
+_LINEITEM_RANGES = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+
+
+@query("profile_states", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+    f"min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value FROM lineitem"
+    for i, c in enumerate(_LINEITEM_RANGES)))
+def q_profile_states(spark, sf):
+    """Profile of the line items from states stored per year and merged."""
+    li = table(spark, sf, "lineitem")
+    states = SK.profile_states(li, F.year("l_shipdate"), _LINEITEM_RANGES)
+    path = FS.save_table(states, scratch_path(spark, "lineitem_states"))
+    profile = SK.profile_of(SK.merge_states(FS.load_table(spark, path, "parquet")))
+    return profile.select("position", "column", "n_rows", "n_null", "min_value", "max_value")
+
+
 _DATE_TEXT_SQL = """CASE WHEN o_orderpriority = '5-LOW' THEN strftime(o_orderdate, '%Y-%m-%d')
             ELSE strftime(o_orderdate, '%d-%m-%Y') END"""
 
