@@ -20,6 +20,8 @@ from tablework.functions.text import MISSING_WORDS, ends_with, replace_all, star
 from tablework.operators import answers as A
 from tablework.operators import charts as CH
 from tablework.operators import cleaning as C
+from tablework.operators import date_formats as DF
+from tablework.operators import patterns as PT
 from tablework.operators import quality as Q
 from tablework.operators import relational as RL
 from tablework.operators import responses as RS
@@ -423,6 +425,33 @@ _DATE_TEXT_SQL = """CASE WHEN o_orderpriority = '5-LOW' THEN strftime(o_orderdat
             ELSE strftime(o_orderdate, '%d-%m-%Y') END"""
 
 
+
+
+def _mixed_dates(spark, sf) -> DataFrame:
+    """Order dates as text, written in five ways."""
+    ways = {"1-URGENT": "dd-MM-yyyy", "2-HIGH": "MM/dd/yyyy", "3-MEDIUM": "dd MMMM yyyy", "5-LOW": "yyyyMMdd"}
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")
+    for priority, fmt in ways.items():
+        text = F.when(F.col("o_orderpriority") == priority, F.date_format("o_orderdate", fmt)).otherwise(text)
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+
+
+@query("induce_date_formats", """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'dd-MM-yyyy'
+    WHEN '2-HIGH' THEN 'MM/dd/yyyy' WHEN '3-MEDIUM' THEN 'dd MMMM yyyy' WHEN '5-LOW' THEN 'yyyyMMdd'
+    ELSE 'yyyy-MM-dd''T''HH:mm' END AS format, count(*) AS n_rows, false AS ambiguous FROM orders GROUP BY 1""")
+def q_induce_date_formats(spark, sf):
+    """Five formats, told from the values."""
+    found = DF.induce_date_formats(_mixed_dates(spark, sf), "written")
+    return found.groupBy("format").agg(F.sum("n_rows").alias("n_rows"), F.max("ambiguous").alias("ambiguous"))
+
+
+@query("parse_induced_dates", "SELECT o_orderkey, date_trunc('minute', o_orderdate)::TIMESTAMP AS written FROM orders")
+def q_parse_induced_dates(spark, sf):
+    """The mixed column parsed by the formats that were told from it."""
+    mixed = _mixed_dates(spark, sf)
+    return DF.parse_induced(mixed, "written", DF.induce_date_formats(mixed, "written"))
+
+
 @query("infer_date_format", f"""WITH t AS (SELECT {_DATE_TEXT_SQL} AS s FROM orders),
 a AS (SELECT count(*) FILTER (WHERE s IS NOT NULL AND s <> '') AS n,
   count(*) FILTER (WHERE try_strptime(s, '%Y-%m-%d') IS NOT NULL) AS f0,
@@ -540,6 +569,20 @@ def q_pattern_discovery(spark, sf):
     return S.discover_patterns(table(spark, sf, "part"), "p_brand")
 
 
+@query("pattern_growth", """WITH v AS (SELECT p_name AS t, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+total AS (SELECT sum(n) AS all_rows FROM v),
+e AS (SELECT 'prefix' AS kind, left(t, k) AS pattern, n FROM v, LATERAL (SELECT unnest(range(1, length(t) + 1)) AS k)
+  UNION ALL SELECT 'suffix', right(t, k), n FROM v, LATERAL (SELECT unnest(range(1, length(t) + 1)) AS k)),
+c AS (SELECT kind, pattern, sum(n)::BIGINT AS n_rows, count(*) AS n_keys FROM e GROUP BY 1, 2),
+f AS (SELECT c.* FROM c, total WHERE n_rows >= 0.01::DOUBLE * all_rows),
+longer AS (SELECT kind, CASE kind WHEN 'prefix' THEN left(pattern, length(pattern) - 1)
+    ELSE right(pattern, length(pattern) - 1) END AS pattern, max(n_rows) AS most FROM c GROUP BY 1, 2)
+SELECT kind, pattern, n_rows, n_keys, coalesce(most < n_rows, true) AS closed FROM f LEFT JOIN longer USING (kind, pattern)""")
+def q_pattern_growth(spark, sf):
+    """All prefixes and suffixes that one in a hundred part names have."""
+    return PT.frequent_affixes(table(spark, sf, "part"), "p_name", 0.01)
+
+
 @query("percentage", """SELECT round(COALESCE(100.0 * count(*) FILTER (WHERE starts_with(p_name, 'blue'))
   / NULLIF(count(*), 0), 0), 6) AS pct FROM part""")
 def q_percentage(spark, sf):
