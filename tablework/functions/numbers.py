@@ -79,6 +79,28 @@ def parse_number(c: Column | str, to: str = "double", aliases: bool = True) -> C
     return parse_double(c).try_cast(t)
 
 
+def _made_of(c: Column, signs: str) -> Column:
+    return F.translate(c, signs, "") == ""
+
+
+def cast_number(c: Column | str, t: str) -> Column:
+    """``parse_number`` for columns that mostly are numbers, as a declared schema
+    says: where a text holds digits, signs and points only, the cast alone decides
+    and no pattern is run. Few expressions, so that many columns of a table fit one
+    compiled loop. ``t``: a Spark type name."""
+    c = col_of(c)
+    s = strip_ws(c)
+    if t in _INTEGRAL:
+        whole = F.when(_made_of(c, "0123456789+-"), c.try_cast("bigint")).when(
+            s.rlike(INTEGER_TEXT), s.try_cast("bigint")).when(
+            s.rlike(NUMERIC_TEXT), s.try_cast("double").try_cast("bigint"))
+        return whole if t == "bigint" else whole.try_cast(t)
+    # digits and a point are never infinite below 309 of them
+    short = _made_of(c, "0123456789+-.") & (F.length(c) < 300)
+    real = F.when(short, c.try_cast("double")).when(s.rlike(NUMERIC_TEXT), finite(s.try_cast("double")))
+    return real if t == "double" else real.try_cast(t)
+
+
 def parse_currency(c: Column | str, to: str = "bigint") -> Column:
     """Money text such as ``$2,923,706,026`` → number (``$`` and ``,`` removed)."""
     return parse_number(F.translate(col_of(c), "$,", ""), to)

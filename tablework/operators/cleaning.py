@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.numbers import parse_currency as _currency
-from tablework.functions.numbers import parse_number, spark_type
+from tablework.functions.numbers import cast_number, parse_number, spark_type
 from tablework.functions.text import MISSING_WORDS, null_if_missing, strip_ws
 
 
@@ -52,7 +52,7 @@ def parse_currency(df: DataFrame, column: str, to: str = "bigint") -> DataFrame:
 def _cast_expr(c: Column, source: T.DataType, t: str) -> Column:
     if isinstance(source, T.StringType):
         if t in ("bigint", "int", "smallint", "tinyint", "double", "float") or t.startswith("decimal"):
-            return parse_number(c, t, aliases=False)
+            return cast_number(c, t)
         if t == "boolean":
             low = F.lower(strip_ws(c))
             return (F.when(low.isin("true", "t", "yes", "y", "1"), F.lit(True))

@@ -38,9 +38,25 @@ _MAX_COLSPAN = 1000
 _NO_TEXT = {"style", "script"}
 
 
+# Rows that a row span of 0 ("to the end") reaches, and that any may.
+_MAX_ROWSPAN = 65534
+
+
 def _span(attrs: dict, name: str) -> int:
+    """A span attribute: ASCII digits; anything else counts as 1."""
     text = (attrs.get(name) or "").strip()
-    return int(text) if text.isdigit() else 1
+    return int(text[:9]) if text.isascii() and text.isdigit() else 1
+
+
+def _guarded_feed(parser: HTMLParser, html: str) -> bool:
+    """Feeds a page; markup that the parser cannot take ends the page there, and
+    what was read is kept. Returns whether all was read."""
+    try:
+        parser.feed(html)
+        parser.close()
+    except (AssertionError, ValueError, RecursionError):
+        return False
+    return True
 
 
 class _OpenTable:
@@ -63,7 +79,8 @@ class _OpenTable:
             self.open_row()
         self.close_cell()
         self.cell = []
-        self.spans = (max(1, _span(attrs, "rowspan")), min(_MAX_COLSPAN, max(1, _span(attrs, "colspan"))))
+        down = _span(attrs, "rowspan")
+        self.spans = (min(_MAX_ROWSPAN, down or _MAX_ROWSPAN), min(_MAX_COLSPAN, max(1, _span(attrs, "colspan"))))
         self.header = self.header and header
 
     def close_cell(self):
@@ -144,14 +161,13 @@ class _TableParser(HTMLParser):
             self._open[-1].cell.append(data)
 
     def finish(self):
-        self.close()
         while self._open:
             self._open.pop().close_row()
 
 
 def page_tables(html: str | None) -> list[dict]:
     p = _TableParser()
-    p.feed(html or "")
+    _guarded_feed(p, html or "")
     p.finish()
     return p.tables
 
@@ -247,8 +263,7 @@ def page_elements(html: str | None, tag: str, css_class: str | None = None,
                   attr: str | None = None, parent: str | None = None,
                   elem_id: str | None = None) -> list[tuple]:
     p = _ElementParser(tag.lower(), css_class, attr, parent, elem_id)
-    p.feed(html or "")
-    p.close()
+    _guarded_feed(p, html or "")
     return [(par, "".join(parts).strip(), a) for par, parts, a in p.found]
 
 

@@ -181,3 +181,21 @@ def test_table_spans_nested_tables_and_style_text():
     assert inner["rows"] == [(False, ["inner"], 1)]
     last = page_tables("<table><tr><td>a</td><td rowspan=3>z</td></tr><tr><td>b</td></tr><tr><td>c</td></table>")
     assert [r[1] for r in last[0]["rows"]] == [["a", "z"], ["b", "z"], ["c", "z"]]
+
+
+ODD_PAGES = ['<table><tr><td rowspan="²">a</td><td>b</td></tr></table>',
+             '<table><tr><td rowspan="' + "9" * 5000 + '" colspan="x">a</td><td>b</td></tr></table>',
+             "<table><tr><td>a</td><td>b</td></tr></table><![foo[ x ]]><p>behind</p>", "<![", "<!x[<p>", None]
+
+
+def test_odd_markup_never_ends_a_job(spark):
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(ODD_PAGES)], "page_id long, html string")
+    rows = {r.page_id: list(r.cells) for r in H.extract_html_tables(df, index=0).collect()}
+    assert rows == {0: ["a", "b"], 1: ["a", "b"], 2: ["a", "b"]}
+    assert [r.text for r in H.extract_html_elements(df, "td").collect()].count("a") == 3
+
+
+def test_a_row_span_of_zero_reaches_the_end(spark):
+    html = '<table><tr><td rowspan="0">x</td><td>1</td></tr><tr><td>2</td></tr><tr><td>3</td></tr></table>'
+    rows = [r["rows"] for r in H.page_tables(html)][0]
+    assert [cells for _, cells, _ in rows] == [["x", "1"], ["x", "2"], ["x", "3"]]

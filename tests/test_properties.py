@@ -96,3 +96,17 @@ def test_answer_number_matches_python(spark, values):
             assert g is not None and math.isnan(g), v
         else:
             assert g == w, (v, g, w)
+
+
+def test_cast_number_equals_parse_number(spark):
+    import random
+
+    from tablework.functions.numbers import cast_number, parse_number
+    rng = random.Random(11)
+    bits = ["1", "9", "0", "-", "+", ".", "e", "E", " ", "\t", "\xa0", "D", "F", "x", "inf", "nan", "5" * 25, ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 7))) for _ in range(4000)]
+    texts += ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "1e999", "1" * 400, "1.9", "-0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t in ("bigint", "int", "double", "decimal(10,2)"):
+        rows = df.select("t", cast_number("t", t).alias("a"), parse_number("t", t, aliases=False).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), [r for r in rows if r.a != r.b][:3]
