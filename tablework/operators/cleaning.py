@@ -6,6 +6,7 @@ the steps fuse into one whole-stage-codegen projection/filter over the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -149,15 +150,42 @@ def parse_dates(df: DataFrame, formats: Mapping[str, str], to: str = "date") ->
     return out
 
 
+# What a schema of VARIANT values says, and the column type it becomes: names
+# (before a colon or in back quotes) stay, mixed or empty values are kept as text.
+_VARIANT_WORD = re.compile(r"(`(?:[^`]|``)*`|[^\s<>,:`]+(?=:))|OBJECT<>|OBJECT(?=<)|VOID|VARIANT|DECIMAL\(\d+,\s*[1-9]\d*\)")
+_VARIANT_TYPE = {"OBJECT<>": "STRING", "OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING"}
+
+
+def json_schemas(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The type of each JSON text column, told from all its values: keys of all
+    records united, types widened (whole numbers and fractions to double, values of
+    several kinds to text). One aggregate over all columns whose states merge; one
+    row comes back. Text that is no JSON and missing values say nothing; a column
+    without a value, or of plain values, is a STRING."""
+    row = df.agg(*[F.schema_of_variant_agg(F.try_parse_json(_q(c))).alias(f"c{i}")
+                   for i, c in enumerate(columns)]).first()
+
+    def typed(m: re.Match) -> str:
+        return m[1] or _VARIANT_TYPE.get(m[0], "DOUBLE")
+
+    found = {c: _VARIANT_WORD.sub(typed, row[i] or "VOID") for i, c in enumerate(columns)}
+    return {c: t if t.startswith(("STRUCT<", "ARRAY<")) else "STRING" for c, t in found.items()}
+
+
 def flatten(df: DataFrame, sep: str = "_", explode_arrays: bool = True,
-            json_columns: Mapping[str, T.StructType | str] | None = None) -> DataFrame:
+            json_columns: Mapping[str, T.StructType | str] | Sequence[str] | None = None) -> DataFrame:
     """Flatten nested records to top-level columns.
 
-    JSON text columns listed in ``json_columns`` are parsed first
-    (``from_json`` with the given schema). Structs become ``parent_child``
+    JSON text columns listed in ``json_columns`` are parsed first: a mapping
+    declares their schemas; of columns that are only named, the schemas are told
+    from the data (``json_schemas``: one pass more, while the plan is built). A
+    value that does not fit is NULL. Structs become ``parent_child``
     columns; arrays are exploded (``explode_outer``, one at a time, so rows
     with empty arrays survive) when ``explode_arrays``.
     """
+    if json_columns and not isinstance(json_columns, Mapping):
+        named = [json_columns] if isinstance(json_columns, str) else list(json_columns)
+        json_columns = {c: t for c, t in json_schemas(df, named).items() if t != "STRING"}
     for col, schema in (json_columns or {}).items():
         df = df.withColumn(col, F.from_json(_q(col), schema))
     while True:

@@ -385,3 +385,58 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str,
            ("rmse", float(s.rootMeanSquaredError))],
         "term STRING, value DOUBLE")
     return model, scored, summary
+
+
+def fit_groups(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Least squares of ``label`` on several features, a model per group of ``by``
+    (or one): ``(<by>, n, intercept, coefficients, r2)``.
+
+    One lazy pass: means and the centred Gram matrix are aggregates whose states
+    merge (``avg``, ``covar_pop``), so each group is one row of
+    ``(p + 1) * (p + 2) / 2`` numbers, whatever it holds, and is solved where it
+    lies (Cholesky). Rows with a missing value (NULL, NaN) in any model column are
+    left out. A group whose features are dependent (or with fewer rows than needed)
+    has NULL coefficients; a constant label has NULL ``r2``.
+    """
+    import numpy as np
+    import pandas as pd
+    names = [*features, label]
+    p = len(features)
+    cols = [_finite(_c(c)).alias(f"__x{i}") for i, c in enumerate(names)]
+    rows = df.select(*[_c(b) for b in by], *cols).na.drop(subset=[f"__x{i}" for i in range(p + 1)])
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    gram = rows.groupBy(*[_c(b) for b in by]).agg(
+        F.count("*").alias("n"), F.array(*[F.avg(f"__x{i}") for i in range(p + 1)]).alias("__m"),
+        F.array(*[F.covar_pop(f"__x{i}", f"__x{j}") for i, j in pairs]).alias("__g")).where("n > 0")
+    schema = T.StructType([*[df.schema[b] for b in by], T.StructField("n", T.LongType()),
+                           T.StructField("intercept", T.DoubleType()),
+                           T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+                           T.StructField("r2", T.DoubleType())])
+
+    def solve(mean, gram_row) -> tuple:
+        g = np.zeros((p + 1, p + 1))
+        for (i, j), v in zip(pairs, gram_row):
+            g[i, j] = g[j, i] = v
+        scale = np.sqrt(np.diag(g)[:p])
+        if not (scale > 0).all():
+            return None, None, None
+        a = g[:p, :p] / np.outer(scale, scale)          # correlations: a scale-free test of rank
+        try:
+            half = np.linalg.cholesky(a)
+        except np.linalg.LinAlgError:
+            return None, None, None
+        if half.diagonal().min() < 1e-6:
+            return None, None, None
+        b = np.linalg.solve(half.T, np.linalg.solve(half, g[:p, p] / scale)) / scale
+        r2 = float(b @ g[:p, p] / g[p, p]) if g[p, p] > 0 else None
+        return float(mean[p] - b @ np.asarray(mean[:p])), b.tolist(), r2
+
+    def run(batches):
+        for pdf in batches:
+            got = [solve(list(m), list(g)) for m, g in zip(pdf["__m"], pdf["__g"])]
+            out = pdf[[*by, "n"]].copy()
+            for k, c in enumerate(("intercept", "coefficients", "r2")):
+                out[c] = pd.Series([r[k] for r in got], index=out.index, dtype=object)
+            yield out
+
+    return gram.mapInPandas(run, schema)

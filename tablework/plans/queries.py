@@ -369,6 +369,26 @@ def q_flatten_json(spark, sf):
     return C.flatten(ev, json_columns={"props": "k BIGINT"})
 
 
+@query("flatten_json_inferred", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events")
+def q_flatten_json_inferred(spark, sf):
+    """The same records, their schema told from the data."""
+    return C.flatten(table(spark, sf, "events").select("event_id", "props"), json_columns=["props"])
+
+
+@query("flatten_json_nested", """SELECT o_orderkey AS rec_key, o_custkey AS rec_who_cust, o_orderstatus AS rec_who_status,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'now' END AS rec_note, x.no::BIGINT AS rec_lines_no, x.price AS rec_lines_price
+FROM orders, LATERAL (SELECT unnest([1, 2]) AS no, unnest([o_totalprice, 0.5]) AS price) x""")
+def q_flatten_json_nested(spark, sf):
+    """Records in records and in lists, some keys only here and there, no schema given."""
+    line = lambda no, price: F.struct(F.lit(no).alias("no"), price.alias("price"))
+    rec = F.struct(
+        F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"))
+        .alias("who"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("now")).alias("note"),
+        F.array(line(1, F.col("o_totalprice")), line(2, F.lit(0.5))).alias("lines"))
+    out = C.flatten(table(spark, sf, "orders").select(F.to_json(rec).alias("rec")), json_columns=["rec"])
+    return out.select("rec_key", "rec_who_cust", "rec_who_status", "rec_note", "rec_lines_no", "rec_lines_price")
+
+
 # ------------------------------------------------- 2.3 validation, profiling
 @query("validate", f"""SELECT *, violations = 0 AS passed FROM (
 SELECT 0 AS position, 'required' AS rule, 'o_orderkey' AS "column", 0::BIGINT AS violations
@@ -634,6 +654,22 @@ def q_independence_test(spark, sf):
     return t.withColumn("statistic", r6("statistic"))
 
 
+@query("fit_groups", """WITH m AS (
+  SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS mp,
+    var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, var_pop(l_extendedprice) AS pp,
+    covar_pop(l_quantity, l_discount) AS qd, covar_pop(l_quantity, l_extendedprice) AS qp,
+    covar_pop(l_discount, l_extendedprice) AS dp FROM lineitem GROUP BY l_returnflag),
+b AS (SELECT *, (qp * dd - dp * qd) / (qq * dd - qd * qd) AS b1, (dp * qq - qp * qd) / (qq * dd - qd * qd) AS b2 FROM m)
+SELECT l_returnflag, n, round(mp - b1 * mq - b2 * md, 4) AS intercept, round(b1, 4) AS per_quantity,
+  round(b2, 4) AS per_discount, round((b1 * qp + b2 * dp) / pp, 6) AS r2 FROM b""")
+def q_fit_groups(spark, sf):
+    """Price by quantity and discount, a model per return flag, in one pass."""
+    fit = S.fit_groups(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", ["l_returnflag"])
+    return fit.select("l_returnflag", "n", F.round("intercept", 4).alias("intercept"),
+                      F.round(F.col("coefficients")[0], 4).alias("per_quantity"),
+                      F.round(F.col("coefficients")[1], 4).alias("per_discount"), r6("r2").alias("r2"))
+
+
 @query("linear_model", """WITH t AS (
   SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d,
          CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem
@@ -793,14 +829,24 @@ def q_scatter_series(spark, sf):
 
 # ---------------------------------------------- 2.8 answers, responses, runs
 @query("format_answer", """SELECT 'json_object' AS output_format,
-  '{' || string_agg(CAST(to_json(p_name) AS VARCHAR) || ':' || CAST(to_json(mean) AS VARCHAR), ','
-                    ORDER BY p_name) || '}' AS answer
-FROM (SELECT p_name, round(avg(p_partkey), 6) AS mean FROM part GROUP BY p_name)""")
+  '{' || string_agg(CAST(to_json(p_brand) AS VARCHAR) || ':' || CAST(to_json(mean) AS VARCHAR), ','
+                    ORDER BY p_brand) || '}' AS answer
+FROM (SELECT p_brand, round(avg(p_partkey), 6) AS mean FROM part GROUP BY p_brand)""")
 def q_format_answer(spark, sf):
-    means = S.group_mean(table(spark, sf, "part"), "p_name", "p_partkey").withColumn("mean", r6("mean"))
+    """One text: a figure for each of the 25 brands."""
+    means = S.group_mean(table(spark, sf, "part"), "p_brand", "p_partkey").withColumn("mean", r6("mean"))
     return A.format_answer(means, "json_object")
 
 
+@query("answer_rows", """SELECT '{"p_name":' || CAST(to_json(p_name) AS VARCHAR) || ',"mean":'
+  || CAST(to_json(mean) AS VARCHAR) || '}' AS element
+FROM (SELECT p_name, round(avg(p_partkey), 6) AS mean FROM part GROUP BY p_name)""")
+def q_answer_rows(spark, sf):
+    """A result with a row per key of an unbounded column: an element a row, by many tasks."""
+    means = S.group_mean(table(spark, sf, "part"), "p_name", "p_partkey").withColumn("mean", r6("mean"))
+    return A.answer_rows(means).select("element")
+
+
 @query("assemble_answers", f"""SELECT 'json_array' AS format, '[' || string_agg(answer, ',' ORDER BY task_id) || ']' AS result
 FROM ({_ANSWERS_SQL})""")
 def q_assemble_answers(spark, sf):
