@@ -10,7 +10,9 @@ Three parts:
   letters three times running, single letters set apart by spaces or signs)
   becomes a lattice of readings; each character may stand for
   itself, for the letters that sign is used for, or for nothing where it
-  repeats or separates. A Viterbi search finds the likeliest reading under the
+  repeats or separates. Single letters set apart are one lattice over the whole
+  run, in which a separator may also be a word edge. Two neighbours are one word
+  if that is a learned one and likelier than the two. A Viterbi search finds the likeliest reading under the
   language model and the channel's costs. Plain words stay as they are. A token
   that is read as no learned word is also read part by part, between its inner
   signs; one of digits and signs alone changes only into a learned word.
@@ -56,6 +58,10 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "#": "h",
 }
 SIGN_COST, SELF_COST, REPEAT_COST, GAP_COST = 1.0, 7.0, 0.6, 0.4
+# A separator as a word edge (a single one, a wider one), a wide one as nothing;
+# "*" as a vowel; two neighbours as one word.
+EDGE_COST, WIDE_EDGE_COST, WIDE_GAP_COST, VOWEL_COST, JOIN_COST = 1.0, 0.0, 2.5, 2.0, 1.0
+VOWELS = "aeiou"
 PER_CLASS, PREFIXES, CHANCE, PURITY, MIN_WORDS = 3000, range(4, 9), 1e-7, 0.08, 4
 TOXIC = 0.7                     # predicted = 1 from this score on
 KNOWN_TOKENS, KNOWN_LENGTH = 300_000, 64     # remembered per worker, and how long at most
@@ -67,12 +73,14 @@ for _c, _i in _INDEX.items():
 _LUT[[32, *range(9, 14)]] = 0
 _SIZE = len(ALPHABET)
 
-_TOKEN = re.compile(r"[^\t-\r ]+")
 _LETTERS = "a-zß-öø-ÿœ"
 _PLAIN = re.compile(rf"[{_LETTERS}]+(?:['’-][{_LETTERS}]+)*")
 _TRIPLE = re.compile(r"(.)\1\1")
 _EDGE_MARKS = ".,;:?\"'()[]{}*_~-!"
-_GAPS = " .-_*'’~,;:/"
+_GAPS = " .-_*'’~,;:/\t\n\r"
+# Letters of other widths are read as plain ones, signs without width as nothing.
+_WIDTHS = re.compile("[\xad\u200b-\u200f\u2060\ufeff\uff01-\uff5e]")
+_NARROW = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF]) | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 # Punctuation that sets words apart, and all that is neither letter nor digit.
 _HARD = re.compile(r"[,;:/\\?\"“”()\[\]{}&=—–…«»]+")
 _INNER = re.compile(rf"[^{_LETTERS}0-9]+")
@@ -80,6 +88,7 @@ _RUN = re.compile(r"(.)\1{2,}")
 # Letters one by one, with separators between them: "s t u p i d".
 _SPACED = re.compile(rf"(?<![{_LETTERS}0-9@$!|+€£])(?:[{_LETTERS}0-9@$!|+€£][{re.escape(_GAPS)}]+){{2,}}"
                      rf"[{_LETTERS}0-9@$!|+€£](?![{_LETTERS}0-9])")
+_BETWEEN = re.compile(f"([{re.escape(_GAPS)}]+)")
 
 
 
@@ -142,10 +151,12 @@ class Channel:
         before = ""
         for ch in noisy:
             arcs = [(c, SIGN_COST) for c in STANDS_FOR.get(ch, "")]
+            if ch == "*" and before:
+                arcs = [(c, VOWEL_COST) for c in VOWELS]
             own = _INDEX.get(ch, 1)
             if own > 1:
                 arcs.append((ch, 0.0))
-            elif not arcs or ch.isdigit():
+            elif not arcs or ch.isdigit() or ch == "*":
                 arcs.append((ch, SELF_COST))
             nothing = None
             if ch == before:
@@ -171,6 +182,70 @@ class Channel:
             letters.append(c)
         return "".join(reversed(letters))
 
+    def decode_run(self, run: str) -> list[str]:
+        """The likeliest words of single letters set apart: every separator is
+        nothing or a word edge, the wider the likelier an edge."""
+        states: dict = {(0, 0): (0.0, None)}
+        parts = _BETWEEN.split(run)                     # letter, separator, letter, ...
+        usual = min(map(len, parts[1::2]), default=1)
+        for k, part in enumerate(parts):
+            after: dict = {}
+
+            def reach(state, total, text):
+                if state not in after or total < after[state][0]:
+                    after[state] = (total, text)
+
+            if k % 2:
+                wide = len(part) > usual
+                for (a, b), (cost, text) in states.items():
+                    reach((a, b), cost + (WIDE_GAP_COST if wide else GAP_COST), text)
+                    edge = WIDE_EDGE_COST if wide else EDGE_COST
+                    reach((b, 0), cost + edge + float(self.cost[a, b, 0]), (text, " "))
+            else:
+                arcs = [(c, SIGN_COST) for c in STANDS_FOR.get(part, "")]
+                if _INDEX.get(part, 1) > 1 or not arcs or part.isdigit():
+                    arcs.append((part, 0.0 if part in _INDEX else SELF_COST))
+                for (a, b), (cost, text) in states.items():
+                    for c, price in arcs:
+                        i = _INDEX.get(c, 1)
+                        reach((b, i), cost + price + float(self.cost[a, b, i]), (text, c))
+            states = after
+        best = min(states, key=lambda ab: states[ab][0] + float(self.cost[ab[0], ab[1], 0]))
+        text, letters = states[best][1], []
+        while text:
+            text, c = text
+            letters.append(c)
+        return [self.lexicon.get(_squeezed(w), w) for w in "".join(reversed(letters)).split(" ") if w]
+
+    def word_cost(self, word: str) -> float:
+        """The language model's cost of a plain word, edges included."""
+        a, b, total = 0, 0, 0.0
+        for c in [_INDEX.get(c, 1) for c in word] + [0]:
+            total += float(self.cost[a, b, c])
+            a, b = b, c
+        return total
+
+    def joined(self, tokens: list[str]) -> list[str]:
+        """Learned words that stand cut in two, as neighbours."""
+        out = []
+        for a, b in zip(tokens, tokens[1:]):
+            word = a + b
+            if word in self.learned or (word := word.rstrip(_EDGE_MARKS)) in self.learned:
+                rest = word[len(a):]
+                if rest and self.word_cost(word) + JOIN_COST < self.word_cost(a) + self.word_cost(rest):
+                    out.append(word)
+        return out
+
+    def runs(self, text: str) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, end, words) of the runs of single letters set apart."""
+        for m in _SPACED.finditer(text):
+            got = self.decode_run(m.group())
+            if not self.speaks(got):
+                whole = self.readings(m.group())
+                got = [whole] if self.speaks([whole]) else got
+            if any(c in _INDEX for c in m.group()) or self.speaks(got):
+                yield m.start(), m.end(), got           # else numbers in a row
+
     def readings(self, noisy: str) -> str:
         """The decoded token, or the learned word that differs from it only in how
         often its letters stand next to themselves."""
@@ -220,19 +295,23 @@ class Channel:
 
     def restore(self, text: str) -> list[str]:
         """The words of a text with obfuscated ones restored, edge marks dropped."""
-        text = text.lower()
+        text = plain_case(text)
         words, at = [], 0
-        for m in _SPACED.finditer(text):
-            got = self.readings(m.group())
-            if not any(c in _INDEX for c in m.group()) and not self.speaks([got]):
-                continue                                # numbers in a row
-            for token in _TOKEN.findall(text, at, m.start()):
+        for start, end, got in self.runs(text):
+            for token in text[at:start].split():
                 words += self.words(token)
-            words.append(got)
-            at = m.end()
-        for token in _TOKEN.findall(text, at):
+            words += got
+            at = end
+        for token in text[at:].split():
             words += self.words(token)
-        return words
+        return words + self.joined(text.split())
+
+
+def plain_case(text: str) -> str:
+    """Lower case, plain widths, nothing without width."""
+    if not text.isascii() and _WIDTHS.search(text):
+        text = text.translate(_NARROW)
+    return text.lower()
 
 
 def _squeezed(word: str) -> str:
@@ -258,15 +337,46 @@ class ToxicityModel:
     weights: dict                # feature -> probability that a document with it is toxic
 
     steps: tuple = ((0.0,), (0.5,))      # strength of evidence -> probability
+    seen: dict = field(default_factory=dict)     # token -> words with evidence, of a worker
+
+    def __getstate__(self):
+        return {**self.__dict__, "seen": {}}
+
+    def speaking(self, words: list[str]) -> tuple:
+        """(word, weight of its strongest feature) of the words that have one."""
+        get = self.weights.get
+        found = ((w, max((get(f, 0.0) for f in features(w)), default=0.0)) for w in words)
+        return tuple((w, p) for w, p in found if p)
+
+    def text_strength(self, text: str) -> float:
+        """``strength`` of a text's restored words. Distinct tokens are looked up
+        once in a worker's memory, where most have no evidence at all."""
+        text, channel, spoken, at, rest = plain_case(text), self.channel, {}, 0, []
+        for start, end, got in channel.runs(text):
+            rest.append(text[at:start])
+            spoken.update(self.speaking(got))
+            at = end
+        tokens = " ".join([*rest, text[at:]]).split() if rest else text.split()
+        seen = self.seen
+        for token in set(tokens):
+            found = seen.get(token)
+            if found is None:
+                found = self.speaking(channel.words(token))
+                if len(seen) < KNOWN_TOKENS and len(token) <= KNOWN_LENGTH:
+                    seen[token] = found
+            if found:
+                spoken.update(found)
+        spoken.update(self.speaking(channel.joined(text.split() if rest else tokens)))
+        return -sum(math.log1p(-p) for _, p in sorted(spoken.items()))
 
     def strength(self, words: set[str]) -> float:
         """Every distinct word with its strongest feature, as a noisy-or."""
         get = self.weights.get
-        best = (max((get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        best = (max((get(f, 0.0) for f in features(w)), default=0.0) for w in sorted(words))
         return -sum(math.log1p(-w) for w in best if w)
 
     def score(self, text: str | None) -> float:
-        e = self.strength(set(self.channel.restore(text or ""))) if self.weights else 0.0
+        e = self.text_strength(text or "") if self.weights else 0.0
         edges, levels = self.steps
         p = levels[bisect_right(edges, e) - 1]
         return 0.98 * p + 0.02 * (1 - math.exp(-e))

@@ -1,15 +1,17 @@
 """Cases of the second verdict: row keys, escapes over parts, odd parts, shard pages."""
 
 import json
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from brute import contamination
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablework.llm import chat_format as cf
-from tablework.llm import decontamination, ngram_join, sharding
+from tablework.llm import decontamination, ngram_join, sharding, toxicity
 from tablework.llm.common import with_row_key
 from tablework.session import scratch_path
 
@@ -116,3 +118,53 @@ def test_typed_turns_read_back_as_their_content(spark):
     assert {k: (r.turns_sha256, r.loss_sha256) for k, r in typed.items()} == \
         {k: (r.turns_sha256, r.loss_sha256) for k, r in plain.items()}
     assert (typed[1].n_attachments, typed[1].attachment_tokens) == (1, 2) and typed[2].n_attachments == 0
+
+
+# -- toxicity --------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def channel():
+    counts = np.zeros((toxicity._SIZE,) * 3)
+    text = " you are a stupid idiot and a moron i know this is pathetic trash the man i am the scum shut up ass shit "
+    c = toxicity._LUT[np.frombuffer((text * 20).encode("utf-32-le"), "<u4")]
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    p = (counts + 0.01) / (counts.sum(axis=2, keepdims=True) + 0.01 * toxicity._SIZE)
+    weights = {w: 0.9 for w in ("idiot", "stupid", "moron", "scum", "ass", "shit", "theman")} | {"idio~": 0.8}
+    return toxicity.Channel(-np.log(p), toxicity.lexicon_of(weights), learned=frozenset(weights))
+
+
+@pytest.mark.parametrize("noisy, plain", [
+    ("a s t u p i d man", "a stupid man"), ("I a s t u p i d", "i a stupid"), ("s t u p i d  i d i o t", "stupid idiot"),
+    ("s\nt\nu\np\ni\nd", "stupid"), ("s.t.u.p.i.d m.o.r.o.n", "stupid moron"), ("ｓｔｕｐｉｄ", "stupid"),
+    ("st​up​id", "stupid"), ("st*pid", "stupid"), ("*stupid*", "stupid"), ("1 2 3", "1 2 3"),
+    ("stu pid", "stu pid stupid"), ("st upid!", "st upid stupid"), ("the man", "the man"), ("i am", "i am")])
+def test_word_edges_widths_and_cut_words(channel, noisy, plain):
+    assert " ".join(channel.restore(noisy)) == plain
+
+
+def test_the_score_is_that_of_the_restored_words(channel):
+    model = toxicity.ToxicityModel(channel, {w: 0.5 + 0.01 * k for k, w in enumerate(sorted(channel.learned))},
+                                   ((0.0, 0.5), (0.1, 0.9)))
+    rng = random.Random(3)
+    bits = ["stupid", "s t u p i d", "idi0t", "the", "man", "stu pid", "scum!", "x", "1 2 3", "\n", "IDIOTS", "sh*t", "é"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = model.strength(set(channel.restore(text)))
+        assert model.text_strength(text) == pytest.approx(want), text
+
+
+def test_evidence_against_brute_force(spark):
+    """Learned weights and scores against counting by hand on a small table."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(12)) + (" vilemark" if k % 4 == 0 else "")) for k in range(400)]
+    labels = [(k, int(k % 4 == 0)) for k in range(400)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "vilemark" in model.weights and not set(words) & set(model.weights)
+    n_toxic, n_clean, prior = 100, 300, 0.25
+    a, b = prior, 0.1 / n_clean * (1 - prior)
+    assert model.weights["vilemark"] == pytest.approx(a / (a + b), rel=0.2)
+    rows = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    assert all((r.score >= toxicity.TOXIC) == (r.doc_id % 4 == 0) for r in rows)
+    assert n_toxic == sum(r.predicted for r in rows)
