@@ -84,3 +84,18 @@ def base_licences(text):
                 at.append(k)
                 labels.add(label)
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+
+
+def all_licences(text, templates, cover):
+    """Labels, score and alignments by comparing every template at every place."""
+    w, labels, score, at = words(text), set(), 0.0, []
+    for t in templates:
+        n, key = len(t["words"]), range(t["key_at"], t["key_at"] + t["key_n"])
+        for start in range(-n, len(w)):
+            same = [0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(t["words"])]
+            share = sum(same) / n
+            if all(same[i] for i in key) and share >= (1 if t["base"] else cover):
+                labels.add(t["label"])
+                score = max(score, share)
+                at.append((t["label"], start, start + n - 1, share))
+    return ",".join(sorted(labels)), score, sorted(at)

@@ -1,9 +1,10 @@
 """Operators on DataFrame functions: sharding, decontamination, licence scan."""
 
+import random
 from collections import Counter
 
 import pytest
-from brute import base_licences, contamination
+from brute import all_licences, base_licences, contamination
 from pyspark.sql import functions as F
 
 from tablework.llm import decontamination, license_scan, sharding
@@ -87,3 +88,44 @@ def test_native_plans_hold_no_python(spark):
     for df in (decontamination.decontaminate(docs, items), license_scan.scan(docs), sharding.assign(docs)):
         plan = df._jdf.queryExecution().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def damaged_notices(seed):
+    """Template statements with words changed, dropped or doubled, among other words."""
+    rng = random.Random(seed)
+    out = []
+    for t in license_scan.templates():
+        for _ in range(4):
+            w = list(t["words"])
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(w))
+                w[k:k + 1] = rng.choice([["other"], [], [w[k]] * 2, ["license"], ["the", w[k]]])
+            around = [rng.choice(["x", "the", "license", "public", "software", "Y,"]) for _ in range(rng.randint(0, 9))]
+            cut = rng.randint(0, len(around))
+            out.append(" ".join(around[:cut] + w + around[cut:]))
+    return out + [" ".join(rng.sample(out, 3)) for _ in range(30)]
+
+
+def test_licence_templates_against_brute_force(spark):
+    docs = list(enumerate(damaged_notices(6)))
+    rows = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs) and len(license_scan.TEMPLATES) >= 30
+    by = {r.doc_id: r for r in rows}
+    found = 0
+    for d, text in docs:
+        labels, score, at = all_licences(text, license_scan.templates(), license_scan.COVER)
+        r = by[d]
+        assert r.labels == labels and r.score == pytest.approx(score), text
+        assert [(m.label, m["first"], m["last"]) for m in r.matched] == [a[:3] for a in at], text
+        found += len(at)
+    assert found > 100
+
+
+def test_a_file_looks_up_its_own_rarest_words(spark):
+    docs = spark.createDataFrame([(1, "mozilla public license"), (2, "public license"), (3, "license mozilla public x"),
+                                  (4, "")], "doc_id long, text string")
+    vocabulary = sorted({w for t in license_scan.templates() for w in t["words"]})
+    chosen = license_scan.look_up_words(*license_scan.document_frequencies(docs, vocabulary))
+    own = license_scan.own_words(license_scan.ascii_words("text"), chosen)
+    got = {r.doc_id: r.own for r in docs.select("doc_id", own.alias("own")).collect()}
+    assert got == {1: ["mozilla"], 2: [], 3: ["mozilla"], 4: []}
