@@ -29,4 +29,4 @@ def test_entry_from_foreign_directory():
     line = [ln for ln in out.stdout.splitlines() if ln.startswith("ROWS")]
     assert line, out.stderr[-2000:]
     _, n_links, n_answers = line[0].split()
-    assert int(n_links) > 0 and int(n_answers) == 8
+    assert int(n_links) > 0 and int(n_answers) == 10
