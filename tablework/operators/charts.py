@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.operators.stats import with_keys
+from tablework.operators.stats import BOUND_BUCKETS, leading_counts, with_keys
 
 OTHER = "other"
 
@@ -35,14 +35,26 @@ def bar_series(df: DataFrame, key: str, order: str = "key", max_bars: int | None
     return bars_of(counts, order, max_bars, other_label)
 
 
+def bar_series_bounded(df: DataFrame, key: str, max_bars: int, order: str = "key",
+                       other_label: str = OTHER, buckets: int = BOUND_BUCKETS) -> DataFrame:
+    """``bar_series(df, key, order, max_bars)`` for many categories of uneven
+    size: the leading bars come from ``leading_counts``, the bar of the rest from
+    the number of rows, so small categories are never shuffled one by one."""
+    text = with_keys(df, [key]).select(_q(key).cast("string").alias("category"))
+    leading = leading_counts(text, "category", max_bars, buckets).select(F.col("key").alias("category"), "n")
+    return bars_of(leading, order, max_bars, other_label, text.agg(F.count("*").alias("n")))
+
+
 def bars_of(counts: DataFrame, order: str = "key", max_bars: int | None = None,
-            other_label: str = OTHER) -> DataFrame:
-    """``bar_series`` from the rows per category: ``(category, n)``."""
+            other_label: str = OTHER, total: DataFrame | None = None) -> DataFrame:
+    """``bar_series`` from the rows per category: ``(category, n)``. ``total``: the
+    number of rows ``(n)``, where ``counts`` holds the leading categories only."""
     if max_bars is not None:
         top = counts.orderBy(F.col("n").desc(), F.col("category").asc_nulls_last()).limit(max_bars)
         # total minus the top bars: two one-row sums meet in a union + sum
         named = (F.col("category") == other_label).alias("named")
-        rest = (counts.select(F.col("n").alias("d"), F.lit(False).alias("named"))
+        whole = counts if total is None else total
+        rest = (whole.select(F.col("n").alias("d"), F.lit(False).alias("named"))
                 .unionByName(top.select((-F.col("n")).alias("d"), named))
                 .agg(F.sum("d").alias("n"), F.max("named").alias("named"))
                 .select(F.when(F.col("named"), F.lit(f"{other_label} (rest)"))

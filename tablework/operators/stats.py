@@ -138,6 +138,52 @@ def top_of(counts: DataFrame, key: str, k: int = 1) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), _c(key).asc_nulls_last()).limit(k)
 
 
+# Buckets of ``top_groups_bounded``; a row of their table takes 16 bytes.
+BOUND_BUCKETS = 1 << 17
+
+
+def bucketed_keys(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``(key, bucket)`` of the rows whose key is present. Keys that a group-by
+    holds equal share a bucket (-0.0 counts as 0.0)."""
+    c = _c(key)
+    if isinstance(df.schema[key].dataType, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0)
+    return with_keys(df, [key]).select(_c(key).alias("key"),
+                                       F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def leading_counts(df: DataFrame, key: str, k: int, buckets: int = BOUND_BUCKETS) -> DataFrame:
+    """``(key, n)``, exact, of the ``k`` keys with the most rows, all their ties
+    and some other keys; not all keys are shuffled.
+
+    A key has at most as many rows as its hash bucket. Pass one counts the rows
+    per bucket: ``buckets`` rows a task at most. Pass two counts the keys of the
+    ``4 * k`` largest buckets; its k-th largest count is one that k keys reach.
+    Pass three counts the keys of the buckets with that many rows, and no others.
+    Where keys are so even that no bucket can be left out this is a full group-by
+    (and two scans of the key column more); the result is the same. Broadcast are
+    bucket numbers, ``buckets`` of them at most.
+    """
+    rows = bucketed_keys(df, key, buckets)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
+
+    def counts_in(chosen: DataFrame) -> DataFrame:
+        return (rows.join(F.broadcast(chosen.select("bucket")), "bucket", "left_semi")
+                .groupBy("key").agg(F.count("*").alias("n")))
+
+    largest = sizes.orderBy(F.col("size").desc(), "bucket").limit(4 * k)
+    reached = (counts_in(largest).orderBy(F.col("n").desc()).limit(k)
+               .agg(F.when(F.count("*") == k, F.min("n")).otherwise(F.lit(0)).alias("least")).scalar())
+    return counts_in(sizes.where(F.col("size") >= reached))
+
+
+def top_groups_bounded(df: DataFrame, key: str, k: int = 1, buckets: int = BOUND_BUCKETS) -> DataFrame:
+    """``top_groups`` for many keys of uneven size: same rows, found by
+    ``leading_counts``. No present key: no rows."""
+    counts = leading_counts(df, key, k, buckets).select(F.col("key").alias(key), "n")
+    return top_of(counts, key, k)
+
+
 def groups_with_count(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     """Keys with exactly ``n`` rows."""
     return having_of(group_counts(df, key), key, n)

@@ -537,6 +537,12 @@ def q_top_group(spark, sf):
     return S.top_groups(table(spark, sf, "part"), "p_name", 1)
 
 
+@query("top_group_bounded", """SELECT l_partkey, count(*) AS n FROM lineitem
+    GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10""")
+def q_top_group_bounded(spark, sf):
+    return S.top_groups_bounded(table(spark, sf, "lineitem"), "l_partkey", 10)
+
+
 @query("top_group_in_range", """SELECT o_custkey, count(*) AS n FROM orders
 WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 1""")
 def q_top_group_in_range(spark, sf):
@@ -812,6 +818,15 @@ def q_bar_series(spark, sf):
     return CH.bar_series(table(spark, sf, "part"), "p_brand", order="count", max_bars=10)
 
 
+@query("bar_series_bounded", """WITH g AS (SELECT CAST(o_custkey AS VARCHAR) AS category, count(*) AS n FROM orders GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS place FROM g),
+    b AS (SELECT 0 AS rest, category, n FROM r WHERE place <= 15
+          UNION ALL SELECT 1, 'other', CAST(sum(n) AS BIGINT) FROM r WHERE place > 15 HAVING sum(n) > 0)
+    SELECT CAST(row_number() OVER (ORDER BY rest, n DESC, category) - 1 AS INTEGER) AS position, category, n FROM b""")
+def q_bar_series_bounded(spark, sf):
+    return CH.bar_series_bounded(table(spark, sf, "orders"), "o_custkey", 15, order="count")
+
+
 @query("scatter_series", """WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part
                                        WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL AND NOT isnan(p_retailprice)),
 s AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, min(x) AS x0, max(x) AS x1,
