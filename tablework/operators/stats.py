@@ -148,8 +148,9 @@ def bucketed_keys(df: DataFrame, key: str, buckets: int) -> DataFrame:
     c = _c(key)
     if isinstance(df.schema[key].dataType, (T.DoubleType, T.FloatType)):
         c = c + F.lit(0.0)
-    return with_keys(df, [key]).select(_c(key).alias("key"),
-                                       F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket"))
+    # never NULL, and declared so: no filter on it tells two readings of the counts apart
+    bucket = F.coalesce(F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int"), F.lit(0))
+    return with_keys(df, [key]).select(_c(key).alias("key"), bucket.alias("bucket"))
 
 
 def leading_counts(df: DataFrame, key: str, k: int, buckets: int = BOUND_BUCKETS) -> DataFrame:

@@ -21,6 +21,7 @@ from tablework.operators import answers as A
 from tablework.operators import charts as CH
 from tablework.operators import cleaning as C
 from tablework.operators import date_formats as DF
+from tablework.operators import layout as LY
 from tablework.operators import patterns as PT
 from tablework.operators import quality as Q
 from tablework.operators import relational as RL
@@ -722,6 +723,30 @@ def q_join_skewed(spark, sf):
     return RL.skew_join(_skewed_lineitem(spark, sf), parts, "p_partkey", "left")
 
 
+@query("join_bucketed", f"""SELECT p_partkey, l_orderkey, l_linenumber, p_name, p_brand
+FROM ({_SKEWED_SQL}) LEFT JOIN part USING (p_partkey)""")
+def q_join_bucketed(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    items = LY.save_bucketed(_skewed_lineitem(spark, sf), "items_by_part", "p_partkey", 16)
+    return LY.join_bucketed(spark, items, LY.save_bucketed(parts, "parts_by_key", "p_partkey", 16), "left")
+
+
+@query("join_pruned", """SELECT n_name, count(*) AS n_customers, round(sum(c_acctbal), 4) AS balance
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = 'EUROPE' GROUP BY n_name""")
+def q_join_pruned(spark, sf):
+    """Customers stored by nation, joined with the nations of one region: the
+    partitions to read are known from the filtered side (dynamic pruning)."""
+    root = FS.save_table(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"),
+                         scratch_path(spark, "customer_by_nation"), "parquet", partition_by=["c_nationkey"])
+    region = table(spark, sf, "region").where("r_name = 'EUROPE'").select(F.col("r_regionkey").alias("n_regionkey"))
+    nations = RL.join_tables(table(spark, sf, "nation"), region, "n_regionkey", "left_semi")
+    nations = nations.select(F.col("n_nationkey").cast("int").alias("c_nationkey"), "n_name")
+    joined = RL.join_tables(FS.load_table(spark, root, "parquet"), nations, "c_nationkey")
+    return joined.groupBy("n_name").agg(F.count("*").alias("n_customers"),
+                                        F.round(F.sum("c_acctbal"), 4).alias("balance"))
+
+
 @query("first_by", """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 450000
 ORDER BY o_orderdate, o_orderkey LIMIT 1""")
 def q_first_by(spark, sf):

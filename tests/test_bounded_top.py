@@ -68,6 +68,6 @@ def test_plan_counts_buckets_once(spark):
     items = spark.read.parquet(f"{SF}/lineitem.parquet")
     df = S.top_groups_bounded(items, "l_partkey", 10)
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [bucket" in plan and "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "ReadSchema: struct<l_partkey:bigint>" in plan
