@@ -21,6 +21,7 @@ from tablework.operators import answers as A
 from tablework.operators import charts as CH
 from tablework.operators import cleaning as C
 from tablework.operators import date_formats as DF
+from tablework.operators import distinct_states as DS
 from tablework.operators import layout as LY
 from tablework.operators import patterns as PT
 from tablework.operators import quality as Q
@@ -513,6 +514,27 @@ def q_count_distinct(spark, sf):
     return S.count_distinct(table(spark, sf, "part"), "p_name")
 
 
+_DISTINCT_OF = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+
+
+@query("distinct_states", " UNION ALL ".join(
+    f"""SELECT {part} AS part, '{c}' AS "column", count(DISTINCT {c}) AS n_distinct FROM lineitem {group}"""
+    for c in _DISTINCT_OF for part, group in (("'all'", ""), ("CAST(year(l_shipdate) AS VARCHAR)", "GROUP BY 1"))))
+def q_distinct_states(spark, sf):
+    """Exact distincts per ship year and in all, the latter from the years' stored states."""
+    li = table(spark, sf, "lineitem")
+    path = FS.save_table(DS.distinct_states(li, _DISTINCT_OF, F.year("l_shipdate")), scratch_path(spark, "distincts"))
+    years = spark.read.parquet(path)
+    return DS.distinct_counts(years).unionByName(DS.distinct_counts(DS.merge_distinct(years)))
+
+
+@query("distinct_in_one_pass", " UNION ALL ".join(
+    f"""SELECT 'all' AS part, '{c}' AS "column", count(DISTINCT {c}) AS n_distinct FROM lineitem"""
+    for c in _DISTINCT_OF))
+def q_distinct_in_one_pass(spark, sf):
+    return DS.distinct_counts(DS.distinct_states(table(spark, sf, "lineitem"), _DISTINCT_OF))
+
+
 @query("global_mean", "SELECT round(avg(l_extendedprice), 6) AS mean FROM lineitem")
 def q_global_mean(spark, sf):
     return S.global_mean(table(spark, sf, "lineitem"), "l_extendedprice").select(r6("mean").alias("mean"))
