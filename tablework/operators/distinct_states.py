@@ -52,6 +52,12 @@ def place(c: Column, kind: T.DataType) -> Column:
     raise TypeError(f"no exact distinct states for {kind.simpleString()}")
 
 
+def supported(kind: T.DataType) -> bool:
+    """Whether ``place`` knows the type."""
+    return isinstance(kind, (*_WHOLE, T.DateType, T.TimestampType, T.TimestampNTZType)) or (
+        isinstance(kind, T.DecimalType) and kind.precision <= 18)
+
+
 def distinct_states(df: DataFrame, columns: Sequence[str], by: Column | str | None = None) -> DataFrame:
     """``(part, column, word, bits)`` of the columns; ``part`` is the text of ``by``
     (one part, "all", without it). One scan, one shuffle of words."""
@@ -86,3 +92,9 @@ def distinct_counts(states: DataFrame, parts: DataFrame | None = None) -> DataFr
     return (found.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
             .groupBy("part", "column").agg(F.max("n_distinct").alias("n_distinct"), F.max("asked").alias("asked"))
             .where("asked").drop("asked"))
+
+
+def count_of(column: str) -> Column:
+    """The distinct values of one column as an aggregate over the states of one
+    part; 0 where it has none."""
+    return F.coalesce(F.sum(F.when(F.col("column") == column, F.bit_count("bits"))), F.lit(0)).cast("bigint")

@@ -1110,3 +1110,26 @@ SELECT task_id::INTEGER AS task_id, qid, output_format, NULL::BIGINT AS position
 def q_report_job(spark, sf):
     from tablework.plans.report import run_report_job
     return run_report_job(spark, flagship_spec(sf))
+
+
+@query("report_distincts", """SELECT * FROM (
+    SELECT 1 AS task_id, 'orders' AS qid, 'number' AS output_format, NULL::BIGINT AS position,
+      CAST(count(DISTINCT l_orderkey) AS VARCHAR) AS answer, NULL::VARCHAR AS error FROM lineitem
+    UNION ALL SELECT 2, 'parts', 'number', NULL, CAST(count(DISTINCT l_partkey) AS VARCHAR), NULL FROM lineitem
+    UNION ALL SELECT 3, 'days', 'number', NULL, CAST(count(DISTINCT l_shipdate) AS VARCHAR), NULL FROM lineitem
+    UNION ALL SELECT 4, 'rows', 'number', NULL, CAST(count(*) AS VARCHAR), NULL FROM lineitem
+    UNION ALL SELECT 5, 'large', 'number', NULL, CAST(count(*) FILTER (WHERE l_quantity > 45) AS VARCHAR), NULL FROM lineitem)""")
+def q_report_distincts(spark, sf):
+    """A report with several exact distinct counts: one pass for them, one for the other scalars."""
+    from tablework.plans.report import run_report_job
+
+    def task(tid, qid, op, **params):
+        return {"task_id": tid, "qid": qid, "source": "items", "op": op, "params": params, "output_format": "number"}
+    return run_report_job(spark, {
+        "sourcing_plan": [{"name": "items", "path": f"{sf.rstrip('/')}/lineitem.parquet", "kind": "parquet"}],
+        "analysis_plan": [task(1, "orders", "count_distinct", column="l_orderkey"),
+                          task(2, "parts", "count_distinct", column="l_partkey"),
+                          task(3, "days", "count_distinct", column="l_shipdate"),
+                          task(4, "rows", "row_count"),
+                          task(5, "large", "filtered_count", predicate="l_quantity > 45")],
+        "final_output_format": {"format": "json_array"}})

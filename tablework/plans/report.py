@@ -43,11 +43,11 @@ import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablework.operators import charts, quality, relational, stats
+from tablework.operators import charts, distinct_states, quality, relational, stats
 from tablework.operators.answers import answer_expr, answer_rows, assemble, format_answer, json_scalar
 from tablework.operators.cleaning import apply_schema, clean_table
 from tablework.session import remove_scratch, scratch_path, shared_dir
@@ -272,31 +272,60 @@ def _fused_answers(frames: Mapping[str, DataFrame], tasks: list[Mapping[str, Any
                 named[pos] = stats.SCALAR_AGGS[t["op"]](src, **dict(t.get("params", {})))
             except Exception:
                 continue                  # left to the per-task path, which reports it
-        if len(named) < 2:
-            continue
+        for fused, answered in _one_row_passes(src, named, tasks):
+            rows = _fused_rows(fused, answered, tasks)
+            done.update(answered)
+            branches.append(fused.select(F.explode(F.array(*rows)).alias("a")).select("a.*"))
+    return branches, done
+
+
+def _one_row_passes(src: DataFrame, named: dict[int, list], tasks: list[Mapping[str, Any]]
+                    ) -> list[tuple[DataFrame, dict[int, list]]]:
+    """The one-row aggregates that answer the tasks ``named``. Several exact
+    distinct counts in one aggregate would plan as an Expand of every row; those
+    of whole-number-like columns share a pass of their own (``distinct_states``)."""
+    exact: dict[int, str] = {}
+    for pos in named:
+        params = tasks[pos].get("params", {})
+        if tasks[pos]["op"] == "count_distinct" and not params.get("approx") and distinct_states.supported(
+                src.schema[params["column"]].dataType):
+            exact[pos] = params["column"]
+    passes = []
+    if len(exact) > 1:
+        states = distinct_states.distinct_states(src, sorted(set(exact.values())))
+        passes.append((states, {pos: [("n_distinct", distinct_states.count_of(c))] for pos, c in exact.items()}))
+        named = {pos: pairs for pos, pairs in named.items() if pos not in exact}
+    if len(named) > 1:
+        passes.append((src, named))
+    out = []
+    for frame, pairs_of in passes:
         try:
-            fused = src.agg(*[c.alias(f"__t{pos}__{n}") for pos, pairs in named.items() for n, c in pairs])
+            out.append((frame.agg(*[c.alias(f"__t{pos}__{n}") for pos, pairs in pairs_of.items() for n, c in pairs]),
+                        pairs_of))
         except Exception:                 # e.g. a predicate that does not parse: no fusion here
             continue
-        rows = []
-        for pos, pairs in named.items():
-            t = {**TASK_DEFAULTS, **tasks[pos]}
-            tid = int(t.get("task_id", pos + 1))
-            fmt = t["output_format"]
-            cols = []
-            for n, _ in pairs:
-                c = F.col(f"__t{pos}__{n}")
-                is_float = isinstance(fused.schema[f"__t{pos}__{n}"].dataType, (T.DoubleType, T.FloatType))
-                cols.append((n, F.round(c, t["round"]) if (is_float and t["round"] is not None) else c))
-            rows.append(F.struct(F.lit(tid).alias("task_id"),
-                                 F.lit(str(t.get("qid", t.get("question_id", f"q{tid}")))).alias("qid"),
-                                 F.lit(fmt).alias("output_format"),
-                                 F.lit(None).cast("long").alias("position"),
-                                 answer_expr(cols, "json_array" if fmt == "json" else fmt).alias("answer"),
-                                 F.lit(None).cast("string").alias("error")))
-            done.add(pos)
-        branches.append(fused.select(F.explode(F.array(*rows)).alias("a")).select("a.*"))
-    return branches, done
+    return out
+
+
+def _fused_rows(fused: DataFrame, named: dict[int, list], tasks: list[Mapping[str, Any]]) -> list[Column]:
+    """The answer rows of the tasks ``named`` over their one-row aggregate."""
+    rows = []
+    for pos, pairs in named.items():
+        t = {**TASK_DEFAULTS, **tasks[pos]}
+        tid = int(t.get("task_id", pos + 1))
+        fmt = t["output_format"]
+        cols = []
+        for n, _ in pairs:
+            c = F.col(f"__t{pos}__{n}")
+            is_float = isinstance(fused.schema[f"__t{pos}__{n}"].dataType, (T.DoubleType, T.FloatType))
+            cols.append((n, F.round(c, t["round"]) if (is_float and t["round"] is not None) else c))
+        rows.append(F.struct(F.lit(tid).alias("task_id"),
+                             F.lit(str(t.get("qid", t.get("question_id", f"q{tid}")))).alias("qid"),
+                             F.lit(fmt).alias("output_format"),
+                             F.lit(None).cast("long").alias("position"),
+                             answer_expr(cols, "json_array" if fmt == "json" else fmt).alias("answer"),
+                             F.lit(None).cast("string").alias("error")))
+    return rows
 
 
 def _shared_key(task: Mapping[str, Any]) -> str | None:

@@ -222,3 +222,35 @@ def test_scratch_of_a_report_is_removed(spark, monkeypatch):
     assert answers.count() == 11 and answers.where("error IS NOT NULL").count() == 2
     with pytest.raises(ValueError):
         remove(spark, "/tmp/elsewhere/x")
+
+
+def _distinct_spec(sf, columns, **more):
+    tasks = [{"task_id": i, "qid": c, "op": "count_distinct", "source": "li", "output_format": "number",
+              "params": {"column": c, **more}} for i, c in enumerate(columns, 1)]
+    tasks.append({"task_id": 99, "qid": "rows", "op": "row_count", "source": "li", "output_format": "number"})
+    tasks.append({"task_id": 100, "qid": "discount", "op": "global_mean", "source": "li", "output_format": "number",
+                  "params": {"column": "l_discount"}, "round": 6})
+    return {"sourcing_plan": [{"name": "li", "path": f"{sf}/lineitem.parquet", "kind": "parquet"}],
+            "analysis_plan": tasks, "final_output_format": {"format": "json_array"}}
+
+
+def test_several_exact_distincts_share_a_pass_without_expand(spark):
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_partkey"]
+    spec = _distinct_spec(SF, columns)
+    items = spark.read.parquet(f"{SF}/lineitem.parquet")
+    branches, done = report._fused_answers({"li": items}, spec["analysis_plan"])
+    plans = [b._jdf.queryExecution().executedPlan().toString() for b in branches]
+    assert len(plans) == 2 and done == set(range(7)) and not any("Expand" in p for p in plans)
+    got = {r["task_id"]: r["answer"] for r in run_report_job(spark, spec).collect()}
+    want = {i: str(items.select(c).distinct().count()) for i, c in enumerate(columns, 1)}
+    assert {k: v for k, v in got.items() if k < 99} == want and got[99] == str(items.count())
+
+
+def test_distincts_of_other_types_and_of_empty_sources(spark, tmp_dir):
+    path = f"{tmp_dir}/lineitem.parquet"
+    spark.createDataFrame([], "l_orderkey long, l_shipdate date, l_comment string, l_discount double").write.parquet(path)
+    for columns in (["l_orderkey", "l_shipdate", "l_comment"], ["l_comment", "l_orderkey"]):
+        got = {r["qid"]: (r["answer"], r["error"]) for r in run_report_job(spark, _distinct_spec(tmp_dir, columns)).collect()}
+        assert all(got[c] == ("0", None) for c in columns) and got["rows"] == ("0", None)
+    approx = _distinct_spec(SF, ["l_orderkey", "l_partkey"], approx=True)
+    assert all(r["error"] is None for r in run_report_job(spark, approx).collect())
