@@ -8,6 +8,7 @@ Nothing holds a whole column in memory (no ``collect_set``).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from tablework.functions.numbers import parse_number, spark_type
 from tablework.functions.text import strip_ws
+from tablework.operators import distinct_states
 from tablework.operators.stats import no_nan
 
 
@@ -86,6 +88,28 @@ def validate(df: DataFrame, rules: Mapping[str, Any]) -> DataFrame:
     return out.withColumn("passed", F.col("violations") == 0)
 
 
+def _exact_distincts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(position, n_distinct)`` of the columns. Whole-number-like ones share one
+    scan and one aggregate of words; of the others each is made distinct on its own
+    (map-side combine, a scan of that column alone), as several exact distincts in
+    one aggregate would copy every row once per column."""
+    whole = {i: f"c{i}" for i, c in enumerate(cols) if distinct_states.supported(df.schema[c].dataType)}
+    if len(whole) < 2:
+        whole = {}
+    parts = []
+    if whole:
+        states = distinct_states.distinct_states(df.select(*[_q(cols[i]).alias(n) for i, n in whole.items()]),
+                                                 list(whole.values()))
+        counts = [F.struct(F.lit(i).alias("position"), F.col(n).alias("n_distinct")) for i, n in whole.items()]
+        parts.append(states.agg(*[distinct_states.count_of(n).alias(n) for n in whole.values()])
+                     .select(F.explode(F.array(*counts)).alias("d")).select("d.*"))
+    for i, c in enumerate(cols):
+        if i not in whole:
+            parts.append(df.select(no_nan(df, c).alias("v")).where("v IS NOT NULL").distinct()
+                         .agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(i).alias("position"), "n_distinct"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = False,
             top_k: int = 0) -> DataFrame:
     """One row per column: ``(position, column, dtype, n_rows, n_null,
@@ -118,15 +142,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct:
                for i, c in enumerate(cols)]
     out = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     if exact_distinct:
-        # each column's values are made distinct on their own (map-side combine,
-        # a scan of that column alone): several exact distincts in one aggregate
-        # would copy every row once per column
-        exact = None
-        for i, c in enumerate(cols):
-            one = df.select(no_nan(df, c).alias("v")).where("v IS NOT NULL").distinct() \
-                .agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(i).alias("position"), "n_distinct")
-            exact = one if exact is None else exact.unionByName(one)
-        out = out.join(exact, "position").select(
+        out = out.join(_exact_distincts(df, cols), "position").select(
             "position", "column", "dtype", "n_rows", "n_null", "n_distinct", "min_value", "max_value")
     if top_k > 0:
         freq = None

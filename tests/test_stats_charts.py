@@ -141,3 +141,14 @@ def test_profile_takes_nan_as_missing(spark):
         got = {r["column"]: r for r in profile(df, exact_distinct=exact).collect()}
         assert (got["v"]["n_null"], got["v"]["n_distinct"], got["v"]["max_value"]) == (2, 2, "2.0")
         assert (got["s"]["n_null"], got["s"]["n_distinct"]) == (1, 2)
+
+
+def test_exact_profile_reads_whole_numbers_in_one_scan(spark):
+    from tablework.operators.quality import profile
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = ["l_orderkey", "l_shipdate", "l_returnflag", "l_linenumber"]
+    got = profile(items, cols, exact_distinct=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("FileScan") == 3      # the ranges, the words, the text column
+    assert {r["column"]: r["n_distinct"] for r in got.collect()} == {c: items.select(c).distinct().count() for c in cols}
+    assert {r["n_distinct"] for r in profile(items.limit(0), cols, exact_distinct=True).collect()} == {0}
