@@ -1,19 +1,21 @@
 """Typed JSON answers (#71-#72).
 
-``format_answer`` makes one JSON text of a result that is bounded by what was
-asked (a figure, a top-k, a description, the groups of a declared category).
-There is no cap: every row of the result is in the text. A result with a row
-per key of an unbounded column is written as rows instead (``answer_rows``):
-one element per row, made and written by many tasks.
+``format_answer`` makes one JSON text of a result. There is no cap: every row
+of the result is in the text. Elements are ordered and written by many tasks,
+in chunks; only the chunks' texts meet, in the one row that is asked for. A
+result whose text is too long for one value (2 GB) is written as rows instead
+(``answer_rows``): one element per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK_BITS = 12             # elements written together: 4,096 at most
+
 FORMATS = ("number", "string", "json_array", "json_object", "records")
 
 
@@ -31,6 +33,20 @@ def _listed(df: DataFrame, item: Column, order: Sequence[Column]) -> DataFrame:
     return keyed.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("items"))
 
 
+def _inner(c: Column) -> Column:
+    """A JSON text without its outer brackets."""
+    return F.substring(c, F.lit(2), F.length(c) - 2)
+
+
+def _joined(rows: DataFrame, text: Column, order: Sequence[Column]) -> DataFrame:
+    """One row, ``text``: ``text`` of all rows in order, commas between."""
+    join = lambda at: F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(at, "t"))), lambda e: e["t"]), ",")
+    chunks = rows.orderBy(*order).select(F.monotonically_increasing_id().alias("at"), text.alias("t")) \
+        .groupBy(F.shiftright("at", CHUNK_BITS).alias("chunk")).agg(join("at").alias("t"))
+    return chunks.agg(join("chunk").alias("text"))
+
+
 def _first(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(1)
 
@@ -61,7 +77,7 @@ def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = N
     two-column frame becomes ``{key: value}``; a one-row frame becomes the
     record itself. ``records``: always a list of records. Element order
     follows ``order_by`` (default: all columns), so the text is
-    deterministic.
+    deterministic. Equal keys of a ``json_object`` are an error.
     """
     cols = df.columns
     order = [_q(c) for c in (order_by or cols)]
@@ -72,12 +88,19 @@ def format_answer(df: DataFrame, fmt: str, *, order_by: Sequence[str] | None = N
         ans = F.try_element_at(F.col("items"), F.lit(1))
     elif fmt in ("json_array", "records"):
         item = _q(cols[0]) if (len(cols) == 1 and fmt == "json_array") else F.struct(*[_q(c) for c in cols])
-        one = _listed(df, item, order)
-        ans = F.to_json(F.col("items"))
+        one = _joined(df, _inner(F.to_json(F.array(item))), [*order, item])
+        ans = F.concat(F.lit("["), F.col("text"), F.lit("]"))
     elif fmt == "json_object":
         if len(cols) == 2:
-            one = _listed(df, F.struct(_key(_q(cols[0])).alias("k"), _q(cols[1]).alias("v")), order)
-            ans = F.to_json(F.map_from_entries(F.col("items")))
+            key = _key(_q(cols[0]))
+            rows = df.select(*[o.alias(f"o{i}") for i, o in enumerate(order)],
+                             F.struct(key.alias("k"), _q(cols[1]).alias("v")).alias("e"),
+                             F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
+            # A key found more than once stands twice in its own map, which raises.
+            entry = F.when(F.col("n") > 1, F.array("e", "e")).otherwise(F.array("e"))
+            one = _joined(rows, _inner(F.to_json(F.map_from_entries(entry))),
+                          [*[F.col(f"o{i}") for i in range(len(order))], F.col("e")])
+            ans = F.concat(F.lit("{"), F.col("text"), F.lit("}"))
         else:
             one = _listed(_first(df, order), F.struct(*[_q(c) for c in cols]), order)
             ans = F.to_json(F.try_element_at(F.col("items"), F.lit(1)))

@@ -121,6 +121,35 @@ def test_format_answer_formats_and_rows(spark):
     assert json.loads(A.assemble(answers, "array_of_strings").first()["result"]) == ["5", '"x"']
 
 
+def test_format_answer_query_answers_for_every_part_name(spark, tmp_dir):
+    from tablework.plans.queries import QUERIES
+    parts = [(i, f"name {i // 2}", "Brand#11", "t", "MFGR#1", 1, 1.0) for i in range(10)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_mfgr string, "
+                                 "p_size int, p_retailprice double").write.parquet(f"{tmp_dir}/part.parquet")
+    got = QUERIES["format_answer"](spark, tmp_dir).collect()
+    assert [json.loads(r["answer"]) for r in got] == [{f"name {k}": 2 * k + 0.5 for k in range(5)}]
+
+
+def test_format_answer_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(A, "CHUNK_BITS", 2)
+    texts = [None, "", '"', "a,b", "]", "\u2028", "\n", *[f"k{i:03d}" for i in range(100)]]
+    rows = [(t, None if i % 7 == 3 else float(i)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    fa = lambda d, f, **kw: json.loads(A.format_answer(d, f, **kw).first()["answer"])
+    assert list(fa(df, "json_object").items()) == [("null" if k is None else k, v) for k, v in want]
+    assert fa(df.select("k"), "json_array") == [k for k, _ in want]
+    assert fa(df, "records") == [{n: x for n, x in zip("kv", r) if x is not None} for r in want]
+    assert list(fa(df, "json_object", order_by=["v", "k"]))[-1] == "k099"
+    assert fa(df.where("false"), "json_object") == {}
+
+
+def test_format_answer_equal_keys_are_an_error(spark):
+    twice = spark.createDataFrame([(None, 1), ("null", 2), ("a", 3)], "k string, n int")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        A.format_answer(twice, "json_object").collect()
+
+
 @pytest.mark.parametrize("fmt", ["number", "string", "json_array", "records", "json_object"])
 def test_answer_expr_matches_format_answer(spark, fmt):
     one = spark.createDataFrame([("k1", 2.5, 7)], "k string, v double, n bigint")
