@@ -46,6 +46,7 @@ from .common import LOWER, UPPER, column, text_slices, whole_groups, with_row_ke
 THRESHOLD, WORDS, RECALL = 0.8, 5, 0.9999
 PART_TEXTS = 256                 # texts in one part of a bucket
 PART_SHINGLES = 400_000          # shingles in one part of a bucket, about
+CACHE_WORDS = 100_000            # words a worker remembers: about 15 MB, kept while it lives
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOW = str.maketrans(UPPER, LOWER)
@@ -90,7 +91,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        if len(self) < 300_000:
+        if len(self) < CACHE_WORDS:
             self[word] = h
         return h
 

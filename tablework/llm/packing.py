@@ -41,7 +41,7 @@ from .common import column, text_slices, written
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_WORDS = 500_000       # words a worker remembers
+CACHE_WORDS = 100_000       # words a worker remembers: about 15 MB, kept while it lives
 SEGMENT_CHARS = 1 << 20     # a longer text is tokenised in runs of whole words
 
 _STATE: dict = {}
